@@ -120,6 +120,10 @@ def _spans(found: str) -> Column:
     return F.concat_ws(",", F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of a first scan of documents, joined back to every document.
 
@@ -127,7 +131,7 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
     found = by_blob(scan(docs.select(F.col("doc_id").alias("path"), "content"), fresh_dir(spark, "ledger")))
-    counts = [F.size(F.filter("found", lambda x, k=r.kind: x["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in RULES]
+    counts = [_count(r.kind).alias(f"n_{r.kind}") for r in RULES]
     summary = found.select("digest", *counts, _spans("found").alias("spans"))
     out = docs.select("doc_id", digest(F.col("content")).alias("digest")).join(summary, "digest", "left")
     spans = F.coalesce("spans", F.lit(""))
