@@ -8,10 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .secrets import op3_secret_scans
 from .sharding import op10_sharding
+from .warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_secret_scans": op3_secret_scans,
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+        d AS (SELECT *, sha256(html) AS h, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+        SELECT page_id, n AS payload_bytes, h AS payload_digest,
+               CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM d
+    """,
+}
