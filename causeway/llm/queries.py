@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
+from .langid import op5_langid
 from .secrets import op3_secret_scans
 from .sharding import op10_sharding
 from .simhash import op6_simhash
@@ -15,6 +16,7 @@ from .warc import op1_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_secret_scans": op3_secret_scans,
+    "op5_langid": op5_langid,
     "op6_simhash": op6_simhash,
     "op8_bpe": op8_bpe,
     "op10_sharding": op10_sharding,
