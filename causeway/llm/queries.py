@@ -11,6 +11,7 @@ from .langid import op5_langid
 from .secrets import op3_secret_scans
 from .sharding import op10_sharding
 from .simhash import op6_simhash
+from .toxicity import op7_toxicity
 from .warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scans": op3_secret_scans,
     "op5_langid": op5_langid,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
     "op10_sharding": op10_sharding,
 }
