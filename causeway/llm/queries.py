@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
+from .knn_join import op4_knn_join
 from .langid import op5_langid
 from .secrets import op3_secret_scans
 from .sharding import op10_sharding
@@ -17,6 +18,7 @@ from .warc import op1_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_secret_scans": op3_secret_scans,
+    "op4_knn_join": op4_knn_join,
     "op5_langid": op5_langid,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
@@ -33,4 +35,11 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM d
     """,
+    "op4_knn_join": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, o.vec_id, CAST(list_sum(list_transform(list_zip(q.v, o.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+              FROM e q JOIN e o ON q.vec_id % 50 = 0 AND o.vec_id <> q.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
 }
