@@ -12,6 +12,7 @@ would move several times the input.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 from collections import Counter
@@ -29,7 +30,8 @@ from .common import slices, table, written
 #: Words that are broadcast, at most, and the longest of them.
 HEAD_WORDS, HEAD_CHARS = 131_072, 64
 #: Words that a task keeps at most besides; then it starts its own table anew.
-OWN_WORDS = 500_000
+OWN_WORDS = 400_000
+WORDS_AT_ONCE = 2_048
 
 _ODD = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer doesn't
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -41,6 +43,7 @@ def split_words(text: str) -> list[str]:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -50,7 +53,8 @@ def _tokenizer(path: str):
 
 
 def _encoded(path: str, words: list[str]) -> list[list[int]]:
-    return [e.ids for e in _tokenizer(path).encode_batch(words, add_special_tokens=False)] if words else []
+    t = _tokenizer(path)
+    return [e.ids for at in range(0, len(words), WORDS_AT_ONCE) for e in t.encode_batch_fast(words[at : at + WORDS_AT_ONCE], add_special_tokens=False)]
 
 
 class WordTable(dict):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
+from .decontam import op2_decontam
 from .knn_join import op4_knn_join
 from .langid import op5_langid
 from .secrets import op3_secret_scans
@@ -17,6 +18,7 @@ from .warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_decontam": op2_decontam,
     "op3_secret_scans": op3_secret_scans,
     "op4_knn_join": op4_knn_join,
     "op5_langid": op5_langid,
