@@ -25,7 +25,9 @@ from .common import slices, table, written
 
 K1, B = 1.2, 0.75
 #: Share of an item's weight that a passage must hold, and of the trigrams of its question and answer.
-THRESHOLD, OVERLAP = 0.5, 0.6
+THRESHOLD, OVERLAP = 0.6, 0.6
+#: Share of the threshold that an item's terms beyond the essential ones may carry.
+OPEN = 0.35
 #: Words of an indexed entry at most (longer items are indexed in pieces), postings of a block, entries of one broadcast index.
 ENTRY_WORDS, BLOCK, INDEX_ENTRIES = 256, 64, 20_000
 #: Words of a passage at least; it is twice the longest entry, and passages overlap by half, so an entry always lies within one.
@@ -85,7 +87,7 @@ class Index:
             rest = 1.0
             for t in sorted(w, key=lambda t: (df[t], t)):
                 lists[t].append((i, w[t] / total))
-                if rest > 0.5 * threshold:
+                if rest > OPEN * threshold:
                     essential[t].append((i, w[t] / total))
                     rest -= w[t] / total
             self.open[i] = rest
@@ -168,14 +170,15 @@ class Index:
             return []
         stride = max(PASSAGE_WORDS // 2, self.longest)
         at, t = np.array(found, dtype=np.int64).T
+        # passage p holds words [p * stride, (p + 2) * stride): a word lies in two of them; a term counts once in each
+        last = at // stride
+        pair = np.concatenate([last * len(essential) + t, (last * len(essential) + t)[last > 0] - len(essential)])
+        pair.sort()
+        pair = pair[np.r_[True, pair[1:] != pair[:-1]]]
+        passage, t = np.divmod(pair, len(essential))
         longs = self.starts[t + 1] - self.starts[t]
-        pos = np.repeat(at, longs)
         each = np.repeat(self.starts[t] - (np.cumsum(longs) - longs), longs) + np.arange(int(longs.sum()))
-        item, weight = self.items[each], self.weights[each]
-        # passage p holds words [p * stride, (p + 2) * stride): a word lies in two of them
-        last = pos // stride
-        passage = np.concatenate([last, last[last > 0] - 1])
-        item, weight = np.concatenate([item, item[last > 0]]), np.concatenate([weight, weight[last > 0]])
+        passage, item, weight = np.repeat(passage, longs), self.items[each], self.weights[each]
         key, where = np.unique(passage * len(self.ids) + item, return_inverse=True)
         could = np.bincount(where, weights=weight) + self.open[key % len(self.ids)] >= self.threshold - 1e-9
         best: dict[int, tuple[int, int, float, float, float]] = {}
