@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
 from .decontam import op2_decontam
+from .html_cut import op9_html
 from .knn_join import op4_knn_join
 from .langid import op5_langid
 from .secrets import op3_secret_scans
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
+    "op9_html": op9_html,
     "op10_sharding": op10_sharding,
 }
 
