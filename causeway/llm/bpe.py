@@ -209,6 +209,15 @@ def round_trips(docs: DataFrame, path: str, text: str = "text", most: int = HEAD
     return _mapped(docs, text, path, fields, "n_tokens long, ids_sha256 string, decoded_sha256 string", made, most, False)
 
 
+def tokenized(docs: DataFrame, path: str, text: str = "text", most: int = HEAD_WORDS) -> DataFrame:
+    """docs without its text, with ids, n_tokens and decoded_sha256 (of the text that the ids decode to)."""
+
+    def made(ids: list[np.ndarray]) -> list[list]:
+        return [[x.astype(np.int32) for x in ids], [len(x) for x in ids], [hashlib.sha256(decode_ids(path, x).encode()).hexdigest() for x in ids]]
+
+    return _mapped(docs, text, path, {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "decoded_sha256": pa.string()}, "ids array<int>, n_tokens long, decoded_sha256 string", made, most, False)
+
+
 def vocabulary() -> str:
     import public_tokenizers
 

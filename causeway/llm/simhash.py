@@ -115,8 +115,32 @@ def _forest(fps: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
 
 
-def _run_links(keys: np.ndarray, fps: np.ndarray, most_bits: int, masks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked pairs in rows sorted by key. masks: those of the first level, to give a pair of a short run under one of its variants only."""
+def _nearest_tree(fps: np.ndarray, alts: np.ndarray, most_bits: int, most_alt: int) -> tuple[np.ndarray, np.ndarray]:
+    """A minimum spanning forest by the alts' distance, and each member's two nearest before it in the tree's order: whatever bound on that distance holds later, the forest connects what it can."""
+    n = len(fps)
+    best, to = np.full(n, 255, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    out: list[tuple[int, int]] = []
+    done = np.zeros(n, dtype=bool)
+    second, second_to = np.full(n, 255, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    x = 0
+    for _ in range(n):
+        done[x] = True
+        for d, t in ((best[x], to[x]), (second[x], second_to[x])):
+            if d <= most_alt:
+                out.append((int(t), x))
+        d = np.bitwise_count(alts ^ alts[x]).astype(np.int64)
+        d[np.bitwise_count(fps ^ fps[x]) > most_bits] = 255
+        nearer = d < best
+        second = np.where(nearer, best, np.minimum(second, d))
+        second_to = np.where(nearer, to, np.where(d <= second, x, second_to))
+        best, to = np.where(nearer, d, best), np.where(nearer, x, to)
+        x = int(np.where(done, 256, best).argmin())
+    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _run_links(keys: np.ndarray, fps: np.ndarray, alts: np.ndarray, most_bits: int, most_alt: int | None, masks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of linked pairs in rows sorted by key. With most_alt a pair's alts must be near too. masks: those of the first level, to give a pair of a short run under one of its variants only."""
     new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     longs = np.diff(np.r_[new, len(keys)])
     size = np.repeat(longs, longs)
@@ -130,6 +154,8 @@ def _run_links(keys: np.ndarray, fps: np.ndarray, most_bits: int, masks: np.ndar
             break
         x = fps[i] ^ fps[i + off]
         ok = np.bitwise_count(x) <= most_bits
+        if most_alt is not None:
+            ok &= np.bitwise_count(alts[i] ^ alts[i + off]) <= most_alt
         i, x = i[ok], x[ok]
         if masks is not None and len(i):
             first = np.argmax((x[:, None] & masks[None, :]) == 0, axis=1)
@@ -137,23 +163,23 @@ def _run_links(keys: np.ndarray, fps: np.ndarray, most_bits: int, masks: np.ndar
         a.append(i)
         b.append(i + off)
     for at, n in zip(new[longs > SHORT_RUN], longs[longs > SHORT_RUN], strict=True):
-        x, y = _forest(fps[at : at + n], most_bits)
+        x, y = _forest(fps[at : at + n], most_bits) if most_alt is None else _nearest_tree(fps[at : at + n], alts[at : at + n], most_bits, most_alt)
         a.append(at + x)
         b.append(at + y)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
 
 
-INDEXED = "key long, fp long, node long, fixed long"
-LINKED = "u long, v long, key long, fp long, node long, fixed long"
+INDEXED = "key long, fp long, node long, alt long, fixed long"
+LINKED = "u long, v long, key long, fp long, node long, alt long, fixed long"
 
 
 def _index(parts: int):
-    """(fp, node, key, fixed: the bits that the key holds already) -> a row per variant of the other bits."""
+    """(fp, node, alt, key, fixed: the bits that the key holds already) -> a row per variant of the other bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks: dict[int, np.ndarray] = {}
         for batch in batches:
-            fp, node, key, fixed = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "node", "key", "fixed"))
+            fp, node, alt, key, fixed = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "node", "alt", "key", "fixed"))
             for at in range(0, len(fp), 4096):
                 s = slice(at, at + 4096)
                 for have in np.unique(fixed[s]).tolist():
@@ -164,33 +190,33 @@ def _index(parts: int):
                     kept = fp[i][:, None] & m
                     # at the first level the low six bits tell the variant; the rest is spread, and a clash only adds a pair that is verified anyway
                     new = (_mixed(kept ^ (v << np.uint64(58)) ^ _mixed(key[i])[:, None] * np.uint64(have != 0)) & ~np.uint64(63)) | (v & np.uint64(63))
-                    cols = [new, np.repeat(fp[i], len(m)), np.repeat(node[i], len(m)), np.broadcast_to(m | np.uint64(have), kept.shape)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).reshape(-1).view(np.int64)) for c in cols], ["key", "fp", "node", "fixed"])
+                    cols = [new, *(np.repeat(c[i], len(m)) for c in (fp, node, alt)), np.broadcast_to(m | np.uint64(have), kept.shape)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).reshape(-1).view(np.int64)) for c in cols], ["key", "fp", "node", "alt", "fixed"])
 
     return run
 
 
-def _link(most_bits: int, masks: np.ndarray | None):
+def _link(most_bits: int, most_alt: int | None, masks: np.ndarray | None):
     """Rows sorted by key -> links (u, v), or, of runs that are too long, the rows themselves."""
 
     def out(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(u), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), none, none, none, none], LINKED.replace(" long", "").split(", "))
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), *[none] * 5], LINKED.replace(" long", "").split(", "))
 
     def passed(rows: list[np.ndarray]) -> pa.RecordBatch:
         none = pa.nulls(len(rows[0]), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, *(pa.array(c.view(np.int64)) for c in rows)], LINKED.replace(" long", "").split(", "))
 
     def links(rows: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = _run_links(rows[0], rows[1], most_bits, masks)
+        a, b = _run_links(rows[0], rows[1], rows[3], most_bits, most_alt, masks)
         u, v = rows[2][a], rows[2][b]
         return out(u[u != v], v[u != v])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.uint64)] * 4
+        held = [np.empty(0, np.uint64)] * 5
         hot: np.uint64 | None = None
         for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("key", "fp", "node", "fixed")]
+            new = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("key", "fp", "node", "alt", "fixed")]
             rows = [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
             while len(rows[0]):
                 keys = rows[0]
@@ -229,22 +255,24 @@ def _without_hot(rows: list[np.ndarray]) -> Iterator[tuple[bool, list[np.ndarray
             yield kind, [c[hot == kind] for c in rows]
 
 
-def links(nodes: DataFrame, most_bits: int = MOST_BITS, parts: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, most_bits: int = MOST_BITS, parts: int | None = None, most_alt: int | None = None) -> DataFrame:
     """nodes (fp, node: bigints) -> (u, v) of nodes: enough links to span all pairs whose fps differ in at most most_bits bits.
 
     All links of short runs are given, a spanning forest of long ones; pairs may repeat. With fewer parts than
-    most_bits // 2 + 1 nothing is missed up to 2 * parts - 1 bits only, and pairs beyond are found by chance.
+    most_bits // 2 + 1 nothing is missed up to 2 * parts - 1 bits only, and pairs beyond are found by chance. With
+    most_alt, nodes has a second fingerprint alt that must be near too, and long runs give a minimum spanning forest by it.
     """
     parts = parts or most_bits // 2 + 1
     first = np.array(variants(list(range(64)), parts), dtype=np.uint64)
-    rows = nodes.filter("fp IS NOT NULL AND node IS NOT NULL").select("fp", "node", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("fixed"))
+    none = F.lit(0).cast("long")
+    rows = nodes.filter("fp IS NOT NULL AND node IS NOT NULL").select("fp", "node", none.alias("alt") if most_alt is None else "alt", none.alias("key"), none.alias("fixed"))
     found, masks = None, first
     while True:
         indexed = rows.mapInArrow(_index(parts), INDEXED).repartition("key").sortWithinPartitions("key")
-        out = written(indexed.mapInArrow(_link(most_bits, masks), LINKED), "linked")
+        out = written(indexed.mapInArrow(_link(most_bits, most_alt, masks), LINKED), "linked")
         some = out.filter("u IS NOT NULL").select("u", "v")
         found = some if found is None else found.unionByName(some)
-        rows, masks = out.filter("u IS NULL").select("fp", "node", "key", "fixed"), None
+        rows, masks = out.filter("u IS NULL").select("fp", "node", "alt", "key", "fixed"), None
         if not rows.take(1):
             return found
 
@@ -267,6 +295,68 @@ def near_components(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return prints.join(written(label, "labels"), "fp")
 
 
+#: Near-duplicates of the pipeline: shingle words and similarity; the fingerprints of shingles and of single words,
+#: how far they may differ, and the segments that words are indexed by (nothing is missed up to 7 bits).
+NEAR_WORDS, SIMILARITY, FAR_SHINGLES, FAR_WORDS, NEAR_PARTS = 5, 0.8, 20, 10, 4
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
+
+    return run
+
+
+def _verified(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (a, b) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
+                x, y = np.frombuffer(a.as_py(), dtype="<u8"), np.frombuffer(b.as_py(), dtype="<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    keep.append(i)
+            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs (doc_id, text, ...) with one row of each group of near-duplicates, that with the smallest doc_id; all columns stay.
+
+    Two texts are linked if the Jaccard similarity of their sets of `size`-word shingles (lower-cased A-Z) reaches
+    `similarity`; groups are connected components; equal texts are of one group, empty and null ones too, repeated rows
+    count as copies. Candidates have near fingerprints of single words (indexed by deletion variants) and of shingles;
+    each is verified on the whole sets. A null doc_id is kept only where its group has no other.
+    """
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    own = docs.select("doc_id", F.sha2(body, 256).alias("digest"), F.col("text"))
+    prints = written(fingerprints(own, sizes=(size, 1)), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    texts = written(prints.groupBy("digest").agg(F.min(order)["doc_id"].alias("least"), F.count(F.lit(1)).alias("n"), F.first(f"fp{size}").alias("alt"), F.first("fp1").alias("fp")).withColumn("node", F.xxhash64("digest")), "texts")
+    pairs = links(texts, FAR_WORDS, NEAR_PARTS, FAR_SHINGLES).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = written(pairs, "pairs")
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = texts.join(nodes, "node").select("node", "digest", F.col("least").alias("doc_id"))
+    found = docs.select("doc_id", F.sha2(body, 256).alias("digest"), body.alias("text")).join(wanted, "digest").filter(docs["doc_id"].eqNullSafe(wanted["doc_id"]))
+    sets = written(found.select("node", "text").mapInArrow(_sets(size), "node long, set binary").dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    linked = components(both.select("u", "v", "a", "b").mapInArrow(_verified(similarity), "u long, v long"))
+    named = texts.join(linked, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), "digest")).alias("first"))
+    # rows that go: those that aren't the first of their group
+    kept = named.join(first, "group").select("digest", "n", F.col("first.doc_id").alias("first_id"), (F.col("first.digest") == F.col("digest")).alias("own"))
+    labels = written(prints.select("doc_id", "digest").join(kept, "digest").select("doc_id", "digest", (F.col("own") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("stays")), "stays")
+    gone = labels.filter("NOT stays").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    marked = docs.withColumn("_own", F.sha2(body, 256))
+    out = marked.join(gone, marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_own"] == gone["_digest"]), "left_anti")
+    if labels.filter("stays").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").take(1):
+        out = out.dropDuplicates(["doc_id", "_own"])
+    return out.select(*docs.columns)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: doc_id, fingerprint, component_id."""
     prints = written(fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed(f"fp{SHINGLE}", "fp"), "fingerprints")

@@ -175,6 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Toxicity
     return Toxicity(learned, trees, calibrated, 0.0)
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
+    """docs without the rows that a model fitted on them and labels predicts toxic; all columns stay."""
+    return fit(docs, labels, most).score(docs.withColumn("_text_", F.col("text")), "_text_").filter("predicted = 0").select(*docs.columns)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: doc_id, held_out, score, predicted."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
