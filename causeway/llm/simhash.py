@@ -296,8 +296,8 @@ def near_components(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 
 
 #: Near-duplicates of the pipeline: shingle words and similarity; the fingerprints of shingles and of single words,
-#: how far they may differ, and the segments that words are indexed by (nothing is missed up to 7 bits).
-NEAR_WORDS, SIMILARITY, FAR_SHINGLES, FAR_WORDS, NEAR_PARTS = 5, 0.8, 20, 10, 4
+#: how far they may differ, and the segments that each is indexed by (nothing is missed up to 7 bits of either).
+NEAR_WORDS, SIMILARITY, FAR_SHINGLES, FAR_WORDS, NEAR_PARTS = 5, 0.8, 20, 12, 4
 
 
 def _sets(size: int):
@@ -328,20 +328,21 @@ def drop_near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: fl
 
     Two texts are linked if the Jaccard similarity of their sets of `size`-word shingles (lower-cased A-Z) reaches
     `similarity`; groups are connected components; equal texts are of one group, empty and null ones too, repeated rows
-    count as copies. Candidates have near fingerprints of single words (indexed by deletion variants) and of shingles;
-    each is verified on the whole sets. A null doc_id is kept only where its group has no other.
+    count as copies. Candidates have near fingerprints of single words and of shingles, either found by its
+    deletion variants; each is verified on the whole sets. A null doc_id is kept only where its group has no other.
     """
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     own = docs.select("doc_id", F.sha2(body, 256).alias("digest"), F.col("text"))
     prints = written(fingerprints(own, sizes=(size, 1)), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
     texts = written(prints.groupBy("digest").agg(F.min(order)["doc_id"].alias("least"), F.count(F.lit(1)).alias("n"), F.first(f"fp{size}").alias("alt"), F.first("fp1").alias("fp")).withColumn("node", F.xxhash64("digest")), "texts")
-    pairs = links(texts, FAR_WORDS, NEAR_PARTS, FAR_SHINGLES).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    found = links(texts, FAR_WORDS, NEAR_PARTS, FAR_SHINGLES).unionByName(links(texts.select("node", F.col("alt").alias("fp"), F.col("fp").alias("alt")), FAR_SHINGLES, NEAR_PARTS, FAR_WORDS))
+    pairs = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = written(pairs, "pairs")
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = texts.join(nodes, "node").select("node", "digest", F.col("least").alias("doc_id"))
-    found = docs.select("doc_id", F.sha2(body, 256).alias("digest"), body.alias("text")).join(wanted, "digest").filter(docs["doc_id"].eqNullSafe(wanted["doc_id"]))
-    sets = written(found.select("node", "text").mapInArrow(_sets(size), "node long, set binary").dropDuplicates(["node"]), "sets")
+    bodies = docs.select("doc_id", F.sha2(body, 256).alias("digest"), body.alias("text")).join(wanted, "digest").filter(docs["doc_id"].eqNullSafe(wanted["doc_id"]))
+    sets = written(bodies.select("node", "text").mapInArrow(_sets(size), "node long, set binary").dropDuplicates(["node"]), "sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
     linked = components(both.select("u", "v", "a", "b").mapInArrow(_verified(similarity), "u long, v long"))
     named = texts.join(linked, "node", "left").withColumn("group", F.coalesce("component", "node"))
