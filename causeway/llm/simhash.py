@@ -295,9 +295,10 @@ def near_components(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return prints.join(written(label, "labels"), "fp")
 
 
-#: Near-duplicates of the pipeline: shingle words and similarity; the fingerprints of shingles and of single words,
-#: how far they may differ, and the segments that each is indexed by (nothing is missed up to 7 bits of either).
-NEAR_WORDS, SIMILARITY, FAR_SHINGLES, FAR_WORDS, NEAR_PARTS = 5, 0.8, 20, 12, 4
+#: Near-duplicates of the pipeline: shingle words and similarity; how far the fingerprints of shingles and of word pairs
+#: may differ, and the segments that each is indexed by (nothing is missed up to 7 bits of either). Word pairs move less
+#: under single changed words; single words would move least, but their fingerprints crowd and runs grow with the square.
+NEAR_WORDS, SIMILARITY, FAR_SHINGLES, FAR_PAIRS, NEAR_PARTS = 5, 0.8, 17, 12, 4
 
 
 def _sets(size: int):
@@ -328,15 +329,15 @@ def drop_near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: fl
 
     Two texts are linked if the Jaccard similarity of their sets of `size`-word shingles (lower-cased A-Z) reaches
     `similarity`; groups are connected components; equal texts are of one group, empty and null ones too, repeated rows
-    count as copies. Candidates have near fingerprints of single words and of shingles, either found by its
+    count as copies. Candidates have near fingerprints of word pairs and of shingles, either found by its
     deletion variants; each is verified on the whole sets. A null doc_id is kept only where its group has no other.
     """
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     own = docs.select("doc_id", F.sha2(body, 256).alias("digest"), F.col("text"))
-    prints = written(fingerprints(own, sizes=(size, 1)), "prints")
+    prints = written(fingerprints(own, sizes=(size, 2)), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
-    texts = written(prints.groupBy("digest").agg(F.min(order)["doc_id"].alias("least"), F.count(F.lit(1)).alias("n"), F.first(f"fp{size}").alias("alt"), F.first("fp1").alias("fp")).withColumn("node", F.xxhash64("digest")), "texts")
-    found = links(texts, FAR_WORDS, NEAR_PARTS, FAR_SHINGLES).unionByName(links(texts.select("node", F.col("alt").alias("fp"), F.col("fp").alias("alt")), FAR_SHINGLES, NEAR_PARTS, FAR_WORDS))
+    texts = written(prints.groupBy("digest").agg(F.min(order)["doc_id"].alias("least"), F.count(F.lit(1)).alias("n"), F.first(f"fp{size}").alias("alt"), F.first("fp2").alias("fp")).withColumn("node", F.xxhash64("digest")), "texts")
+    found = links(texts, FAR_PAIRS, NEAR_PARTS, FAR_SHINGLES).unionByName(links(texts.select("node", F.col("alt").alias("fp"), F.col("fp").alias("alt")), FAR_SHINGLES, NEAR_PARTS, FAR_PAIRS))
     pairs = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = written(pairs, "pairs")
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
