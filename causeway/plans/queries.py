@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.exprs import account_cluster, challenge, era, exit_type, ip_cluster, loss_per_lot, net_or_parts, number, reverse_per_lot, seconds, sure, trader_cluster
-from ..operators import bootstrap, buckets, folds, forensics, history, model, positions, state, stats
+from ..operators import bootstrap, buckets, compare, folds, forensics, history, model, positions, state, stats
 from ..operators import conditions as cond
 from ..operators import features as f
 from . import adapters as a
@@ -572,3 +572,58 @@ def numeric_coercion(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     text = F.when(F.col("event_id") % 13 == 0, "n/a").when(F.col("event_id") % 17 == 0, "NaN").otherwise(F.col("value").cast("string"))
     return e.select("event_id", number(text).alias("value"))
+
+
+@query((f"{OUTCOME}, g AS (SELECT campaign_id, sum(y) AS s, count(*) AS n FROM o GROUP BY 1), b AS (SELECT * FROM g ORDER BY s DESC, campaign_id DESC LIMIT 1)", f"(SELECT campaign_id FROM b) AS best, round(sum(s), 4) + 0.0 AS total, round(sum(s) - (SELECT s FROM b), 4) + 0.0 AS total_without, {r('mean_without = (sum(s) - (SELECT s FROM b)) / (sum(n) - (SELECT n FROM b))')} FROM g"))
+def best_campaign_removed(spark, sf_dir):
+    out = compare.best_group_removed(_outcomes(spark, sf_dir), "campaign_id", "y")
+    return out.withColumns({c: F.round(c, 4) for c in ("total", "total_without")})
+
+
+@query((SCORE, f"CASE WHEN fade AND loss_streak >= 2 THEN 'both' WHEN fade THEN 'first only' WHEN loss_streak >= 2 THEN 'second only' ELSE 'neither' END AS selected, count(*) AS n, {r('mean = avg(y)')} FROM d GROUP BY 1"))
+def selection_overlap(spark, sf_dir):
+    return compare.selection_overlap(_fixed(spark, sf_dir), F.col("decision") == "FADE", F.col("loss_streak") >= 2, "y")
+
+
+@query(("g AS (SELECT count(*) AS n, count(DISTINCT l_partkey) > 1 AS p, count(DISTINCT l_shipdate) > 1 AS s FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)", "count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, count(*) FILTER (p) AS l_partkey_differs, count(*) FILTER (s) AS l_shipdate_differs FROM g"))
+def duplicate_probe(spark, sf_dir):
+    """Candidate keys that repeat, and which cells differ then."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    return compare.duplicate_groups(li, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_shipdate"])
+
+
+@query((f"{BASE}, b AS (SELECT floor(f_dd_from_peak_usd / 25) AS bin, count(*) AS n FROM features GROUP BY 1)", f"b.bin * 25 AS from_value, b.n, {r('drop = b.n / greatest(coalesce(c.n, 0), 1)::DOUBLE')} FROM b LEFT JOIN b c ON c.bin = b.bin + 1"))
+def drawdown_cliff(spark, sf_dir):
+    return compare.cliff(f.features(a.positions(spark, sf_dir), ["dd_from_peak_usd"]), "dd_from_peak_usd")
+
+
+@query((f"""{STATE}, roles(fold, campaign_id, role) AS ({FOLD_SQL}), g AS (SELECT fold, role, least(loss_streak, 4) AS bucket, count(*) AS n, avg(reverse_profit_per_lot) AS m FROM st JOIN roles USING (campaign_id) GROUP BY ALL),
+    b AS (SELECT fold, arg_max(bucket, (round(m, 9), bucket)) AS bucket, max(m) AS train_mean FROM g WHERE role = 'train' AND n >= 30 GROUP BY 1)""",
+        f"CAST(b.fold AS INTEGER) AS fold, CAST(b.bucket AS BIGINT) AS bucket, {r('train_mean')}, coalesce(v.n, 0) AS val_n, {r('val_mean = v.m')} FROM b LEFT JOIN g v ON v.fold = b.fold AND v.bucket = b.bucket AND v.role = 'validate'"))
+def streak_chosen_in_training(spark, sf_dir):
+    rows = folds.fold_rows(model_rows(spark, sf_dir), "B")
+    return compare.select_then_validate(rows, F.least(F.col("loss_streak"), F.lit(4)).cast("long"), "reverse_profit_per_lot")
+
+
+@query((f"{STATE}", " UNION ALL ".join(f"SELECT '{x} & {y}' AS state, count(*) AS n, {r('mean = avg(gross_loss_per_lot)', 'se = stddev_samp(gross_loss_per_lot) / sqrt(count(*))')} FROM st WHERE {p} AND {q} HAVING count(*) >= 30" for x, p in (("streak>=1", "loss_streak >= 1"), ("streak>=2", "loss_streak >= 2")) for y, q in (("no stop", "NOT has_sl"), ("grid", "grid_flag"), ("escalated", "lot_ratio_vs_avg > 1.5"))).removeprefix("SELECT ")))
+def grid_of_states(spark, sf_dir):
+    first = [(f"streak>={n}", F.col("loss_streak") >= n) for n in (1, 2)]
+    return compare.grid_states(states(spark, sf_dir), first, [("no stop", ~F.col("has_sl")), ("grid", F.col("grid_flag")), ("escalated", F.col("lot_ratio_vs_avg") > 1.5)], "gross_loss_per_lot")
+
+
+@query()
+def random_in_step(spark, sf_dir):
+    """The largest address groups against random accounts of the same campaigns."""
+    return compare.random_in_step(with_traders(a.positions(spark, sf_dir), spark, sf_dir), "ip_cluster_id", draws=20)
+
+
+@query()
+def model_comparison(spark, sf_dir):
+    """Two feature sets over purged walk-forward folds and pooled."""
+    rows = folds.fold_rows(model_rows(spark, sf_dir), "A", FLAGGED)
+    return compare.compare_models(rows, {"size": ["amount", "trade_index"], "streaks": ["amount", "trade_index", "loss_streak", "pnl_ewm", "cum_pnl_usd"]}, "reverse_profit_per_lot")
+
+
+@query()
+def mean_contributions(spark, sf_dir):
+    return compare.mean_contributions(_fixed(spark, sf_dir), FIXED, "decision")
