@@ -480,7 +480,7 @@ CATEGORICAL = ("challenge_type", "shared_ip")
 
 
 def _artifact(spark, sf_dir, upto: int = 56):
-    rows = model_rows(spark, sf_dir)
+    rows = model_rows(spark, sf_dir).persist()  # read by every step of the fit; rebuilt from its plan where a part is lost
     return model.fit_all(rows.filter(F.col("campaign_id") <= upto), NUMERIC, CATEGORICAL), rows
 
 
