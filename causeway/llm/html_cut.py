@@ -38,6 +38,8 @@ BAD_WORDS = frozenset("""
     login share sharing social related recommended recommendations comment comments disqus reply replies respond responses discussion widget widgets toolbar pagination pager paging
     copyright legal disclaimer search form paywall teaser skip sitemap tags
     """.split())
+#: The same where names are written together.
+BAD_COMPOUNDS = re.compile(r"(cookie|advert|sponsor|newsletter|sidebar|breadcrumb|subscri|popup|footer)\w*|\w*(banner|navbar|sidebar|popup)|(top|side|sub|main|left|right|foot)(nav|menu)|ad(box|slot|unit|block|space|wrap|wrapper|container|zone)s?|comment(s?list|s?form|s?section|s?area)")
 GOOD_WORDS = frozenset("article content entry post story maintext articlebody".split())
 IGNORED_BEFORE = frozenset("has with no without is".split())
 
@@ -89,7 +91,7 @@ def _child(parent: Node, tag: str, attrs: str) -> Node:
             elif key in ("class", "id") and tag not in ("html", "body", "main"):
                 for name in value.split():
                     words = [w.lower() for w in _NAME.findall(name)]
-                    if any(w in BAD_WORDS and not (i and words[i - 1] in IGNORED_BEFORE) for i, w in enumerate(words)) and not (tag == "article" and GOOD_WORDS & set(words)):
+                    if any((w in BAD_WORDS or BAD_COMPOUNDS.fullmatch(w)) and not (i and words[i - 1] in IGNORED_BEFORE) for i, w in enumerate(words)) and not (tag == "article" and GOOD_WORDS & set(words)):
                         n.bad = True
                     elif "header" in words and not n.article:
                         n.header = True

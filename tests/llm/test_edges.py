@@ -242,3 +242,13 @@ def test_decontam_edges(spark, docs):
     assert decontam.leaks(df, items, most=1).count() == 1 and decontam.leaks(df, items.limit(0)).count() == 0
     kept = decontam.decontaminate(df, items)
     assert kept.count() == len(TEXTS) - 1 and kept.columns == df.columns
+
+
+def test_html_boilerplate_by_name_and_place():
+    page = """<!DOCTYPE html><html><head><title>T</title></head><body class="has-sidebar"><header><a href=/>Site</a><p>The best site of all sites in the world.</p></header><nav>Menu <a>a</a></nav>
+    <div class="cookiebar">We use cookies to improve your experience on this site. Please accept them.</div><div id="main"><div class="post"><h1>My Title</h1>
+    <p>First paragraph of the text, with <a href=x>a link</a> in it, and more words.</p><div class="share">Share this</div><p>Short.</p><ul><li>One item of the list</li><li>Another item</li></ul>
+    <div class="adbox">Buy now our great product for little money!</div><p>Last paragraph &amp; the end of the story, as it is told here.</p></div></div>
+    <aside class="x"><p>A long sidebar paragraph that tells about other things in many words.</p></aside><form><p>Subscribe to our newsletter</p><textarea>abc</textarea></form>
+    <ol class="commentlist"><li><article><p>I think this is a great article and I like it very much.</p></article></li></ol><footer>(c) 2020 Somebody. All rights reserved.</footer></body></html>"""
+    assert html_cut.main_text(page) == "My Title First paragraph of the text, with a link in it, and more words. Short. One item of the list Another item Last paragraph & the end of the story, as it is told here."
