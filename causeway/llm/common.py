@@ -10,7 +10,6 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Of every three documents, the one whose checksum leaves this remainder is held out of all learning.
 FOLDS, HELD_OUT = 3, 1
@@ -52,14 +51,6 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(True))
 
 
-def has_rows(df: DataFrame) -> bool:
-    return bool(df.take(1))
-
-
-def schema_of(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)  # noqa: SLF001
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a slice holds about most_chars bytes of the text column (one text at least): memory stays bounded for long texts."""
     for batch in batches:

@@ -140,7 +140,7 @@ def _nearest_tree(fps: np.ndarray, alts: np.ndarray, most_bits: int, most_alt: i
 
 
 def _run_links(keys: np.ndarray, fps: np.ndarray, alts: np.ndarray, most_bits: int, most_alt: int | None, masks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked pairs in rows sorted by key. With most_alt a pair's alts must be near too. masks: those of the first level, to give a pair of a short run under one of its variants only."""
+    """Positions of linked pairs in rows sorted by key. With most_alt a pair's alts must be near too. masks: those of the first level, to give a pair under one of its variants only."""
     new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     longs = np.diff(np.r_[new, len(keys)])
     size = np.repeat(longs, longs)
@@ -156,17 +156,23 @@ def _run_links(keys: np.ndarray, fps: np.ndarray, alts: np.ndarray, most_bits: i
         ok = np.bitwise_count(x) <= most_bits
         if most_alt is not None:
             ok &= np.bitwise_count(alts[i] ^ alts[i + off]) <= most_alt
-        i, x = i[ok], x[ok]
-        if masks is not None and len(i):
-            first = np.argmax((x[:, None] & masks[None, :]) == 0, axis=1)
-            i = i[first == (keys[i] & np.uint64(63)).astype(np.int64)]
+        i = i[ok]
         a.append(i)
         b.append(i + off)
     for at, n in zip(new[longs > SHORT_RUN], longs[longs > SHORT_RUN], strict=True):
         x, y = _forest(fps[at : at + n], most_bits) if most_alt is None else _nearest_tree(fps[at : at + n], alts[at : at + n], most_bits, most_alt)
         a.append(at + x)
         b.append(at + y)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
+    if not a:
+        return np.empty(0, int), np.empty(0, int)
+    i, j = np.concatenate(a), np.concatenate(b)
+    if masks is not None:
+        # A pair counts under the first variant that it shares. A forest's pair of a later variant is left to the run of
+        # the first one, where both are and whose forest joins them by pairs no farther apart; so nothing is cut off.
+        first = np.argmax(((fps[i] ^ fps[j])[:, None] & masks[None, :]) == 0, axis=1)
+        own = first == (keys[i] & np.uint64(63)).astype(np.int64)
+        i, j = i[own], j[own]
+    return i, j
 
 
 INDEXED = "key long, fp long, node long, alt long, fixed long"
