@@ -12,6 +12,7 @@ variants of its remaining bits, which keeps every link because the same argument
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -301,16 +302,147 @@ def near_components(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return prints.join(written(label, "labels"), "fp")
 
 
-#: Near-duplicates of the pipeline: shingle words and similarity; how far the fingerprints of shingles and of word pairs
-#: may differ, and the segments that each is indexed by (nothing is missed up to 7 bits of either). Word pairs move less
-#: under single changed words; single words would move least, but their fingerprints crowd and runs grow with the square.
-NEAR_WORDS, SIMILARITY, FAR_SHINGLES, FAR_PAIRS, NEAR_PARTS = 5, 0.8, 17, 12, 4
+#: Near-duplicates of the pipeline: words of a shingle, and similarity.
+NEAR_WORDS, SIMILARITY = 5, 0.8
+#: Shingles are counted in one of so many texts; those met in LEAST_COMMON of them come last in every text's order, the commonest MOST_COMMON at most.
+SAMPLED, LEAST_COMMON, MOST_COMMON = 16, 4, 1_000_000
+#: While runs hold more pairs than this for each text, those over LONG_RUN give each member's pairs with NEIGHBOURS others only, for ROUNDS rounds at most or until one joins little; then all pairs that are left are verified.
+PAIRS_A_TEXT, LONG_RUN, NEIGHBOURS, ROUNDS = 64, 64, 4, 3
+#: Pairs that one task compares at once.
+AT_ONCE = 4_000_000
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size)).astype("<u8")
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, ordered as all sets are: rare ones by their hash, then common ones. Two sets that reach the similarity share one of these; a set without shingles has 0."""
+    if not len(shingles):
+        return np.zeros(1, dtype="<u8")
+    often = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles if len(common) else np.zeros(len(shingles), dtype=bool)
+    n = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1
+    return np.concatenate([shingles[~often], shingles[often]])[:n]
+
+
+SKETCH = ["s0", "s1", "s2", "s3"]
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of how many shingles fall on each of 256 bits: two sets differ in at least as many shingles as their sketches differ in bits."""
+    return np.packbits((np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).tobytes()
+
+
+def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
+    """texts (digest, text) -> the sorted hashes of shingles that occur in many texts. They say only in which order shingles are indexed, so a sample does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
+            h, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    sample = texts.filter(F.pmod(F.xxhash64("digest"), F.lit(SAMPLED)) == 0).select("text")
+    counted = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COMMON)
+    found = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow()
+    return np.sort(found.column("h").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _prints(size: int, similarity: float, shared):
+    """(doc_id, digest, text) -> doc_id, digest, node (of the set), n (shingles in it), sketch, prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
+            node = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) for s in sets]
+            bits = np.frombuffer(b"".join(map(sketch, sets)), dtype="<i8").reshape(-1, len(SKETCH))
+            first = [prefix(s, shared.value, similarity).astype("<u8").tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(b) for b in np.ascontiguousarray(bits.T)), pa.array(first, pa.binary())], ["doc_id", "digest", "node", "n", *SKETCH, "prefix"])
+
+    return run
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "prefix"):
+        first = [np.frombuffer(p, dtype="<i8") for p in batch.column("prefix").to_pylist()]
+        row = pa.array(np.repeat(np.arange(len(first)), [len(p) for p in first]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), batch.column("node").take(row), batch.column("n").take(row)], ["key", "node", "n"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Batches sorted by their first column -> the same columns, cut where that column changes only."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        last = int(np.argmax(rows[0] == rows[0][-1]))
+        if last or (held and held[-1][0][-1] != rows[0][0]):
+            if held and held[-1][0][-1] != rows[0][0]:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            if last:
+                yield [np.concatenate(c) for c in zip(*held, [c[:last] for c in rows], strict=True)]
+                held = []
+        held.append([c[last:] for c in rows])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by key, without the keys that only one node has."""
+    for key, node, n in _runs(batches):
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        longs = np.diff(np.r_[new, len(key)])
+        more = np.repeat(longs > 1, longs)
+        yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (key, node, n)], ["key", "node", "n"])
+
+
+def _pairs(similarity: float, turn: int | None):
+    """Postings (key, node, n, group, sketch) sorted by key -> pairs u < v of a run that are of two groups and can be near by sizes and sketches: all, or in a turn not those of long runs beyond each member's neighbours in an order of that turn."""
+    apart = (1 - similarity) / (1 + similarity)  # of both sizes, what near sets differ in at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def said(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            ok = (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+            i, j = i[ok], j[ok]
+            differ = sum((np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits), np.zeros(len(i), dtype=np.int64))
+            ok = differ <= apart * (n[i] + n[j]) + 1e-9
+            u, v = node[i[ok]], node[j[ok]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+        for key, node, n, group, *bits in _runs(batches):
+            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            longs = np.diff(np.r_[new, len(key)])
+            size = np.repeat(longs, longs)
+            short = np.flatnonzero(size <= LONG_RUN)
+            for off in range(1, LONG_RUN):
+                i = short[short + off < len(key)]
+                i = i[key[i] == key[i + off]]
+                if not len(i):
+                    break
+                yield said(i, i + off)
+            for at, m in zip(new[longs > LONG_RUN].tolist(), longs[longs > LONG_RUN].tolist(), strict=True):
+                if (group[at : at + m] == group[at]).all():
+                    continue
+                if turn is not None:
+                    order = at + np.argsort(_mixed(node[at : at + m].view(np.uint64) ^ np.uint64(turn)))
+                    yield said(np.full(m - 1, order[0]), order[1:])
+                    for off in range(1, NEIGHBOURS + 1):
+                        yield said(order[:-off], order[off:])
+                    continue
+                step = max(1, AT_ONCE // m)
+                for a in range(0, m, step):
+                    i, j = np.nonzero(np.arange(a, min(a + step, m))[:, None] < np.arange(m)[None, :])
+                    yield said(at + a + i, at + j)
+
+    return run
 
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t, size).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
     return run
@@ -330,33 +462,59 @@ def _verified(similarity: float):
     return run
 
 
+def near_links(docs: DataFrame, texts: DataFrame, postings: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node, component) of texts: components of all pairs of sets that reach the similarity.
+
+    Only pairs of two groups are verified, groups being the components so far: within one, nothing can be added.
+    """
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    most = PAIRS_A_TEXT * texts.count()
+    postings = postings.join(texts.select("node", *SKETCH), "node")
+    links, groups, turn, before = None, None, 0, float("inf")
+    while True:
+        rows = postings.withColumn("group", F.col("node")) if groups is None else postings.join(groups.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+        each = rows.groupBy("key", "group").agg(F.count(F.lit(1)).cast("double").alias("g")).groupBy("key").agg(F.sum("g").alias("m"), F.sum(F.col("g") * F.col("g")).alias("own"))
+        left = each.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()[0] or 0.0
+        last = left <= most or turn >= ROUNDS or left > before / 2
+        found = rows.repartition("key").sortWithinPartitions("key").select("key", "node", "n", "group", *SKETCH).mapInArrow(_pairs(similarity, None if last else turn), "u long, v long")
+        pairs = written(found.filter("u <> v").distinct(), "pairs")
+        nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        wanted = texts.join(nodes, "node").select("node", F.col("least.digest").alias("digest"), F.col("least.doc_id").alias("doc_id"))
+        bodies = docs.select("doc_id", F.sha2(body, 256).alias("digest"), body.alias("text")).join(wanted, "digest").filter(docs["doc_id"].eqNullSafe(wanted["doc_id"]))
+        sets = written(bodies.select("node", "text").mapInArrow(_sets(size), "node long, set binary").dropDuplicates(["node"]), "sets")
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+        some = written(both.select("u", "v", "a", "b").mapInArrow(_verified(similarity), "u long, v long"), "near")
+        links = some if links is None else links.unionByName(some)
+        groups, turn, before = components(links), turn + 1, left
+        if last:
+            return groups
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs (doc_id, text, ...) with one row of each group of near-duplicates, that with the smallest doc_id; all columns stay.
 
     Two texts are linked if the Jaccard similarity of their sets of `size`-word shingles (lower-cased A-Z) reaches
-    `similarity`; groups are connected components; equal texts are of one group, empty and null ones too, repeated rows
-    count as copies. Candidates have near fingerprints of word pairs and of shingles, either found by its
-    deletion variants; each is verified on the whole sets. A null doc_id is kept only where its group has no other.
+    `similarity`; groups are connected components; texts of equal sets are of one group, empty and null ones too,
+    repeated rows count as copies. Nothing is missed: such sets share one of their first shingles in any common order,
+    so those are indexed, and every pair that they bring together is verified on the whole sets unless both are of one
+    group already or sizes and sketches prove them apart. Texts of one set cost one entry. A null doc_id is kept only where its group has no other.
     """
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    own = docs.select("doc_id", F.sha2(body, 256).alias("digest"), F.col("text"))
-    prints = written(fingerprints(own, sizes=(size, 2)), "prints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
-    texts = written(prints.groupBy("digest").agg(F.min(order)["doc_id"].alias("least"), F.count(F.lit(1)).alias("n"), F.first(f"fp{size}").alias("alt"), F.first("fp2").alias("fp")).withColumn("node", F.xxhash64("digest")), "texts")
-    found = links(texts, FAR_PAIRS, NEAR_PARTS, FAR_SHINGLES).unionByName(links(texts.select("node", F.col("alt").alias("fp"), F.col("fp").alias("alt")), FAR_SHINGLES, NEAR_PARTS, FAR_PAIRS))
-    pairs = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = written(pairs, "pairs")
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = texts.join(nodes, "node").select("node", "digest", F.col("least").alias("doc_id"))
-    bodies = docs.select("doc_id", F.sha2(body, 256).alias("digest"), body.alias("text")).join(wanted, "digest").filter(docs["doc_id"].eqNullSafe(wanted["doc_id"]))
-    sets = written(bodies.select("node", "text").mapInArrow(_sets(size), "node long, set binary").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    linked = components(both.select("u", "v", "a", "b").mapInArrow(_verified(similarity), "u long, v long"))
-    named = texts.join(linked, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    first = named.groupBy("group").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), "digest")).alias("first"))
+    own = docs.select("doc_id", F.sha2(body, 256).alias("digest"), body.alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(own, size))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = written(own.mapInArrow(_prints(size, similarity, shared), f"doc_id {kind}, digest string, node long, n long, {', '.join(f'{c} long' for c in SKETCH)}, prefix binary"), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest"))
+    full = written(prints.groupBy("node").agg(F.min(order).alias("least"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH], F.first("prefix").alias("prefix")), "texts")
+    texts = full.select("node", "least", *SKETCH)
+    found = full.select("node", "n", "prefix").mapInArrow(_postings, "key long, node long, n long")
+    postings = written(found.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "key long, node long, n long"), "postings")
+    linked = near_links(docs, texts, postings, size, similarity)
+    named = texts.select("node", "least").join(linked, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    first = named.groupBy("group").agg(F.min("least").alias("first"))
     # rows that go: those that aren't the first of their group
-    kept = named.join(first, "group").select("digest", "n", F.col("first.doc_id").alias("first_id"), (F.col("first.digest") == F.col("digest")).alias("own"))
-    labels = written(prints.select("doc_id", "digest").join(kept, "digest").select("doc_id", "digest", (F.col("own") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("stays")), "stays")
+    kept = named.join(first, "group").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest"))
+    labels = written(prints.select("doc_id", "digest", "node").join(kept, "node").select("doc_id", "digest", ((F.col("digest") == F.col("first_digest")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("stays")), "stays")
     gone = labels.filter("NOT stays").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
     marked = docs.withColumn("_own", F.sha2(body, 256))
     out = marked.join(gone, marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_own"] == gone["_digest"]), "left_anti")

@@ -252,3 +252,48 @@ def test_html_boilerplate_by_name_and_place():
     <aside class="x"><p>A long sidebar paragraph that tells about other things in many words.</p></aside><form><p>Subscribe to our newsletter</p><textarea>abc</textarea></form>
     <ol class="commentlist"><li><article><p>I think this is a great article and I like it very much.</p></article></li></ol><footer>(c) 2020 Somebody. All rights reserved.</footer></body></html>"""
     assert html_cut.main_text(page) == "My Title First paragraph of the text, with a link in it, and more words. Short. One item of the list Another item Last paragraph & the end of the story, as it is told here."
+
+
+def _near_groups(texts, similarity=0.8):
+    """The smallest position of each text's group, by comparing all pairs."""
+    sets = [set(simhash.shingle_hashes(t.encode(), simhash.NEAR_WORDS).tolist()) for t in texts]
+    group = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if group[i] != group[j] and len(x & sets[j]) >= similarity * len(x | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return group
+
+
+def _kept(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
+
+
+@pytest.mark.parametrize(("pairs", "long"), [(64, 64), (0, 8)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, pairs, long):
+    """Short and long texts with words changed anywhere; a crowd of hundreds around one text, whose members differ from each other; repeated lines; texts that differ in case only."""
+    monkeypatch.setattr(simhash, "PAIRS_A_TEXT", pairs)
+    monkeypatch.setattr(simhash, "LONG_RUN", long)
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(10**9)}"
+    texts = []
+    for n in (13, 24, 60, 400):
+        for _ in range(40):
+            x = [word() for _ in range(n)]
+            y = list(x)
+            for at in rng.integers(0, n, rng.integers(1, 2 + n // 100)):
+                y[-1 if rng.random() < 0.5 else at] = word()
+            texts += [" ".join(x), " ".join(y)]
+    base = [word() for _ in range(120)]
+    for _ in range(300):
+        x = list(base)
+        for at in rng.choice(120, rng.integers(1, 6), replace=False):
+            x[at] = word()
+        texts.append(" ".join(x))
+    body = " ".join(word() for _ in range(400))
+    texts += [body + (" " + " ".join(word() for _ in range(8))) * 20 for _ in range(2)]
+    texts += ["One two three four five six", "one two  three four five SIX", "one TWO three four five six"]
+    want = {i for i, g in enumerate(_near_groups(texts)) if i == g}
+    assert _kept(spark, texts) == want
