@@ -297,3 +297,12 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, pairs, long):
     texts += ["One two three four five six", "one two  three four five SIX", "one TWO three four five six"]
     want = {i for i, g in enumerate(_near_groups(texts)) if i == g}
     assert _kept(spark, texts) == want
+
+
+def test_repeated_lines_do_not_part_near_duplicates():
+    rng = np.random.default_rng(4)
+    body = " ".join(f"w{x}" for x in rng.integers(10**9, size=400))
+    a, b = (simhash.shingle_set((body + (" " + " ".join(f"w{x}" for x in rng.integers(10**9, size=8))) * 20).encode(), 5) for _ in range(2))
+    assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    none = np.empty(0, dtype=np.uint64)
+    assert np.intersect1d(simhash.prefix(a, none, 0.8), simhash.prefix(b, none, 0.8)).size
