@@ -306,3 +306,21 @@ def test_repeated_lines_do_not_part_near_duplicates():
     assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
     none = np.empty(0, dtype=np.uint64)
     assert np.intersect1d(simhash.prefix(a, none, 0.8), simhash.prefix(b, none, 0.8)).size
+
+
+@pytest.mark.parametrize("n", [13, 24, 400])
+def test_no_pair_at_the_similarity_is_missed(n):
+    rng = np.random.default_rng(n)
+    none, met = np.empty(0, dtype=np.uint64), 0
+    for _ in range(500):
+        x = [f"w{i}" for i in rng.integers(10**9, size=n)]
+        y = list(x)
+        for at in rng.integers(0, n, 1 + n // 60):
+            y[-1 if n < 30 else at] = "other"
+        a, b = (simhash.shingle_set(" ".join(w).encode(), 5) for w in (x, y))
+        if (both := len(np.intersect1d(a, b))) >= 0.8 * (len(a) + len(b) - both):
+            met += 1
+            assert np.intersect1d(simhash.prefix(a, a[::3], 0.8), simhash.prefix(b, a[::3], 0.8)).size
+            bits = [int.from_bytes(simhash.sketch(s), "big") for s in (a, b)]
+            assert (bits[0] ^ bits[1]).bit_count() <= len(np.setxor1d(a, b)) <= (len(a) + len(b)) / 9 + 1e-9
+    assert met > 100
