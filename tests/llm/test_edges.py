@@ -324,3 +324,8 @@ def test_no_pair_at_the_similarity_is_missed(n):
             bits = [int.from_bytes(simhash.sketch(s), "big") for s in (a, b)]
             assert (bits[0] ^ bits[1]).bit_count() <= len(np.setxor1d(a, b)) <= (len(a) + len(b)) / 9 + 1e-9
     assert met > 100
+
+
+def test_many_texts_of_one_set(spark):
+    texts = [f"a{' ' * (i + 1)}b c d e f g" for i in range(3000)]
+    assert _kept(spark, texts) == {0}
