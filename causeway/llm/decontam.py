@@ -12,6 +12,7 @@ threshold. What is left goes through block-max WAND.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -28,8 +29,10 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.6, 0.6
 #: Share of the threshold that an item's terms beyond the essential ones may carry.
 OPEN = 0.35
-#: Words of an indexed entry at most (longer items are indexed in pieces), postings of a block, entries of one broadcast index.
-ENTRY_WORDS, BLOCK, INDEX_ENTRIES = 256, 64, 20_000
+#: Share of a long item's pieces that a text must hold, beside its answer.
+PIECES = 0.6
+#: Words of an indexed entry at most, of the pieces of longer items, postings of a block, entries of one broadcast index.
+ENTRY_WORDS, PIECE_WORDS, BLOCK, INDEX_ENTRIES = 256, 128, 64, 20_000
 #: Words of a passage at least; it is twice the longest entry, and passages overlap by half, so an entry always lies within one.
 PASSAGE_WORDS = 64
 
@@ -54,14 +57,14 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return [w for p in parts[:-1] for w in p], parts[-1]
 
 
-def entries_of(text: str) -> list[tuple[list[bytes], list[bytes]]]:
-    """(question, answer) entries of an item: itself, or pieces of it if it is long, the answer with the last."""
+def entries_of(text: str) -> list[tuple[list[bytes], list[bytes], list[bytes], bytes]]:
+    """(question, answer, apart, of) entries of an item: itself, or if it is long the overlapping pieces of its question, all but a short question's of PIECE_WORDS; apart is then the answer, to be found anywhere in the text, and of a digest of the item (else empty)."""
     question, answer = question_and_answer(text)
     if len(question) + len(answer) <= ENTRY_WORDS:
-        return [(question, answer)] if question else []
-    half = ENTRY_WORDS // 2
-    pieces = [(question[i : i + half], []) for i in range(0, len(question), half)] + [(answer[i : i + half], []) for i in range(0, len(answer), half)]
-    return [p for p in pieces if p[0]]
+        return [(question, answer, [], b"")] if question else []
+    last = max(0, len(question) - PIECE_WORDS)
+    of = hashlib.blake2b(b" ".join(question) + b"\n" + b" ".join(answer), digest_size=16).digest()
+    return [(question[i : i + PIECE_WORDS], [], answer, of) for i in sorted({*range(0, last, PIECE_WORDS // 2), last})]
 
 
 def trigrams(words: list[bytes]) -> set[tuple[bytes, ...]]:
@@ -69,17 +72,23 @@ def trigrams(words: list[bytes]) -> set[tuple[bytes, ...]]:
 
 
 class Index:
-    """entries: (item_id, question, answer). df, n, mean_words: statistics over all entries of all indexes."""
+    """entries: (item_id, question, answer) or (item_id, *one of entries_of). df, n, mean_words: statistics over all entries of all indexes."""
 
-    def __init__(self, entries: list[tuple[int, list[bytes], list[bytes]]], df: dict[bytes, int], n: int, mean_words: float, threshold: float = THRESHOLD):
+    def __init__(self, entries: list[tuple], df: dict[bytes, int], n: int, mean_words: float, threshold: float = THRESHOLD):
         self.threshold = threshold
         self.ids = [e[0] for e in entries]
-        self.parts = [(trigrams(q), trigrams(a)) for _, q, a in entries]
-        self.longest = max((len(q) + len(a) for _, q, a in entries), default=0)
+        self.parts = [(trigrams(e[1]), trigrams(e[2])) for e in entries]
+        #: Of pieces, by entry: the long item; by long item: its pieces' trigrams, its answer's.
+        self.whole = {i: (e[0], e[4]) for i, e in enumerate(entries) if len(e) > 4 and e[4]}
+        self.pieces: dict[tuple[int, bytes], set[frozenset]] = defaultdict(set)
+        for i, o in self.whole.items():
+            self.pieces[o].add(frozenset(self.parts[i][0]))
+        self.apart = {self.whole[i]: trigrams(entries[i][3]) for i in self.whole}
+        self.longest = max((len(e[1]) + len(e[2]) for e in entries), default=0)
         lists: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         essential: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         self.open = np.zeros(len(entries))
-        for i, (_, q, a) in enumerate(entries):
+        for i, (_, q, a, *_) in enumerate(entries):
             tf = Counter(q + a)
             norm = K1 * (1 - B + B * (len(q) + len(a)) / mean_words)
             w = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in tf.items()}
@@ -182,18 +191,38 @@ class Index:
         key, where = np.unique(passage * len(self.ids) + item, return_inverse=True)
         could = np.bincount(where, weights=weight) + self.open[key % len(self.ids)] >= self.threshold - 1e-9
         best: dict[int, tuple[int, int, float, float, float]] = {}
+        pieces: dict[tuple[int, bytes], dict[frozenset, tuple[float, int]]] = defaultdict(dict)
         for p in np.unique(key[could] // len(self.ids)).tolist():
             own = slice(p * stride, (p + 2) * stride)
             grams = None
             for e, score in self.retrieve({self.terms[w] for w in words[own] if w in self.terms}):
-                grams = grams or trigrams(words[own]) | {(w,) for w in words[own]} | {(a, b) for a, b in zip(words[own], words[own][1:], strict=False)}
+                grams = grams or self._grams(words[own])
                 question, answer = self.parts[e]
                 a, b = len(question & grams) / len(question), len(answer & grams) / len(answer) if answer else 1.0
-                if a >= OVERLAP and b >= OVERLAP:
+                if a >= OVERLAP and e in self.whole:
+                    got, piece = pieces[self.whole[e]], frozenset(question)
+                    got[piece] = max(got.get(piece, (score, -own.start)), (score, -own.start))
+                elif a >= OVERLAP and b >= OVERLAP:
                     row = (self.ids[e], own.start, score, a, b)
                     best[row[0]] = max(best.get(row[0], row), row, key=lambda r: (r[2], -r[1]))
+        grams = None
+        for of, got in pieces.items():
+            held, answer = len(got) / len(self.pieces[of]), self.apart[of]
+            if held < PIECES:
+                continue
+            grams = grams or self._grams(words)
+            b = len(answer & grams) / len(answer) if answer else 1.0
+            if b >= OVERLAP:
+                score, start = max(got.values())
+                row = (of[0], -start, score, held, b)
+                best[of[0]] = max(best.get(of[0], row), row, key=lambda r: (r[2], -r[1]))
         return list(best.values())
 
+    @staticmethod
+    def _grams(words: list[bytes]) -> set[tuple[bytes, ...]]:
+        """All that a trigram of a question or answer may be: three words in a row, or fewer where it has no more."""
+        return trigrams(words) | {(w,) for w in words} | set(zip(words, words[1:], strict=False))
+
 
 def indexes(items: DataFrame, threshold: float = THRESHOLD, most: int = INDEX_ENTRIES) -> list[Index]:
     """items (item_id, text) -> indexes of about `most` entries at most, with statistics over all items.
@@ -203,21 +232,21 @@ def indexes(items: DataFrame, threshold: float = THRESHOLD, most: int = INDEX_EN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            rows = [(i, q, a) for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for q, a in entries_of(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.binary())), pa.array([r[2] for r in rows], pa.list_(pa.binary()))], ["item_id", "question", "answer"])
+            rows = [(i, *e) for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for e in entries_of(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.binary())), *(pa.array([r[c] for r in rows], pa.list_(pa.binary())) for c in (2, 3)), pa.array([r[4] for r in rows], pa.binary())], ["item_id", "question", "answer", "apart", "of"])
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    entries = written(rows.mapInArrow(run, "item_id long, question array<binary>, answer array<binary>"), "entries")
+    entries = written(rows.mapInArrow(run, "item_id long, question array<binary>, answer array<binary>, apart array<binary>, of binary"), "entries")
     stats = entries.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("question") + F.size("answer")).alias("mean")).first()
     if not stats["n"]:
         return []
     parts = -(-stats["n"] // most)
-    part = F.pmod(F.xxhash64("item_id", "question"), F.lit(parts))
+    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))  # all pieces of an item in one
     terms = entries.select(part.alias("part"), F.explode(F.array_distinct(F.concat("question", "answer"))).alias("term"))
     df = written(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     out = []
     for p in range(parts):
-        own = [(r["item_id"], [bytes(w) for w in r["question"]], [bytes(w) for w in r["answer"]]) for r in entries.filter(part == p).orderBy("item_id").collect()]
+        own = [(r["item_id"], [bytes(w) for w in r["question"]], [bytes(w) for w in r["answer"]], [bytes(w) for w in r["apart"]], bytes(r["of"])) for r in entries.filter(part == p).orderBy("item_id").collect()]
         counts = df if parts == 1 else df.join(terms.filter(F.col("part") == p).select("term").distinct(), "term", "left_semi")
         out.append(Index(own, {bytes(r["term"]): r["df"] for r in counts.collect()}, stats["n"], stats["mean"], threshold))
     return out

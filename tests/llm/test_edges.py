@@ -329,3 +329,15 @@ def test_no_pair_at_the_similarity_is_missed(n):
 def test_many_texts_of_one_set(spark):
     texts = [f"a{' ' * (i + 1)}b c d e f g" for i in range(3000)]
     assert _kept(spark, texts) == {0}
+
+
+def test_decontam_long_items(spark):
+    passage = " ".join(f"p{i}" for i in range(260))
+    items = spark.createDataFrame([(1, passage + "\nthe river"), (2, " ".join(f"q{i}" for i in range(257)))], "item_id long, text string")
+    half = " ".join(f"p{i}" for i in range(100))
+    texts = ["we walked along the river", "q256 and q255 q256", f"x {passage} y the river z", f"{passage} without it", f"{half} the river", "x " + " ".join(f"q{i}" for i in range(257))]
+    got = decontam.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items)
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(2, 1), (5, 2)]
+    for n in (257, 300, 700):
+        cut = decontam.entries_of(" ".join(f"p{i}" for i in range(n)) + "\nthe river")
+        assert {w for e in cut for w in e[0]} == {b"p%d" % i for i in range(n)} and {len(e[0]) for e in cut} == {decontam.PIECE_WORDS} and all(e[2] == b"the river".split() for e in cut)
