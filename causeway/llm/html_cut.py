@@ -24,13 +24,18 @@ from .common import slices, table
 # Element names of HTML by what they do to text.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template svg math object select button canvas audio video datalist".split())
+#: Elements without text of the page: those whose contents are no markup, and those that hold elements.
+RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
+SKIPPED = frozenset("noscript template svg select button canvas audio video datalist".split())
+CONTROLS = frozenset("input select textarea button".split())
 #: What a start tag closes, if it is open above it, up to the nearest of the second.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}), "option": ({"option"}, {"select"}),
 }
 BAD_TAGS = frozenset("nav footer aside form menu dialog search fieldset".split())
+#: A form is the page itself, not boilerplate, from this share of the page's text and so many characters a control.
+FORM_SHARE, FORM_CHARS = 0.5, 60
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 BAD_WORDS = frozenset("""
     ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner nav navbar navigation menu menus breadcrumb
@@ -61,6 +66,8 @@ class Node:
     article: bool = False
     good: float = 0.0
     header: bool = False
+    skip: bool = False
+    form: int = -1
 
 
 @dataclass(slots=True)
@@ -77,9 +84,10 @@ class _Open:
     link_chars: int = 0
 
 
-def _child(parent: Node, tag: str, attrs: str) -> Node:
-    n = Node(tag, parent, parent.bad, parent.article, parent.good, parent.header)
-    n.bad |= tag in BAD_TAGS
+def _child(parent: Node, tag: str, attrs: str, plain: bool = False) -> Node:
+    """plain: a form that is the page itself; neither its tag nor its name counts."""
+    n = Node(tag, parent, parent.bad, parent.article, parent.good, parent.header, parent.skip or tag in SKIPPED or tag in RAW, parent.form)
+    n.bad |= tag in BAD_TAGS and not plain
     n.article |= tag in ("article", "main") and not n.bad
     n.header |= tag == "header" and not n.article
     if attrs and "=" in attrs:
@@ -88,7 +96,7 @@ def _child(parent: Node, tag: str, attrs: str) -> Node:
             if key == "role":
                 n.bad |= value.lower() in BAD_ROLES
                 n.article |= value.lower() in ("main", "article") and not n.bad
-            elif key in ("class", "id") and tag not in ("html", "body", "main"):
+            elif key in ("class", "id") and tag not in ("html", "body", "main") and not plain:
                 for name in value.split():
                     words = [w.lower() for w in _NAME.findall(name)]
                     if any((w in BAD_WORDS or BAD_COMPOUNDS.fullmatch(w)) and not (i and words[i - 1] in IGNORED_BEFORE) for i, w in enumerate(words)) and not (tag == "article" and GOOD_WORDS & set(words)):
@@ -106,6 +114,24 @@ def _child(parent: Node, tag: str, attrs: str) -> Node:
 
 def blocks_of(html: str) -> list[Block]:
     """The page's text blocks in order. Scripts, styles, form controls, comments and the head are no text."""
+    out, controls = _blocks(html, frozenset())
+    chars = [0] * len(controls)
+    for b in out:
+        n = b.node
+        while n is not None and n.form >= 0:  # nested forms count for the outer ones too
+            chars[n.form] += len(b.text)
+            inner = n.form
+            while n is not None and n.form == inner:
+                n = n.parent
+    total = sum(len(b.text) for b in out)
+    plain = frozenset(i for i, n in enumerate(controls) if chars[i] and chars[i] >= FORM_SHARE * total and chars[i] >= FORM_CHARS * n)
+    return _blocks(html, plain)[0] if plain else out
+
+
+def _blocks(html: str, plain: frozenset[int]) -> tuple[list[Block], list[int]]:
+    """Blocks, and the controls of each form; plain: the forms that are taken as any other part of the page."""
+    controls: list[int] = []
+    endless: set[str] = set()  # raw elements that are not closed any more
     root = Node("", None)
     stack, out, now = [root], [], _Open()
     links, at = 0, 0
@@ -119,7 +145,7 @@ def blocks_of(html: str) -> list[Block]:
             now = _Open()
 
     def say(text: str) -> None:
-        if text and not any(n.tag == "head" for n in stack[:4]):
+        if text and not stack[-1].skip and not any(n.tag == "head" for n in stack[:4]):
             now.pieces.append(text)
             if links:
                 now.link_chars += len(text.strip())
@@ -134,9 +160,19 @@ def blocks_of(html: str) -> list[Block]:
             continue
         tag = tag.lower()
         if not m[1]:
-            if tag in RAW:
+            closed = m[3].endswith("/")
+            if tag in CONTROLS and stack[-1].form >= 0 and not (tag == "input" and re.search(r"type\s*=\s*[\"']?hidden", m[3], re.I)):
+                controls[stack[-1].form] += 1
+            if tag in RAW and tag not in endless:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                if end:
+                    at = end.end()
+                    continue
+                endless.add(tag)
+            if stack[-1].skip or tag in SKIPPED or tag in RAW:
+                # ends with its end tag, or else where its parent does
+                if tag not in VOID and not closed:
+                    stack.append(_child(stack[-1], tag, ""))
                 continue
             if tag == "br":
                 say(" ")
@@ -155,8 +191,11 @@ def blocks_of(html: str) -> list[Block]:
                         break
             if tag == "body":
                 stack = [n for n in stack if n.tag != "head"]
-            if tag not in VOID and not m[3].endswith("/") or tag in BLOCKS - VOID:
-                stack.append(_child(stack[-1], tag, m[3]))
+            if tag not in VOID and not closed or tag in BLOCKS - VOID:
+                stack.append(_child(stack[-1], tag, m[3], tag == "form" and len(controls) in plain))
+                if tag == "form":
+                    stack[-1].form = len(controls)
+                    controls.append(0)
                 links += tag == "a"
         else:
             if tag in BLOCKS:
@@ -165,7 +204,7 @@ def blocks_of(html: str) -> list[Block]:
         links = sum(n.tag == "a" for n in stack) if tag == "a" or tag in BLOCKS else links
     say(html[at:])
     flush()
-    return out
+    return out, controls
 
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -176,7 +215,7 @@ def _close(stack: list[Node], tag: str) -> None:
         if stack[k].tag == tag:
             del stack[k:]
             return
-        if tag not in BLOCKS and stack[k].tag in BLOCKS:
+        if tag not in BLOCKS and stack[k].tag in BLOCKS and not stack[k].skip:
             return  # an inline end tag closes nothing beyond its block
 
 

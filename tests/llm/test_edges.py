@@ -341,3 +341,15 @@ def test_decontam_long_items(spark):
     for n in (257, 300, 700):
         cut = decontam.entries_of(" ".join(f"p{i}" for i in range(n)) + "\nthe river")
         assert {w for e in cut for w in e[0]} == {b"p%d" % i for i in range(n)} and {len(e[0]) for e in cut} == {decontam.PIECE_WORDS} and all(e[2] == b"the river".split() for e in cut)
+
+
+def test_html_drops_no_article():
+    story = "First sentence of the story, as it is told here. Second sentence of it, with some more words."
+    article = f"<article><p>{story}</p></article>"
+    for before in ('<svg class="i"/>', "<svg><path d='x'></svg>", "<div><button>Go</div>", "<div><select><option>a<option>b</div>", "<div><canvas></div>", "<button/>", "<div><textarea>abc</div>", "<template><div>x</template>", "<button><p>Go</p></button>"):
+        assert html_cut.main_text(f"<body>{before}{article}</body>") == story, before
+    assert html_cut.main_text(f"<body><article><p>{story} <math><mi>x</mi></math> <object data=x>as told</object></p></article></body>") == f"{story} x as told"
+    asp = f'<body><form id="aspnetForm"><input type="hidden" name="s"><input name="q"><nav>Menu</nav>%s</form></body>'
+    assert html_cut.main_text(asp % article) == html_cut.main_text(asp % f"<div><p>{story}</p></div>") == story
+    assert html_cut.main_text(f'<body>{article}<form><p>Give us your name and address, please.</p><input name="a"></form></body>') == story
+    assert html_cut.main_text('<body><form><p>User name</p><input name="a"><p>Password</p><input name="b"><p>Please log in.</p></form></body>') == ""
