@@ -614,7 +614,7 @@ def grid_of_states(spark, sf_dir):
 @query()
 def random_in_step(spark, sf_dir):
     """The largest address groups against random accounts of the same campaigns."""
-    return compare.random_in_step(with_traders(a.positions(spark, sf_dir), spark, sf_dir), "ip_cluster_id", draws=20)
+    return compare.random_in_step(with_traders(a.positions(spark, sf_dir), spark, sf_dir), "ip_cluster_id")
 
 
 @query()
