@@ -1,12 +1,16 @@
-"""Cluster bootstrap. Spark reduces rows to (sum, n) per cluster and condition; the driver draws multiplicities of clusters.
+"""Cluster bootstrap. Spark reduces rows to (sum, n) per cluster and condition; clusters are drawn with multiplicities.
 
-What is collected is a row per cluster and condition, which is checked against a bound: beyond it clusters would have to
-be drawn in Spark (Poisson multiplicities), and the caller is told so.
+Up to MOST_CELLS rows of clusters and conditions the driver draws them. Beyond, each cluster has a Poisson(1)
+multiplicity in every draw, made from a hash of its key, and only sums per condition and draw leave Spark.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import factorial
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +18,21 @@ from ..config import DEFAULT, Settings
 from ..functions.exprs import sure
 from .conditions import matched
 
-MOST_CELLS = 5_000_000
+MOST_CELLS = 200_000
+#: Clusters that a task draws for at once.
+AT_ONCE = 512
+#: The Poisson(1) distribution function, to the precision of a draw of 53 bits.
+STEPS = np.cumsum([1 / np.e / factorial(i) for i in range(18)])
 
 
-def _cells(rows: DataFrame) -> list:
+def _cells(rows: DataFrame) -> list | None:
+    """None if there are too many."""
     got = rows.limit(MOST_CELLS + 1).collect()
-    if len(got) > MOST_CELLS:
-        raise ValueError(f"over {MOST_CELLS} clusters times conditions; use poisson_bootstrap")
-    return got
+    return got if len(got) <= MOST_CELLS else None
+
+
+def _summary(means: np.ndarray, draws: int) -> tuple[float, float, float]:
+    return float(np.percentile(means, 2.5)), float(np.percentile(means, 97.5)), float(max(2 * (means <= 0).mean(), 1 / draws))
 
 
 def _interval(top: np.ndarray, bottom: np.ndarray, settings: Settings) -> tuple[float, float, float]:
@@ -33,17 +44,65 @@ def _interval(top: np.ndarray, bottom: np.ndarray, settings: Settings) -> tuple[
         n = m @ bottom
         if n:
             means.append(m @ top / n)
-    means = np.array(means)
-    return float(np.percentile(means, 2.5)), float(np.percentile(means, 97.5)), float(max(2 * (means <= 0).mean(), 1 / settings.draws))
+    return _summary(np.array(means), settings.draws)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def poisson_sums(cells: DataFrame, draws: int, seed: int) -> DataFrame:
+    """cells (condition, k, s, n) -> condition, d, top, bottom: sums of s and n in each draw. A cluster k has one multiplicity a draw in all conditions; sums are made in the tasks."""
+    each = _mixed(np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            h, s, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "s", "n"))
+            names = batch.column("condition").to_pylist()
+            for at in range(0, len(h), AT_ONCE):
+                u = (_mixed(h[at : at + AT_ONCE].view(np.uint64)[:, None] ^ each[None, :]) >> np.uint64(11)) / float(1 << 53)
+                m = np.searchsorted(STEPS, u.ravel()).reshape(u.shape).astype(np.float64)
+                own = np.array(names[at : at + AT_ONCE], dtype=object)
+                for name in set(own.tolist()):
+                    x = own == name
+                    part = np.stack([s[at : at + AT_ONCE][x], n[at : at + AT_ONCE][x]]) @ m[x]
+                    sums[name] = sums[name] + part if name in sums else part
+        for name, (top, bottom) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * draws, pa.string()), pa.array(np.arange(draws)), pa.array(top), pa.array(bottom)], ["condition", "d", "top", "bottom"])
+
+    rows = cells.select("condition", F.xxhash64("k", F.lit(seed)).alias("h"), F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n"))
+    return rows.mapInArrow(run, "condition string, d long, top double, bottom double").groupBy("condition", "d").agg(F.sum("top").alias("top"), F.sum("bottom").alias("bottom"))
+
+
+def _poisson(cells: DataFrame, settings: Settings) -> dict[str, tuple[float, float, float]]:
+    """lo, hi and p by condition."""
+    means: dict[str, list[float]] = {}
+    for r in poisson_sums(cells, settings.draws, settings.seed).filter("bottom > 0").collect():
+        means.setdefault(r["condition"], []).append(r["top"] / r["bottom"])
+    return {name: _summary(np.array(v), settings.draws) for name, v in means.items()}
 
 
 def bootstrap_conditions(df: DataFrame, cluster: Column, named: dict[str, Column], value: str = "gross_loss_per_lot", settings: Settings = DEFAULT) -> DataFrame:
     """condition, n, mean, lo, hi, p, clears_hurdle_95. All clusters are drawn, in order of their keys, also those without rows of the condition; null clusters and values take no part."""
     base = df.withColumn("cluster_", cluster).filter(F.col("cluster_").isNotNull())
-    keys = sorted(r["cluster_"] for r in _cells(base.select("cluster_").distinct()))
-    at = {k: i for i, k in enumerate(keys)}
-    cells = _cells(matched(base.filter(F.col(value).isNotNull()), named).groupBy("condition", "cluster_").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n")))
+    schema = "condition string, n long, mean double, lo double, hi double, p double, clears_hurdle_95 boolean"
+    found = _cells(base.select("cluster_").distinct())
+    rows = matched(base.filter(F.col(value).isNotNull()), named).groupBy("condition", "cluster_").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
+    cells = None if found is None else _cells(rows)
     out = []
+    if cells is None:
+        drawn = _poisson(rows.withColumnRenamed("cluster_", "k"), settings)
+        totals = {r["condition"]: r for r in rows.groupBy("condition").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
+        for name in named:
+            if name in totals:
+                lo, hi, p = drawn[name]
+                out.append((name, int(totals[name]["n"]), float(totals[name]["s"] / totals[name]["n"]), lo, hi, p, lo > settings.hurdle))
+        return df.sparkSession.createDataFrame(out, schema)
+    keys = sorted(r["cluster_"] for r in found)
+    at = {k: i for i, k in enumerate(keys)}
     for name in named:
         top, bottom = np.zeros(len(keys)), np.zeros(len(keys))
         for r in cells:
@@ -52,7 +111,7 @@ def bootstrap_conditions(df: DataFrame, cluster: Column, named: dict[str, Column
         if bottom.sum():
             lo, hi, p = _interval(top, bottom, settings)
             out.append((name, int(bottom.sum()), float(top.sum() / bottom.sum()), lo, hi, p, lo > settings.hurdle))
-    return df.sparkSession.createDataFrame(out, "condition string, n long, mean double, lo double, hi double, p double, clears_hurdle_95 boolean")
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def selected_interval(df: DataFrame, selected: Column, cluster: Column, value: str, weight: str | None = None, all_clusters: bool = False, order: str = "position_id", settings: Settings = DEFAULT) -> tuple[float, float]:
@@ -64,19 +123,20 @@ def selected_interval(df: DataFrame, selected: Column, cluster: Column, value: s
     w = F.col(weight) if weight else F.lit(1.0)
     on = sure(selected)
     rows = df.groupBy(cluster.alias("k")).agg(F.min(order).alias("o"), F.coalesce(F.sum(F.when(on, F.col(value) * w)), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.when(on, w)), F.lit(0.0)).alias("n"), F.count_if(on).alias("c"))
-    cells = sorted(_cells(rows if all_clusters else rows.filter("c > 0")), key=lambda r: r["o"])
+    rows = rows if all_clusters else rows.filter("c > 0")
+    cells = _cells(rows)
+    if cells is None:
+        # clusters without selected rows add nothing to a sum, whatever their multiplicity
+        return _poisson(rows.filter("c > 0").withColumn("condition", F.lit("")), settings).get("", (0.0, 0.0, 1.0))[:2]
+    cells = sorted(cells, key=lambda r: r["o"])
     if not any(r["c"] for r in cells):
         return 0.0, 0.0
     lo, hi, _ = _interval(np.array([r["s"] for r in cells]), np.array([r["n"] for r in cells]), settings)
     return lo, hi
 
 
-def poisson_bootstrap(df: DataFrame, cluster: Column, value: str, draws: int = 200, seed: int = 7) -> DataFrame:
+def poisson_bootstrap(df: DataFrame, cluster: Column, value: str, draws: int = DEFAULT.draws, seed: int = 7) -> DataFrame:
     """lo and hi without collecting clusters: each cluster has a Poisson(1) multiplicity in every draw, made from a hash of its key."""
     cells = df.filter(F.col(value).isNotNull()).groupBy(cluster.alias("k")).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    # inverse of the Poisson(1) distribution function, to the precision of a draw of 53 bits
-    steps = np.cumsum([np.exp(-1) / float(np.prod(range(1, i + 1)) or 1) for i in range(18)])
-    drawn = cells.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("u", F.pmod(F.xxhash64("k", "d", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53))
-    m = sum((F.col("u") > float(s)).cast("int") for s in steps)
-    means = drawn.withColumn("m", m).groupBy("d").agg(F.try_divide(F.sum(F.col("m") * F.col("s")), F.sum(F.col("m") * F.col("n"))).alias("mean"))
+    means = poisson_sums(cells.withColumn("condition", F.lit("")), draws, seed).select(F.try_divide("top", "bottom").alias("mean"))
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"))

@@ -13,7 +13,27 @@ def test_random_in_step_draws_as_often_as_the_operator(monkeypatch):
     got = {}
     monkeypatch.setattr(queries, "with_traders", lambda *a: None)
     monkeypatch.setattr(queries.a, "positions", lambda *a: None)
+    monkeypatch.setattr(queries, "rounded", lambda df: df)
     real = inspect.signature(compare.random_in_step)
     monkeypatch.setattr(compare, "random_in_step", lambda *a, **b: got.update(real.bind(*a, **b).arguments))
     queries.QUERIES["random_in_step"](None, None)
     assert got.get("draws", real.parameters["draws"].default) == 100
+
+
+def test_intervals_beyond_the_bound_of_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, int(k), float(rng.normal(k % 3, 4))) for i, k in enumerate(rng.integers(0, 400, 2000))], "position_id long, k long, v double")
+    named = {"all": F.lit(True), "high": F.col("k") > 200, "none": F.col("k") < 0}
+
+    def got():
+        rows = bootstrap.bootstrap_conditions(df, F.col("k"), named, "v").collect()
+        return {r["condition"]: r for r in rows}, bootstrap.selected_interval(df, F.col("k") > 200, F.col("k"), "v")
+
+    want, span = got()
+    monkeypatch.setattr(bootstrap, "MOST_CELLS", 50)
+    have, wide = got()
+    assert set(have) == set(want) == {"all", "high"} and wide == pytest.approx(span, abs=0.06)
+    for name, r in have.items():
+        assert (r["n"], r["mean"]) == (want[name]["n"], pytest.approx(want[name]["mean"]))
+        assert (r["lo"], r["hi"]) == pytest.approx((want[name]["lo"], want[name]["hi"]), abs=0.06)
+    assert inspect.signature(bootstrap.poisson_bootstrap).parameters["draws"].default == DEFAULT.draws
