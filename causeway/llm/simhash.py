@@ -406,7 +406,7 @@ def _pairs(similarity: float, turn: int | None):
         def said(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
             ok = (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
             i, j = i[ok], j[ok]
-            differ = sum((np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits), np.zeros(len(i), dtype=np.int64))
+            differ = sum((np.bitwise_count((b[i] ^ b[j]).view(np.uint64)).astype(np.int64) for b in bits), np.zeros(len(i), dtype=np.int64))
             ok = differ <= apart * (n[i] + n[j]) + 1e-9
             u, v = node[i[ok]], node[j[ok]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
