@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import difflib
 import re
+from collections import defaultdict
+from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,29 +37,84 @@ def check_contract(columns: list[str], required: tuple[str, ...] = FILL_COLUMNS,
         raise ValueError(f"{source}: missing columns {missing}; look-alikes {({m: a for m, a in alike.items() if a})}")
 
 
+def files_under(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Paths of the files under folder, at any depth and sorted, archive junk left out. (Names are collected, contents aren't read.)"""
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path")
+        return sorted(p for (p,) in found.collect() if not re.search(JUNK, p))
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return []
+        raise
+
+
+def header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The first line's fields, read through the path's own file system; no fields in an empty file."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(conf).open(at)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return tuple(next(csv.reader([line.removeprefix("\ufeff")]), ())) if line else ()
+
+
+def by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], DataFrame]:
+    """The files' rows as text, apart by header: a reader lays one header over all its files by position. Columns are c0, c1, ... in the header's order."""
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for p in paths:
+        groups[header_of(spark, p)].append(p)
+    read = spark.read.option("header", True).option("enforceSchema", True)
+    return {h: read.schema(", ".join(f"c{i} string" for i in range(len(h)))).csv([_escaped(p) for p in ps]) for h, ps in groups.items() if h}
+
+
+def _escaped(path: str) -> str:
+    """A path that is taken as it is, not as a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def campaign_of(path: str) -> tuple[int, datetime]:
+    """Campaign and date that a file's name tells; raises where it tells none."""
+    name = unquote(path).rpartition("/")[2]
+    found = re.search(NAME, name)
+    if not found:
+        raise ValueError(f"no campaign and date in the name {name}")
+    try:
+        return int(found[1]), datetime.strptime(f"{found[2]} {found[3].title()} {found[4]}", "%d %b %Y")
+    except ValueError:
+        raise ValueError(f"no campaign date in the name {name}") from None
+
+
 def read_fills(spark: SparkSession, folder: str, pattern: str = "*.csv", id_mode: str = "exact", timestamp_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
     """All campaign files under folder (any depth; archive junk left out), with campaign_id and campaign_date from their names.
 
-    Columns are read as text under the first file's header, checked against the contract, and coerced: what isn't a
-    number or time becomes null. id_mode "legacy_float" keeps position ids as doubles, so that neighbours of 19 digits
-    merge as in the old exports. A file whose name tells no campaign, and a folder without files, raise.
+    Every file's header is checked against the contract, files of one header are read together by name, and columns are
+    coerced: what isn't a number or time becomes null. id_mode "legacy_float" keeps position ids as doubles, so that
+    neighbours of 19 digits merge as in the old exports. A file whose name tells no campaign or no date, and a folder
+    without files, raise.
     """
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    junk = F.col("_metadata.file_path").rlike(JUNK)
-    df = raw.csv(folder)
-    check_contract(df.columns, source=folder)
-    named = df.select("*", F.url_decode("_metadata.file_name").alias("_file"), F.col("_metadata.file_path").alias("_path")).filter(~junk)
-    if not named.take(1):
+    paths = files_under(spark, folder, pattern)
+    if not paths:
         raise ValueError(f"{folder}: no campaign files")
+    for p in paths:
+        campaign_of(p)
+    rows = None
+    for header, df in by_header(spark, paths).items():
+        check_contract(list(header), source=folder)
+        part = df.select(*[F.col(f"c{header.index(c)}").alias(c) for c in FILL_COLUMNS], F.url_decode("_metadata.file_name").alias("_file"), F.col("_metadata.file_path").alias("source_file"))
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        raise ValueError(f"{folder}: only empty files")
     part = lambda i: F.regexp_extract("_file", NAME, i)
-    known = F.col("_file").rlike(NAME)
-    number = F.when(known, part(1).try_cast("int")).otherwise(F.raise_error(F.concat(F.lit("no campaign in the name "), "_file")).cast("int"))
-    day = F.try_to_timestamp(F.concat_ws(" ", F.lpad(part(2), 2, "0"), F.initcap(part(3)), part(4)), F.lit("dd MMM yyyy")).cast("date")
+    day = F.to_date(F.concat_ws(" ", F.lpad(part(2), 2, "0"), F.initcap(part(3)), part(4)), "dd MMM yyyy")
     pid = F.col("positionId").try_cast("double" if id_mode == "legacy_float" else "bigint")
-    out = named.select(
+    out = rows.select(
         *[F.col(c) for c in _TEXT], *[F.try_to_timestamp(c, F.lit(timestamp_format)).cast("timestamp_ntz").alias(c) for c in _TIME],
         *[F.col(c).try_cast("bigint").alias(c) for c in _LONG if c != "positionId"], pid.alias("positionId"),
-        *[F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double")).alias(c) for c in _DOUBLE], number.alias("campaign_id"), day.alias("campaign_date"), F.col("_path").alias("source_file"),
+        *[F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double")).alias(c) for c in _DOUBLE], part(1).cast("int").alias("campaign_id"), day.alias("campaign_date"), "source_file",
     )
     return out.withColumn("positionId", F.when(F.col("campaign_id").isin(*ONE_POSITION), F.col("campaign_id").cast(out.schema["positionId"].dataType)).otherwise(F.col("positionId")))
 
@@ -80,22 +139,21 @@ def colliding_ids(fills: DataFrame, key: str = "positionId") -> DataFrame:
 REGISTRATION = {"account": "account", "email": "email", "ipaddress": "ip_address", "telegramusername": "telegram_username", "challengetypeid": "challenge_type_id"}
 
 
+def registration_name(column: str) -> str:
+    """The one name of a registration column; an unknown one is lower-cased with underscores, so that eras align."""
+    plain = column.strip().lower()
+    return REGISTRATION.get(re.sub(r"[^a-z0-9]", "", plain), re.sub(r"\s+", "_", plain))
+
+
 def read_registrations(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """Registration files of two header eras under one set of names; unknown columns stay, the second of duplicate ones goes. No files: an empty table."""
-    try:
-        df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(folder)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return spark.createDataFrame([], ", ".join(f"{c} string" for c in REGISTRATION.values()) + ", campaign_id int")
-        raise
-    seen: dict[str, str] = {}
-    for c in df.columns:
-        seen.setdefault(REGISTRATION.get(re.sub(r"[^a-z0-9]", "", c.lower()), c), c)
-    number = F.regexp_extract(F.url_decode("_metadata.file_name"), r"(?i)campaign\s*(\d+)", 1).try_cast("int")
-    out = df.select(*[F.col(f"`{c}`").alias(n) for n, c in seen.items()], number.alias("campaign_id"))
-    for c in REGISTRATION.values():
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(None).cast("string"))
+    """Registration files of any header era under one set of names, aligned by name; unknown columns stay (null where a file lacks them), the second of duplicate ones goes. No files: an empty table."""
+    out = spark.createDataFrame([], ", ".join(f"{c} string" for c in REGISTRATION.values()) + ", campaign_id int")
+    for header, df in by_header(spark, files_under(spark, folder, pattern)).items():
+        seen: dict[str, int] = {}
+        for i, c in enumerate(header):
+            seen.setdefault(registration_name(c), i)
+        number = F.regexp_extract(F.url_decode("_metadata.file_name"), r"(?i)campaign\s*(\d+)", 1).try_cast("int")
+        out = out.unionByName(df.select(*[F.col(f"c{i}").alias(n) for n, i in seen.items() if n != "campaign_id"], number.alias("campaign_id")), allowMissingColumns=True)
     return out
 
 
@@ -122,4 +180,4 @@ def daily_from_ticks(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy(F.to_date("time").alias("date")).agg(F.min_by("open", "time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "time").alias("close"))
 
 
-__all__ = ["FILL_COLUMNS", "check_contract", "colliding_ids", "completeness", "daily_from_ticks", "engine_columns", "read_fills", "read_registrations", "read_ticks"]
+__all__ = ["FILL_COLUMNS", "check_contract", "colliding_ids", "completeness", "daily_from_ticks", "engine_columns", "files_under", "header_of", "read_fills", "read_registrations", "read_ticks"]

@@ -51,6 +51,35 @@ def test_bad_name_raises(spark, tmp_path):
         s.read_fills(spark, str(tmp_path)).collect()
 
 
+def test_columns_go_by_name_in_every_file(spark, tmp_path):
+    _write(tmp_path, "Campaign 53 Data 1st May 2026 XAUUSD only.csv", [_fill(1, "2026-05-01 10:00:00", 98.5)])
+    _write(tmp_path, "Campaign 54 Data 8 May 2026 XAUUSD only.csv", [_fill(2, "2026-05-08 10:00:00", 97.5)], [*reversed(s.FILL_COLUMNS), "extra"])
+    got = {r["positionId"]: r for r in s.read_fills(spark, str(tmp_path)).collect()}
+    assert [(got[i]["accountId"], got[i]["slPrice"], got[i]["side"], got[i]["campaign_id"]) for i in (1, 2)] == [("a", 98.5, "BUY", 53), ("a", 97.5, "BUY", 54)]
+    _write(tmp_path, "Campaign 55 Data 15 May 2026 XAUUSD only.csv", [], [c if c != "positionId" else "position_id" for c in s.FILL_COLUMNS])
+    with pytest.raises(ValueError, match="position_id"):  # every file is held to the contract, not the first alone
+        s.read_fills(spark, str(tmp_path))
+
+
+def test_bad_dates_raise(spark, tmp_path):
+    _write(tmp_path, "Campaign 53 Data 31 Feb 2026 XAUUSD only.csv", [_fill(1, "2026-05-01 10:00:00")])
+    with pytest.raises(ValueError, match="no campaign date"):
+        s.read_fills(spark, str(tmp_path))
+
+
+def test_two_eras_leak_no_person(spark, tmp_path):
+    (tmp_path / "Campaign 40 traders.csv").write_text("ACCOUNT,EMAIL,IP ADDRESS\n1,one@x.invalid,192.0.2.1\n")
+    (tmp_path / "Campaign 60 traders.csv").write_text('telegram_username,challenge_type_id,Team Colour,account,email,ip_address,email\ntg_two,11,blue,2,two@x.invalid,192.0.2.2,again@x.invalid\n')
+    (tmp_path / "Campaign 61 traders.csv").write_text("")
+    raw = s.read_registrations(spark, str(tmp_path))
+    got = {r["account"]: r.asDict() for r in raw.collect()}
+    assert got["2"] == {"account": "2", "email": "two@x.invalid", "ip_address": "192.0.2.2", "telegram_username": "tg_two", "challenge_type_id": "11", "campaign_id": 60, "team_colour": "blue"}
+    assert (got["1"]["email"], got["1"]["ip_address"], got["1"]["campaign_id"], got["1"]["challenge_type_id"], got["1"]["team_colour"]) == ("one@x.invalid", "192.0.2.1", 40, None, None)
+    kept = [str(v) for r in sanitised(raw).collect() for v in r]
+    assert not any(x in v for v in kept for x in ("@", "192.0.2", "tg_two")) and {"blue", "11"} <= set(kept)
+    assert s.read_registrations(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_registrations_and_sanitising(spark, tmp_path):
     (tmp_path / "Campaign 40 traders.csv").write_text("ACCOUNT,EMAIL,IP ADDRESS\n1, A@Example.invalid ,192.0.2.1\n2,nan,\n")
     df = sanitised(s.read_registrations(spark, str(tmp_path)))
