@@ -1,15 +1,16 @@
 """Toxicity by gradient-boosted trees over dense features of a text, with isotonic calibration.
 
 Features: densities of a word list and of words learned from labels, how near hits are to the second person, capitals,
-punctuation, and obfuscation. Trees are fitted on one part of a bounded sample of labelled rows and calibrated on the
-other; every text is scored.
+punctuation, and obfuscation. Words are learned by their log odds, with their beginnings, so that rare inflections count
+too; a training row is shown the odds of the other parts of the sample only (cross-fitting), as a new text would be. Trees
+are fitted on one part of a bounded sample of labelled rows and calibrated on the other; every text is scored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from itertools import accumulate
 
 import numpy as np
@@ -26,18 +27,26 @@ from .common import held_out, slices, table, written
 
 #: Labelled rows that are learned from: about so many, by a hash of the id.
 SAMPLE_ROWS = 20_000
-#: A learned word stands in this share of the toxic training texts, and this many times as often as in the others.
-LEARNED_SHARE, LEARNED_RATIO, LEARNED_WORDS = 0.1, 8.0, 1_000
+#: A learned term is a word or a beginning of one; it stands in so many toxic training texts, and so far above one (natural log) is the lower bound of its odds ratio; the strongest are kept.
+LEAST_TOXIC, LEAST_ODDS, LEARNED_TERMS = 3, 1.0, 20_000
+#: Lengths of beginnings, and the longest word that is learned or looked up.
+BEGINNINGS, LONGEST_WORD = (3, 4, 5, 6, 7, 8), 32
+#: Odds from which on a word counts as a hit.
+HIT_ODDS = 2.0
+#: Parts of the training rows; the terms that a row is shown are learned from the other parts.
+PARTS = 4
 #: A hit and a second-person word so many words apart are near.
 NEAR_WORDS = 6
 TREES, DEPTH = 20, 3
 THRESHOLD = 0.7
+#: Share of the score that is the trees' own probability.
+TRACE = 0.001
 
 # Insults, and words of the second person, in four languages.
 INSULTS = frozenset("""
     asshole bastard bitch clown coward creep cretin crap cunt damn degenerate dickhead disgusting dumb dumbass filth filthy
     fool freak fuck fucking garbage hate idiot idiotic imbecile jerk liar loser lunatic maggot moron moronic nasty parasite
-    pathetic pig prick psycho rat repulsive retard scum shit shut slut stupid sucker thug trash ugly vermin vile whore
+    pathetic pig prick psycho rat repulsive retard scum shit shut slut stupid sucker thug trash ugly vermin whore
     worthless wretch
     abschaum arschloch blödmann depp dreckig dumm dummkopf hurensohn idiotin mistkerl schwein trottel versager wertlos
     abruti bouffon connard connasse crétin débile dégueulasse imbécile minable ordure pourriture salaud salope stupide
@@ -46,7 +55,10 @@ INSULTS = frozenset("""
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton tes vous votre vos tú tus ti usted ustedes vosotros".split())
 LEET = bytes.maketrans(b"@$!|013457", b"asiioieast")
 
-FEATURES = ("list_density", "list_count", "list_distinct", "learned_density", "learned_count", "near_second_person", "second_person", "capitals", "capital_words", "exclamations", "questions", "punctuation", "obfuscated", "obfuscated_hits", "long_text")
+FEATURES = (
+    "list_density", "list_count", "list_distinct", "learned_max", "learned_second", "learned_sum", "learned_density", "learned_count", "near_second_person", "second_person",
+    "capitals", "capital_words", "exclamations", "questions", "punctuation", "obfuscated", "obfuscated_hits", "long_text",
+)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(rb"\b[A-Z]{3,}\b")
@@ -55,49 +67,75 @@ _SPACED = re.compile(rb"\b(?:[a-z][ .\-_*]){3,}[a-z]\b")
 _UPPER, _LETTERS, _MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"!?.,;:#$%&*@"
 
 
-def _unmasked(token: bytes, words: frozenset[str]) -> bool:
-    if b"*" in token:
-        hidden = re.compile(re.escape(token.translate(LEET).decode()).replace(r"\*", "."))
-        return any(hidden.fullmatch(w) for w in words)
-    return token.translate(LEET).decode() in words
+class Odds(dict[str, float]):
+    """Words -> their odds: the largest of the learned terms that they are or begin with, 0 without any. Looked up once."""
 
+    def __init__(self, terms: Mapping[str, float]):
+        super().__init__()
+        self.terms = terms
 
-def features(text: str, learned: frozenset[str]) -> list[float]:
+    def __missing__(self, word: str) -> float:
+        if len(self) >= 500_000:
+            self.clear()
+        found = self[word] = max(map(self.terms.get, terms_of(word), [0.0] * (len(BEGINNINGS) + 1)), default=0.0) if self.terms else 0.0
+        return found
+
+
+def terms_of(word: str) -> list[str]:
+    """The word (ended by a mark) and its beginnings; none of an over-long word."""
+    return [word + "$", *(word[:n] for n in BEGINNINGS if n <= len(word))] if 3 <= len(word) <= LONGEST_WORD else []
+
+
+def _unmasked(token: bytes, odds: Odds) -> bool:
+    plain = token.translate(LEET).decode()
+    if "*" not in plain:
+        return plain in INSULTS or odds[plain] >= HIT_ODDS
+    hidden = re.compile(re.escape(plain).replace(r"\*", "."))
+    return any(hidden.fullmatch(w) for w in INSULTS) or any(hidden.fullmatch(t[:-1]) for t, w in odds.terms.items() if w >= HIT_ODDS and len(t) == len(plain) + 1 and t[-1] == "$")
+
+
+def features(text: str, odds: Odds) -> list[float]:
     """FEATURES of a whole text; an empty one has zeros."""
     raw = text.encode("utf-8", "surrogatepass")
     low = raw.lower()
     words = _WORD.findall(text.lower())
     n = max(len(words), 1)
-    hits = [i for i, w in enumerate(words) if w in INSULTS]
-    own = [i for i, w in enumerate(words) if w in learned] if learned else []
-    you = [w in SECOND_PERSON for w in words]
-    near = 0
-    if hits or own:
-        before = list(accumulate(you, initial=0))
-        near = sum(before[min(i + NEAR_WORDS + 1, len(words))] > before[max(i - NEAR_WORDS, 0)] for i in hits or own)
+    count = Counter(words)
+    listed = [w for w in count if w in INSULTS]
+    told = sorted(((x, w) for w in count if (x := odds[w]) > 0.0), reverse=True)
+    own = [w for x, w in told if x >= HIT_ODDS]
+    hits, learned = sum(count[w] for w in listed), sum(count[w] for w in own)
+    near, marked = 0, {*listed, *own}
+    if marked:
+        before = list(accumulate((w in SECOND_PERSON for w in words), initial=0))
+        near = sum(before[min(i + NEAR_WORDS + 1, len(words))] > before[max(i - NEAR_WORDS, 0)] for i, w in enumerate(words) if w in marked)
     masked = [m for m in _MASKED.findall(low) if len(m) <= 24]
-    spaced = [re.sub(rb"[ .\-_*]", b"", m) for m in _SPACED.findall(low)]
-    unmasked = sum(_unmasked(m, INSULTS) or _unmasked(m, learned) for m in masked) + sum(m.decode() in INSULTS or m.decode() in learned for m in spaced)
+    spaced = [re.sub(rb"[ .\-_*]", b"", m).decode() for m in _SPACED.findall(low)]
+    unmasked = sum(_unmasked(m, odds) for m in masked) + sum(m in INSULTS or odds[m] >= HIT_ODDS for m in spaced)
     letters = len(raw) - len(raw.translate(None, _LETTERS))
+    strongest = [x for x, _ in told[:2]] + [0.0, 0.0]
     return [
-        len(hits) / n, float(len(hits)), float(len({words[i] for i in hits})), len(own) / n, float(len(own)), near / max(len(hits or own), 1), sum(you) / n,
+        hits / n, float(hits), float(len(listed)), strongest[0], strongest[1], sum(x for x, _ in told), learned / n, float(learned), near / max(sum(count[w] for w in marked), 1), sum(count[w] for w in SECOND_PERSON if w in count) / n,
         (len(raw) - len(raw.translate(None, _UPPER))) / max(letters, 1), len(_SHOUT.findall(raw)) / n, raw.count(b"!") / n, raw.count(b"?") / n, (len(raw) - len(raw.translate(None, _MARKS))) / n,
         (len(masked) + len(spaced)) / n, float(unmasked), float(np.log1p(len(words))),
     ]
 
 
-def add_features(docs: DataFrame, learned: frozenset[str], text: str = "text") -> DataFrame:
-    """docs without its text, with a double column per feature (prefixed f_)."""
+def add_features(docs: DataFrame, learned: list[dict[str, float]], text: str = "text", part: str | None = None) -> DataFrame:
+    """docs without its text, with a double column per feature (prefixed f_). learned: terms with their odds; with a column part, those of row's part."""
     names = [f"f_{f}" for f in FEATURES]
     keep = [c for c in docs.columns if c != text and c not in names]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    which = F.lit(0) if part is None else F.col(f"`{part}`").cast("int")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], which.alias("_part"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odds = [Odds(x) for x in shared.value]
         for batch in slices(batches, "_text"):
-            x = np.array([features(t, learned) for t in batch.column("_text").to_pylist()], dtype=np.float64)
+            x = np.array([features(t, odds[k]) for t, k in zip(batch.column("_text").to_pylist(), batch.column("_part").to_pylist(), strict=True)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c) for c in x.T)], [*keep, *names])
 
-    schema = rows.drop("_text").schema
+    schema = rows.drop("_part", "_text").schema
     for n in names:
         schema = schema.add(n, "double")
     return rows.mapInArrow(run, schema)
@@ -121,31 +159,50 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -
     return texts.groupBy(F.xxhash64("text")).agg(F.min_by(F.struct("doc_id", "text", "label"), "doc_id").alias("r")).select("r.*")
 
 
-def learned_words(rows: DataFrame) -> frozenset[str]:
-    """Words that mark the toxic rows; counted per task and summed, then cut to LEARNED_WORDS."""
+def learned_terms(rows: DataFrame) -> list[dict[str, float]]:
+    """rows (text, label, part) -> for each part the terms with their odds in the other parts' texts, and last those of all.
+
+    Odds are the logarithm of a term's odds ratio less one standard error. A term counts once in a text, in whatever task
+    that lies; LEARNED_TERMS are kept at most, the strongest ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[float, Counter] = {0.0: Counter(), 1.0: Counter()}
+        count: Counter = Counter()
         for batch in slices(batches, "text"):
-            for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                count[y].update(set(_WORD.findall(t.lower())))
-        words = [w for w in count[1.0] if 3 <= len(w) <= 32]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([count[1.0][w] for w in words], pa.int64()), pa.array([count[0.0][w] for w in words], pa.int64())], ["word", "bad", "good"])
-
-    # a word that no toxic text of a task has is left out there: its clean count would only lower a ratio that is far from the bound
-    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = n.get(1.0, 0), n.get(0.0, 0)
-    if not bad or not good:
-        return frozenset()
-    each = rows.select("text", "label").mapInArrow(run, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    found = each.filter((F.col("bad") >= LEARNED_SHARE * bad) & (F.col("bad") >= 3) & (F.col("bad") / bad >= LEARNED_RATIO * F.greatest(F.col("good"), F.lit(0.5)) / good))
-    return frozenset(r["word"] for r in found.orderBy(F.desc("bad"), "word").limit(LEARNED_WORDS).collect())
+            for t, y, k in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "part")), strict=True):
+                count.update({(x, k, y) for w in set(_WORD.findall(t.lower())) for x in terms_of(w)})
+            if len(count) > 1_000_000:
+                yield told(count)
+                count = Counter()
+        yield told(count)
+
+    def told(count: Counter) -> pa.RecordBatch:
+        term, part, label = zip(*count, strict=True) if count else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(part, pa.int32()), pa.array(label, pa.float64()), pa.array(list(count.values()), pa.int64())], ["term", "part", "label", "n"])
+
+    n = {(r["label"], r["part"]): r["n"] for r in rows.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of = {y: [n.get((y, k), 0) for k in range(PARTS)] for y in (0.0, 1.0)}
+    if not sum(of[0.0]) or not sum(of[1.0]):
+        return [{} for _ in range(PARTS + 1)]
+    each = rows.select("text", "label", F.col("part").cast("int")).mapInArrow(run, "term string, part int, label double, n long")
+    cells = {f"{'cb'[int(y)]}{k}": F.sum(F.when((F.col("label") == y) & (F.col("part") == k), F.col("n")).otherwise(0)) for y in (0.0, 1.0) for k in range(PARTS)}
+    bad, good = sum(F.col(f"b{k}") for k in range(PARTS)), sum(F.col(f"c{k}") for k in range(PARTS))
+    lower = F.log((bad + 0.5) / (sum(of[1.0]) + 1)) - F.log((good + 0.5) / (sum(of[0.0]) + 1)) - F.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+    found = each.groupBy("term").agg(*[c.alias(k) for k, c in cells.items()]).filter(bad >= LEAST_TOXIC).withColumn("lower", lower).filter(F.col("lower") >= LEAST_ODDS)
+    top = found.orderBy(F.desc("lower"), "term").limit(LEARNED_TERMS).collect()
+    out = []
+    for left_out in [*range(PARTS), None]:
+        parts = [k for k in range(PARTS) if k != left_out]
+        b, g = (np.array([sum(r[f"{c}{k}"] for k in parts) for r in top], dtype=np.float64) for c in "bc")
+        odds = np.log((b + 0.5) / (sum(of[1.0][k] for k in parts) + 1)) - np.log((g + 0.5) / (sum(of[0.0][k] for k in parts) + 1)) - np.sqrt(1 / (b + 0.5) + 1 / (g + 0.5))
+        out.append({r["term"]: float(x) for r, x, m in zip(top, odds, b, strict=True) if m >= LEAST_TOXIC and x >= LEAST_ODDS})
+    return out
 
 
 class Toxicity:
     """A fitted model. Without rows of both classes every score is the share of toxic rows (0 without any)."""
 
-    def __init__(self, learned: frozenset[str], trees: Model | None, calibrated: Model | None, prior: float):
+    def __init__(self, learned: dict[str, float], trees: Model | None, calibrated: Model | None, prior: float):
         self.learned, self.trees, self.calibrated, self.prior = learned, trees, calibrated, prior
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -154,25 +211,27 @@ class Toxicity:
         if self.trees is None or self.calibrated is None:
             out = rows.drop(text).withColumn("score", F.lit(float(self.prior)))
         else:
-            raw = self.trees.transform(_assembled(add_features(rows, self.learned, text))).withColumn("_p", vector_to_array("_probability")[1]).drop("_x", "_raw", "_probability", "_tree")
-            out = self.calibrated.transform(raw).drop("_p").withColumn("score", F.least(F.greatest("_score", F.lit(0.0)), F.lit(1.0))).drop("_score")
+            raw = self.trees.transform(_assembled(add_features(rows, [self.learned], text))).withColumn("_p", vector_to_array("_probability")[1]).drop("_x", "_raw", "_probability", "_tree")
+            # calibration makes steps; a trace of the trees' own probability keeps the order within one
+            score = (1 - TRACE) * F.least(F.greatest("_score", F.lit(0.0)), F.lit(1.0)) + TRACE * F.col("_p")
+            out = self.calibrated.transform(raw).withColumn("score", score).drop("_p", "_score")
         return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Toxicity:
     """docs (doc_id, text), labels (doc_id, toxic)."""
-    rows = written(training_rows(docs, labels, most), "training")
-    learned = learned_words(rows)
-    own = written(_assembled(add_features(rows, learned)).select("_x", "label", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)) < 3).alias("calibrate")), "features")
+    rows = written(training_rows(docs, labels, most).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("terms")), F.lit(PARTS))), "training")
+    terms = learned_terms(rows)
+    own = written(_assembled(add_features(rows, terms, part="part")).select("_x", "label", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)) < 3).alias("calibrate")), "features")
     part = {(r["calibrate"], r["label"]): r["n"] for r in own.groupBy("calibrate", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(part.values())
     if min(part.get((False, y), 0) for y in (0.0, 1.0)) < 2 or not total:
-        return Toxicity(learned, None, None, sum(n for (_, y), n in part.items() if y == 1.0) / max(total, 1))
+        return Toxicity({}, None, None, sum(n for (_, y), n in part.items() if y == 1.0) / max(total, 1))
     trees = GBTClassifier(featuresCol="_x", labelCol="label", predictionCol="_tree", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, minInstancesPerNode=10 if total >= 500 else 2, seed=7).setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(own.filter("NOT calibrate"))
     base = own.filter("calibrate") if sum(n for (c, _), n in part.items() if c) >= 100 else own
     p = trees.transform(base).select("label", vector_to_array("_probability")[1].alias("_p"))
     calibrated = IsotonicRegression(featuresCol="_p", labelCol="label", predictionCol="_score").fit(p)
-    return Toxicity(learned, trees, calibrated, 0.0)
+    return Toxicity(terms[-1], trees, calibrated, 0.0)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
