@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,5 +75,14 @@ def challenge(c: Column) -> Column:
     return F.coalesce(F.when(whole, F.floor(d).cast("bigint").cast("string")).otherwise(F.when(F.isnan(d), F.lit(None)).otherwise(c.cast("string"))), F.lit("unknown"))
 
 
+def normal_tails(z: Column) -> Column:
+    """The probability of a standard normal beyond |z| on either side, to some 15 decimals, by the power series of the distribution about 0."""
+    a = F.abs(z)
+    first = F.struct(a.cast("double").alias("term"), a.cast("double").alias("sum"))
+    step = lambda s, k: F.struct((s["term"] * a * a / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * a * a / (2 * k + 1)).alias("sum"))
+    inside = F.aggregate(F.sequence(F.lit(1), F.lit(160)), first, step, lambda s: s["sum"]) * F.exp(-a * a / 2) * math.sqrt(2 / math.pi)
+    return F.when(a < 8, F.greatest(F.lit(0.0), 1 - inside)).when(a >= 8, F.lit(0.0))
+
+
 def stop_distance(open_price: Column, stop: Column) -> Column:
     return F.when(open_price != 0, F.abs(open_price - stop) / open_price)

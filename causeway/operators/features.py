@@ -7,6 +7,7 @@ order, so one shuffle and one sort serve every feature.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -17,8 +18,12 @@ from ..config import DEFAULT, Settings
 from ..functions.exprs import seconds, stop_distance, sure
 from .positions import ACCOUNT, ORDER
 
-#: An exponential average over so many rows: what lies further back weighs less than a double can tell (0.7^200 < 1e-30).
-EWM_ROWS = 200
+
+def decay_rows(alpha: float) -> int:
+    """Values after which an exponential average of this alpha has forgotten: what lies further back weighs less than 2^-64."""
+    if not 0 < alpha <= 1:
+        raise ValueError(f"alpha {alpha} is not in (0, 1]")
+    return 1 if alpha == 1 else math.ceil(64 * math.log(2) / -math.log1p(-alpha))
 
 
 def by_account() -> WindowSpec:
@@ -38,9 +43,18 @@ def last5() -> WindowSpec:
     return by_account().rowsBetween(-5, -1)
 
 
-def recent() -> WindowSpec:
-    return by_account().rowsBetween(-EWM_ROWS, -1)
+def averaged(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alpha: float, start: Column, name: str) -> DataFrame:
+    """df with name: the exponential average of the value over the rows before, missing ones passed over; null before the first.
 
+    start: what the first value is averaged with (null: it counts whole). Frames reach as many known values back as the
+    decay needs, whatever lies between them.
+    """
+    known = Window.partitionBy(*keys, F.col(value).isNull()).orderBy(*order).rowsBetween(1 - decay_rows(alpha), 0)
+    seen = F.collect_list(value).over(known)
+    first = F.coalesce(alpha * F.get(seen, F.lit(0)) + (1 - alpha) * start, F.get(seen, F.lit(0)))
+    upto = F.aggregate(F.slice(seen, F.lit(2), F.size(seen)), first, lambda a, x: alpha * x + (1 - alpha) * a)
+    own = df.withColumn(name, F.when(F.col(value).isNotNull(), upto))
+    return own.withColumn(name, F.last(name, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
 
 
 #: Fields of a row that are known when it opens, and those known only when it closes.
@@ -92,7 +106,7 @@ FEATURES: dict[str, Feature] = {
     for f in (
         Feature("loss_streak", lambda s: F.col("streak_"), prior=_f("net_profit")),
         Feature("win_streak", lambda s: F.col("win_streak_"), prior=_f("net_profit")),
-        Feature("pnl_ewm", lambda s: F.aggregate(F.collect_list("net_profit").over(recent()), F.lit(0.0), lambda a, x: s.ewm_alpha * x + (1 - s.ewm_alpha) * a), prior=_f("net_profit")),
+        Feature("pnl_ewm", lambda s: F.coalesce("ewm_", F.lit(0.0)), prior=_f("net_profit")),
         Feature("lot_zscore", lambda s: F.when((F.count("amount").over(prev()) >= 3) & (F.min("amount").over(prev()) < F.max("amount").over(prev())), (F.col("amount") - F.col("mean_amt_")) / F.stddev_pop("amount").over(prev())), _f("amount"), _f("amount")),
         Feature("amount", lambda s: F.col("amount"), _f("amount")),
         Feature("size_after_loss_delta", lambda s: F.when(F.col("streak_") > 0, F.col("amount") - F.col("before_run_")["m"]), _f("amount"), _f("amount", "net_profit")),
@@ -133,6 +147,8 @@ def features(df: DataFrame, names: Sequence[str] | None = None, settings: Settin
     """keep and the named features (all by default), one row per position. Null inputs give null features, or false flags."""
     chosen = [FEATURES[n] for n in (names or FEATURES)]
     lint(chosen)
+    if any(f.name == "pnl_ewm" for f in chosen):
+        df = averaged(df, ACCOUNT, ORDER, "net_profit", settings.ewm_alpha, F.lit(0.0), "ewm_")
     return prepared(df).select(*keep, *[f.build(settings).alias(f.name) for f in chosen if f.name not in keep])
 
 

@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.exprs import loss_per_lot, seconds, stop_distance, trader_cluster
+from .features import averaged
 from .positions import ACCOUNT
 
-#: An average over campaigns reads so many back; with a half-life of two campaigns the rest weighs less than 2^-64.
-CAMPAIGNS_BACK = 128
-
-
 def campaign_summary(df: DataFrame) -> DataFrame:
     """One row per (trader_key, campaign_id), all accounts of the trader together: tilt (mean loss per lot of positions opened after two losses or more), stop distances, span in hours, rows. Needs loss_streak."""
     tilt = F.when(F.col("loss_streak") >= 2, loss_per_lot(F.col("profit"), F.col("amount")))
@@ -44,12 +41,11 @@ def trader_memory(summary: DataFrame, settings: Settings = DEFAULT) -> DataFrame
     The campaign itself and later ones are never visible: frames end at the row before, on a grain of one row per campaign.
     """
     w = Window.partitionBy("trader_key").orderBy("campaign_id")
-    prev, recent = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(-CAMPAIGNS_BACK, -1)
+    prev = w.rowsBetween(Window.unboundedPreceding, -1)
     alpha = 1 - 0.5 ** (1 / settings.history_half_life)
-    tilts = F.collect_list("tilt").over(recent)
-    decayed = F.when(F.size(tilts) > 0, F.aggregate(F.slice(tilts, 2, CAMPAIGNS_BACK), F.get(tilts, 0), lambda a, x: alpha * x + (1 - alpha) * a))
+    summary = averaged(summary, ["trader_key"], ["campaign_id"], "tilt", alpha, F.lit(None).cast("double"), "decayed_")
     return summary.select(
-        "trader_key", "campaign_id", (F.row_number().over(w) - 1).cast("long").alias("prior_campaigns"), decayed.alias("tilt_raw"), F.coalesce(F.sum("n_tilt").over(prev), F.lit(0)).alias("n_tilt_prior"),
+        "trader_key", "campaign_id", (F.row_number().over(w) - 1).cast("long").alias("prior_campaigns"), F.col("decayed_").alias("tilt_raw"), F.coalesce(F.sum("n_tilt").over(prev), F.lit(0)).alias("n_tilt_prior"),
         F.try_divide(F.sum("sl_sum").over(prev), F.sum("n_sl").over(prev)).alias("sl_raw"), F.coalesce(F.sum("n_sl").over(prev), F.lit(0)).alias("n_sl_prior"),
         (F.avg("span_hours").over(prev) / settings.session_hours).alias("survival_raw"), F.coalesce(F.sum("n").over(prev), F.lit(0)).alias("n_prior"),
     )

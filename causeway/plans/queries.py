@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
-from ..functions.exprs import account_cluster, challenge, era, exit_type, ip_cluster, loss_per_lot, net_or_parts, number, reverse_per_lot, seconds, sure, trader_cluster
+from ..functions.exprs import account_cluster, challenge, era, exit_type, ip_cluster, loss_per_lot, net_or_parts, normal_tails, number, reverse_per_lot, seconds, sure, trader_cluster
 from ..operators import bootstrap, buckets, compare, folds, forensics, history, model, positions, state, stats
 from ..operators import conditions as cond
 from ..operators import features as f
@@ -55,7 +55,6 @@ def r(*columns: str) -> str:
 
 PART = "PARTITION BY campaign_id, account_id ORDER BY open_time, position_id"
 UPTO, PREV, LAST5 = (f"OVER ({PART} ROWS BETWEEN {x})" for x in ("UNBOUNDED PRECEDING AND CURRENT ROW", "UNBOUNDED PRECEDING AND 1 PRECEDING", "5 PRECEDING AND 1 PRECEDING"))
-RECENT = f"OVER ({PART} ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)"
 SECS = "(epoch_us({}) - epoch_us({})) / 1e6"
 
 PREPARED = f"""
@@ -66,7 +65,7 @@ PREPARED = f"""
         wins - CAST(net_profit > 0 AS INT) - coalesce(max(CASE WHEN net_profit <= 0 THEN wins END) {PREV}, 0) AS win_streak, greatest(0, coalesce(max(cum) {PREV}, 0)) - cum_prev AS dd FROM p1),
     p3 AS (SELECT *, last_value(CASE WHEN net_profit < 0 AND loss_streak = 0 THEN {{'m': mean_amt}} END IGNORE NULLS) {PREV} AS before_run FROM p2)"""
 FEATURE = {
-    "loss_streak": "CAST(loss_streak AS BIGINT)", "win_streak": "CAST(win_streak AS BIGINT)", "pnl_ewm": f"coalesce(list_reduce(list_prepend(0.0::DOUBLE, list(net_profit) {RECENT}), lambda a, x: 0.3::DOUBLE * x + 0.7::DOUBLE * a), 0.0)",
+    "loss_streak": "CAST(loss_streak AS BIGINT)", "win_streak": "CAST(win_streak AS BIGINT)", "pnl_ewm": f"coalesce(list_reduce(list_prepend(0.0::DOUBLE, list(net_profit) {PREV}), lambda a, x: 0.3::DOUBLE * x + 0.7::DOUBLE * a), 0.0)",
     "lot_zscore": f"CASE WHEN count(amount) {PREV} >= 3 AND min(amount) {PREV} < max(amount) {PREV} THEN (amount - mean_amt) / stddev_pop(amount) {PREV} END",
     "amount": "amount", "size_after_loss_delta": "CASE WHEN loss_streak > 0 THEN amount - before_run.m END", "has_sl": "sl_price IS NOT NULL", "has_tp": "tp_price IS NOT NULL", "sl_distance_pct": "dist",
     "sl_usage_rate_5": f"CASE WHEN count(*) {LAST5} >= 3 THEN avg(CAST(sl_price IS NOT NULL AS INT)) {LAST5} END", "manual_exit_rate_5": f"CASE WHEN count(*) {LAST5} >= 3 THEN avg(CAST(exit_type = 'manual' AS INT)) {LAST5} END",
@@ -411,11 +410,16 @@ def feature_shift(spark, sf_dir):
     return stats.shift(rows.filter("campaign_id <= 58"), rows.filter("campaign_id > 58"), SHIFTED)
 
 
-@query((f"{OUTCOME}, t AS (SELECT campaign_id AS test, 2 * (1 - 0.5::DOUBLE - 0.5::DOUBLE * tanh(abs(avg(y)) / (stddev_samp(y) / sqrt(count(*))) * 0.7978845608028654)) AS p FROM o GROUP BY 1), q AS (SELECT test, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, test) AS q_ FROM t)",
+#: Two normal tails by Simpson's rule over 2,000 steps from 0 to z: not the series that the operator sums.
+TAILS = "1 - sqrt(2 / pi()) * z / 6000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(i * z / 2000) * (i * z / 2000) / 2)))"
+
+
+@query((f"{OUTCOME}, z AS (SELECT campaign_id AS test, abs(avg(y)) / (stddev_samp(y) / sqrt(count(*))) AS z FROM o GROUP BY 1), t AS (SELECT test, greatest(0, {TAILS}) AS p FROM z), q AS (SELECT test, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, test) AS q_ FROM t)",
         f"test, {r('p', 'q = least(1.0, min(q_) OVER (ORDER BY p DESC, test DESC ROWS UNBOUNDED PRECEDING))')} FROM q"))
 def false_discovery(spark, sf_dir):
-    """q-values of a test per campaign (its p by a tanh approximation of the normal tail)."""
-    t = _outcomes(spark, sf_dir).groupBy(F.col("campaign_id").alias("test")).agg((2 * (1 - F.lit(0.5) - 0.5 * F.tanh(F.abs(F.avg("y")) / (F.stddev_samp("y") / F.sqrt(F.count(F.lit(1)))) * 0.7978845608028654))).alias("p"))
+    """q-values of a test per campaign, of the mean against 0 by the normal distribution."""
+    z = F.avg("y") / (F.stddev_samp("y") / F.sqrt(F.count(F.lit(1))))
+    t = _outcomes(spark, sf_dir).groupBy(F.col("campaign_id").alias("test")).agg(z.alias("z")).select("test", normal_tails(F.col("z")).alias("p"))
     return stats.benjamini_hochberg(t, "p")
 
 
@@ -543,13 +547,29 @@ def power_frontier(spark, sf_dir):
     return model.frontier(_fixed(spark, sf_dir), "score", (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0), "y")
 
 
-@query((f"{a.POSITIONS}", "CAST(count(*) AS BIGINT) AS checked, CAST(0 AS BIGINT) AS differing FROM positions WHERE campaign_id < 60"))
+@query((f"""{a.POSITIONS}, o AS (SELECT *, row_number() OVER ({PART}) AS ti, count(*) OVER (PARTITION BY campaign_id, account_id) AS n FROM positions), k AS (SELECT *, ti > ceil(n / 2.0) AS later FROM o),
+        c AS (SELECT *, sum(CASE WHEN later THEN net_profit ELSE 0 END) {PREV} AS moved FROM k)""", "count(*) FILTER (NOT later) AS checked, 0::BIGINT AS flipped_differ, 0::BIGINT AS prefix_differ, count(*) FILTER (abs(moved) > 1e-6) AS later_differ FROM c"))
 def causal_rebuild(spark, sf_dir):
-    """Features of every earlier position rebuilt with the later rows' outcomes changed, against those of the table as it is: none may differ."""
+    """The first half of every account's positions is rebuilt twice: with the outcomes of the account's later positions changed, and without these positions. No feature may differ.
+
+    later_differ counts positions of the second half whose running profit does follow the change, so that it is one.
+    """
     p = a.positions(spark, sf_dir)
-    changed = p.withColumn("net_profit", F.when(F.col("campaign_id") >= 60, -F.col("net_profit")).otherwise(F.col("net_profit")))
-    part, whole = f.features(changed).filter("campaign_id < 60"), f.features(p).filter("campaign_id < 60")
-    return part.agg(F.count(F.lit(1)).alias("checked")).crossJoin(F.broadcast(part.exceptAll(whole).agg(F.count(F.lit(1)).alias("differing"))))
+    own = p.withColumns({"ti": F.row_number().over(f.by_account()), "n": F.count(F.lit(1)).over(Window.partitionBy(*positions.ACCOUNT))})
+    own = own.withColumn("later", F.col("ti") > F.ceil(F.col("n") / 2))
+    closed = {"net_profit": F.when(F.col("later"), F.col("net_profit") * -3).otherwise(F.col("net_profit")), "exit_type": F.when(F.col("later"), F.lit("sl_hit")).otherwise(F.col("exit_type")), "close_time": F.when(F.col("later"), F.timestamp_add("HOUR", F.lit(5), F.col("close_time"))).otherwise(F.col("close_time"))}
+    key = (*positions.ACCOUNT, "position_id")
+    names = [n for n in f.FEATURES if n not in key]
+
+    def hashed(df, name):
+        """A digest of every feature, and the running profit, per position."""
+        out = f.features(df, keep=(*key, "later"))
+        return out.select(*key, "later", F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256).alias(name), F.round("cum_pnl_usd", 6).alias(f"{name}_cum"))
+
+    whole, flipped, prefix = hashed(own, "whole"), hashed(own.withColumns(closed), "flipped").drop("later"), hashed(own.filter("NOT later"), "prefix").drop("later")
+    both = whole.join(flipped, list(key), "left").join(prefix, list(key), "left")
+    differ = lambda c: F.count_if(~F.col("later") & ~F.col("whole").eqNullSafe(F.col(c)))
+    return both.agg(F.count_if(~F.col("later")).alias("checked"), differ("flipped").alias("flipped_differ"), differ("prefix").alias("prefix_differ"), F.count_if(F.abs(F.col("whole_cum") - F.col("flipped_cum")) > 1e-6).alias("later_differ"))
 
 
 @query(("c AS (SELECT c_custkey, upper(' ' || c_name || '@example.invalid ') AS email, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE '192.0.2.' || (c_custkey % 200) END AS ip FROM customer), k AS (SELECT ip, count(DISTINCT c_custkey) > 1 AS shared, row_number() OVER (ORDER BY min(c_custkey), ip) - 1 AS n FROM c WHERE ip IS NOT NULL GROUP BY 1)",

@@ -48,3 +48,13 @@ def test_false_discovery_is_monotone(spark):
 def test_icc_of_one_cluster_is_zero(spark):
     r = stats.icc(spark.createDataFrame([(1.0, "a"), (2.0, "a")], "y double, k string"), "y", F.col("k")).first()
     assert r["icc"] == 0 and r["deff"] == 1
+
+
+def test_normal_tails(spark):
+    """Known values of the normal distribution, both tails."""
+    from causeway.functions.exprs import normal_tails
+
+    known = {0.0: 1.0, 1.0: 0.31731050786291415, -1.959963984540054: 0.05, 2.5758293035489004: 0.01, 3.2905267314919255: 0.001, 6.0: 1.973175290075396e-09, 40.0: 0.0}
+    df = spark.createDataFrame([(z,) for z in known] + [(None,)], "z double")
+    got = {r["z"]: r["p"] for r in df.select("z", normal_tails(F.col("z")).alias("p")).collect()}
+    assert got.pop(None) is None and all(abs(got[z] - p) < 1e-13 for z, p in known.items())

@@ -78,6 +78,22 @@ def test_lint_refuses_the_rows_own_close():
     assert "sl_distance_pct" not in f.ENTRY and "loss_streak" in f.ENTRY
 
 
+@pytest.mark.parametrize("alpha", [0.01, 0.3, 1.0])
+def test_averages_forget_nothing_early(spark, alpha):
+    """A thousand positions whose earliest outcome is large, and gaps of missing ones; alpha 0.01 still remembers it."""
+    trades = [(3 * i, 3 * i + 1, 1.0, 5000 if i == 0 else (-1) ** i, "BUY", None, None, "manual") for i in range(1000)]
+    df = rows(spark, trades).withColumn("net_profit", F.when(~F.col("position_id").between(300, 700), F.col("net_profit")))
+    got = [r["pnl_ewm"] for r in f.features(df, ["pnl_ewm"], replace(DEFAULT, ewm_alpha=alpha)).orderBy("position_id").collect()]
+    want, a = [], 0.0
+    for i, t in enumerate(trades):
+        want.append(a)
+        if not 300 <= i + 1 <= 700:
+            a = alpha * t[3] + (1 - alpha) * a
+    assert got == pytest.approx(want, abs=1e-9)
+    with pytest.raises(ValueError):
+        f.decay_rows(0.0)
+
+
 def test_missing_values(spark):
     t = [list(x) for x in SIX]
     df = rows(spark, [tuple(x) for x in t]).withColumn("net_profit", F.when(F.col("position_id") != 2, F.col("net_profit")))
