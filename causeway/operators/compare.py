@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.exprs import sure
+from ..storage import written
 from . import model, stats
 from .forensics import in_step
 
@@ -101,12 +102,9 @@ def compare_models(fold_rows: DataFrame, models: dict[str, Sequence[str]], targe
             d = model.fit_design(train, columns, [])
             pred = model.scored(val, d, *model.ridge(model.gram(train, d.columns(), F.col(target))[None], alpha)).select("fold", "score", target)
             pooled = pred if pooled is None else pooled.unionByName(pred)
-        both = pooled.unionByName(pooled.withColumn("fold", F.lit(0)))
+        both = written(pooled.unionByName(pooled.withColumn("fold", F.lit(0))), "predictions")
         err = both.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("score") - F.col(target))).alias("mae"), F.avg(F.when(F.col("score") > hurdle, F.col(target))).alias("mean_selected"))
-        rho = None
-        for fold in [0, *sorted(r[0] for r in fold_rows.select("fold").distinct().collect())]:
-            one = stats.spearman(both.filter(F.col("fold") == fold), ["score"], [target]).select(F.lit(fold).alias("fold"), "rho")
-            rho = one if rho is None else rho.unionByName(one)
+        rho = stats.spearman(both, ["score"], [target], ["fold"]).select("fold", "rho")
         part = err.join(rho, "fold", "left").withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out.select("model", "fold", "n", "rho", "mae", "mean_selected")

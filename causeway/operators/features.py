@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.exprs import seconds, stop_distance, sure
+from .asof import running_medians
 from .positions import ACCOUNT, ORDER
 
 
@@ -125,7 +126,7 @@ FEATURES: dict[str, Feature] = {
         Feature("log_dt_close", lambda s: F.when(F.col("ti_") > 1, F.log1p("gap_")), _f("open_time"), _f("close_time")),
         Feature("entry_gap_sec", lambda s: F.when(F.col("ti_") > 1, F.col("gap_")), _f("open_time"), _f("close_time")),
         Feature("trades_per_hour", lambda s: F.col("ti_") / F.greatest(F.lit(1 / 60), seconds(F.col("open_time"), F.min("open_time").over(upto())) / 3600), _f("open_time"), _f("open_time"), 0),
-        Feature("sl_widening_delta", lambda s: _when_seen(F.col("dist_") - F.percentile("dist_", F.lit(0.5)).over(prev()), F.count("dist_").over(prev())), _f("sl_price", "open_price"), _f("sl_price", "open_price")),
+        Feature("sl_widening_delta", lambda s: _when_seen(F.col("dist_") - F.col("median_"), F.count("dist_").over(prev())), _f("sl_price", "open_price"), _f("sl_price", "open_price")),
         Feature("same_direction_reentry", lambda s: sure((F.col("prev_net_") < 0) & (F.col("prev_side_") == F.col("side"))).cast("int"), _f("side"), _f("net_profit", "side")),
         Feature("size_delta_ratio", lambda s: F.when(F.col("prev_amt_") != 0, F.col("amount") / F.col("prev_amt_")), _f("amount"), _f("amount")),
     )
@@ -149,6 +150,8 @@ def features(df: DataFrame, names: Sequence[str] | None = None, settings: Settin
     lint(chosen)
     if any(f.name == "pnl_ewm" for f in chosen):
         df = averaged(df, ACCOUNT, ORDER, "net_profit", settings.ewm_alpha, F.lit(0.0), "ewm_")
+    if any(f.name == "sl_widening_delta" for f in chosen):
+        df = running_medians(df.withColumn("of_", stop_distance(F.col("open_price"), F.col("sl_price"))), "of_", "median_").drop("of_")
     return prepared(df).select(*keep, *[f.build(settings).alias(f.name) for f in chosen if f.name not in keep])
 
 
@@ -157,23 +160,6 @@ def clip_of(entry_gaps: DataFrame, share: float = 0.99) -> float | None:
     return entry_gaps.agg(F.percentile("entry_gap_sec", F.lit(share))).first()[0]
 
 
-def strict_features(df: DataFrame) -> DataFrame:
-    """The features that read closes, from positions that opened and closed before this one opened.
-
-    prior_closed, loss_streak_strict, cum_pnl_strict, pnl_ewm_strict. The shipped semantics count positions that are
-    still open as known; this is the stricter reading. An account's earlier rows are folded in closing order.
-    """
-    seen = F.collect_list(F.struct("close_time", "open_time", "position_id", "net_profit")).over(prev())
-    closed = F.array_sort(F.filter(seen, lambda x: (x["close_time"] < F.col("open_time")) & (x["open_time"] < F.col("open_time"))))
-    out = df.withColumn("closed_", closed)
-    streak = F.aggregate("closed_", F.lit(0), lambda a, x: F.when(x["net_profit"] < 0, a + 1).when(x["net_profit"] >= 0, F.lit(0)).otherwise(a))
-    return out.select(
-        *ACCOUNT, "position_id", F.size("closed_").cast("long").alias("prior_closed"), streak.cast("long").alias("loss_streak_strict"),
-        F.aggregate("closed_", F.lit(0.0), lambda a, x: a + F.coalesce(x["net_profit"], F.lit(0.0))).alias("cum_pnl_strict"),
-        F.aggregate("closed_", F.lit(0.0), lambda a, x: F.coalesce(DEFAULT.ewm_alpha * x["net_profit"] + (1 - DEFAULT.ewm_alpha) * a, a)).alias("pnl_ewm_strict"),
-    )
-
-
 def overlap_histogram(df: DataFrame) -> DataFrame:
     """By how many of the last five positions were still open: open_of_5, n. Shows how much the two readings can differ."""
     last = F.collect_list("close_time").over(last5())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import sure
+from .ranks import numbered
 
 
 def activation(registered: DataFrame, active: DataFrame, campaign: str = "campaign_id", account: str = "account_id") -> DataFrame:
@@ -38,12 +39,10 @@ def in_step(df: DataFrame, group: str, minutes: int = 5) -> DataFrame:
 def shared_addresses(df: DataFrame, account: str, address: str, order: str) -> DataFrame:
     """df with shared (more than one account at the address) and ip_cluster, dense numbers in order of first appearance, -1 where the address is missing.
 
-    The numbering ranks addresses that occur, by their first row; it runs over one row per address.
+    The numbering ranks addresses that occur, by their first row; it runs over one row per address, in ranges.
     """
-    from pyspark.sql import Window
-
     per = df.filter(F.col(address).isNotNull()).groupBy(address).agg((F.count_distinct(account) > 1).alias("shared"), F.min(order).alias("o"))
-    named = per.withColumn("ip_cluster", (F.row_number().over(Window.orderBy("o", address)) - 1).cast("int")).drop("o")
+    named = numbered(per, ["o", address], "ip_cluster").withColumn("ip_cluster", F.col("ip_cluster").cast("int")).drop("o")
     return df.join(named, address, "left").withColumns({"shared": sure(F.col("shared")), "ip_cluster": F.coalesce("ip_cluster", F.lit(-1))})
 
 

@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..storage import written
 from .features import CLOSE_FIELDS, STOP_FIELDS
 
 ALPHAS = tuple(float(a) for a in np.logspace(-3, 3, 13))
 THRESHOLDS = (-100.0, 500.0, 601)
 LEAST_SELECTED = 30
+#: Levels of a categorical column at most: each is a column of the design.
+MOST_LEVELS = 1_000
 BANNED = CLOSE_FIELDS | STOP_FIELDS | frozenset("gross_loss_per_lot reverse_profit_per_lot clears_hurdle".split())
 
 
@@ -48,7 +51,9 @@ def check_columns(names: Sequence[str]) -> None:
 def fit_design(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Design:
     """Exact medians, then means and deviations of the filled columns, each in one aggregation; a column without values or spread is 0 throughout."""
     check_columns([*numeric, *categorical])
-    levels = {c: sorted(r[0] for r in train.select(F.coalesce(F.col(c).cast("string"), F.lit("unknown"))).distinct().collect()) for c in categorical}
+    levels = {c: sorted(r[0] for r in train.select(F.coalesce(F.col(c).cast("string"), F.lit("unknown"))).distinct().limit(MOST_LEVELS + 1).collect()) for c in categorical}
+    if many := [c for c, v in levels.items() if len(v) > MOST_LEVELS]:
+        raise ValueError(f"more than {MOST_LEVELS} levels: {many}")
     d = Design(list(numeric), levels)
     med = train.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in numeric]).first()
     d.median = {c: float(med[c]) if med[c] is not None else 0.0 for c in numeric}
@@ -114,26 +119,35 @@ def scored(df: DataFrame, design: Design, intercept: float, weights: Sequence[fl
 def choose_alpha(rows: DataFrame, design: Design, target: str, inner: Sequence[tuple[Sequence[int], Sequence[int]]], alphas: Sequence[float] = ALPHAS) -> tuple[float, list[tuple[float, float, float]]]:
     """The penalty with the best mean rank correlation over inner folds, then least absolute error, then the smallest: (alpha, [(alpha, rho, mae)]).
 
-    Rows are scanned once for the Gram sums of every campaign; each fold's fits are sums of those. Predictions of all
-    penalties are columns of one pass per fold.
+    Rows are scanned once for the Gram sums of every campaign; each fold's fits are sums of those. All folds and
+    penalties are predicted and ranked in one pass: the weights of a row's fold come by a join on (fold, campaign).
     """
     from .stats import spearman
 
-    by_campaign = gram(rows, design.columns(), F.col(target), "campaign_id")
-    table = {a: ([], []) for a in alphas}
-    for train, val in inner:
-        g = summed([by_campaign[c] for c in train if c in by_campaign])
-        pred = rows.filter(F.col("campaign_id").isin(*val) & F.col(target).isNotNull())
-        for i, a in enumerate(alphas):
-            pred = scored(pred, design, *ridge(g, a), name=f"p{i}")
+    columns = design.columns()
+    by_campaign = gram(rows, columns, F.col(target), "campaign_id")
+    fits = []
+    for fold, (train, val) in enumerate(inner):
+        known = [by_campaign[c] for c in train if c in by_campaign]
+        if known:
+            weights = [[b, *w.tolist()] for b, w in (ridge(summed(known), a) for a in alphas)]
+            fits += [(fold, c, weights) for c in val]
+    table: dict[float, tuple[list, list]] = {a: ([], []) for a in alphas}
+    if fits:
+        spark = rows.sparkSession
+        told = F.broadcast(spark.createDataFrame(fits, "fold_ int, campaign_id int, w_ array<array<double>>"))  # folds times campaigns
+        x = F.array(F.lit(1.0), *[c.cast("double") for c in columns])
+        pred = rows.filter(F.col(target).isNotNull()).select("campaign_id", F.col(target).alias("y_"), x.alias("x_")).join(told, "campaign_id")
         names = [f"p{i}" for i in range(len(alphas))]
-        pred = pred.select(target, *names)
-        rho = {r["a"]: r["rho"] for r in spearman(pred, names, [target]).collect()}
-        mae = pred.agg(*[F.avg(F.abs(F.col(p) - F.col(target))).alias(p) for p in names]).first()
-        for i, a in enumerate(alphas):
-            if rho.get(f"p{i}") is not None:
-                table[a][0].append(rho[f"p{i}"])
-                table[a][1].append(mae[f"p{i}"])
+        product = lambda i: F.aggregate(F.zip_with("x_", F.col("w_")[i], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        pred = written(pred.select("fold_", "y_", *[product(i).alias(n) for i, n in enumerate(names)]), "predictions")
+        rho = {(r["fold_"], r["a"]): r["rho"] for r in spearman(pred, names, ["y_"], ["fold_"]).collect()}
+        mae = {r["fold_"]: r for r in pred.groupBy("fold_").agg(*[F.avg(F.abs(F.col(p) - F.col("y_"))).alias(p) for p in names]).collect()}
+        for fold in sorted(mae):
+            for i, a in enumerate(alphas):
+                if rho.get((fold, f"p{i}")) is not None:
+                    table[a][0].append(rho[fold, f"p{i}"])
+                    table[a][1].append(mae[fold][f"p{i}"])
     report = [(a, float(np.mean(r)) if r else float("nan"), float(np.mean(m)) if m else float("nan")) for a, (r, m) in table.items()]
     known = [x for x in report if not np.isnan(x[1])]
     return (min(known, key=lambda x: (-round(x[1], 12), x[2], x[0]))[0] if known else 1.0), report

@@ -10,6 +10,9 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+from .ranks import centred_ranks
+
 #: Sum of the normal quantiles for a two-sided 5 % test with 80 % power.
 Z_SUM = NormalDist().inv_cdf(0.975) + NormalDist().inv_cdf(0.8)
 
@@ -20,26 +23,43 @@ def describe(df: DataFrame, column: str, shares: Sequence[float] = (0.1, 0.25, 0
     return df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *[F.percentile(v, F.lit(s)).alias(f"p{round(s * 100)}") for s in shares], F.max(v).alias("max"))
 
 
-def spearman(df: DataFrame, columns: Sequence[str], against: Sequence[str] | None = None) -> DataFrame:
-    """(a, b, rho, n) for every pair of columns, or of columns with `against`; rows with both values, average ranks for ties.
+def spearman(df: DataFrame, columns: Sequence[str], against: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, a, b, rho, n) for every pair of columns, or of columns with `against`, in each group of by; rows with both values, average ranks for ties.
 
-    Ranks come from counts per value: pairs are long, values are counted per (pair, value), and cumulative counts over
-    distinct values give the ranks, so the window sees distinct values only and each pair is a partition of its own.
+    A column is ranked once for all its pairs, if neither it nor a partner lacks values; a pair that lacks some ranks its
+    own rows. Ranks come from counts per value and are joined back by value. No rows give no groups, and without by one row
+    per pair with no rho.
     """
     pairs = [(a, b) for a in columns for b in against if a != b] if against else list(combinations(columns, 2))
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("p")).select("p.*").filter("x IS NOT NULL AND y IS NOT NULL")
-    cells = long.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-
-    def ranks(of: str) -> DataFrame:
-        w = Window.partitionBy("a", "b").orderBy(of)
-        each = cells.groupBy("a", "b", of).agg(F.sum("n").alias("c"))
-        return each.select("a", "b", of, (F.sum("c").over(w) - (F.col("c") - 1) / 2.0).alias(f"r{of}"))
-
-    r = cells.join(ranks("x"), ["a", "b", "x"]).join(ranks("y"), ["a", "b", "y"])
-    n, sx, sy = F.sum("n"), F.sum(F.col("n") * F.col("rx")), F.sum(F.col("n") * F.col("ry"))
-    sxy, sxx, syy = (F.sum(F.col("n") * F.col(p) * F.col(q)) for p, q in (("rx", "ry"), ("rx", "rx"), ("ry", "ry")))
-    g = r.groupBy("a", "b").agg(n.alias("n"), (sxy - sx * sy / n).alias("c"), (sxx - sx * sx / n).alias("vx"), (syy - sy * sy / n).alias("vy"))
-    return g.select("a", "b", F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.col("c") / F.sqrt(F.col("vx") * F.col("vy"))).alias("rho"), "n")
+    used = list(dict.fromkeys(c for p in pairs for c in p))
+    have = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(used)]).first()
+    whole = {c for i, c in enumerate(used) if have[f"c{i}"] == have["n"]}
+    values: dict[str, Column] = {}
+    sides: list[tuple[str, str]] = []
+
+    def side(key: tuple, value: Column) -> str:
+        names.setdefault(key, f"v{len(names)}")
+        values[names[key]] = value
+        return names[key]
+
+    names: dict[tuple, str] = {}
+    for a, b in pairs:
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        if a in whole and b in whole:
+            sides.append((side((a,), x), side((b,), y)))
+        else:
+            sides.append((side((a, b, 0), F.when(y.isNotNull(), x)), side((a, b, 1), F.when(x.isNotNull(), y))))
+    wide = df.select(*by, *[v.alias(n) for n, v in values.items()])
+    ranks = written(centred_ranks(wide, list(values), by), "ranks")
+    for n in values:
+        own = ranks.filter(F.col("column_") == n).select(*by, F.col("value_").alias(n), F.col("rank_").alias(f"r{n}"))
+        wide = wide.join(own, [*by, n], "left")
+    sums = [s for i, (x, y) in enumerate(sides) for s in (F.count(f"r{x}").alias(f"n{i}"), F.sum(F.col(f"r{x}") * F.col(f"r{y}")).alias(f"s{i}"))]
+    spread = [F.sum(F.col(f"r{n}") * F.col(f"r{n}")).alias(f"q{n}") for n in values]
+    one = wide.groupBy(*by).agg(*sums, *spread)
+    rho = lambda i, x, y: F.when((F.col(f"q{x}") > 0) & (F.col(f"q{y}") > 0), F.col(f"s{i}") / F.sqrt(F.col(f"q{x}") * F.col(f"q{y}")))
+    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), rho(i, x, y).alias("rho"), F.col(f"n{i}").alias("n")) for i, ((a, b), (x, y)) in enumerate(zip(pairs, sides, strict=True))]
+    return one.select(*by, F.explode(F.array(*rows)).alias("r_")).select(*by, "r_.*")
 
 
 def prune(pairs: Sequence[tuple[str, str, float]], coverage: dict[str, float], family: dict[str, int] | None = None, at: float = 0.9, gap: float = 0.02) -> list[tuple[str, str, float]]:

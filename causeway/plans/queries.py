@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.exprs import account_cluster, challenge, era, exit_type, ip_cluster, loss_per_lot, net_or_parts, normal_tails, number, reverse_per_lot, seconds, sure, trader_cluster
-from ..operators import bootstrap, buckets, compare, folds, forensics, history, model, positions, state, stats
+from ..operators import asof, bootstrap, buckets, compare, folds, forensics, history, model, positions, state, stats
 from ..operators import conditions as cond
 from ..operators import features as f
+from ..storage import written
 from . import adapters as a
 from .tables import POSITION, model_rows, states, with_traders
 
@@ -149,11 +150,24 @@ def trade_ideas(spark, sf_dir):
     return state.ideas(a.positions(spark, sf_dir))
 
 
-@query((f"{a.POSITIONS}, o AS (SELECT p.campaign_id, p.account_id, p.position_id, list(q.net_profit ORDER BY q.close_time, q.open_time, q.position_id) FILTER (q.position_id IS NOT NULL) AS l FROM positions p LEFT JOIN positions q ON p.campaign_id = q.campaign_id AND p.account_id = q.account_id AND q.open_time < p.open_time AND q.close_time < p.open_time GROUP BY ALL)",
-        f"campaign_id, account_id, position_id, CAST(coalesce(len(l), 0) AS BIGINT) AS prior_closed, CAST(coalesce(list_reduce(list_prepend(0.0::DOUBLE, l), lambda a, x: CASE WHEN x < 0 THEN a + 1 ELSE 0 END), 0) AS BIGINT) AS loss_streak_strict, {r('cum_pnl_strict = coalesce(list_sum(l), 0)', 'pnl_ewm_strict = coalesce(list_reduce(list_prepend(0.0::DOUBLE, l), lambda a, x: 0.3::DOUBLE * x + 0.7::DOUBLE * a), 0)')} FROM o"))
+STRICT = f"""{a.POSITIONS}, j AS (SELECT p.campaign_id, p.account_id, p.position_id, p.open_time, p.amount, p.side,
+        coalesce(list({{'o': q.open_time, 'c': q.close_time, 'n': q.net_profit, 'a': q.amount, 's': q.side, 'sl': CAST(q.sl_price IS NOT NULL AS INT), 'm': CAST(q.exit_type = 'manual' AS INT)}} ORDER BY q.open_time, q.position_id) FILTER (q.position_id IS NOT NULL), []) AS h
+        FROM positions p LEFT JOIN positions q ON p.campaign_id = q.campaign_id AND p.account_id = q.account_id AND q.open_time < p.open_time GROUP BY ALL),
+    k AS (SELECT *, list_filter(h, lambda x: x.c < open_time) AS k FROM j),
+    l AS (SELECT *, list_transform(k, lambda x: x.n) AS nets, list_transform(h, lambda x: x.a) AS amounts, list_slice(k, -5, -1) AS last5 FROM k),
+    m AS (SELECT *, CAST(list_reduce(list_prepend(0.0::DOUBLE, nets), lambda a, x: CASE WHEN x < 0 THEN a + 1 ELSE 0 END) AS BIGINT) AS losses, CAST(list_reduce(list_prepend(0.0::DOUBLE, nets), lambda a, x: CASE WHEN x > 0 THEN a + 1 ELSE 0 END) AS BIGINT) AS wins, coalesce(list_sum(nets), 0) AS total,
+        coalesce(greatest(0, list_max(list_transform(range(1, len(nets) + 1), lambda i: list_sum(list_slice(nets, 1, i))))), 0) AS top FROM l)"""
+
+
+@query((STRICT, f"""campaign_id, account_id, position_id, len(h) AS prior_opened, len(k) AS prior_closed, losses AS loss_streak_strict, wins AS win_streak_strict, {r('cum_pnl_strict = total', 'dd_from_peak_strict = top - total',
+    'pnl_ewm_strict = list_reduce(list_prepend(0.0::DOUBLE, nets), lambda a, x: 0.3::DOUBLE * x + 0.7::DOUBLE * a)', "lot_zscore_strict = CASE WHEN len(h) >= 3 AND list_min(amounts) < list_max(amounts) THEN (amount - list_avg(amounts)) / list_aggregate(amounts, 'stddev_pop') END",
+    'size_after_loss_delta_strict = CASE WHEN losses > 0 THEN amount - list_avg(list_transform(list_filter(h, lambda x: x.o < k[len(k) - losses + 1].o), lambda x: x.a)) END',
+    'sl_usage_rate_5_strict = CASE WHEN len(k) >= 3 THEN list_avg(list_transform(last5, lambda x: x.sl)) END', 'manual_exit_rate_5_strict = CASE WHEN len(k) >= 3 THEN list_avg(list_transform(last5, lambda x: x.m)) END')}, len(h) + 1 AS trade_index_strict,
+    {r('log_dt_close_strict = CASE WHEN len(k) > 0 THEN ln(1 + greatest(0, ' + SECS.format('open_time', 'k[len(k)].c') + ')) END', 'trades_per_hour_strict = (len(h) + 1) / CASE WHEN len(h) > 0 THEN greatest(1 / 60.0::DOUBLE, ' + SECS.format('open_time', 'h[1].o') + ' / 3600) ELSE 1 / 60.0::DOUBLE END')},
+    CAST(coalesce(k[len(k)].n < 0 AND h[len(h)].s = side, FALSE) AS INTEGER) AS same_direction_reentry_strict, {r('size_delta_ratio_strict = amount / nullif(h[len(h)].a, 0)')} FROM m"""))
 def strict_features(spark, sf_dir):
-    """Closed-position features under the strict reading: only what had closed before."""
-    return f.strict_features(a.positions(spark, sf_dir))
+    """Features under the strict reading: outcomes only of what had closed before."""
+    return asof.strict_features(a.positions(spark, sf_dir))
 
 
 @query((f"{a.POSITIONS}, h AS (SELECT open_time, list(close_time) {LAST5} AS l FROM positions)", "CAST(len(list_filter(l, lambda c: c >= open_time)) AS BIGINT) AS open_of_5, count(*) AS n FROM h WHERE l IS NOT NULL GROUP BY 1"))
@@ -325,7 +339,7 @@ RHO = f"{BASE}, rho AS ({' UNION ALL '.join(_rank_sql('f_' + x, 'f_' + y, x, y,
 
 @query((RHO, f"a, b, {r('rho')}, n FROM rho"))
 def rank_correlation(spark, sf_dir):
-    return stats.spearman(f.features(a.positions(spark, sf_dir), CORRELATED), CORRELATED)
+    return stats.spearman(written(f.features(a.positions(spark, sf_dir), CORRELATED), "features"), CORRELATED)
 
 
 @query((RHO, f"a, b, {r('rho')}, n FROM rho WHERE abs(rho) > 0.7"))
@@ -336,7 +350,7 @@ def correlated_pairs(spark, sf_dir):
 @query()
 def correlation_prune(spark, sf_dir):
     """Which of the correlated features go (a sequential rule over the collected pairs)."""
-    rows = f.features(a.positions(spark, sf_dir), CORRELATED)
+    rows = written(f.features(a.positions(spark, sf_dir), CORRELATED), "features")
     pairs = [(x["a"], x["b"], x["rho"]) for x in stats.spearman(rows, CORRELATED).collect() if x["rho"] is not None]
     cover = {x["feature"]: x["coverage"] for x in stats.coverage(rows, CORRELATED).collect()}
     return spark.createDataFrame(stats.prune(pairs, cover, at=0.74), "dropped string, kept string, rho double")
@@ -484,7 +498,7 @@ CATEGORICAL = ("challenge_type", "shared_ip")
 
 
 def _artifact(spark, sf_dir, upto: int = 56):
-    rows = model_rows(spark, sf_dir).persist()  # read by every step of the fit; rebuilt from its plan where a part is lost
+    rows = written(model_rows(spark, sf_dir), "model_rows")  # read by every step of the fit
     return model.fit_all(rows.filter(F.col("campaign_id") <= upto), NUMERIC, CATEGORICAL), rows
 
 
@@ -640,7 +654,7 @@ def random_in_step(spark, sf_dir):
 @query()
 def model_comparison(spark, sf_dir):
     """Two feature sets over purged walk-forward folds and pooled."""
-    rows = folds.fold_rows(model_rows(spark, sf_dir), "A", FLAGGED)
+    rows = written(folds.fold_rows(model_rows(spark, sf_dir), "A", FLAGGED), "fold_rows")
     return compare.compare_models(rows, {"size": ["amount", "trade_index"], "streaks": ["amount", "trade_index", "loss_streak", "pnl_ewm", "cum_pnl_usd"]}, "reverse_profit_per_lot")
 
 
