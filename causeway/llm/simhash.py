@@ -7,7 +7,11 @@ brings candidates together, and the full distance is verified.
 
 The join is a repartition and sort by variant, read as runs. Within a run pairs are compared in blocks of numpy; a long
 run gives a spanning forest of its links, not all pairs. A run beyond MOST_IN_RUN is passed on and indexed again by the
-variants of its remaining bits, which keeps every link because the same argument holds for those bits.
+variants of its remaining bits, which keeps every link because the same argument holds for those bits; as fingerprints
+are distinct, each level leaves fewer of a run, and it ends.
+
+Removal of near-duplicates takes these links first, verifies them on whole shingle sets, and completes them: fingerprints
+of texts at the wanted similarity may lie further apart, so an exact index of shingle prefixes finds the other pairs.
 """
 
 from __future__ import annotations
@@ -116,32 +120,8 @@ def _forest(fps: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
 
 
-def _nearest_tree(fps: np.ndarray, alts: np.ndarray, most_bits: int, most_alt: int) -> tuple[np.ndarray, np.ndarray]:
-    """A minimum spanning forest by the alts' distance, and each member's two nearest before it in the tree's order: whatever bound on that distance holds later, the forest connects what it can."""
-    n = len(fps)
-    best, to = np.full(n, 255, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    out: list[tuple[int, int]] = []
-    done = np.zeros(n, dtype=bool)
-    second, second_to = np.full(n, 255, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    x = 0
-    for _ in range(n):
-        done[x] = True
-        for d, t in ((best[x], to[x]), (second[x], second_to[x])):
-            if d <= most_alt:
-                out.append((int(t), x))
-        d = np.bitwise_count(alts ^ alts[x]).astype(np.int64)
-        d[np.bitwise_count(fps ^ fps[x]) > most_bits] = 255
-        nearer = d < best
-        second = np.where(nearer, best, np.minimum(second, d))
-        second_to = np.where(nearer, to, np.where(d <= second, x, second_to))
-        best, to = np.where(nearer, d, best), np.where(nearer, x, to)
-        x = int(np.where(done, 256, best).argmin())
-    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def _run_links(keys: np.ndarray, fps: np.ndarray, alts: np.ndarray, most_bits: int, most_alt: int | None, masks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked pairs in rows sorted by key. With most_alt a pair's alts must be near too. masks: those of the first level, to give a pair under one of its variants only."""
+def _run_links(keys: np.ndarray, fps: np.ndarray, most_bits: int, masks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of linked pairs in rows sorted by key. masks: those of the first level, to give a pair under one of its variants only."""
     new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     longs = np.diff(np.r_[new, len(keys)])
     size = np.repeat(longs, longs)
@@ -153,15 +133,11 @@ def _run_links(keys: np.ndarray, fps: np.ndarray, alts: np.ndarray, most_bits: i
         i = i[keys[i] == keys[i + off]]
         if not len(i):
             break
-        x = fps[i] ^ fps[i + off]
-        ok = np.bitwise_count(x) <= most_bits
-        if most_alt is not None:
-            ok &= np.bitwise_count(alts[i] ^ alts[i + off]) <= most_alt
-        i = i[ok]
+        i = i[np.bitwise_count(fps[i] ^ fps[i + off]) <= most_bits]
         a.append(i)
         b.append(i + off)
     for at, n in zip(new[longs > SHORT_RUN], longs[longs > SHORT_RUN], strict=True):
-        x, y = _forest(fps[at : at + n], most_bits) if most_alt is None else _nearest_tree(fps[at : at + n], alts[at : at + n], most_bits, most_alt)
+        x, y = _forest(fps[at : at + n], most_bits)
         a.append(at + x)
         b.append(at + y)
     if not a:
@@ -169,24 +145,24 @@ def _run_links(keys: np.ndarray, fps: np.ndarray, alts: np.ndarray, most_bits: i
     i, j = np.concatenate(a), np.concatenate(b)
     if masks is not None:
         # A pair counts under the first variant that it shares. A forest's pair of a later variant is left to the run of
-        # the first one, where both are and whose forest joins them by pairs no farther apart; so nothing is cut off.
+        # the first one, where both are and whose forest joins them; so nothing is cut off.
         first = np.argmax(((fps[i] ^ fps[j])[:, None] & masks[None, :]) == 0, axis=1)
         own = first == (keys[i] & np.uint64(63)).astype(np.int64)
         i, j = i[own], j[own]
     return i, j
 
 
-INDEXED = "key long, fp long, node long, alt long, fixed long"
-LINKED = "u long, v long, key long, fp long, node long, alt long, fixed long"
+INDEXED = "key long, fp long, fixed long"
+LINKED = "u long, v long, key long, fp long, fixed long"
 
 
 def _index(parts: int):
-    """(fp, node, alt, key, fixed: the bits that the key holds already) -> a row per variant of the other bits."""
+    """(fp, key, fixed: the bits that the key holds already) -> a row per variant of the other bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks: dict[int, np.ndarray] = {}
         for batch in batches:
-            fp, node, alt, key, fixed = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "node", "alt", "key", "fixed"))
+            fp, key, fixed = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "key", "fixed"))
             for at in range(0, len(fp), 4096):
                 s = slice(at, at + 4096)
                 for have in np.unique(fixed[s]).tolist():
@@ -197,33 +173,31 @@ def _index(parts: int):
                     kept = fp[i][:, None] & m
                     # at the first level the low six bits tell the variant; the rest is spread, and a clash only adds a pair that is verified anyway
                     new = (_mixed(kept ^ (v << np.uint64(58)) ^ _mixed(key[i])[:, None] * np.uint64(have != 0)) & ~np.uint64(63)) | (v & np.uint64(63))
-                    cols = [new, *(np.repeat(c[i], len(m)) for c in (fp, node, alt)), np.broadcast_to(m | np.uint64(have), kept.shape)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).reshape(-1).view(np.int64)) for c in cols], ["key", "fp", "node", "alt", "fixed"])
+                    cols = [new, np.repeat(fp[i], len(m)), np.broadcast_to(m | np.uint64(have), kept.shape)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).reshape(-1).view(np.int64)) for c in cols], ["key", "fp", "fixed"])
 
     return run
 
 
-def _link(most_bits: int, most_alt: int | None, masks: np.ndarray | None):
+def _link(most_bits: int, masks: np.ndarray | None):
     """Rows sorted by key -> links (u, v), or, of runs that are too long, the rows themselves."""
-
-    def out(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(u), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), *[none] * 5], LINKED.replace(" long", "").split(", "))
+    names = [x.split(" ")[0] for x in LINKED.split(", ")]
 
     def passed(rows: list[np.ndarray]) -> pa.RecordBatch:
         none = pa.nulls(len(rows[0]), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, *(pa.array(c.view(np.int64)) for c in rows)], LINKED.replace(" long", "").split(", "))
+        return pa.RecordBatch.from_arrays([none, none, *(pa.array(c.view(np.int64)) for c in rows)], names)
 
     def links(rows: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = _run_links(rows[0], rows[1], rows[3], most_bits, most_alt, masks)
-        u, v = rows[2][a], rows[2][b]
-        return out(u[u != v], v[u != v])
+        a, b = _run_links(rows[0], rows[1], most_bits, masks)
+        u, v = rows[1][a], rows[1][b]
+        u, v = u[u != v], v[u != v]
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), *[pa.nulls(len(u), pa.int64())] * 3], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.uint64)] * 5
+        held = [np.empty(0, np.uint64)] * 3
         hot: np.uint64 | None = None
         for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("key", "fp", "node", "alt", "fixed")]
+            new = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("key", "fp", "fixed")]
             rows = [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
             while len(rows[0]):
                 keys = rows[0]
@@ -262,24 +236,18 @@ def _without_hot(rows: list[np.ndarray]) -> Iterator[tuple[bool, list[np.ndarray
             yield kind, [c[hot == kind] for c in rows]
 
 
-def links(nodes: DataFrame, most_bits: int = MOST_BITS, parts: int | None = None, most_alt: int | None = None) -> DataFrame:
-    """nodes (fp, node: bigints) -> (u, v) of nodes: enough links to span all pairs whose fps differ in at most most_bits bits.
-
-    All links of short runs are given, a spanning forest of long ones; pairs may repeat. With fewer parts than
-    most_bits // 2 + 1 nothing is missed up to 2 * parts - 1 bits only, and pairs beyond are found by chance. With
-    most_alt, nodes has a second fingerprint alt that must be near too, and long runs give a minimum spanning forest by it.
-    """
-    parts = parts or most_bits // 2 + 1
-    first = np.array(variants(list(range(64)), parts), dtype=np.uint64)
+def links(fps: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """fps (fp: distinct bigints) -> (u, v) of fingerprints: enough links to span all pairs that differ in at most most_bits bits. All links of short runs are given, a spanning forest of long ones; pairs may repeat."""
+    parts = most_bits // 2 + 1
     none = F.lit(0).cast("long")
-    rows = nodes.filter("fp IS NOT NULL AND node IS NOT NULL").select("fp", "node", none.alias("alt") if most_alt is None else "alt", none.alias("key"), none.alias("fixed"))
-    found, masks = None, first
+    rows = fps.filter("fp IS NOT NULL").select("fp", none.alias("key"), none.alias("fixed"))
+    found, masks = None, np.array(variants(list(range(64)), parts), dtype=np.uint64)
     while True:
         indexed = rows.mapInArrow(_index(parts), INDEXED).repartition("key").sortWithinPartitions("key")
-        out = written(indexed.mapInArrow(_link(most_bits, most_alt, masks), LINKED), "linked")
+        out = written(indexed.mapInArrow(_link(most_bits, masks), LINKED), "linked")
         some = out.filter("u IS NOT NULL").select("u", "v")
         found = some if found is None else found.unionByName(some)
-        rows, masks = out.filter("u IS NULL").select("fp", "node", "alt", "key", "fixed"), None
+        rows, masks = out.filter("u IS NULL").select("fp", "key", "fixed"), None
         if not rows.take(1):
             return found
 
@@ -295,21 +263,27 @@ def near_components(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     are kept; they name a component only if it has no other id.
     """
     each = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    comp = components(links(each.select("fp", F.col("fp").alias("node")), most_bits))
+    comp = components(links(each.select("fp"), most_bits))
     named = comp.join(each, comp["node"] == each["fp"]).groupBy("component").agg(F.min("least").alias("component_id"))
     linked = comp.join(named, "component").select(F.col("node").alias("fp"), "component_id")
     label = each.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(written(label, "labels"), "fp")
 
 
-#: Near-duplicates of the pipeline: words of a shingle, and similarity.
+# --- removal of near-duplicates ---
+
+#: Words of a shingle, and similarity.
 NEAR_WORDS, SIMILARITY = 5, 0.8
 #: Shingles are counted in one of so many texts; those met in LEAST_COMMON of them come last in every text's order, the commonest MOST_COMMON at most.
 SAMPLED, LEAST_COMMON, MOST_COMMON = 16, 4, 1_000_000
-#: While runs hold more pairs than this for each text, those over LONG_RUN give each member's pairs with NEIGHBOURS others only, for ROUNDS rounds at most or until one joins little; then all pairs that are left are verified.
-PAIRS_A_TEXT, LONG_RUN, NEIGHBOURS, ROUNDS = 64, 64, 4, 3
+#: A run with more pairs than this for each member, if it is longer than LONG_RUN, gives each member's pairs with NEIGHBOURS others only, for ROUNDS rounds at most or until one joins little; then all pairs that are left are verified.
+PAIRS_A_MEMBER, LONG_RUN, NEIGHBOURS, ROUNDS = 64, 64, 4, 3
 #: Pairs that one task compares at once.
 AT_ONCE = 4_000_000
+#: Keys of texts (some 50 bytes each) that are broadcast at most; more are joined by a shuffle of the texts.
+BROADCAST_TEXTS = 200_000
+#: Nodes that a task remembers, to index copies once.
+REMEMBERED = 100_000
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -326,11 +300,20 @@ def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.nd
 
 
 SKETCH = ["s0", "s1", "s2", "s3"]
+SKETCH_BYTES = 8 * len(SKETCH)
+
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Bytes of parities: how many shingles fall on each bit, of two bits a shingle at least and a power of two. Two sets differ in at least as many shingles as their parities differ in bits."""
+    bits = max(8 * SKETCH_BYTES, 2 << max(len(shingles) - 1, 0).bit_length())
+    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """Parities of how many shingles fall on each of 256 bits: two sets differ in at least as many shingles as their sketches differ in bits."""
-    return np.packbits((np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).tobytes()
+
+def folded(parity: np.ndarray, to: int) -> np.ndarray:
+    """The parities of the same set on fewer bits."""
+    while len(parity) > to:
+        parity = parity[: len(parity) // 2] ^ parity[len(parity) // 2 :]
+    return parity
 
 
 def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
@@ -349,24 +332,36 @@ def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def _prints(size: int, similarity: float, shared):
-    """(doc_id, digest, text) -> doc_id, digest, node (of the set), n (shingles in it), sketch, prefix."""
+    """(doc_id, digest, text) -> doc_id, digest, node (of the set), n (shingles in it), fp (of the set), sketch, parity, prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
             node = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) for s in sets]
-            bits = np.frombuffer(b"".join(map(sketch, sets)), dtype="<i8").reshape(-1, len(SKETCH))
+            parity = [parities(s) for s in sets]
+            bits = np.frombuffer(b"".join(folded(p, SKETCH_BYTES).tobytes() for p in parity), dtype="<i8").reshape(-1, len(SKETCH))
             first = [prefix(s, shared.value, similarity).astype("<u8").tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(b) for b in np.ascontiguousarray(bits.T)), pa.array(first, pa.binary())], ["doc_id", "digest", "node", "n", *SKETCH, "prefix"])
+            made = [pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([majority(s) for s in sets], pa.int64()), *(pa.array(b) for b in np.ascontiguousarray(bits.T)), pa.array([p.tobytes() for p in parity], pa.binary()), pa.array(first, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *made], ["doc_id", "digest", "node", "n", "fp", *SKETCH, "parity", "prefix"])
 
     return run
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, prefix) -> (key, node), of each node once in a task."""
+    seen: set[int] = set()
     for batch in slices(batches, "prefix"):
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        new = []
+        for i, node in enumerate(batch.column("node").to_pylist()):
+            if node not in seen:
+                seen.add(node)
+                new.append(i)
+        batch = batch.take(pa.array(new, pa.int64()))
         first = [np.frombuffer(p, dtype="<i8") for p in batch.column("prefix").to_pylist()]
         row = pa.array(np.repeat(np.arange(len(first)), [len(p) for p in first]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), batch.column("node").take(row), batch.column("n").take(row)], ["key", "node", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first) if first else np.empty(0, np.int64)), batch.column("node").take(row)], ["key", "node"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -390,16 +385,22 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by key, without the keys that only one node has."""
-    for key, node, n in _runs(batches):
+    """Postings sorted by key and node, each once, without the keys that only one node has."""
+    for key, node in _runs(batches):
+        once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        key, node = key[once], node[once]
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         longs = np.diff(np.r_[new, len(key)])
         more = np.repeat(longs > 1, longs)
-        yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (key, node, n)], ["key", "node", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (key, node)], ["key", "node"])
 
 
 def _pairs(similarity: float, turn: int | None):
-    """Postings (key, node, n, group, sketch) sorted by key -> pairs u < v of a run that are of two groups and can be near by sizes and sketches: all, or in a turn not those of long runs beyond each member's neighbours in an order of that turn."""
+    """Postings (key, node, n, group, sketch) sorted by key -> pairs u < v of a run that are of two groups and can be near by sizes and sketches.
+
+    All of them; but in a turn a long run with many pairs gives only each member's neighbours in an order of that turn,
+    and a row (null, pairs of two groups in it) that says so.
+    """
     apart = (1 - similarity) / (1 + similarity)  # of both sizes, what near sets differ in at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,9 +424,12 @@ def _pairs(similarity: float, turn: int | None):
                     break
                 yield said(i, i + off)
             for at, m in zip(new[longs > LONG_RUN].tolist(), longs[longs > LONG_RUN].tolist(), strict=True):
-                if (group[at : at + m] == group[at]).all():
+                _, each = np.unique(group[at : at + m], return_counts=True)
+                left = (m * m - int((each.astype(np.int64) ** 2).sum())) // 2
+                if not left:
                     continue
-                if turn is not None:
+                if turn is not None and left > PAIRS_A_MEMBER * m:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([left], pa.int64())], ["u", "v"])
                     order = at + np.argsort(_mixed(node[at : at + m].view(np.uint64) ^ np.uint64(turn)))
                     yield said(np.full(m - 1, order[0]), order[1:])
                     for off in range(1, NEIGHBOURS + 1):
@@ -440,10 +444,33 @@ def _pairs(similarity: float, turn: int | None):
 
 
 def _sets(size: int):
+    """(node, text) -> (node, set), of each node once in a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in slices(batches, "text"):
-            sets = [shingle_set(t, size).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            new = {node: t for node, t in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True) if node not in seen}
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([shingle_set(t, size).tobytes() for t in new.values()], pa.binary())], ["node", "set"])
+
+    return run
+
+
+def _can_be_near(similarity: float):
+    """(u, v, nu, nv, a, b: parities) -> the pairs that their parities don't prove apart."""
+    apart = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (x, y, n) in enumerate(zip(batch.column("a"), batch.column("b"), (batch.column("nu").to_numpy() + batch.column("nv").to_numpy()).tolist(), strict=True)):
+                a, b = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
+                to = min(len(a), len(b))
+                if int(np.bitwise_count((folded(a, to) ^ folded(b, to)).view(np.uint64)).sum()) <= apart * n + 1e-9:
+                    keep.append(i)
+            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
     return run
 
@@ -462,32 +489,61 @@ def _verified(similarity: float):
     return run
 
 
-def near_links(docs: DataFrame, texts: DataFrame, postings: DataFrame, size: int, similarity: float) -> DataFrame:
+def _listed(keys: DataFrame) -> DataFrame:
+    """keys, a written table, to be broadcast if it has BROADCAST_TEXTS rows at most."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_TEXTS else keys
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of pairs (u, v) of nodes those whose whole sets reach the similarity. Parities turn most others away before sets travel."""
+    half = lambda c, s, n: texts.select(F.col("node").alias(c), F.col("n").alias(n), F.col("parity").alias(s))
+    rough = pairs.join(half("u", "a", "nu"), "u").join(half("v", "b", "nv"), "v").select("u", "v", "nu", "nv", "a", "b")
+    rough = written(rough.mapInArrow(_can_be_near(similarity), "u long, v long"), "rough")
+    nodes = rough.select(F.col("u").alias("node")).unionByName(rough.select(F.col("v").alias("node"))).distinct()
+    wanted = _listed(written(texts.join(nodes, "node").select("node", F.col("least.digest").alias("_digest"), F.col("least.doc_id").alias("_id")), "wanted"))
+    own = docs.select("doc_id", _digest().alias("digest"), _body().alias("text"))
+    bodies = own.join(wanted, (own["digest"] == wanted["_digest"]) & own["doc_id"].eqNullSafe(wanted["_id"]))
+    sets = written(bodies.select("node", "text").mapInArrow(_sets(size), "node long, set binary").dropDuplicates(["node"]), "sets")
+    both = rough.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    return written(both.select("u", "v", "a", "b").mapInArrow(_verified(similarity), "u long, v long"), "near")
+
+
+def _body() -> Column:
+    return F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2(_body(), 256))
+
+
+def simhash_pairs(texts: DataFrame) -> DataFrame:
+    """texts (node, fp) -> pairs of nodes whose fingerprints are near: of each fingerprint all with its least node, and the least nodes of linked fingerprints."""
+    heads = written(texts.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("m")), "heads")
+    same = texts.select("node", "fp").join(heads.filter("m > 1"), "fp").filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    near = links(heads.select("fp")).select(F.col("u").alias("fu"), F.col("v").alias("fv"))
+    near = near.join(heads.select(F.col("fp").alias("fu"), F.col("head").alias("x")), "fu").join(heads.select(F.col("fp").alias("fv"), F.col("head").alias("y")), "fv")
+    return written(same.unionByName(near.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))).distinct(), "candidates")
+
+
+def near_groups(docs: DataFrame, texts: DataFrame, postings: DataFrame, size: int, similarity: float) -> DataFrame:
     """(node, component) of texts: components of all pairs of sets that reach the similarity.
 
-    Only pairs of two groups are verified, groups being the components so far: within one, nothing can be added.
+    SimHash links come first. Then shared prefixes bring all other pairs together, of which only those of two groups are
+    verified, groups being the components so far: within one, nothing can be added.
     """
-    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    most = PAIRS_A_TEXT * texts.count()
-    postings = postings.join(texts.select("node", *SKETCH), "node")
-    links, groups, turn, before = None, None, 0, float("inf")
+    links = confirmed(simhash_pairs(texts), docs, texts, size, similarity)
+    turn, before = 0, float("inf")
     while True:
-        rows = postings.withColumn("group", F.col("node")) if groups is None else postings.join(groups.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-        each = rows.groupBy("key", "group").agg(F.count(F.lit(1)).cast("double").alias("g")).groupBy("key").agg(F.sum("g").alias("m"), F.sum(F.col("g") * F.col("g")).alias("own"))
-        left = each.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()[0] or 0.0
-        last = left <= most or turn >= ROUNDS or left > before / 2
-        found = rows.repartition("key").sortWithinPartitions("key").select("key", "node", "n", "group", *SKETCH).mapInArrow(_pairs(similarity, None if last else turn), "u long, v long")
-        pairs = written(found.filter("u <> v").distinct(), "pairs")
-        nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        wanted = texts.join(nodes, "node").select("node", F.col("least.digest").alias("digest"), F.col("least.doc_id").alias("doc_id"))
-        bodies = docs.select("doc_id", F.sha2(body, 256).alias("digest"), body.alias("text")).join(wanted, "digest").filter(docs["doc_id"].eqNullSafe(wanted["doc_id"]))
-        sets = written(bodies.select("node", "text").mapInArrow(_sets(size), "node long, set binary").dropDuplicates(["node"]), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-        some = written(both.select("u", "v", "a", "b").mapInArrow(_verified(similarity), "u long, v long"), "near")
-        links = some if links is None else links.unionByName(some)
-        groups, turn, before = components(links), turn + 1, left
-        if last:
-            return groups
+        groups = components(links)
+        told = texts.select("node", "n", *SKETCH).join(groups.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+        rows = postings.join(told, "node").repartition("key").sortWithinPartitions("key").select("key", "node", "n", "group", *SKETCH)
+        found = written(rows.mapInArrow(_pairs(similarity, turn), "u long, v long").distinct(), "pairs")
+        left = found.filter("u IS NULL").agg(F.sum("v")).first()[0] or 0
+        links = links.unionByName(confirmed(found.filter("u <> v"), docs, texts, size, similarity))
+        if not left:
+            return components(links)
+        turn = None if turn is None or turn + 1 >= ROUNDS or left > before / 2 else turn + 1
+        before = left
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -495,28 +551,28 @@ def drop_near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: fl
 
     Two texts are linked if the Jaccard similarity of their sets of `size`-word shingles (lower-cased A-Z) reaches
     `similarity`; groups are connected components; texts of equal sets are of one group, empty and null ones too,
-    repeated rows count as copies. Nothing is missed: such sets share one of their first shingles in any common order,
-    so those are indexed, and every pair that they bring together is verified on the whole sets unless both are of one
-    group already or sizes and sketches prove them apart. Texts of one set cost one entry. A null doc_id is kept only where its group has no other.
+    repeated rows count as copies. Candidates are texts with near SimHash fingerprints of their sets, then all that
+    share one of their first shingles in a common order, as sets at the similarity must: nothing is missed. Every pair
+    is verified on the whole sets unless both are of one group already or sizes and parities prove them apart. Texts of
+    one set cost one entry. A null doc_id is kept only where its group has no other.
     """
-    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    own = docs.select("doc_id", F.sha2(body, 256).alias("digest"), body.alias("text"))
+    own = docs.select("doc_id", _digest().alias("digest"), _body().alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(own, size))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = written(own.mapInArrow(_prints(size, similarity, shared), f"doc_id {kind}, digest string, node long, n long, {', '.join(f'{c} long' for c in SKETCH)}, prefix binary"), "prints")
+    schema = f"doc_id {kind}, digest binary, node long, n long, fp long, {', '.join(f'{c} long' for c in SKETCH)}, parity binary, prefix binary"
+    prints = written(own.mapInArrow(_prints(size, similarity, shared), schema), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest"))
-    full = written(prints.groupBy("node").agg(F.min(order).alias("least"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH], F.first("prefix").alias("prefix")), "texts")
-    texts = full.select("node", "least", *SKETCH)
-    found = full.select("node", "n", "prefix").mapInArrow(_postings, "key long, node long, n long")
-    postings = written(found.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "key long, node long, n long"), "postings")
-    linked = near_links(docs, texts, postings, size, similarity)
+    texts = written(prints.groupBy("node").agg(F.min(order).alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", *SKETCH, "parity")]), "texts")
+    found = prints.select("node", "prefix").mapInArrow(_postings, "key long, node long")
+    postings = written(found.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_repeated, "key long, node long"), "postings")
+    linked = near_groups(docs, texts, postings, size, similarity)
     named = texts.select("node", "least").join(linked, "node", "left").withColumn("group", F.coalesce("component", "node"))
     first = named.groupBy("group").agg(F.min("least").alias("first"))
     # rows that go: those that aren't the first of their group
     kept = named.join(first, "group").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest"))
     labels = written(prints.select("doc_id", "digest", "node").join(kept, "node").select("doc_id", "digest", ((F.col("digest") == F.col("first_digest")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("stays")), "stays")
-    gone = labels.filter("NOT stays").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    marked = docs.withColumn("_own", F.sha2(body, 256))
+    gone = _listed(written(labels.filter("NOT stays").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "gone"))
+    marked = docs.withColumn("_own", _digest())
     out = marked.join(gone, marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_own"] == gone["_digest"]), "left_anti")
     if labels.filter("stays").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").take(1):
         out = out.dropDuplicates(["doc_id", "_own"])
