@@ -1,12 +1,16 @@
 """Exact top-k search by inner product: a Voronoi kNN join.
 
 Inner products become distances by one more coordinate: data get sqrt(M^2 - |s|^2), M being the largest norm, and queries
-0, so the largest product is the nearest point. Pivots (a bounded sample of the data) cut the space into cells. Per cell
-summaries are gathered: how far its queries lie from the pivot at most, how far its data lie at least and at most, and
-the k smallest of those distances. From the summaries alone each query cell gets a bound on the distance of its k-th
-neighbour; a data vector is sent to a query cell only if its distance from its own pivot could lie within that bound.
-Cells are cut into blocks of bounded size, each pair of blocks is solved where it lands, and the k best per block meet
-in a last ranking.
+0, so the largest product is the nearest point. Pivots (rows of a bounded sample that lie far apart, about the square root
+of the data's size) cut the space into cells. Per cell summaries are gathered: how far its queries lie from the pivot at most, how far its
+data lie at least and at most, and the k smallest of those distances. From the summaries alone each query cell gets a
+bound on the distance of its k-th neighbour.
+
+Query cells next to each other form groups of bounded size. A data vector is sent to a group only if its distance from
+its own pivot could lie within the bound of one of the group's cells; so a vector is copied once for each group that
+needs it, not for each cell. A group's data are cut into blocks, each is solved where it lands, and the k best per block
+meet in a last ranking. Where vectors point in all directions alike no bound can turn any away, and each goes to every
+group once; where they form clusters most are left out.
 
 Bounds are floats with a margin; scores are exact integers.
 """
@@ -24,8 +28,12 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SCALE, TOP, QUERY_STEP = 256, 5, 50
-#: A pivot per so many queries, so many at most (their number bounds what is collected and broadcast), and vectors of one block of queries or data.
-QUERIES_A_PIVOT, PIVOTS, QUERY_BLOCK, DATA_BLOCK = 256, 64, 4_096, 16_384
+#: Pivots at most (what is collected and broadcast of them), and vectors of one group of queries and one block of data.
+PIVOTS, QUERY_BLOCK, DATA_BLOCK = 1_024, 4_096, 16_384
+#: Rows that each pivot is picked from.
+PICKED = 16
+#: Rows whose distances are held at once.
+AT_ONCE = 4_096
 
 
 def integer_vectors(df: DataFrame, vec: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -73,6 +81,16 @@ def _assign(pivots: np.ndarray, pivot_extra: np.ndarray, top_norm2: float, packe
     return run
 
 
+def apart(x: np.ndarray, n: int) -> np.ndarray:
+    """n rows of x, each the farthest from those before it, so that no far cluster is without one; fewer if x has fewer different ones."""
+    out = [0]
+    least = ((x - x[0]) ** 2).sum(1)
+    while len(out) < n and least.max() > 0:
+        out.append(int(least.argmax()))
+        least = np.minimum(least, ((x - x[out[-1]]) ** 2).sum(1))
+    return x[out]
+
+
 def bounds(between: np.ndarray, query_far: np.ndarray, nearest: list[list[float]], k: int) -> np.ndarray:
     """For each query cell, a distance within which each of its queries has k neighbours at least (infinite if the data are fewer).
 
@@ -88,93 +106,144 @@ def bounds(between: np.ndarray, query_far: np.ndarray, nearest: list[list[float]
     return out
 
 
-def top_k(data: DataFrame, is_query, k: int = TOP, pivots: int = PIVOTS) -> DataFrame:
-    """data (id, v: equally long arrays of bigint) -> query_id, rank, vec_id, score: the k best of all other rows for every row where is_query.
+def _spread_evenly(ids: np.ndarray, over) -> np.ndarray:
+    """A number below `over` for each id, whatever divisors the ids share."""
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)) % over
 
-    Ties go to the smaller id. Fewer than k others: all of them. A query never meets its own id (nor another row of it);
-    rows with a null id take no part. No rows or no queries give none; unequal lengths fail. v's products must fit 64 bits.
+
+class Plan:
+    """What the summaries tell: which cells' queries make up which groups, and which data a group needs.
+
+    queries, far: of each cell, its queries and how far the farthest lies; data, lo, hi: the same of its data; bound: of
+    each query cell.
     """
-    spark = data.sparkSession
-    rows = written(data.filter("id IS NOT NULL").select("id", "v", is_query.alias("query")), "vectors")
-    sizes = rows.agg(F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("norm2"), F.count_if("query").alias("queries")).first()
-    empty = "query_id long, rank int, vec_id long, score long"
-    if sizes["a"] is None:
-        return spark.createDataFrame([], empty)
-    if sizes["a"] != sizes["b"]:
-        raise ValueError(f"vectors of {sizes['a']} to {sizes['b']} components")
-    top_norm2 = float(sizes["norm2"]) * (1 + 1e-9) + 1.0
-    packed = "<i2" if top_norm2 < 2.0**29 else "<i4" if top_norm2 < 2.0**61 else "<i8"
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(max(4, min(pivots, -(-sizes["queries"] // QUERIES_A_PIVOT)))).select("v").collect()
-    points = np.array([r["v"] for r in picked], dtype=np.float64)
+
+    BLOCKS = 1 << 20
+
+    def __init__(self, between: np.ndarray, queries: np.ndarray, far: np.ndarray, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, bound: np.ndarray):
+        self.between, self.far, self.bound = between, far, bound
+        self.asking = np.flatnonzero(queries)
+        #: By cell its first group; a cell of more than QUERY_BLOCK queries has several of its own.
+        self.first, self.split = np.zeros(len(queries), dtype=np.int64), np.maximum(1, -(-queries // QUERY_BLOCK))
+        self.cells: list[list[int]] = []
+        room = 0
+        for i in self._walk():
+            if queries[i] > room:
+                self.cells.append([])
+                room = QUERY_BLOCK
+            self.first[i] = len(self.cells) - 1
+            self.cells[-1].append(i)
+            self.cells += [[i] for _ in range(self.split[i] - 1)]
+            room = room - queries[i] if self.split[i] == 1 else 0
+        #: By group the blocks that its data are cut into: cells none of whose data can be near enough don't count.
+        self.blocks = []
+        for cells in self.cells:
+            gap = np.maximum(between[cells] - far[cells, None] - hi[None, :], lo[None, :] - between[cells] - far[cells, None])
+            self.blocks.append(max(1, int(-(-data[(gap <= bound[cells, None]).any(0)].sum() // DATA_BLOCK))))
+        if len(self.cells) >= self.BLOCKS or max(self.blocks, default=0) >= self.BLOCKS:
+            raise ValueError("too many groups or blocks; make them larger")
+
+    def _walk(self) -> list[int]:
+        """The cells that have queries, each next to a near one."""
+        left, out = self.asking.tolist(), []
+        while left:
+            at = min(range(len(left)), key=lambda k: self.between[out[-1], left[k]]) if out else 0
+            out.append(left.pop(at))
+        return out
+
+    def of_queries(self, cell: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, block) of every block that a query takes part in."""
+        group = self.first[cell] + _spread_evenly(ids, self.split[cell])
+        blocks = np.array(self.blocks, dtype=np.int64)[group]
+        row = np.repeat(np.arange(len(cell)), blocks)
+        return row, group[row] * self.BLOCKS + np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+
+    def of_data(self, cell: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, block) of every group that needs a data vector."""
+        rows, blocks = [], []
+        for at in range(0, len(cell), AT_ONCE):
+            own, d = cell[at : at + AT_ONCE], dist[at : at + AT_ONCE, None]
+            to = self.between[own]
+            # a vector at distance d from pivot j is at least between - far - d, and d - between - far, from a query of cell i
+            need = np.maximum(to - self.far - d, d - to - self.far) <= self.bound
+            for g, cells in enumerate(self.cells):
+                got = at + np.flatnonzero(need[:, cells].any(1))
+                rows.append(got)
+                blocks.append(g * self.BLOCKS + _spread_evenly(ids[got], self.blocks[g]))
+        return (np.concatenate(rows), np.concatenate(blocks)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _spread(plan: Plan, kind: str):
+    """Query or data rows -> a row per block that they take part in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            rows, blocks = plan.of_data(batch.column("cell").to_numpy(), batch.column("dist").to_numpy(), ids) if kind == "data" else plan.of_queries(batch.column("query_cell").to_numpy(), ids)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column("id").take(take), batch.column("w").take(take)], ["block", "id", "w"])
+
+    return run
+
+
+SPREAD = "block long, id long, w binary"
+
+
+def spread(rows: DataFrame, k: int, pivots: int, packed: str, norm2: float) -> tuple[DataFrame, DataFrame]:
+    """rows (id, v, query) -> the queries and the data by the blocks that they take part in: (block, id, w)."""
+    top_norm2 = norm2 * (1 + 1e-9) + 1.0
+    wanted = max(4, min(pivots, int(rows.count() ** 0.5)))
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(PICKED * wanted).select("v").collect()
+    points = apart(np.array([r["v"] for r in picked], dtype=np.float64), wanted)
     extra = np.sqrt(np.maximum(top_norm2 - (points**2).sum(1), 0))
     cells = len(points)
     assigned = written(rows.mapInArrow(_assign(points, extra, top_norm2, packed), ASSIGNED), "assigned")
 
     # summaries: a row per cell
-    data_side = {r["cell"]: r for r in assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()}
+    queries, data, far, lo, hi = (np.full(cells, x, dtype=t) for x, t in ((0, int), (0, int), (-np.inf, float), (np.inf, float), (-np.inf, float)))
+    for r in assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect():
+        data[r["cell"]], lo[r["cell"]], hi[r["cell"]] = r["n"], r["lo"], r["hi"]
+    for r in assigned.filter("query").groupBy("query_cell").agg(F.count(F.lit(1)).alias("n"), F.max("query_dist").alias("far")).collect():
+        queries[r["query_cell"]], far[r["query_cell"]] = r["n"], r["far"]
+    # the nearest ids of each cell, one more than k, as a query's own is no neighbour of it; copies of an id count once
+    each = assigned.groupBy("cell", "id").agg(F.min("dist").alias("dist"))
     order = Window.partitionBy("cell", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy("dist", "id")
-    # k + 1, as a query's own row is no neighbour of it
-    least = assigned.select("cell", "dist", "id").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).groupBy("cell").agg(F.sort_array(F.collect_list("dist")).alias("d"))
+    least = each.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).groupBy("cell").agg(F.sort_array(F.collect_list("dist")).alias("d"))
     nearest: list[list[float]] = [[] for _ in range(cells)]
     for r in least.collect():
         nearest[r["cell"]] = r["d"][: k + 1]
-    query_side = {r["query_cell"]: r for r in assigned.filter("query").groupBy("query_cell").agg(F.count(F.lit(1)).alias("n"), F.max("query_dist").alias("far")).collect()}
-    query_far = np.array([query_side[i]["far"] if i in query_side else -1.0 for i in range(cells)])
     between = _distances(points, extra, points, extra)
-    margin = 1e-6 * (1 + np.sqrt(top_norm2))
-    bound = bounds(between, query_far, nearest, k + 1) + margin
-    # a vector at distance d from pivot j is at least between - far - d, and d - between - far, from a query of cell i
-    query_blocks = [max(1, -(-query_side[i]["n"] // QUERY_BLOCK)) if i in query_side else 0 for i in range(cells)]
-    data_blocks = [max(1, -(-data_side[j]["n"] // DATA_BLOCK)) if j in data_side else 0 for j in range(cells)]
-
-    def spread(kind: str):
-        """Query or data rows -> a row per pair of blocks (query cell, its block, data block) that it takes part in."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column("id").to_numpy()
-                own = batch.column("cell" if kind == "data" else "query_cell").to_numpy()
-                d = batch.column("dist").to_numpy()
-                pick, groups = [], []
-                for i in range(cells):
-                    if not query_blocks[i]:
-                        continue
-                    if kind == "data":
-                        gap = np.maximum(between[i, own] - query_far[i] - d, d - between[i, own] - query_far[i])
-                        take = np.flatnonzero(gap <= bound[i])
-                        for b in range(query_blocks[i]):
-                            pick.append(take)
-                            groups.append((i * BLOCKS + b) * BLOCKS + total_before[own[take]] + ids[take] % np.array(data_blocks)[own[take]])
-                    else:
-                        take = np.flatnonzero(own == i)
-                        b = ids[take] % query_blocks[i]
-                        for j in range(cells):
-                            # a cell none of whose data can be near enough gets no queries
-                            if data_blocks[j] and max(between[i, j] - query_far[i] - data_side[j]["hi"], data_side[j]["lo"] - between[i, j] - query_far[i]) <= bound[i]:
-                                for c in range(data_blocks[j]):
-                                    pick.append(take)
-                                    groups.append((i * BLOCKS + b) * BLOCKS + total_before[j] + c)
-                rows_ = np.concatenate(pick) if pick else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups) if groups else np.empty(0), pa.int64()), batch.column("id").take(pa.array(rows_)), batch.column("w").take(pa.array(rows_))], ["block", "id", "w"])
-
-        return run
+    bound = bounds(between, far, nearest, k + 1) + 1e-6 * (1 + np.sqrt(top_norm2))
+    plan = Plan(between, queries, far, data, lo, hi, bound)
+    asked = assigned.filter("query").select("id", "query_cell", "w").dropDuplicates(["id", "w"])
+    return asked.mapInArrow(_spread(plan, "query"), SPREAD), assigned.select("id", "cell", "dist", "w").mapInArrow(_spread(plan, "data"), SPREAD)
 
-    BLOCKS = 1 << 20
-    total_before = np.concatenate([[0], np.cumsum(data_blocks)[:-1]]).astype(np.int64)
-    if sum(data_blocks) >= BLOCKS or max(query_blocks) >= BLOCKS:
-        raise ValueError("too many blocks; take more pivots")
-    cols = assigned.select("id", "cell", "query_cell", "dist", "w", "query")
-    data_rows = cols.drop("query").mapInArrow(spread("data"), "block long, id long, w binary")
-    query_rows = cols.filter("query").drop("query").mapInArrow(spread("query"), "block long, id long, w binary")
+
+def top_k(data: DataFrame, is_query, k: int = TOP, pivots: int = PIVOTS) -> DataFrame:
+    """data (id, v: equally long arrays of bigint) -> query_id, rank, vec_id, score: the k best of all other rows for every row where is_query.
+
+    Ties go to the smaller id. Fewer than k others: all of them. A query never meets its own id (nor another row of it);
+    equal rows ask once and count as neighbours each, and an id of several vectors asks once for each. Rows with a null
+    id take no part. No rows or no queries give none; unequal lengths fail. v's products must fit 64 bits.
+    """
+    spark = data.sparkSession
+    rows = written(data.filter("id IS NOT NULL").select("id", "v", is_query.alias("query")), "vectors")
+    sizes = rows.agg(F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("norm2")).first()
+    if sizes["a"] is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if sizes["a"] != sizes["b"]:
+        raise ValueError(f"vectors of {sizes['a']} to {sizes['b']} components")
+    packed = "<i2" if sizes["norm2"] < 2.0**29 else "<i4" if sizes["norm2"] < 2.0**61 else "<i8"
+    query_rows, data_rows = spread(rows, k, pivots, packed, float(sizes["norm2"]))
 
     def solve(_key, queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(others):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
+            return pd.DataFrame({n: np.empty(0, np.int64) for n in ("query_id", "asked", "vec_id", "score")})
         q, s = (np.frombuffer(b"".join(x["w"]), dtype=packed).astype(np.int64).reshape(len(x), -1) for x in (queries, others))
-        ids, own = others["id"].to_numpy(), queries["id"].to_numpy()
+        ids, own, asked = others["id"].to_numpy(), queries["id"].to_numpy(), queries["asked"].to_numpy()
         sort = np.argsort(ids, kind="stable")
         ids, s = ids[sort], s[sort]
-        found = ([], [], [])
+        found = ([], [], [], [])
         for at in range(0, len(q), 64):
             score = _products(q[at : at + 64], s)
             for r, line in enumerate(score):
@@ -183,13 +252,13 @@ def top_k(data: DataFrame, is_query, k: int = TOP, pivots: int = PIVOTS) -> Data
                     kth = np.partition(line[other], len(other) - k)[len(other) - k]
                     other = other[line[other] >= kth]
                 best = other[np.argsort(-line[other], kind="stable")][:k]  # ids ascend, so ties go to the smaller
-                found[0].append(np.full(len(best), own[at + r]))
-                found[1].append(ids[best])
-                found[2].append(line[best])
-        return pd.DataFrame({n: np.concatenate(x).astype(np.int64) for n, x in zip(("query_id", "vec_id", "score"), found, strict=True)})
+                for out, x in zip(found, (np.full(len(best), own[at + r]), np.full(len(best), asked[at + r]), ids[best], line[best]), strict=True):
+                    out.append(x)
+        return pd.DataFrame({n: np.concatenate(x).astype(np.int64) for n, x in zip(("query_id", "asked", "vec_id", "score"), found, strict=True)})
 
-    local = query_rows.groupBy("block").cogroup(data_rows.groupBy("block")).applyInPandas(solve, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    asked = query_rows.withColumn("asked", F.xxhash64("w"))  # tells the vectors of one id apart
+    local = asked.groupBy("block").cogroup(data_rows.groupBy("block")).applyInPandas(solve, "query_id long, asked long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
