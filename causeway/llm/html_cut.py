@@ -9,7 +9,7 @@ those on the content side, in page order, are the main text.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -33,6 +33,9 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}), "option": ({"option"}, {"select"}),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A block inside one of these leaves a paragraph around it open.
+SCOPES = frozenset("table caption td th object marquee html".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog search fieldset".split())
 #: A form is the page itself, not boilerplate, from this share of the page's text and so many characters a control.
 FORM_SHARE, FORM_CHARS = 0.5, 60
@@ -68,6 +71,12 @@ class Node:
     header: bool = False
     skip: bool = False
     form: int = -1
+    # what its place in the tree tells, so that nothing looks up through the open elements
+    links: int = 0
+    heading: bool = False
+    head: bool = False
+    block: Node | None = None
+    paragraph: Node | None = None
 
 
 @dataclass(slots=True)
@@ -87,6 +96,9 @@ class _Open:
 def _child(parent: Node, tag: str, attrs: str, plain: bool = False) -> Node:
     """plain: a form that is the page itself; neither its tag nor its name counts."""
     n = Node(tag, parent, parent.bad, parent.article, parent.good, parent.header, parent.skip or tag in SKIPPED or tag in RAW, parent.form)
+    n.links, n.heading, n.head = parent.links + (tag == "a"), parent.heading or tag in HEADINGS, (parent.head or tag == "head") and tag != "body"
+    n.block = n if tag in BLOCKS else parent.block
+    n.paragraph = n if tag == "p" else None if tag in SCOPES else parent.paragraph
     n.bad |= tag in BAD_TAGS and not plain
     n.article |= tag in ("article", "main") and not n.bad
     n.header |= tag == "header" and not n.article
@@ -134,22 +146,41 @@ def _blocks(html: str, plain: frozenset[int]) -> tuple[list[Block], list[int]]:
     endless: set[str] = set()  # raw elements that are not closed any more
     root = Node("", None)
     stack, out, now = [root], [], _Open()
-    links, at = 0, 0
+    opened: Counter[str] = Counter()  # elements on the stack by tag
+    at = 0
 
     def flush() -> None:
         nonlocal now
         if now.pieces:
             text = " ".join(unescape("".join(now.pieces)).split())
             if text:
-                out.append(Block(stack[-1] if stack[-1].tag in BLOCKS or not stack[-1].tag else next((n for n in reversed(stack) if n.tag in BLOCKS), root), text, now.link_chars, any(n.tag in HEADINGS for n in stack)))
+                out.append(Block(stack[-1].block or root, text, now.link_chars, stack[-1].heading))
             now = _Open()
 
     def say(text: str) -> None:
-        if text and not stack[-1].skip and not any(n.tag == "head" for n in stack[:4]):
+        if text and not stack[-1].skip and not stack[-1].head:
             now.pieces.append(text)
-            if links:
+            if stack[-1].links:
                 now.link_chars += len(text.strip())
 
+    def push(node: Node) -> None:
+        stack.append(node)
+        opened[node.tag] += 1
+
+    def cut(k: int) -> None:
+        for n in stack[k:]:
+            opened[n.tag] -= 1
+        del stack[k:]
+
+    def close(tag: str) -> None:
+        if opened[tag]:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == tag:
+                    cut(k)
+                    return
+                if tag not in BLOCKS and stack[k].tag in BLOCKS and not stack[k].skip:
+                    return  # an inline end tag closes nothing beyond its block
+
     for m in _TOKEN.finditer(html):
         if m.start() < at:
             continue
@@ -172,53 +203,40 @@ def _blocks(html: str, plain: frozenset[int]) -> tuple[list[Block], list[int]]:
             if stack[-1].skip or tag in SKIPPED or tag in RAW:
                 # ends with its end tag, or else where its parent does
                 if tag not in VOID and not closed:
-                    stack.append(_child(stack[-1], tag, ""))
+                    push(_child(stack[-1], tag, ""))
                 continue
             if tag == "br":
                 say(" ")
                 continue
             if tag in BLOCKS:
                 flush()
-                if any(n.tag == "p" for n in stack[-6:]):
-                    _close(stack, "p")
-            if tag in CLOSES:
+                if stack[-1].paragraph is not None:
+                    over = stack[-1].paragraph
+                    cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k] is over))
+            if tag in CLOSES and any(opened[t] for t in CLOSES[tag][0]):
                 gone, stop = CLOSES[tag]
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in stop:
                         break
                     if stack[k].tag in gone:
-                        del stack[k:]
+                        cut(k)
                         break
-            if tag == "body":
-                stack = [n for n in stack if n.tag != "head"]
+            if tag == "body" and opened["head"]:
+                stack, opened["head"] = [n for n in stack if n.tag != "head"], 0
             if tag not in VOID and not closed or tag in BLOCKS - VOID:
-                stack.append(_child(stack[-1], tag, m[3], tag == "form" and len(controls) in plain))
+                push(_child(stack[-1], tag, m[3], tag == "form" and len(controls) in plain))
                 if tag == "form":
                     stack[-1].form = len(controls)
                     controls.append(0)
-                links += tag == "a"
         else:
             if tag in BLOCKS:
                 flush()
-            _close(stack, tag)
-        links = sum(n.tag == "a" for n in stack) if tag == "a" or tag in BLOCKS else links
+            close(tag)
     say(html[at:])
     flush()
     return out, controls
 
 
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-
-
-def _close(stack: list[Node], tag: str) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            del stack[k:]
-            return
-        if tag not in BLOCKS and stack[k].tag in BLOCKS and not stack[k].skip:
-            return  # an inline end tag closes nothing beyond its block
-
-
 def odds(blocks: list[Block]) -> list[float]:
     """Log odds of content for each block, by its place and its text."""
     marked = any(b.node.article and not b.node.bad for b in blocks)
@@ -254,7 +272,7 @@ def minimum_cut(source: list[float], sink: list[float], edges: dict[tuple[int, i
 
     source, sink: capacities from and to the terminals; edges: capacities both ways. A node that one terminal holds more
     strongly than all its edges together is settled at once and passes its edges on as terminal capacities; the rest is
-    solved by augmenting shortest paths.
+    solved by blocking flows.
     """
     n = len(source)
     pull = [a - b for a, b in zip(source, sink, strict=True)]
@@ -274,36 +292,67 @@ def minimum_cut(source: list[float], sink: list[float], edges: dict[tuple[int, i
                 todo.append(j)
             near[i] = {}
     left = [i for i in range(n) if label[i] is None]
-    excess = {i: pull[i] for i in left}
-    flow = {i: dict(near[i]) for i in left}  # residual capacities
-    eps = 1e-12
+    place = {i: k for k, i in enumerate(left)}
+    ends: list[int] = []  # edge e leads to ends[e] and back by e ^ 1; room[e] is its residual capacity
+    room: list[float] = []
+    out: list[list[int]] = [[] for _ in left]
+    for i in left:
+        for j, c in near[i].items():
+            if i < j:
+                out[place[i]].append(len(ends))
+                out[place[j]].append(len(ends) + 1)
+                ends += [place[j], place[i]]
+                room += [c, c]
+    for k, inside in enumerate(_source_side([pull[i] for i in left], ends, room, out)):
+        label[left[k]] = inside
+    return [bool(x) for x in label]
+
+
+def _source_side(excess: list[float], ends: list[int], room: list[float], out: list[list[int]], eps: float = 1e-12) -> list[bool]:
+    """Where excess that finds no deficit can get to. Flow is pushed along shortest paths, all of one length at a time (blocking flows)."""
     while True:
-        # shortest path from any node with excess to any node with a deficit
-        before: dict[int, int] = {i: i for i in left if excess[i] > eps}
-        queue, end = deque(before), None
-        while queue and end is None:
+        level = [0 if x > eps else -1 for x in excess]
+        queue, met = deque(i for i, x in enumerate(excess) if x > eps), False
+        sources = list(queue)
+        while queue:
             i = queue.popleft()
-            for j, c in flow[i].items():
-                if c > eps and j not in before:
-                    before[j] = i
-                    if excess[j] < -eps:
-                        end = j
+            met |= excess[i] < -eps
+            for e in out[i]:
+                if room[e] > eps and level[ends[e]] < 0:
+                    level[ends[e]] = level[i] + 1
+                    queue.append(ends[e])
+        if not met:
+            return [x >= 0 for x in level]
+        tried = [0] * len(excess)
+        for s in sources:
+            path: list[int] = []
+            at = s
+            while excess[s] > eps:
+                if excess[at] < -eps:
+                    push = min(excess[s], -excess[at], *(room[e] for e in path))
+                    excess[s] -= push
+                    excess[at] += push
+                    for e in path:
+                        room[e] -= push
+                        room[e ^ 1] += push
+                    full = next((k for k, e in enumerate(path) if room[e] <= eps), None)
+                    if full is not None:  # go on from where the path is full
+                        at = ends[path[full] ^ 1]
+                        del path[full:]
+                    continue
+                while tried[at] < len(out[at]):
+                    e = out[at][tried[at]]
+                    if room[e] > eps and level[ends[e]] == level[at] + 1:
                         break
-                    queue.append(j)
-        if end is None:
-            break
-        path = [end]
-        while before[path[-1]] != path[-1]:
-            path.append(before[path[-1]])
-        push = min(excess[path[-1]], -excess[end], *(flow[b][a] for a, b in zip(path, path[1:], strict=False)))
-        excess[path[-1]] -= push
-        excess[end] += push
-        for a, b in zip(path, path[1:], strict=False):
-            flow[b][a] -= push
-            flow[a][b] = flow[a].get(b, 0.0) + push
-    for i in left:
-        label[i] = i in before
-    return [bool(x) for x in label]
+                    tried[at] += 1
+                if tried[at] < len(out[at]):
+                    path.append(out[at][tried[at]])
+                    at = ends[path[-1]]
+                elif path:
+                    at = ends[path.pop() ^ 1]
+                    tried[at] += 1
+                else:
+                    break
 
 
 def main_text(html: str) -> str:
