@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.exprs import account_cluster, challenge, era, exit_type, ip_cluster, loss_per_lot, net_or_parts, normal_tails, number, reverse_per_lot, seconds, sure, trader_cluster
-from ..operators import asof, bootstrap, buckets, compare, folds, forensics, history, model, positions, state, stats
+from ..operators import asof, bootstrap, buckets, compare, folds, forensics, history, model, positions, predict, state, stats
 from ..operators import conditions as cond
 from ..operators import features as f
 from ..storage import written
@@ -540,6 +540,24 @@ def _fixed(spark, sf_dir):
     return model.decide(rows, FIXED).withColumn("y", reverse_per_lot(F.col("profit"), F.col("amount")))
 
 
+RAW = {"campaign_id": "campaignId", "account_id": "accountId", "position_id": "positionId", "open_time": "openDateTime", "close_time": "closeTime", "net_profit": "netProfit", "sl_price": "slPrice", "tp_price": "tpPrice", "exit_type": "exitType"}
+
+
+@query((f"""{a.POSITIONS}, j AS (SELECT p.*, coalesce(list(q.net_profit ORDER BY q.open_time, q.position_id) FILTER (q.position_id IS NOT NULL), []) AS nets, min(q.open_time) AS first_open FROM positions p LEFT JOIN positions q
+        ON p.campaign_id = q.campaign_id AND p.account_id = q.account_id AND (q.open_time, q.position_id) < (p.open_time, p.position_id) AND q.position_id % 7 <> 0 GROUP BY ALL),
+    k AS (SELECT *, list_reduce(list_prepend(0.0::DOUBLE, nets), lambda a, x: CASE WHEN x < 0 THEN a + 1 ELSE 0 END) AS loss_streak, list_reduce(list_prepend(0.0::DOUBLE, nets), lambda a, x: CASE WHEN x > 0 THEN a + 1 ELSE 0 END) AS wins, coalesce(list_sum(nets), 0) AS cum,
+        (len(nets) + 1) / CASE WHEN first_open IS NULL THEN 1 / 60.0::DOUBLE ELSE greatest(1 / 60.0::DOUBLE, {SECS.format('open_time', 'first_open')} / 3600) END AS per_hour FROM j),
+    z AS (SELECT *, 3.0::DOUBLE + 5.0::DOUBLE * ((loss_streak - 1) / 2.0::DOUBLE) - 2.0::DOUBLE * (cum / 50.0::DOUBLE) + 1.5::DOUBLE * ((amount - 0.25::DOUBLE) / 0.2::DOUBLE) + CASE WHEN side = 'BUY' THEN -0.5 WHEN side = 'SELL' THEN 0.75 ELSE 0 END::DOUBLE AS score FROM k),
+    d AS (SELECT *, score > 0 AND wins <= 1 AND per_hour <= 60 AS fade FROM z)""",
+        f"campaign_id || '::' || position_id AS position_key, CASE WHEN fade THEN 'FADE' ELSE 'ABSTAIN' END AS decision, {r('score', 'expected_absolute = score * amount', 'confidence = CASE WHEN fade THEN 1 / (1 + exp(-score / 10)) ELSE 0 END')} FROM d"))
+def predicted_trades(spark, sf_dir):
+    """Raw trades, a seventh of them still open, decided on in one call by the fixed artifact."""
+    p = a.positions(spark, sf_dir).withColumnsRenamed(RAW)
+    open_still = F.col("positionId") % 7 == 0
+    raw = p.withColumns({"closeTime": F.when(~open_still, F.col("closeTime")), "netProfit": F.when(~open_still, F.col("netProfit")), "profit": F.when(~open_still, F.col("profit"))})
+    return predict.predict(raw, FIXED).select("position_key", "decision", "score", "expected_absolute", "confidence")
+
+
 @query((SCORE, f"position_id, CASE WHEN fade THEN 'FADE' ELSE 'ABSTAIN' END AS decision, {r('score', 'expected_absolute = score * amount', 'confidence = CASE WHEN fade THEN 1 / (1 + exp(-score / 10)) ELSE 0 END')} FROM d"))
 def fixed_decisions(spark, sf_dir):
     """The decision rule under a fixed artifact, which SQL can state."""
