@@ -31,9 +31,13 @@ def canonical(df: DataFrame, aliases: dict[str, Sequence[str]]) -> DataFrame:
     return out.drop(*[o for os in aliases.values() for o in os if o in df.columns and o not in aliases])
 
 
-def mandated_split(df: DataFrame, last_train: int = 52, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(training, evaluation, economic evaluation): campaigns up to last_train; later ones; those without excluded campaigns."""
+def mandated_split(df: DataFrame, last_train: int = 52, settings: Settings = DEFAULT, expected: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(training, evaluation, economic evaluation): campaigns up to last_train; later ones; those without excluded campaigns. expected: rows of the first two, which are counted and must agree."""
     later = df.filter(F.col("campaign_id") > last_train)
+    if expected is not None:
+        got = tuple(df.agg(F.count_if(F.col("campaign_id") <= last_train), F.count_if(F.col("campaign_id") > last_train)).first())
+        if got != tuple(expected):
+            raise ValueError(f"{got} rows of training and evaluation, not {tuple(expected)}")
     return df.filter(F.col("campaign_id") <= last_train), later, later.filter(~F.col("campaign_id").isin(*settings.excluded_campaigns))
 
 

@@ -246,18 +246,32 @@ def policy(df: DataFrame, selected: Column, label: str, actual: str = "reverse_p
     return df.agg(F.count_if(on).alias("n"), (F.count_if(on) / F.count(F.lit(1))).alias("coverage"), F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.coalesce(F.try_divide(F.sum(v * a), F.sum(a)), F.lit(0.0)).alias("size_weighted_mean"), F.coalesce(F.sum(v * a), F.lit(0.0)).alias("total")).select(F.lit(label).alias("policy"), "*")
 
 
-def frontier(df: DataFrame, score: str, shares: Sequence[float], actual: str = "reverse_profit_per_lot") -> DataFrame:
-    """For each target share the cutoff midway between the last score taken and the next one: share, cutoff, n, mean."""
+def frontier(df: DataFrame, score: str, shares: Sequence[float], actual: str = "reverse_profit_per_lot", cluster: Column | None = None) -> DataFrame:
+    """For each target share the cutoff midway between the last score taken and the next one: share, cutoff, n, mean.
+
+    With cluster also deff, the design effect of the rows taken, mde, the least effect that so many of them show, and
+    mde_floored, the same with a design effect of one at least. One pass over the rows per share.
+    """
+    from .stats import icc, least_effect
+
     known = df.filter(F.col(score).isNotNull())
     n = known.count()
     ks = [max(1, round(s * n)) for s in shares]
+    schema = "share double, cutoff double, n long, mean double" + (", deff double, mde double, mde_floored double" if cluster is not None else "")
     if not n:
-        return df.sparkSession.createDataFrame([], "share double, cutoff double, n long, mean double")
+        return df.sparkSession.createDataFrame([], schema)
     at = lambda k: F.expr(f"percentile_disc({max(0.0, min(1.0, (k - 0.5) / n))}D) WITHIN GROUP (ORDER BY {score} DESC)")
-    got = known.agg(*[x for i, k in enumerate(ks) for x in (at(k).alias(f"a{i}"), at(min(k + 1, n)).alias(f"b{i}"))]).first()
+    got = known.agg(F.stddev_samp(actual).alias("sd"), *[x for i, k in enumerate(ks) for x in (at(k).alias(f"a{i}"), at(min(k + 1, n)).alias(f"b{i}"))]).first()
     cut = [got[f"a{i}"] - 1e-12 if ks[i] >= n else (got[f"a{i}"] + got[f"b{i}"]) / 2 for i in range(len(ks))]
-    one = known.agg(*[x for i, c in enumerate(cut) for x in (F.count_if(F.col(score) > c).alias(f"n{i}"), F.avg(F.when(F.col(score) > c, F.col(actual))).alias(f"m{i}"))])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share"), F.lit(float(cut[i])).alias("cutoff"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean")) for i, s in enumerate(shares)])).alias("r")).select("r.*")
+    one = known.agg(*[x for i, c in enumerate(cut) for x in (F.count_if(F.col(score) > c).alias(f"n{i}"), F.avg(F.when(F.col(score) > c, F.col(actual))).alias(f"m{i}"))]).first()
+    out = []
+    for i, s in enumerate(shares):
+        row = [float(s), float(cut[i]), one[f"n{i}"], one[f"m{i}"]]
+        if cluster is not None:
+            deff = icc(known.filter(F.col(score) > cut[i]), actual, cluster).first()["deff"] if row[2] else None
+            row += [deff, *[least_effect(got["sd"] or 0.0, row[2], d) if d is not None else None for d in (deff and max(deff, 0.0), deff and max(deff, 1.0))]]
+        out.append(tuple(row))
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def fit_all(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str = "reverse_profit_per_lot", settings: Settings = DEFAULT) -> dict:

@@ -574,9 +574,29 @@ def policy_metrics(spark, sf_dir):
     return model.policy(_fixed(spark, sf_dir), F.col("decision") == "FADE", "fixed", "y").withColumn("total", F.round("total", 4))
 
 
-@query()
+SHARES = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
+
+
+@query((f"""{SCORE}, ordered AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS k, count(*) OVER () AS n FROM d), shares AS (SELECT unnest({list(SHARES)}::DOUBLE[]) AS share),
+    cuts AS (SELECT share, CASE WHEN t.k >= t.n THEN t.score - 1e-12::DOUBLE ELSE (t.score + u.score) / 2 END AS cutoff FROM shares JOIN ordered t ON t.k = greatest(1, CAST(round_even(share * t.n, 0) AS BIGINT)) LEFT JOIN ordered u ON u.k = t.k + 1)""",
+        f"share, {r('cutoff')}, (SELECT count(*) FROM d WHERE score > cutoff) AS n, {r('mean = (SELECT avg(y) FROM d WHERE score > cutoff)')} FROM cuts"))
 def power_frontier(spark, sf_dir):
-    return model.frontier(_fixed(spark, sf_dir), "score", (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0), "y")
+    return model.frontier(written(_fixed(spark, sf_dir), "decided"), "score", SHARES, "y")
+
+
+@query()
+def frontier_effects(spark, sf_dir):
+    """The frontier with design effects of accounts and the effects that its selections could show."""
+    rows = written(_fixed(spark, sf_dir), "decided")
+    return model.frontier(rows, "score", SHARES, "y", account_cluster(F.col("account_id"), F.col("position_id")))
+
+
+@query((a.POSITIONS, "count(*) FILTER (campaign_id <= 52) AS training, count(*) FILTER (campaign_id > 52) AS evaluation, count(*) FILTER (campaign_id > 52 AND campaign_id NOT IN (41, 66)) AS economic FROM positions"))
+def mandated_counts(spark, sf_dir):
+    """The literal split by campaign, its rows counted."""
+    parts = zip(("training", "evaluation", "economic"), compare.mandated_split(a.positions(spark, sf_dir)), strict=True)
+    counts = [df.agg(F.count(F.lit(1)).alias(n)) for n, df in parts]
+    return counts[0].crossJoin(F.broadcast(counts[1])).crossJoin(F.broadcast(counts[2]))  # one row each
 
 
 @query((f"""{a.POSITIONS}, o AS (SELECT *, row_number() OVER ({PART}) AS ti, count(*) OVER (PARTITION BY campaign_id, account_id) AS n FROM positions), k AS (SELECT *, ti > ceil(n / 2.0) AS later FROM o),

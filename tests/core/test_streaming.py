@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from causeway.operators import features as f
 from causeway.plans import adapters as a
-from causeway.streaming.state import FRESH, step, stream_features
+from causeway.streaming.state import FRESH, step, stream_features, stream_prior_campaigns
 
 NAMES = ["trade_index", "loss_streak", "win_streak", "pnl_ewm", "cum_pnl_usd", "dd_from_peak_usd", "entry_gap_sec", "trades_per_hour", "same_direction_reentry", "size_delta_ratio"]
 
@@ -35,3 +35,38 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     # with a watermark of 20 days only what is older than the last row by that much has come out, in order and as in batch
     for i, r in got.items():
         assert all((r[n] is None) == (batch[i][n] is None) and (r[n] is None or abs(r[n] - batch[i][n]) < 1e-6) for n in NAMES)
+
+
+def _run(spark, tmp_path, name, df, make, parts=3):
+    """The rows of df in files by day, one a batch -> what the stream puts out."""
+    for i in range(parts):
+        df.filter(f"part = {i}").drop("part").coalesce(1).write.parquet(f"{tmp_path}/{name}/{i}")
+    stream = spark.readStream.schema(df.drop("part").schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+    q = make(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/cp_{name}").trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    return {r["position_id"]: r for r in spark.sql(f"SELECT * FROM {name} WHERE NOT late").collect()}
+
+
+POSITION = "campaign_id int, account_id long, position_id long, open_time timestamp_ntz, close_time timestamp_ntz, amount double, side string, net_profit double, trader_key string, part int"
+
+
+def test_lone_rows_and_forgotten_accounts(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = lambda d, h: datetime(2026, 5, d, h)
+    row = lambda acc, i, t, part: (53, acc, i, t, t + timedelta(minutes=5), 1.0, "BUY", -2.0, "T", part)
+    rows = [row(1, 1, at(1, 9), 0), row(1, 2, at(1, 10), 0), row(None, 3, at(1, 9), 0), row(None, 4, at(1, 10), 0), row(9, 90, at(3, 9), 0), row(9, 91, at(6, 9), 1), row(1, 5, at(6, 10), 1), row(9, 92, at(9, 9), 2), row(9, 93, at(20, 9), 3), row(9, 94, at(28, 9), 4)]
+    df = spark.createDataFrame(rows, POSITION)
+    for name, forget, index in (("kept", None, 3), ("forgotten", 2 * 86400.0, 1)):
+        got = _run(spark, tmp_path, name, df, lambda s, forget=forget: stream_features(s, "1 hour", forget), 5)
+        assert [got[i]["trade_index"] for i in (1, 2, 3, 4)] == [1, 2, 1, 1] and got[3]["account_id"] is None
+        assert got[5]["trade_index"] == index and got[5]["loss_streak"] == index - 1
+
+
+def test_traders_have_states_of_their_own(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    row = lambda c, acc, i, day, key, part: (c, acc, i, datetime(2026, 5, day, 9, i), datetime(2026, 5, day, 10) + timedelta(minutes=i), 1.0, "BUY", 1.0, key, part)
+    rows = [row(53, 1, 1, 1, "A", 0), row(53, 2, 2, 1, "A", 0), row(53, 3, 3, 1, None, 0), row(54, 4, 4, 8, "A", 1), row(54, 5, 5, 8, "B", 1), row(55, 6, 6, 15, "A", 2), row(56, 7, 7, 25, "C", 3), row(56, 8, 8, 28, "C", 4)]
+    got = _run(spark, tmp_path, "traders", spark.createDataFrame(rows, POSITION), lambda s: stream_prior_campaigns(s, "1 hour"), 5)
+    assert {i: r["prior_campaigns"] for i, r in got.items() if i < 7} == {1: 0, 2: 0, 4: 1, 5: 0, 6: 2}
