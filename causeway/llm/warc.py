@@ -23,8 +23,8 @@ from .common import fresh_dir, table
 
 #: Payloads shorter than this are stored with every record.
 SHORTEST_SHARED = 100
-#: Records of one file: a file is the unit that a reading task takes.
-RECORDS_A_FILE = 2_000
+#: Bytes of payload and records of one file at most (but for a single larger payload): a file is the unit that a reading task takes.
+FILE_BYTES, RECORDS_A_FILE = 128_000_000, 2_000
 
 PARSED = "record_id string, header binary, record_type string, digest string, payload binary, payload_bytes long, verified boolean, file string, position long"
 CRLF = "\r\n"
@@ -72,11 +72,29 @@ def header(records: DataFrame) -> Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF))
 
 
-def write_archives(records: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE) -> None:
-    """records from plan_records -> gzipped WARC files. Each record ends with two line breaks, which the text writer puts after every row; bytes pass unchanged."""
+def size_classes(largest: int, file_bytes: int = FILE_BYTES, records_a_file: int = RECORDS_A_FILE) -> list[tuple[int, int, int]]:
+    """(least, most, records of a file) of classes of payload sizes up to the largest, so that no file holds more bytes than it may."""
+    out, low, high = [], 0, max(1, file_bytes // records_a_file)
+    while low <= largest:
+        out.append((low, high, max(1, file_bytes // high)))
+        low, high = high + 1, 4 * high
+    return out
+
+
+def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES, largest: int | None = None) -> None:
+    """records from plan_records -> gzipped WARC files. Each record ends with two line breaks, which the text writer puts after every row; bytes pass unchanged.
+
+    Payloads of a size class share files, and a class with larger payloads has fewer records to a file; most corpora are
+    one class. largest: bytes of the largest payload, if known. A file is one gzip stream, so records are read in order.
+    """
+    if largest is None:
+        largest = records.agg(F.max("payload_bytes")).first()[0] or 0
     block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    rows = records.select(F.concat(header(records).cast("binary"), block).cast("string").alias("value"))
-    rows.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+    classes = size_classes(largest, file_bytes)
+    for low, high, most in classes:
+        own = records if len(classes) == 1 else records.filter(F.col("payload_bytes").between(low, high))
+        rows = own.select(F.concat(header(own).cast("binary"), block).cast("string").alias("value"))
+        rows.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/from-{low}-bytes")
 
 
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)\r?$", re.M)
@@ -163,7 +181,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.encode("html", "UTF-8").alias("payload"))
     at = fresh_dir(spark, "warc")
-    write_archives(plan_records(pages), f"{at}/archives")
+    largest = pages.agg(F.max(F.octet_length("payload"))).first()[0] or 0
+    write_archives(plan_records(pages), f"{at}/archives", largest=largest)
     store(read_archives(spark, f"{at}/archives"), f"{at}/store")
     payloads = spark.read.parquet(f"{at}/store/payloads").select("digest", digest(F.col("payload")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     headers = spark.read.parquet(f"{at}/store/headers").select("record_id", "record_type", "digest", F.regexp_extract(F.decode("header", "UTF-8"), "WARC-Refers-To: <urn:causeway:record:(-?\\d+)>", 1).alias("refers"))
