@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, slices, table, written
+from .common import slices, small_batches, table, written
 from .components import components
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
@@ -276,10 +276,10 @@ def near_components(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 NEAR_WORDS, SIMILARITY = 5, 0.8
 #: Shingles are counted in one of so many texts; those met in LEAST_COMMON of them come last in every text's order, the commonest MOST_COMMON at most.
 SAMPLED, LEAST_COMMON, MOST_COMMON = 16, 4, 1_000_000
-#: A run with more pairs than this for each member, if it is longer than LONG_RUN, gives each member's pairs with NEIGHBOURS others only, for ROUNDS rounds at most or until one joins little; then all pairs that are left are verified.
-PAIRS_A_MEMBER, LONG_RUN, NEIGHBOURS, ROUNDS = 64, 64, 4, 3
+#: A run longer than LONG_RUN in which more pairs than this for each member can be near, or which has more than SCANNED pairs, gives each member's pairs with NEIGHBOURS others only, for ROUNDS rounds at most or until one joins little; then all pairs that are left are verified.
+PAIRS_A_MEMBER, LONG_RUN, SCANNED, NEIGHBOURS, ROUNDS = 16, 64, 8_000_000, 4, 3
 #: Pairs that one task compares at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 250_000
 #: Keys of texts (some 50 bytes each) that are broadcast at most; more are joined by a shuffle of the texts.
 BROADCAST_TEXTS = 200_000
 #: Nodes that a task remembers, to index copies once.
@@ -404,14 +404,23 @@ def _pairs(similarity: float, turn: int | None):
     apart = (1 - similarity) / (1 + similarity)  # of both sizes, what near sets differ in at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def said(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        def can(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             ok = (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
             i, j = i[ok], j[ok]
             differ = sum((np.bitwise_count((b[i] ^ b[j]).view(np.uint64)).astype(np.int64) for b in bits), np.zeros(len(i), dtype=np.int64))
             ok = differ <= apart * (n[i] + n[j]) + 1e-9
-            u, v = node[i[ok]], node[j[ok]]
+            return i[ok], j[ok]
+
+        def told(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            u, v = node[i], node[j]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
+        def all_of(at: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            step = max(1, AT_ONCE // m)
+            for a in range(0, m, step):
+                i, j = np.nonzero(np.arange(a, min(a + step, m))[:, None] < np.arange(m)[None, :])
+                yield can(at + a + i, at + j)
+
         for key, node, n, group, *bits in _runs(batches):
             new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             longs = np.diff(np.r_[new, len(key)])
@@ -422,23 +431,29 @@ def _pairs(similarity: float, turn: int | None):
                 i = i[key[i] == key[i + off]]
                 if not len(i):
                     break
-                yield said(i, i + off)
+                yield told(*can(i, i + off))
             for at, m in zip(new[longs > LONG_RUN].tolist(), longs[longs > LONG_RUN].tolist(), strict=True):
                 _, each = np.unique(group[at : at + m], return_counts=True)
                 left = (m * m - int((each.astype(np.int64) ** 2).sum())) // 2
                 if not left:
                     continue
-                if turn is not None and left > PAIRS_A_MEMBER * m:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([left], pa.int64())], ["u", "v"])
-                    order = at + np.argsort(_mixed(node[at : at + m].view(np.uint64) ^ np.uint64(turn)))
-                    yield said(np.full(m - 1, order[0]), order[1:])
-                    for off in range(1, NEIGHBOURS + 1):
-                        yield said(order[:-off], order[off:])
+                if turn is None:
+                    yield from (told(*pair) for pair in all_of(at, m))
+                    continue
+                found, total, many = [], 0, m * (m - 1) // 2 > SCANNED
+                for pair in all_of(at, m) if not many else ():
+                    found.append(pair)
+                    total += len(pair[0])
+                    if many := total > PAIRS_A_MEMBER * m:
+                        break
+                if not many:
+                    yield from (told(*pair) for pair in found if len(pair[0]))
                     continue
-                step = max(1, AT_ONCE // m)
-                for a in range(0, m, step):
-                    i, j = np.nonzero(np.arange(a, min(a + step, m))[:, None] < np.arange(m)[None, :])
-                    yield said(at + a + i, at + j)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([left], pa.int64())], ["u", "v"])
+                order = at + np.argsort(_mixed(node[at : at + m].view(np.uint64) ^ np.uint64(turn)))
+                yield told(*can(np.full(m - 1, order[0]), order[1:]))
+                for off in range(1, NEIGHBOURS + 1):
+                    yield told(*can(order[:-off], order[off:]))
 
     return run
 
@@ -503,9 +518,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, texts: DataFrame, size: int, si
     wanted = _listed(written(texts.join(nodes, "node").select("node", F.col("least.digest").alias("_digest"), F.col("least.doc_id").alias("_id")), "wanted"))
     own = docs.select("doc_id", _digest().alias("digest"), _body().alias("text"))
     bodies = own.join(wanted, (own["digest"] == wanted["_digest"]) & own["doc_id"].eqNullSafe(wanted["_id"]))
-    sets = written(bodies.select("node", "text").mapInArrow(_sets(size), "node long, set binary").dropDuplicates(["node"]), "sets")
+    with small_batches(docs.sparkSession):
+        sets = written(bodies.select("node", "text").mapInArrow(_sets(size), "node long, set binary").dropDuplicates(["node"]), "sets")
     both = rough.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    return written(both.select("u", "v", "a", "b").mapInArrow(_verified(similarity), "u long, v long"), "near")
+    with small_batches(docs.sparkSession):
+        return written(both.select("u", "v", "a", "b").mapInArrow(_verified(similarity), "u long, v long"), "near")
 
 
 def _body() -> Column:
@@ -560,7 +577,8 @@ def drop_near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: fl
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(own, size))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, digest binary, node long, n long, fp long, {', '.join(f'{c} long' for c in SKETCH)}, parity binary, prefix binary"
-    prints = written(own.mapInArrow(_prints(size, similarity, shared), schema), "prints")
+    with small_batches(docs.sparkSession):
+        prints = written(own.mapInArrow(_prints(size, similarity, shared), schema), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest"))
     texts = written(prints.groupBy("node").agg(F.min(order).alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", *SKETCH, "parity")]), "texts")
     found = prints.select("node", "prefix").mapInArrow(_postings, "key long, node long")
