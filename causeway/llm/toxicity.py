@@ -9,7 +9,7 @@ are fitted on one part of a bounded sample of labelled rows and calibrated on th
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 from itertools import accumulate
 
@@ -27,12 +27,14 @@ from .common import held_out, slices, table, written
 
 #: Labelled rows that are learned from: about so many, by a hash of the id.
 SAMPLE_ROWS = 20_000
-#: A learned term is a word or a beginning of one; it stands in so many toxic training texts, and so far above one (natural log) is the lower bound of its odds ratio; the strongest are kept.
-LEAST_TOXIC, LEAST_ODDS, LEARNED_TERMS = 3, 1.0, 20_000
+#: A learned term is a word or a beginning of one; it stands in so many toxic training texts, and so far above one (natural log) lies its odds ratio less ERRORS standard errors; the strongest are kept.
+LEAST_TOXIC, ERRORS, LEAST_ODDS, LEARNED_TERMS = 3, 1.0, 1.0, 20_000
 #: Lengths of beginnings, and the longest word that is learned or looked up.
 BEGINNINGS, LONGEST_WORD = (3, 4, 5, 6, 7, 8), 32
 #: Odds from which on a word counts as a hit.
 HIT_ODDS = 2.0
+#: Terms that a task counts before it passes the counts on.
+COUNTED = 200_000
 #: Parts of the training rows; the terms that a row is shown are learned from the other parts.
 PARTS = 4
 #: A hit and a second-person word so many words apart are near.
@@ -60,25 +62,32 @@ FEATURES = (
     "capitals", "capital_words", "exclamations", "questions", "punctuation", "obfuscated", "obfuscated_hits", "long_text",
 )
 
-_WORD = re.compile(r"[^\W\d_]+")
-_SHOUT = re.compile(rb"\b[A-Z]{3,}\b")
+_PUNCTUATION = re.compile("[\u0080-\u00bf\u2000-\u206f\u3000-\u303f]")
+_NO_LETTER = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+_CAPITALS, _SHOUT = re.compile(rb"[A-Z]{3,}"), re.compile(rb"\b[A-Z]{3,}\b")
+#: What every masked word holds; it turns most texts and tokens away.
+_HINT = re.compile(rb"[@$!|*0-9][a-z]")
 _MASKED = re.compile(rb"[a-z]+[@$!|*0-9]+[a-z]+|[@$!|0-9][a-z]+[@$!|*0-9]*[a-z]+")
 _SPACED = re.compile(rb"\b(?:[a-z][ .\-_*]){3,}[a-z]\b")
 _UPPER, _LETTERS, _MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"!?.,;:#$%&*@"
 
 
-class Odds(dict[str, float]):
-    """Words -> their odds: the largest of the learned terms that they are or begin with, 0 without any. Looked up once."""
+class Odds:
+    """The odds of words: the largest of the learned terms that they are or begin with, 0 without any."""
 
     def __init__(self, terms: Mapping[str, float]):
-        super().__init__()
         self.terms = terms
+        self.starts = frozenset(t[: BEGINNINGS[0]] for t in terms)
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= 500_000:
-            self.clear()
-        found = self[word] = max(map(self.terms.get, terms_of(word), [0.0] * (len(BEGINNINGS) + 1)), default=0.0) if self.terms else 0.0
-        return found
+    def __getitem__(self, word: str) -> float:
+        return max([self.terms.get(t, 0.0) for t in terms_of(word)], default=0.0) if word[: BEGINNINGS[0]] in self.starts else 0.0
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of letters; characters beyond ASCII count as such but for general punctuation."""
+    low = text.lower()
+    low = low if low.isascii() else _PUNCTUATION.sub(" ", low)
+    return low.encode("utf-8", "surrogatepass").translate(_NO_LETTER).decode("utf-8", "surrogatepass").split()
 
 
 def terms_of(word: str) -> list[str]:
@@ -98,44 +107,49 @@ def features(text: str, odds: Odds) -> list[float]:
     """FEATURES of a whole text; an empty one has zeros."""
     raw = text.encode("utf-8", "surrogatepass")
     low = raw.lower()
-    words = _WORD.findall(text.lower())
+    words = words_of(text)
     n = max(len(words), 1)
     count = Counter(words)
     listed = [w for w in count if w in INSULTS]
-    told = sorted(((x, w) for w in count if (x := odds[w]) > 0.0), reverse=True)
+    starts = odds.starts
+    told = sorted(((x, w) for w in count if w[: BEGINNINGS[0]] in starts and (x := odds[w]) > 0.0), reverse=True)
     own = [w for x, w in told if x >= HIT_ODDS]
     hits, learned = sum(count[w] for w in listed), sum(count[w] for w in own)
     near, marked = 0, {*listed, *own}
     if marked:
         before = list(accumulate((w in SECOND_PERSON for w in words), initial=0))
         near = sum(before[min(i + NEAR_WORDS + 1, len(words))] > before[max(i - NEAR_WORDS, 0)] for i, w in enumerate(words) if w in marked)
-    masked = [m for m in _MASKED.findall(low) if len(m) <= 24]
-    spaced = [re.sub(rb"[ .\-_*]", b"", m).decode() for m in _SPACED.findall(low)]
+    masked = [m for t in (low.split() if _HINT.search(low) else ()) if _HINT.search(t) for m in _MASKED.findall(t) if len(m) <= 24]
+    single = sum(k for w, k in count.items() if len(w) == 1)
+    spaced = [re.sub(rb"[ .\-_*]", b"", m).decode() for m in _SPACED.findall(low)] if single >= 4 else []
     unmasked = sum(_unmasked(m, odds) for m in masked) + sum(m in INSULTS or odds[m] >= HIT_ODDS for m in spaced)
     letters = len(raw) - len(raw.translate(None, _LETTERS))
     strongest = [x for x, _ in told[:2]] + [0.0, 0.0]
     return [
         hits / n, float(hits), float(len(listed)), strongest[0], strongest[1], sum(x for x, _ in told), learned / n, float(learned), near / max(sum(count[w] for w in marked), 1), sum(count[w] for w in SECOND_PERSON if w in count) / n,
-        (len(raw) - len(raw.translate(None, _UPPER))) / max(letters, 1), len(_SHOUT.findall(raw)) / n, raw.count(b"!") / n, raw.count(b"?") / n, (len(raw) - len(raw.translate(None, _MARKS))) / n,
+        (len(raw) - len(raw.translate(None, _UPPER))) / max(letters, 1), (len(_SHOUT.findall(raw)) if _CAPITALS.search(raw) else 0) / n, raw.count(b"!") / n, raw.count(b"?") / n, (len(raw) - len(raw.translate(None, _MARKS))) / n,
         (len(masked) + len(spaced)) / n, float(unmasked), float(np.log1p(len(words))),
     ]
 
 
-def add_features(docs: DataFrame, learned: list[dict[str, float]], text: str = "text", part: str | None = None) -> DataFrame:
-    """docs without its text, with a double column per feature (prefixed f_). learned: terms with their odds; with a column part, those of row's part."""
+def add_features(docs: DataFrame, learned: list[dict[str, float]], text: str = "text", part: str | None = None, with_text: bool = False) -> DataFrame:
+    """docs with a double column per feature (prefixed f_), without its text unless with_text. learned: terms with their odds; with a column part, those of row's part."""
     names = [f"f_{f}" for f in FEATURES]
-    keep = [c for c in docs.columns if c != text and c not in names]
+    keep = [c for c in docs.columns if c not in names and (c != text or with_text)]
     which = F.lit(0) if part is None else F.col(f"`{part}`").cast("int")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], which.alias("_part"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    # the text travels once
+    read = [F.col(f"`{c}`") for c in keep] if with_text else [*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")]
+    rows = docs.select(*read, which.alias("_part"))
+    source = text if with_text else "_text"
     shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odds = [Odds(x) for x in shared.value]
-        for batch in slices(batches, "_text"):
-            x = np.array([features(t, odds[k]) for t, k in zip(batch.column("_text").to_pylist(), batch.column("_part").to_pylist(), strict=True)], dtype=np.float64)
+        for batch in slices(batches, source):
+            x = np.array([features(t or "", odds[k]) for t, k in zip(batch.column(source).to_pylist(), batch.column("_part").to_pylist(), strict=True)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c) for c in x.T)], [*keep, *names])
 
-    schema = rows.drop("_part", "_text").schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     for n in names:
         schema = schema.add(n, "double")
     return rows.mapInArrow(run, schema)
@@ -162,23 +176,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -
 def learned_terms(rows: DataFrame) -> list[dict[str, float]]:
     """rows (text, label, part) -> for each part the terms with their odds in the other parts' texts, and last those of all.
 
-    Odds are the logarithm of a term's odds ratio less one standard error. A term counts once in a text, in whatever task
+    Odds are the logarithm of a term's odds ratio less ERRORS standard errors. A term counts once in a text, in whatever task
     that lies; LEARNED_TERMS are kept at most, the strongest ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
+        counts: dict[tuple[int, float], Counter] = defaultdict(Counter)
         for batch in slices(batches, "text"):
             for t, y, k in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "part")), strict=True):
-                count.update({(x, k, y) for w in set(_WORD.findall(t.lower())) for x in terms_of(w)})
-            if len(count) > 1_000_000:
-                yield told(count)
-                count = Counter()
-        yield told(count)
+                counts[k, y].update({x for w in set(words_of(t)) for x in terms_of(w)})
+                if sum(map(len, counts.values())) > COUNTED:
+                    yield from told(counts)
+                    counts.clear()
+        yield from told(counts)
 
-    def told(count: Counter) -> pa.RecordBatch:
-        term, part, label = zip(*count, strict=True) if count else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(part, pa.int32()), pa.array(label, pa.float64()), pa.array(list(count.values()), pa.int64())], ["term", "part", "label", "n"])
+    def told(counts: dict[tuple[int, float], Counter]) -> Iterator[pa.RecordBatch]:
+        for (part, label), count in counts.items():
+            m = len(count)
+            yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array([part] * m, pa.int32()), pa.array([label] * m, pa.float64()), pa.array(count.values(), pa.int64())], ["term", "part", "label", "n"])
 
     n = {(r["label"], r["part"]): r["n"] for r in rows.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
     of = {y: [n.get((y, k), 0) for k in range(PARTS)] for y in (0.0, 1.0)}
@@ -187,14 +202,14 @@ def learned_terms(rows: DataFrame) -> list[dict[str, float]]:
     each = rows.select("text", "label", F.col("part").cast("int")).mapInArrow(run, "term string, part int, label double, n long")
     cells = {f"{'cb'[int(y)]}{k}": F.sum(F.when((F.col("label") == y) & (F.col("part") == k), F.col("n")).otherwise(0)) for y in (0.0, 1.0) for k in range(PARTS)}
     bad, good = sum(F.col(f"b{k}") for k in range(PARTS)), sum(F.col(f"c{k}") for k in range(PARTS))
-    lower = F.log((bad + 0.5) / (sum(of[1.0]) + 1)) - F.log((good + 0.5) / (sum(of[0.0]) + 1)) - F.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+    lower = F.log((bad + 0.5) / (sum(of[1.0]) + 1)) - F.log((good + 0.5) / (sum(of[0.0]) + 1)) - ERRORS * F.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
     found = each.groupBy("term").agg(*[c.alias(k) for k, c in cells.items()]).filter(bad >= LEAST_TOXIC).withColumn("lower", lower).filter(F.col("lower") >= LEAST_ODDS)
     top = found.orderBy(F.desc("lower"), "term").limit(LEARNED_TERMS).collect()
     out = []
     for left_out in [*range(PARTS), None]:
         parts = [k for k in range(PARTS) if k != left_out]
         b, g = (np.array([sum(r[f"{c}{k}"] for k in parts) for r in top], dtype=np.float64) for c in "bc")
-        odds = np.log((b + 0.5) / (sum(of[1.0][k] for k in parts) + 1)) - np.log((g + 0.5) / (sum(of[0.0][k] for k in parts) + 1)) - np.sqrt(1 / (b + 0.5) + 1 / (g + 0.5))
+        odds = np.log((b + 0.5) / (sum(of[1.0][k] for k in parts) + 1)) - np.log((g + 0.5) / (sum(of[0.0][k] for k in parts) + 1)) - ERRORS * np.sqrt(1 / (b + 0.5) + 1 / (g + 0.5))
         out.append({r["term"]: float(x) for r, x, m in zip(top, odds, b, strict=True) if m >= LEAST_TOXIC and x >= LEAST_ODDS})
     return out
 
@@ -205,13 +220,13 @@ class Toxicity:
     def __init__(self, learned: dict[str, float], trees: Model | None, calibrated: Model | None, prior: float):
         self.learned, self.trees, self.calibrated, self.prior = learned, trees, calibrated, prior
 
-    def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """docs without its text, with score (0 to 1) and predicted; columns of those names are replaced. A null text counts as empty."""
+    def score(self, docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
+        """docs, without its text unless with_text, with score (0 to 1) and predicted; columns of those names are replaced. A null text counts as empty."""
         rows = docs.drop("score", "predicted")
         if self.trees is None or self.calibrated is None:
-            out = rows.drop(text).withColumn("score", F.lit(float(self.prior)))
+            out = (rows if with_text else rows.drop(text)).withColumn("score", F.lit(float(self.prior)))
         else:
-            raw = self.trees.transform(_assembled(add_features(rows, [self.learned], text))).withColumn("_p", vector_to_array("_probability")[1]).drop("_x", "_raw", "_probability", "_tree")
+            raw = self.trees.transform(_assembled(add_features(rows, [self.learned], text, with_text=with_text))).withColumn("_p", vector_to_array("_probability")[1]).drop("_x", "_raw", "_probability", "_tree")
             # calibration makes steps; a trace of the trees' own probability keeps the order within one
             score = (1 - TRACE) * F.least(F.greatest("_score", F.lit(0.0)), F.lit(1.0)) + TRACE * F.col("_p")
             out = self.calibrated.transform(raw).withColumn("score", score).drop("_p", "_score")
@@ -236,7 +251,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Toxicity
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
     """docs without the rows that a model fitted on them and labels predicts toxic; all columns stay."""
-    return fit(docs, labels, most).score(docs.withColumn("_text_", F.col("text")), "_text_").filter("predicted = 0").select(*docs.columns)
+    own = docs.withColumnsRenamed({"score": "_score_", "predicted": "_predicted_"})  # columns of these names are scored over
+    kept = fit(docs, labels, most).score(own, with_text=True).filter("predicted = 0").drop("score", "predicted")
+    return kept.withColumnsRenamed({"_score_": "score", "_predicted_": "predicted"}).select(*docs.columns)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
