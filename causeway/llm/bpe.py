@@ -30,7 +30,7 @@ from .common import slices, table, written
 #: Words that are broadcast, at most, and the longest of them.
 HEAD_WORDS, HEAD_CHARS = 131_072, 64
 #: Words that a task keeps at most besides; then it starts its own table anew.
-OWN_WORDS = 400_000
+OWN_WORDS = 150_000
 WORDS_AT_ONCE = 2_048
 
 _ODD = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer doesn't
