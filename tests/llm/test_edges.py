@@ -57,7 +57,8 @@ def test_warc_round_trip(spark):
     planned = warc.plan_records(df)
     kinds = {(r["record_id"]): (r["record_type"], r["refers_to"]) for r in planned.collect()}
     assert kinds[1] == ("response", None) and kinds[2] == ("revisit", 1) and kinds[5] == kinds[6] == ("response", None)
-    warc.write_archives(planned, f"{at}/a", 3)
+    warc.write_archives(planned, f"{at}/a", 400_000)
+    assert len(warc.size_classes(785, 400_000)) == 2  # both hold records here
     warc.store(warc.read_archives(spark, f"{at}/a"), f"{at}/s")
     got = warc.reconstruct(spark, f"{at}/s").collect()
     assert len(got) == len(rows) and spark.read.parquet(f"{at}/s/payloads").count() == 4
@@ -69,6 +70,13 @@ def test_warc_round_trip(spark):
         warc.store(forged, f"{at}/bad")
 
 
+def test_warc_files_are_bounded_by_bytes():
+    for largest in (0, 100, 64_000, 64_001, 3_000_000, 500_000_000):
+        classes = warc.size_classes(largest)
+        assert classes[0][0] == 0 and classes[-1][1] >= largest and all(b[0] == a[1] + 1 for a, b in zip(classes, classes[1:], strict=False))
+        assert all(most == 1 or most * high <= warc.FILE_BYTES for _, high, most in classes) and classes[0][2] == warc.RECORDS_A_FILE
+
+
 def test_warc_empty(spark):
     at = fresh_dir(spark, "t")
     warc.write_archives(warc.plan_records(spark.createDataFrame([], "record_id long, uri string, payload binary")), f"{at}/a")
@@ -116,7 +124,7 @@ def test_links_span_what_brute_force_finds(spark, monkeypatch, most):
             x = (x if rng.random() < 0.5 else b) ^ np.uint64(sum(1 << int(i) for i in rng.choice(63, rng.integers(1, 5), replace=False)))
             fps.add(int(x))
     fps = sorted(f for f in fps)
-    df = spark.createDataFrame([(f, f) for f in fps], "fp long, node long")
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
     got = {frozenset((r["u"], r["v"])) for r in simhash.links(df).collect()}
 
     def groups(pairs):
@@ -179,7 +187,7 @@ def test_toxicity_edges(spark, docs):
     out = m.score(docs)
     assert out.count() == len(TEXTS) and out.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
     assert toxicity.fit(docs.limit(0).select("doc_id", "text"), labels.limit(0)).score(docs).filter("score <> 0").count() == 0
-    f = dict(zip(toxicity.FEATURES, toxicity.features("YOU are an idiot! a st*pid 1d10t, i d i o t", frozenset()), strict=True))
+    f = dict(zip(toxicity.FEATURES, toxicity.features("YOU are an idiot! a st*pid 1d10t, i d i o t", toxicity.Odds({})), strict=True))
     assert f["list_count"] == 1 and f["near_second_person"] == 1 and f["obfuscated_hits"] == 3 and f["exclamations"] > 0
 
 
@@ -190,6 +198,32 @@ def test_toxicity_learns(spark):
     assert out.filter("predicted <> toxic").count() == 0
 
 
+def test_toxicity_learns_inflected_words_of_small_groups(spark):
+    """A stem that marks 4 % of the rows only, each inflection of it in a few; neighbours of the stem are clean."""
+    def text(i):
+        ending = "abcdefghijklmnopqrstuvwxyz"[i % 26] + "eioua"[i % 5]
+        return f"number {i % 89} and some plain words " + (f"vragu{ending} stands here" if i % 25 == 0 else "you moron" if i % 10 == 1 else f"vrago{ending} is kind")
+
+    rows = [(i, text(i), int(i % 25 == 0 or i % 10 == 1)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    new = spark.createDataFrame([(1, "here stands vraguzz again"), (2, "vragozz again"), (3, None), (4, "A MORON, you are!")], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic")).score(new).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 1}
+    kept = toxicity.drop_toxic(df.select("doc_id", "text", F.lit("x").alias("source")), df.select("doc_id", "toxic"))
+    assert kept.columns == ["doc_id", "text", "source"] and sorted(r["doc_id"] for r in kept.collect()) == [i for i, _, y in rows if not y]
+
+
+def test_learned_terms_do_not_depend_on_tasks(spark):
+    import math
+
+    rows = [(i, f"w{'abcdefgh'[i % 8]}zz " + ("qqbad qqbadly " if i % 4 == 0 else "fine words"), float(i % 4 == 0), i % toxicity.PARTS) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label double, part long")
+    one, many = toxicity.learned_terms(df.coalesce(1)), toxicity.learned_terms(df.repartition(7, "doc_id"))
+    assert one == many and len(one) == toxicity.PARTS + 1
+    assert one[-1]["qqbad"] == pytest.approx(math.log(40.5 / 41) - math.log(0.5 / 121) - toxicity.ERRORS * math.sqrt(1 / 40.5 + 2)) and "fin" not in one[-1]
+    assert toxicity.Odds(one[-1])["qqbadder"] == one[-1]["qqbad"] and toxicity.Odds(one[-1])["fine"] == 0
+
+
 def test_bpe_edges(spark, docs):
     from tokenizers import Tokenizer
 
@@ -223,7 +257,6 @@ def test_knn_edges(spark):
 def test_knn_against_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(knn_join, "QUERY_BLOCK", blocks[0])
     monkeypatch.setattr(knn_join, "DATA_BLOCK", blocks[1])
-    monkeypatch.setattr(knn_join, "QUERIES_A_PIVOT", 4)
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(c, 0.05, (60, 3)) for c in (-1, 0, 1)])
     v = np.floor(x * 256).astype(int)
@@ -234,6 +267,38 @@ def test_knn_against_brute_force(spark, monkeypatch, blocks):
         assert [got[q, i + 1] for i in range(5)] == [(s, -p) for p, s in best]
 
 
+@pytest.mark.parametrize(("blocks", "most"), [((4096, 16384), 0.5), ((40, 300), 0.1)])
+def test_knn_leaves_out_far_clusters(spark, monkeypatch, blocks, most):
+    """Clusters far apart: queries stand in two of forty. The share of (vector, group of queries) pairs that travel is well below one, and results are exact."""
+    monkeypatch.setattr(knn_join, "QUERY_BLOCK", blocks[0])
+    monkeypatch.setattr(knn_join, "DATA_BLOCK", blocks[1])
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(40, 16))
+    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    x = np.repeat(centre, 50, axis=0) + rng.normal(scale=0.01, size=(2000, 16))
+    v = np.floor(x * 256).astype(int)
+    rows = [(i, [float(c) for c in r]) for i, r in enumerate(x)]
+    df = knn_join.integer_vectors(spark.createDataFrame(rows, "id long, embedding array<double>")).select("id", "v")
+    ask = F.col("id") < 100
+    norm2 = float((v.astype(float) ** 2).sum(1).max())
+    queries, data = knn_join.spread(df.select("id", "v", ask.alias("query")), 5, knn_join.PIVOTS, "<i4", norm2)
+    groups = queries.select(F.shiftright("block", 20).alias("g")).distinct().count()
+    assert queries.select("id").distinct().count() == 100 and data.count() <= most * groups * len(x)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in knn_join.top_k(df, ask).collect()}
+    for q in range(100):
+        best = sorted(((-int(v[q] @ v[s]), s) for s in range(len(x)) if s != q))[:5]
+        assert [got[q, i + 1] for i in range(5)] == [(s, -p) for p, s in best]
+
+
+def test_knn_repeated_queries(spark):
+    """A query of a dozen equal rows, beside its true neighbours; an id of two vectors."""
+    rows = [(0, [1.0, 0.0])] * 12 + [(i, [1.0 - i / 100, i / 50]) for i in range(1, 9)] + [(50, [0.0, 1.0]), (50, [0.0, -1.0])]
+    df = knn_join.integer_vectors(spark.createDataFrame(rows, "id long, embedding array<double>"))
+    got = knn_join.top_k(df, F.col("id") % 50 == 0, 5).orderBy("query_id", "rank", "vec_id").collect()
+    assert [(r["rank"], r["vec_id"]) for r in got if r["query_id"] == 0] == [(i, i) for i in range(1, 6)]
+    assert sorted(r["rank"] for r in got if r["query_id"] == 50) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5] and {r["vec_id"] for r in got if r["query_id"] == 50} <= set(range(9))
+
+
 def test_decontam_edges(spark, docs):
     items = spark.createDataFrame([(1, "Which animal leaps above one sleepy hound?\nThe quick brown fox jumps over the lazy dog again"), (2, None), (3, ""), (None, "x"), (4, "zz " * 700 + "yy")], "item_id long, text string")
     df = docs.withColumn("text", F.when(F.col("doc_id") == 7, F.concat(F.lit(LONG), F.lit(" which animal leaps above one sleepy hound? The quick brown fox jumps over the lazy dog, again. "), F.lit(LONG))).otherwise(F.col("text")))
@@ -274,7 +339,7 @@ def _kept(spark, texts):
 @pytest.mark.parametrize(("pairs", "long"), [(64, 64), (0, 8)])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, pairs, long):
     """Short and long texts with words changed anywhere; a crowd of hundreds around one text, whose members differ from each other; repeated lines; texts that differ in case only."""
-    monkeypatch.setattr(simhash, "PAIRS_A_TEXT", pairs)
+    monkeypatch.setattr(simhash, "PAIRS_A_MEMBER", pairs)
     monkeypatch.setattr(simhash, "LONG_RUN", long)
     rng = np.random.default_rng(3)
     word = lambda: f"w{rng.integers(10**9)}"
@@ -321,11 +386,22 @@ def test_no_pair_at_the_similarity_is_missed(n):
         if (both := len(np.intersect1d(a, b))) >= 0.8 * (len(a) + len(b) - both):
             met += 1
             assert np.intersect1d(simhash.prefix(a, a[::3], 0.8), simhash.prefix(b, a[::3], 0.8)).size
-            bits = [int.from_bytes(simhash.sketch(s), "big") for s in (a, b)]
-            assert (bits[0] ^ bits[1]).bit_count() <= len(np.setxor1d(a, b)) <= (len(a) + len(b)) / 9 + 1e-9
+            for to in (32, min(len(simhash.parities(s)) for s in (a, b))):
+                x, y = (simhash.folded(simhash.parities(s), to) for s in (a, b))
+                assert len(x) == len(y) == to and np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b)) <= (len(a) + len(b)) / 9 + 1e-9
     assert met > 100
 
 
+@pytest.mark.parametrize("most", [3, 32_768])
+def test_crowds_of_one_fingerprint_end(spark, monkeypatch, most):
+    """Hundreds of texts of a template in one number each, in runs beyond the bound: the fingerprints of many are equal."""
+    monkeypatch.setattr(simhash, "MOST_IN_RUN", most)
+    monkeypatch.setattr(simhash, "BROADCAST_TEXTS", most)
+    body = " ".join(f"w{i}" for i in range(400)).split()
+    texts = [" ".join([*body[: 100 + i % 7], f"n{i}", *body[100 + i % 7 :]]) for i in range(60)] + ["something else that has nothing to do with it"]
+    assert _kept(spark, texts) == {0, 60}
+
+
 def test_many_texts_of_one_set(spark):
     texts = [f"a{' ' * (i + 1)}b c d e f g" for i in range(3000)]
     assert _kept(spark, texts) == {0}
