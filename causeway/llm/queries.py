@@ -15,6 +15,7 @@ from .secrets import op3_secret_scans
 from .sharding import op10_sharding
 from .simhash import op6_simhash
 from .toxicity import op7_toxicity
+from .urlfilter import op13_urlfilter
 from .warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_html": op9_html,
     "op10_sharding": op10_sharding,
+    "op13_urlfilter": op13_urlfilter,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -46,4 +48,13 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op13_urlfilter": """
+        WITH r(h, p, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM u),
+        n AS (SELECT *, row_number() OVER () AS i FROM s),
+        f AS (SELECT i, first(h || p ORDER BY length(h || p) DESC, h || p) AS rule, first(r.verdict ORDER BY length(h || p) DESC, h || p) AS verdict
+              FROM n JOIN r ON (n.host = h OR ends_with(n.host, '.' || h)) AND starts_with(n.path, p) GROUP BY i)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM n LEFT JOIN f USING (i)
+    """,
 }
