@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import fresh_dir, shared_dir, written
 
-__all__ = ["exists", "fresh_dir", "held_out", "shared_dir", "slices", "small_batches", "table", "written"]
+__all__ = ["exists", "fresh_dir", "fresh_name", "held_out", "shared_dir", "slices", "small_batches", "table", "written"]
 
 #: Of every three documents, the one whose checksum leaves this remainder is held out of all learning.
 FOLDS, HELD_OUT = 3, 1
@@ -34,6 +35,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
         spark.conf.set(key, had)
 
 
+def fresh_name(what: str) -> str:
+    """A column name that no table has."""
+    return f"{what}_{uuid.uuid4().hex[:12]}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Asks the path's own file system, which may be one that only Spark reaches."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

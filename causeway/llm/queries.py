@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
+from .crosstok import op11_crosstok
 from .decontam import op2_decontam
 from .html_cut import op9_html
 from .knn_join import op4_knn_join
@@ -14,6 +15,7 @@ from .langid import op5_langid
 from .secrets import op3_secret_scans
 from .sharding import op10_sharding
 from .simhash import op6_simhash
+from .spelling import op12_spelling
 from .toxicity import op7_toxicity
 from .urlfilter import op13_urlfilter
 from .warc import op1_warc
@@ -29,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_html": op9_html,
     "op10_sharding": op10_sharding,
+    "op11_crosstok": op11_crosstok,
+    "op12_spelling": op12_spelling,
     "op13_urlfilter": op13_urlfilter,
 }
 
@@ -48,6 +52,24 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op12_spelling": r"""
+        WITH RECURSIVE t AS (SELECT list(c ORDER BY b) AS crcs FROM (
+            SELECT b, list_reduce(list_value(b, 0, 0, 0, 0, 0, 0, 0, 0), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(b))),
+        raw AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        counted AS (SELECT doc_id, run, count(*) AS k FROM raw GROUP BY ALL),
+        hashed AS (SELECT run, k, doc_id, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce(
+                list_prepend(4294967295, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))),
+                lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]))) END AS h FROM counted, t),
+        read AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM hashed),
+        v AS (SELECT word, sum(k)::BIGINT AS n FROM read WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+        d AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM v)),
+        near AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+                 UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.less = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.less = v.word),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS form, max(n) AS form_n FROM near GROUP BY word),
+        w AS (SELECT v.word, CASE WHEN form_n >= 2 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+        walk AS (SELECT word, word AS at FROM w UNION ALL SELECT walk.word, w.form FROM walk JOIN w ON walk.at = w.word WHERE w.form IS NOT NULL)
+        SELECT w.word, w.form, walk.at AS root, w.n, w.n_near, w.form_n FROM w JOIN walk USING (word) JOIN w e ON e.word = walk.at WHERE e.form IS NULL
+    """,
     "op13_urlfilter": """
         WITH r(h, p, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
         u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
