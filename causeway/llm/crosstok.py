@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import fresh_name, slices, table, written
 
@@ -118,10 +119,8 @@ class Aligned:
 
     def __init__(self, of: Pair, chunks: list[str]):
         a, b = of.encode(chunks)
-        size = np.fromiter((len(c.encode()) + 1 for c in chunks), np.int64, len(chunks))
         self.odd = np.array([b"".join(map(of.a_bytes.__getitem__, x)) != (t := (" " + c).encode()) or b"".join(map(of.b_bytes.__getitem__, y)) != t for c, x, y in zip(chunks, a, b, strict=True)], dtype=bool)
         a, b = ([[] if odd else x for x, odd in zip(side, self.odd, strict=True)] for side in (a, b))
-        size[self.odd] = 0
         self.na, self.nb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
         ids_a, ids_b = (np.fromiter((i for x in side for i in x), np.int64, int(n.sum())) for side, n in ((a, self.na), (b, self.nb)))
         # all chunks as one run of bytes: their own ends are ends of both sides
@@ -335,10 +334,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", most: i
             pairs, times = (pa.array([x[i] for x in tails], pa.list_(pa.int64())) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column("row"), *made, pairs, times], ["row", *FIELDS, "pairs", "times"])
 
-    schema = rows.select("row").schema
-    for name, kind in FIELDS.items():
-        schema = schema.add(name, "string" if kind == pa.string() else "long")
-    done = rows.mapInArrow(run, schema.add("pairs", "array<bigint>").add("times", "array<bigint>"))
+    ddl = ", ".join(f"{name} {'string' if kind == pa.string() else 'long'}" for name, kind in FIELDS.items())
+    done = rows.mapInArrow(run, StructType(rows.select("row").schema.fields + StructType.fromDDL(f"{ddl}, pairs array<long>, times array<long>").fields))
     if not counted.filter(F.col("n") < least).isEmpty():
         done = _with_tail(written(done.withColumn("id", F.monotonically_increasing_id()), "aligned"), counted.filter(F.col("n") < least))
     return done.select(*[F.col(f"row.`{c}`") for c in keep], *FIELDS)
