@@ -56,6 +56,15 @@ def joined(a: Seen, b: Seen) -> Seen:
     )
 
 
+def outcome(alpha: float, close, net: float, stop: bool, by_hand: bool, mean_before: float | None) -> Seen:
+    """The summary of one closed position; a missing outcome is NaN."""
+    known, loss, win = net == net, net < 0, net > 0
+    return Seen(
+        1, int(loss), int(win), loss or not known, win or not known, 1 - alpha if known else 1.0, alpha * net if known else 0.0, net if known else 0.0, net if known else -math.inf,
+        ((stop, by_hand),), (mean_before,) if loss else None, bool(loss), (close, net),
+    )
+
+
 @dataclass(slots=True)
 class _Block:
     rows: list = field(default_factory=list)  # [Seen, visible]
@@ -104,11 +113,7 @@ class Account:
         if not self.blocks or len(self.blocks[-1].rows) == BLOCK:
             self.blocks.append(_Block())
         block = self.blocks[-1]
-        known, loss, win = net == net, net < 0, net > 0
-        one = Seen(
-            1, int(loss), int(win), loss or not known, win or not known, 1 - self.alpha if known else 1.0, self.alpha * net if known else 0.0, net if known else 0.0, net if known else -math.inf,
-            ((stop, by_hand),), (mean_before,) if loss else None, bool(loss), (close, net),
-        )
+        one = outcome(self.alpha, close, net, stop, by_hand, mean_before)
         block.rows.append([one, False])
         block.hidden += 1
         self.order += 1
