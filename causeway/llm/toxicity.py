@@ -35,6 +35,8 @@ BEGINNINGS, LONGEST_WORD = (3, 4, 5, 6, 7, 8), 32
 HIT_ODDS = 2.0
 #: Terms that a task counts before it passes the counts on.
 COUNTED = 200_000
+#: Masked words whose answer is kept.
+KNOWN_MASKS = 100_000
 #: Parts of the training rows; the terms that a row is shown are learned from the other parts.
 PARTS = 4
 #: A hit and a second-person word so many words apart are near.
@@ -78,6 +80,20 @@ class Odds:
     def __init__(self, terms: Mapping[str, float]):
         self.terms = terms
         self.starts = frozenset(t[: BEGINNINGS[0]] for t in terms)
+        #: Words that count as hits, by length, first and last letter, which a mask leaves.
+        self.masks: dict[tuple[int, str, str], list[str]] = defaultdict(list)
+        for w in INSULTS | {t[:-1] for t, x in terms.items() if x >= HIT_ODDS and t[-1] == "$"}:
+            self.masks[len(w), w[0], w[-1]].append(w)
+        self.hidden: dict[str, bool] = {}
+
+    def hides(self, masked: str) -> bool:
+        """Whether a word with stars inside is a hit with letters for the stars; looked up once per distinct word."""
+        found = self.hidden.get(masked)
+        if found is None:
+            if len(self.hidden) > KNOWN_MASKS:
+                self.hidden.clear()
+            found = self.hidden[masked] = any(all(a in ("*", b) for a, b in zip(masked, w, strict=True)) for w in self.masks.get((len(masked), masked[0], masked[-1]), ()))
+        return found
 
     def __getitem__(self, word: str) -> float:
         return max([self.terms.get(t, 0.0) for t in terms_of(word)], default=0.0) if word[: BEGINNINGS[0]] in self.starts else 0.0
@@ -99,8 +115,7 @@ def _unmasked(token: bytes, odds: Odds) -> bool:
     plain = token.translate(LEET).decode()
     if "*" not in plain:
         return plain in INSULTS or odds[plain] >= HIT_ODDS
-    hidden = re.compile(re.escape(plain).replace(r"\*", "."))
-    return any(hidden.fullmatch(w) for w in INSULTS) or any(hidden.fullmatch(t[:-1]) for t, w in odds.terms.items() if w >= HIT_ODDS and len(t) == len(plain) + 1 and t[-1] == "$")
+    return odds.hides(plain)
 
 
 def features(text: str, odds: Odds) -> list[float]:
@@ -133,23 +148,23 @@ def features(text: str, odds: Odds) -> list[float]:
 
 
 def add_features(docs: DataFrame, learned: list[dict[str, float]], text: str = "text", part: str | None = None, with_text: bool = False) -> DataFrame:
-    """docs with a double column per feature (prefixed f_), without its text unless with_text. learned: terms with their odds; with a column part, those of row's part."""
+    """Columns row (a struct of all of docs' columns, without its text unless with_text) and a double per feature. learned: terms with their odds; with a column part, those of row's part."""
     names = [f"f_{f}" for f in FEATURES]
-    keep = [c for c in docs.columns if c not in names and (c != text or with_text)]
+    keep = [c for c in docs.columns if c != text or with_text]
     which = F.lit(0) if part is None else F.col(f"`{part}`").cast("int")
-    # the text travels once
-    read = [F.col(f"`{c}`") for c in keep] if with_text else [*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")]
-    rows = docs.select(*read, which.alias("_part"))
-    source = text if with_text else "_text"
+    # the text travels once, and no column of docs can meet one of ours
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(None).alias(text))
+    rows = docs.select(row.alias("row"), which.alias("part"), *([] if with_text else [F.col(f"`{text}`").alias("text")]))
     shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odds = [Odds(x) for x in shared.value]
-        for batch in slices(batches, source):
-            x = np.array([features(t or "", odds[k]) for t, k in zip(batch.column(source).to_pylist(), batch.column("_part").to_pylist(), strict=True)], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c) for c in x.T)], [*keep, *names])
+        told = (b.append_column("text", b.column("row").field(keep.index(text))) for b in batches) if with_text else batches
+        for batch in slices(told, "text"):
+            x = np.array([features(t or "", odds[k]) for t, k in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist(), strict=True)], dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c) for c in x.T)], ["row", *names])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
+    schema = rows.select("row").schema
     for n in names:
         schema = schema.add(n, "double")
     return rows.mapInArrow(run, schema)
@@ -220,24 +235,36 @@ class Toxicity:
     def __init__(self, learned: dict[str, float], trees: Model | None, calibrated: Model | None, prior: float):
         self.learned, self.trees, self.calibrated, self.prior = learned, trees, calibrated, prior
 
-    def score(self, docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
-        """docs, without its text unless with_text, with score (0 to 1) and predicted; columns of those names are replaced. A null text counts as empty."""
-        rows = docs.drop("score", "predicted")
+    def _scored(self, docs: DataFrame, text: str, with_text: bool) -> DataFrame:
+        """row, score, predicted."""
         if self.trees is None or self.calibrated is None:
-            out = (rows if with_text else rows.drop(text)).withColumn("score", F.lit(float(self.prior)))
+            keep = [c for c in docs.columns if c != text or with_text]
+            out = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.lit(float(self.prior)).alias("score"))
         else:
-            raw = self.trees.transform(_assembled(add_features(rows, [self.learned], text, with_text=with_text))).withColumn("_p", vector_to_array("_probability")[1]).drop("_x", "_raw", "_probability", "_tree")
+            raw = self.trees.transform(_assembled(add_features(docs, [self.learned], text, with_text=with_text))).withColumn("_p", vector_to_array("_probability")[1])
             # calibration makes steps; a trace of the trees' own probability keeps the order within one
             score = (1 - TRACE) * F.least(F.greatest("_score", F.lit(0.0)), F.lit(1.0)) + TRACE * F.col("_p")
-            out = self.calibrated.transform(raw).withColumn("score", score).drop("_p", "_score")
+            out = self.calibrated.transform(raw.select("row", "_p")).select("row", score.alias("score"))
         return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
+    def score(self, docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
+        """docs, without its text unless with_text, with score (0 to 1) and predicted; columns of those names are replaced. A null text counts as empty."""
+        return self._scored(docs.drop("score", "predicted"), text, with_text).select("row.*", "score", "predicted")
+
+    def passed(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """The rows of docs that aren't predicted toxic, with all their columns."""
+        return self._scored(docs, text, True).filter("predicted = 0").select("row.*")
+
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Toxicity:
-    """docs (doc_id, text), labels (doc_id, toxic)."""
+    """A model of docs (doc_id, text) and labels (doc_id, toxic), by rows that aren't held out.
+
+    Null labels, ids without a text and texts without a label take no part; a null text counts as empty, repeated texts once.
+    Without labelled rows of both classes, as with empty tables, the model gives every row the share of toxic ones.
+    """
     rows = written(training_rows(docs, labels, most).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("terms")), F.lit(PARTS))), "training")
     terms = learned_terms(rows)
-    own = written(_assembled(add_features(rows, terms, part="part")).select("_x", "label", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)) < 3).alias("calibrate")), "features")
+    own = written(_assembled(add_features(rows, terms, part="part")).select("_x", "row.label", (F.pmod(F.xxhash64("row.doc_id", F.lit("part")), F.lit(10)) < 3).alias("calibrate")), "features")
     part = {(r["calibrate"], r["label"]): r["n"] for r in own.groupBy("calibrate", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(part.values())
     if min(part.get((False, y), 0) for y in (0.0, 1.0)) < 2 or not total:
@@ -250,10 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Toxicity
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
-    """docs without the rows that a model fitted on them and labels predicts toxic; all columns stay."""
-    own = docs.withColumnsRenamed({"score": "_score_", "predicted": "_predicted_"})  # columns of these names are scored over
-    kept = fit(docs, labels, most).score(own, with_text=True).filter("predicted = 0").drop("score", "predicted")
-    return kept.withColumnsRenamed({"_score_": "score", "_predicted_": "predicted"}).select(*docs.columns)
+    """docs without the rows that a model fitted on them and labels predicts toxic; all columns stay, whatever their names."""
+    return fit(docs, labels, most).passed(docs)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

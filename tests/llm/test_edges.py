@@ -429,3 +429,68 @@ def test_html_drops_no_article():
     assert html_cut.main_text(asp % article) == html_cut.main_text(asp % f"<div><p>{story}</p></div>") == story
     assert html_cut.main_text(f'<body>{article}<form><p>Give us your name and address, please.</p><input name="a"></form></body>') == story
     assert html_cut.main_text('<body><form><p>User name</p><input name="a"><p>Password</p><input name="b"><p>Please log in.</p></form></body>') == ""
+
+
+STORY = "The council met on Monday evening to talk about the new bridge, and most of its members were in favour of it. They will vote next week."
+ARTICLE = f"<article><p>{STORY}</p><p>{STORY}</p></article>"
+
+
+@pytest.mark.parametrize(("page", "times"), [
+    (f"<body><button>Go{ARTICLE}</body>", 2), (f"<body><select><option>a{ARTICLE}</body>", 2), (f"<body><form><select><option>a<p>{STORY}</p></form></body>", 1), (f'<body><article class="post share-enabled"><p>{STORY}</p></article></body>', 1),
+    (f'<body><nav>Menu</nav><div class="widget-area-main">{ARTICLE}</div></body>', 2), (f'<body><nav><a href=x>Home</a></nav><div id="page-widget"><p>{STORY}</p><p>{STORY}</p></div></body>', 2), (f'<article><p>{STORY}</p><section class="legal-history"><p>{STORY}</p></section></article>', 2),
+    (f'<body>{ARTICLE}<div class="comments"><article><p>{STORY}</p></article><p>{STORY * 6}</p></div></body>', 2), (f'<article><p>{STORY}</p><section class="comments-area"><p>{STORY * 4}</p></section></article>', 1), (f'<article><p>{STORY}</p><div class="ad-slot-top"><p>{STORY}</p></div></article>', 1),
+    (f'<body><nav>Menu</nav><div class="comments"><p>{STORY}</p></div><div class="ad"><p>{STORY}</p></div></body>', 0), (f'<body><div class="related-posts"><p>{STORY}</p></div>{ARTICLE}</body>', 2), (f"<body><noscript><p>{STORY}</p></noscript><svg><text>{STORY}</text></svg>{ARTICLE}</body>", 2),
+])
+def test_html_names_are_evidence_and_controls_end(page, times):
+    assert html_cut.main_text(page) == " ".join([STORY] * times)
+
+
+def test_html_cut_overrules_single_blocks():
+    """A short line amid paragraphs and a plain line amid links: by itself each would get the other label."""
+    page = f"<body><div><p>{STORY}</p><p>{STORY}</p><div>Part two</div><p>{STORY}</p><p>{STORY}</p></div><div><a href=a>One</a></div><div><a href=b>Two</a></div><div>More of this here</div><div><a href=c>Three</a></div></body>"
+    alone = [z > 0 for z in html_cut.odds(html_cut.blocks_of(page))]
+    assert alone == [True, True, False, True, True, False, False, True, False]
+    assert html_cut.main_text(page) == " ".join([STORY, STORY, "Part two", STORY, STORY])
+
+
+CLASHES = ("_own", "_text", "_digest", "_found", "_html", "_part", "_p", "_x", "_raw", "_tree", "_score", "_score_", "score", "predicted", "f_capitals", "row", "part", "label", "digest", "node", "ids", "found", "first_id", "_id", "stays", "group")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the stages use themselves come through with their own values."""
+    texts = ["the quick brown fox jumps over the lazy dog once more", "the quick brown fox jumps over the lazy dog once more", "password=hunter22222 and some other words that stand here", None, "", "you are all quite welcome to come here today"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.concat(F.lit(f"{c} "), "doc_id") for c in CLASHES})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, "What is the capital of France? Paris.")], "item_id long, text string")
+    kept = {"toxicity": toxicity.drop_toxic(docs, labels), "near": simhash.drop_near_duplicates(docs), "leaks": decontam.decontaminate(docs, items), "secrets": secrets.redact(docs), "bpe": bpe.tokenized(docs.drop("ids"), bpe.vocabulary())}
+    for name, out in kept.items():
+        rows = out.collect()
+        assert rows and out.columns.count("_own") == 1, name
+        for r in rows:
+            assert all(r[c] == f"{c} {r['doc_id']}" for c in CLASHES if c != "ids"), (name, r)
+    assert {r["doc_id"] for r in kept["near"].collect()} == {0, 2, 3, 5}
+    scored = toxicity.fit(docs, labels).score(docs)
+    assert scored.filter("_score = concat('_score ', doc_id) AND f_capitals = concat('f_capitals ', doc_id)").count() == 6
+    assert langid.predict(docs, langid.fit(docs)).filter("_text = concat('_text ', doc_id)").count() == 6 and simhash.fingerprints(docs).filter("_text = concat('_text ', doc_id)").count() == 6
+    pages = docs.withColumnRenamed("doc_id", "page_id").withColumn("html", F.lit("<p>x</p>"))
+    assert html_cut.extract(pages.drop("text", "n_chars")).filter("_html = concat('_html ', page_id)").count() == 6
+
+
+def test_masked_words_of_long_code_are_looked_up_once():
+    import time
+
+    terms = {f"w{i:05d}x$": 3.0 for i in range(20_000)} | {"plonker$": 3.0}
+    odds = toxicity.Odds({k.replace("0", "o").replace("1", "i").replace("2", "z").replace("3", "e").replace("4", "h").replace("5", "s").replace("6", "g").replace("7", "t").replace("8", "b").replace("9", "q"): v for k, v in terms.items()})
+    began = time.time()
+    toxicity.features("x = a*b + c*d; " * 70_000, odds)
+    assert time.time() - began < 5
+    brute = lambda m: any(len(w) == len(m) and all(a in ("*", b) for a, b in zip(m, w, strict=True)) for w in [*toxicity.INSULTS, *(t[:-1] for t in odds.terms)])
+    for m in ("pl*nker", "p*****r", "id**t", "idi*t", "a*b", "w*****x", "wooooox", "x*y"):
+        assert odds.hides(m) == brute(m), m
+
+
+def test_warc_field_inside_a_url_is_no_field(spark, tmp_path):
+    urls = ["http://a/?WARC-Refers-To: <urn:causeway:record:77>", "http://a/\r\nWARC-Refers-To: <urn:causeway:record:78>\r\n", "http://a/\u2028WARC-Refers-To: <urn:causeway:record:79>", "http://a/"]
+    spark.createDataFrame([(i, u, "h" * 200 if i > 1 else f"{i}" * 200) for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.op1_warc(spark, str(tmp_path)).collect()}
+    assert got == {0: ("response", None), 1: ("response", None), 2: ("response", None), 3: ("revisit", 2)}
