@@ -185,6 +185,6 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(plan_records(pages), f"{at}/archives", largest=largest)
     store(read_archives(spark, f"{at}/archives"), f"{at}/store")
     payloads = spark.read.parquet(f"{at}/store/payloads").select("digest", digest(F.col("payload")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    headers = spark.read.parquet(f"{at}/store/headers").select("record_id", "record_type", "digest", F.regexp_extract(F.decode("header", "UTF-8"), "WARC-Refers-To: <urn:causeway:record:(-?\\d+)>", 1).alias("refers"))
-    refers = F.when(F.col("refers") != "", F.col("refers").try_cast("long"))
+    headers = spark.read.parquet(f"{at}/store/headers").select("record_id", "record_type", "digest", F.regexp_extract(F.decode("header", "UTF-8"), "\r\nWARC-Refers-To: <urn:causeway:record:(-?\\d+)>\r\n", 1).alias("refers"))
+    refers = F.when(F.col("record_type") == "revisit", F.col("refers").try_cast("long"))  # a URL may hold such a field, but no line break
     return headers.join(payloads, "digest", "left").select(F.regexp_extract("record_id", "record:(-?\\d+)>", 1).try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", refers.alias("refers_to"))
