@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import fresh_name, slices, table
 
 # Element names of HTML by what they do to text.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
@@ -28,12 +28,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 SKIPPED = frozenset("noscript template svg select button canvas audio video datalist".split())
 CONTROLS = frozenset("input select textarea button".split())
+#: Skipped elements that a start tag of a part of the page ends, if their own end tag is missing; and those parts.
+ENDED = frozenset("select button canvas audio video datalist".split())
+PARTS = frozenset("article aside blockquote body center details dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header main nav ol p pre section table ul".split())
 #: What a start tag closes, if it is open above it, up to the nearest of the second.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}), "option": ({"option"}, {"select"}),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Times that a page is read at most: once more for its forms, and for each name that turns out to be the page's.
+MOST_TURNS = 6
 #: A block inside one of these leaves a paragraph around it open.
 SCOPES = frozenset("table caption td th object marquee html".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog search fieldset".split())
@@ -49,10 +54,20 @@ BAD_WORDS = frozenset("""
 #: The same where names are written together.
 BAD_COMPOUNDS = re.compile(r"(cookie|advert|sponsor|newsletter|sidebar|breadcrumb|subscri|popup|footer)\w*|\w*(banner|navbar|sidebar|popup)|(top|side|sub|main|left|right|foot)(nav|menu)|ad(box|slot|unit|block|space|wrap|wrapper|container|zone)s?|comment(s?list|s?form|s?section|s?area)")
 GOOD_WORDS = frozenset("article content entry post story maintext articlebody".split())
+#: Bad words that settle what a name means wherever they stand in it; and words that say nothing beside a bad one.
+SURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors cookie cookies consent gdpr disqus popup modal overlay newsletter breadcrumb breadcrumbs navbar masthead paywall sitemap".split())
+#: Bad words that never name the page itself.
+NEVER_PAGE = SURE_WORDS | frozenset("comment comments reply replies respond responses sidebar sidebars nav navigation menu menus banner footer foot subscribe subscription signup pagination pager paging login".split())
+EMPTY_WORDS = frozenset("""
+    area bar block body bottom box button buttons card col column container content count feed first footer group heading holder icon icons inner item items js label last layout left level line link links list
+    mobile module outer page panel parent post posts primary region right row secondary section single site slot small text thread title top unit wrap wrapper zone
+    """.split())
 IGNORED_BEFORE = frozenset("has with no without is".split())
 
 # Weights of the classifier, as log odds of content.
-BIAS, IN_ARTICLE, OUTSIDE, BAD, GOOD_NAME, PARAGRAPH, HEADING, LINKS, LENGTH, SENTENCE, PAGE_HEADER = -0.6, 4.0, -3.0, -9.0, 1.5, 0.6, 0.3, -4.0, 1.2, 0.5, -4.0
+BIAS, IN_ARTICLE, OUTSIDE, BAD, BAD_NAME, DOUBTFUL_NAME, GOOD_NAME, PARAGRAPH, HEADING, LINKS, LENGTH, SENTENCE, PAGE_HEADER = -0.6, 4.0, -3.0, -9.0, -9.0, -2.0, 1.5, 0.6, 0.3, -4.0, 1.2, 0.5, -4.0
+#: A part with a bad name is the page itself if it has so many characters and all that is left without it is less than this share of them.
+LEFT_SHARE, LEAST_PAGE = 0.2, 140
 #: Capacities of the smoothness edges: of neighbours under one parent or another, and of blocks that follow under one parent.
 NEXT_SAME, NEXT_OTHER, SIBLING = 1.0, 0.2, 0.5
 
@@ -71,6 +86,9 @@ class Node:
     header: bool = False
     skip: bool = False
     form: int = -1
+    named: int = -1  # the outermost element around it whose name is bad
+    name: float = 0.0
+    skipper: Node | None = None
     # what its place in the tree tells, so that nothing looks up through the open elements
     links: int = 0
     heading: bool = False
@@ -93,9 +111,24 @@ class _Open:
     link_chars: int = 0
 
 
+def name_weight(value: str, tag: str) -> tuple[float, bool]:
+    """What a class or id says: 0, or how much it speaks against its element, and whether that is final. A bad word speaks fully if it comes last, is sure, or stands with empty words only; else ("share-enabled", "legal-history") it leaves doubt."""
+    worst, good, never = 0.0, False, False
+    for name in value.split():
+        words = [w.lower() for w in _NAME.findall(name)]
+        bad = [w for i, w in enumerate(words) if (w in BAD_WORDS or BAD_COMPOUNDS.fullmatch(w)) and not (i and words[i - 1] in IGNORED_BEFORE)]
+        good |= bool(GOOD_WORDS & set(words)) and not bad
+        if bad:
+            full = words[-1] in bad or any(w in SURE_WORDS or w not in BAD_WORDS for w in bad) or all(w in bad or w in EMPTY_WORDS for w in words)
+            worst = min(worst, BAD_NAME if full else DOUBTFUL_NAME)
+            never |= full and any(w in NEVER_PAGE or w not in BAD_WORDS for w in bad)
+    return (0.0, False) if good and tag in ("article", "main") else (worst, never)
+
+
 def _child(parent: Node, tag: str, attrs: str, plain: bool = False) -> Node:
     """plain: a form that is the page itself; neither its tag nor its name counts."""
-    n = Node(tag, parent, parent.bad, parent.article, parent.good, parent.header, parent.skip or tag in SKIPPED or tag in RAW, parent.form)
+    n = Node(tag, parent, parent.bad, parent.article, parent.good, parent.header, parent.skip or tag in SKIPPED or tag in RAW, parent.form, parent.named, parent.name)
+    n.skipper = parent.skipper or (n if n.skip else None)
     n.links, n.heading, n.head = parent.links + (tag == "a"), parent.heading or tag in HEADINGS, (parent.head or tag == "head") and tag != "body"
     n.block = n if tag in BLOCKS else parent.block
     n.paragraph = n if tag == "p" else None if tag in SCOPES else parent.paragraph
@@ -109,14 +142,12 @@ def _child(parent: Node, tag: str, attrs: str, plain: bool = False) -> Node:
                 n.bad |= value.lower() in BAD_ROLES
                 n.article |= value.lower() in ("main", "article") and not n.bad
             elif key in ("class", "id") and tag not in ("html", "body", "main") and not plain:
-                for name in value.split():
-                    words = [w.lower() for w in _NAME.findall(name)]
-                    if any((w in BAD_WORDS or BAD_COMPOUNDS.fullmatch(w)) and not (i and words[i - 1] in IGNORED_BEFORE) for i, w in enumerate(words)) and not (tag == "article" and GOOD_WORDS & set(words)):
-                        n.bad = True
-                    elif "header" in words and not n.article:
-                        n.header = True
-                    elif GOOD_WORDS & set(words):
-                        n.good = GOOD_NAME
+                weight, never = name_weight(value, tag)
+                n.name, n.bad = min(n.name, weight), n.bad or never
+                words = {w.lower() for w in _NAME.findall(value)}
+                n.header |= "header" in words and not n.article
+                if GOOD_WORDS & words and weight == 0.0:
+                    n.good = GOOD_NAME
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or key == "aria-hidden" and value.lower() == "true":
                 n.bad = True
     if attrs and re.search(r"(?:^|\s)hidden(?:\s|/|=|$)", attrs, re.I):
@@ -125,23 +156,44 @@ def _child(parent: Node, tag: str, attrs: str, plain: bool = False) -> Node:
 
 
 def blocks_of(html: str) -> list[Block]:
-    """The page's text blocks in order. Scripts, styles, form controls, comments and the head are no text."""
-    out, controls = _blocks(html, frozenset())
-    chars = [0] * len(controls)
-    for b in out:
-        n = b.node
-        while n is not None and n.form >= 0:  # nested forms count for the outer ones too
-            chars[n.form] += len(b.text)
-            inner = n.form
-            while n is not None and n.form == inner:
-                n = n.parent
-    total = sum(len(b.text) for b in out)
-    plain = frozenset(i for i, n in enumerate(controls) if chars[i] and chars[i] >= FORM_SHARE * total and chars[i] >= FORM_CHARS * n)
-    return _blocks(html, plain)[0] if plain else out
-
-
-def _blocks(html: str, plain: frozenset[int]) -> tuple[list[Block], list[int]]:
-    """Blocks, and the controls of each form; plain: the forms that are taken as any other part of the page."""
+    """The page's text blocks in order. Scripts, styles, form controls, comments and the head are no text.
+
+    A form, or a part with a bad name, that holds the page itself is read again as any other part of it.
+    """
+    plain: frozenset[int] = frozenset()
+    named: frozenset[int] = frozenset()
+    for turn in range(MOST_TURNS):
+        out, controls, names = _blocks(html, plain, named)
+        chars = [0] * len(controls)
+        held = [0] * names
+        left = 0
+        for b in out:
+            n = b.node
+            while n is not None and n.form >= 0:  # nested forms count for the outer ones too
+                chars[n.form] += len(b.text)
+                inner = n.form
+                while n is not None and n.form == inner:
+                    n = n.parent
+            if not b.node.bad:
+                if b.node.named >= 0:
+                    held[b.node.named] += len(b.text) - b.link_chars
+                else:
+                    left += len(b.text) - b.link_chars
+        total = sum(len(b.text) for b in out)
+        forms = frozenset(i for i, n in enumerate(controls) if i not in plain and chars[i] and chars[i] >= FORM_SHARE * total and chars[i] >= FORM_CHARS * n)
+        most = max(held, default=0)
+        wrong = frozenset([held.index(most)]) - named if most >= LEAST_PAGE and left < LEFT_SHARE * most else frozenset()
+        if turn == 0 and forms:  # forms first: what they hold is no part of `left` yet
+            plain, wrong = forms, frozenset()
+        elif not wrong:
+            break
+        named |= wrong
+    return out
+
+
+def _blocks(html: str, plain: frozenset[int], unnamed: frozenset[int]) -> tuple[list[Block], list[int], int]:
+    """Blocks, the controls of each form, and the number of elements with bad names; plain: the forms, and unnamed: the bad names, that don't count."""
+    names = 0
     controls: list[int] = []
     endless: set[str] = set()  # raw elements that are not closed any more
     root = Node("", None)
@@ -200,6 +252,9 @@ def _blocks(html: str, plain: frozenset[int]) -> tuple[list[Block], list[int]]:
                     at = end.end()
                     continue
                 endless.add(tag)
+            if tag in PARTS and stack[-1].skip and stack[-1].skipper.tag in ENDED:
+                over = stack[-1].skipper
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k] is over))
             if stack[-1].skip or tag in SKIPPED or tag in RAW:
                 # ends with its end tag, or else where its parent does
                 if tag not in VOID and not closed:
@@ -224,7 +279,14 @@ def _blocks(html: str, plain: frozenset[int]) -> tuple[list[Block], list[int]]:
             if tag == "body" and opened["head"]:
                 stack, opened["head"] = [n for n in stack if n.tag != "head"], 0
             if tag not in VOID and not closed or tag in BLOCKS - VOID:
+                had = stack[-1].name
                 push(_child(stack[-1], tag, m[3], tag == "form" and len(controls) in plain))
+                if stack[-1].name < had:
+                    if names in unnamed:
+                        stack[-1].name = had
+                    elif stack[-1].named < 0:
+                        stack[-1].named = names
+                    names += 1
                 if tag == "form":
                     stack[-1].form = len(controls)
                     controls.append(0)
@@ -234,19 +296,19 @@ def _blocks(html: str, plain: frozenset[int]) -> tuple[list[Block], list[int]]:
             close(tag)
     say(html[at:])
     flush()
-    return out, controls
+    return out, controls, names
 
 
 def odds(blocks: list[Block]) -> list[float]:
     """Log odds of content for each block, by its place and its text."""
-    marked = any(b.node.article and not b.node.bad for b in blocks)
+    marked = any(b.node.article and not b.node.bad and b.node.name > BAD_NAME for b in blocks)
     out = []
     for b in blocks:
         n = b.node
         words = b.text.count(" ") + 1
         z = BIAS + n.good + LENGTH * min(np.log1p(words) / 3, 1.5) + LINKS * min(b.link_chars / max(len(b.text), 1), 1.0)
         z += PARAGRAPH * (n.tag in ("p", "blockquote", "pre")) + HEADING * b.heading + SENTENCE * b.text.endswith((".", "!", "?", "…", "”", '"'))
-        z += BAD * n.bad + PAGE_HEADER * n.header + (IN_ARTICLE if n.article else OUTSIDE if marked else 0.0)
+        z += BAD * n.bad + n.name + PAGE_HEADER * n.header + (IN_ARTICLE if n.article else OUTSIDE if marked else 0.0)
         out.append(float(z))
     return out
 
@@ -366,14 +428,14 @@ def main_text(html: str) -> str:
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages without html, with text and n_chars (code points); columns of those names are replaced. A null page counts as empty and has an empty text."""
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("_html"))
+    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{html}`"), F.lit("")).alias(source := fresh_name("html")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_html"):
-            text = [main_text(h) for h in batch.column("_html").to_pylist()]
+        for batch in slices(batches, source):
+            text = [main_text(h) for h in batch.column(source).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*keep, "text", "n_chars"])
 
-    return rows.mapInArrow(run, rows.drop("_html").schema.add("text", "string").add("n_chars", "long"))
+    return rows.mapInArrow(run, rows.drop(source).schema.add("text", "string").add("n_chars", "long"))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
