@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import slices, table, written
+from .common import fresh_name, slices, table, written
 
 #: Words that are broadcast, at most, and the longest of them.
 HEAD_WORDS, HEAD_CHARS = 131_072, 64
@@ -158,16 +158,16 @@ def _mapped(docs: DataFrame, text: str, path: str, fields: dict[str, pa.DataType
     key = uuid.uuid4().hex
     head = spark.sparkContext.broadcast(head_of(written(word_table(docs, text, path), "words"), most))
     keep = [c for c in docs.columns if c not in fields and (c != text or with_text)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(source := fresh_name("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_table(key, path, head)
-        for batch in slices(batches, "_text"):
-            ids = words.encode(batch.column("_text").to_pylist())
+        for batch in slices(batches, source):
+            ids = words.encode(batch.column(source).to_pylist())
             new = [pa.array(c, t) for c, t in zip(made(ids), fields.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], [*keep, *fields])
 
-    return rows.mapInArrow(run, StructType(rows.drop("_text").schema.fields + StructType.fromDDL(ddl).fields))
+    return rows.mapInArrow(run, StructType(rows.drop(source).schema.fields + StructType.fromDDL(ddl).fields))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", most: int = HEAD_WORDS) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, table
+from .common import fresh_name, held_out, slices, table
 
 #: Rows of a profile, the longest n-gram, and the languages that are told apart at most (what is broadcast is their product).
 PROFILE, LONGEST, MOST_LANGUAGES = 300, 3, 2_000
@@ -147,16 +147,16 @@ class Profiles:
 def predict(docs: DataFrame, model: Profiles, text: str = "text") -> DataFrame:
     """docs without its text, with lang_pred and score; columns of those names are replaced. Whole texts count. A tie goes to the language that sorts first."""
     keep = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(source := fresh_name("text")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            got = [shared.value.predict(t) for t in batch.column("_text").to_pylist()]
+        for batch in slices(batches, source):
+            got = [shared.value.predict(t) for t in batch.column(source).to_pylist()]
             new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], [*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, rows.drop("_text").schema.add("lang_pred", "string").add("score", "double"))
+    return rows.mapInArrow(run, rows.drop(source).schema.add("lang_pred", "string").add("score", "double"))
 
 
 def fit(docs: DataFrame, most: int = PROFILE) -> Profiles:

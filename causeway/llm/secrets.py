@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import exists, fresh_dir, table
+from .common import exists, fresh_dir, fresh_name, table
 
 
 @dataclass(frozen=True)
@@ -144,21 +144,22 @@ def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[secret]") -
     Overlapping spans are replaced as one. A null text stays null.
     """
     spark = docs.sparkSession
+    own_text, own_digest, own_found = map(fresh_name, ("text", "digest", "found"))
     found = by_blob(scan(docs.select(F.lit(None).cast("long").alias("path"), F.col("text").alias("content")), ledger or fresh_dir(spark, "ledger")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.col("_text").substr((acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["out"])
+        out = F.when(fresh, F.concat(acc["out"], F.col(own_text).substr((acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["out"])
         return F.struct(out.alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
 
     def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.col("_text").substr((acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
+        return F.concat(acc["out"], F.col(own_text).substr((acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
 
-    own = docs.select(*[F.col(c) for c in docs.columns], F.coalesce("text", F.lit("")).alias("_text"), digest(F.coalesce("text", F.lit(""))).alias("_digest"))
-    joined = own.join(found.select(F.col("digest").alias("_digest"), F.col("found").alias("_found")), "_digest", "left")
-    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.aggregate("_found", start, step, finish))
+    own = docs.select(*[F.col(c) for c in docs.columns], F.coalesce("text", F.lit("")).alias(own_text), digest(F.coalesce("text", F.lit(""))).alias(own_digest))
+    joined = own.join(found.select(F.col("digest").alias(own_digest), F.col("found").alias(own_found)), own_digest, "left")
+    text = F.when(F.col(own_found).isNull(), F.col("text")).otherwise(F.aggregate(own_found, start, step, finish))
     new = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        new = new.withColumn("n_chars", F.when(F.col(own_found).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return new.select(*docs.columns)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, table, written
+from .common import fresh_name, slices, small_batches, table, written
 from .components import components
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
@@ -66,15 +66,15 @@ def fingerprints(docs: DataFrame, text: str = "text", sizes: tuple[int, ...] = (
     """docs without its text, with a bigint column fp<size> per shingle size. A null text counts as empty; an empty one has fingerprint 0."""
     names = [f"fp{s}" for s in sizes]
     keep = [c for c in docs.columns if c != text and c not in names]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias(source := fresh_name("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            texts = batch.column("_text").to_pylist()
+        for batch in slices(batches, source):
+            texts = batch.column(source).to_pylist()
             made = [pa.array([majority(shingle_hashes(t, s, seed)) for t in texts], pa.int64()) for s in sizes]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, *names])
 
-    schema = rows.drop("_text").schema
+    schema = rows.drop(source).schema
     for n in names:
         schema = schema.add(n, "long")
     return rows.mapInArrow(run, schema)
@@ -590,10 +590,11 @@ def drop_near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: fl
     kept = named.join(first, "group").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest"))
     labels = written(prints.select("doc_id", "digest", "node").join(kept, "node").select("doc_id", "digest", ((F.col("digest") == F.col("first_digest")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("stays")), "stays")
     gone = _listed(written(labels.filter("NOT stays").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "gone"))
-    marked = docs.withColumn("_own", _digest())
-    out = marked.join(gone, marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_own"] == gone["_digest"]), "left_anti")
+    own_digest = fresh_name("digest")
+    marked = docs.withColumn(own_digest, _digest())
+    out = marked.join(gone, marked["doc_id"].eqNullSafe(gone["_id"]) & (marked[own_digest] == gone["_digest"]), "left_anti")
     if labels.filter("stays").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").take(1):
-        out = out.dropDuplicates(["doc_id", "_own"])
+        out = out.dropDuplicates(["doc_id", own_digest])
     return out.select(*docs.columns)
 
 
