@@ -8,16 +8,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+from .ranks import at_ranks, quantiles, quantiles_of
+
 
 def edges(df: DataFrame, column: str, parts: int) -> list[float]:
     """Distinct edges of equal-count buckets: exact quantiles by linear interpolation, duplicates dropped. Nulls are left out; no values, no edges."""
-    got = df.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / parts) for i in range(parts + 1)]))).alias("e")).first()["e"]
-    return [e for e in got or [] if e is not None]
+    return list(dict.fromkeys(quantiles_of(df, column, [i / parts for i in range(parts + 1)]) or []))
 
 
 def edges_by(df: DataFrame, group: str, value: str, parts: int) -> DataFrame:
-    """(group, edges) for every group in one aggregation."""
-    return df.groupBy(group).agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / parts) for i in range(parts + 1)]))).alias("edges"))
+    """(group, edges) for every group that has values, all at once."""
+    return quantiles(df, [value], [i / parts for i in range(parts + 1)], [group]).select(group, F.array_distinct("quantiles").alias("edges"))
 
 
 def bucket(value: Column, found: Sequence[float] | Column) -> Column:
@@ -35,7 +37,7 @@ def unpivoted(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> Dat
 
 def univariate(df: DataFrame, columns: Sequence[str], target: str, parts: int = 5) -> DataFrame:
     """Per numeric feature and quantile bucket: n, mean target. One pass for the edges of all features, one for the buckets; the edges (a row per feature) are broadcast."""
-    long = unpivoted(df, columns, [target]).filter("value IS NOT NULL")
+    long = written(unpivoted(df, columns, [target]).filter("value IS NOT NULL"), "unpivoted")
     found = edges_by(long, "feature", "value", parts)
     joined = long.join(F.broadcast(found), "feature")  # as many rows as there are columns
     return joined.groupBy("feature", bucket(F.col("value"), F.col("edges")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("mean_target"))
@@ -62,13 +64,13 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence) -> DataFram
 
 
 def tail_share(df: DataFrame, column: str, share: float = 0.05) -> DataFrame:
-    """Sum of the ceil(share * n) largest values over the sum of all: n_top, tail_share. Ties at the bound count as often as the tail has room; all by aggregates, without a sort."""
+    """Sum of the ceil(share * n) largest values over the sum of all: n_top, tail_share. Ties at the bound count as often as the tail has room; all by aggregates."""
     v = F.col(column)
     known = df.filter(v.isNotNull())
     n = known.count()
     k = math.ceil(n * share)
     if not k:
         return df.sparkSession.createDataFrame([], "n_top long, tail_share double")
-    bound = known.agg(F.expr(f"percentile_disc({(k - 0.5) / n}D) WITHIN GROUP (ORDER BY {column} DESC)").alias("b")).first()["b"]
+    bound = at_ranks(known, column, [n - k])[0]
     out = known.agg(F.count_if(v > bound).alias("above"), F.coalesce(F.sum(F.when(v > bound, v)), F.lit(0.0)).alias("s"), F.sum(v).alias("total"))
     return out.select(F.lit(k).cast("long").alias("n_top"), F.try_divide(F.col("s") + (F.lit(k) - F.col("above")) * F.lit(bound), F.col("total")).alias("tail_share"))

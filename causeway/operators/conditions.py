@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.exprs import era, sure
+from ..storage import written
 from .buckets import edges
+from .ranks import quantiles
 
 
 def small_size_edge(df: DataFrame, settings: Settings = DEFAULT) -> float:
@@ -37,18 +39,21 @@ def matched(df: DataFrame, named: dict[str, Column]) -> DataFrame:
 def condition_table(df: DataFrame, named: dict[str, Column], settings: Settings = DEFAULT) -> DataFrame:
     """Per condition: trades, accounts, campaigns, mean loss per lot and whether it clears the hurdle, mean and median reverse profit. Conditions without rows are absent.
 
-    Counts and means combine on the map side; accounts are counted over distinct (condition, campaign, account) rows.
+    Counts and means combine on the map side; accounts are counted over distinct (condition, campaign, account) rows; medians
+    come from values counted and dealt by ranges.
     """
-    m = matched(df, named)
-    return m.groupBy("condition").agg(
+    m = written(matched(df, named).select("condition", "campaign_id", "account_id", "gross_loss_per_lot", "reverse_profit_per_lot"), "matched")
+    medians = quantiles(m, ["reverse_profit_per_lot"], [0.5], ["condition"]).select("condition", F.col("quantiles")[0].alias("median_reverse"))
+    told = m.groupBy("condition").agg(
         F.count(F.lit(1)).alias("n_trades"), F.count_distinct("campaign_id", "account_id").alias("n_accounts"), F.count_distinct("campaign_id").alias("n_campaigns"),
         F.avg("gross_loss_per_lot").alias("mean_loss_per_lot"), sure(F.avg("gross_loss_per_lot") > settings.hurdle).alias("clears_hurdle"),
-        F.avg("reverse_profit_per_lot").alias("mean_reverse"), F.percentile("reverse_profit_per_lot", F.lit(0.5)).alias("median_reverse"),
+        F.avg("reverse_profit_per_lot").alias("mean_reverse"),
     )
+    return told.join(F.broadcast(medians), "condition", "left")  # a row per condition
 
 
 def within_campaigns(df: DataFrame, named: dict[str, Column], least: int = 10, settings: Settings = DEFAULT) -> DataFrame:
-    """Per condition over campaigns with at least `least` rows: campaigns, share of them whose mean clears the hurdle, median of their means."""
+    """Per condition over campaigns with at least `least` rows: campaigns, share of them whose mean clears the hurdle, median of their means (of as many values as there are campaigns)."""
     means = matched(df, named).filter("gross_loss_per_lot IS NOT NULL").groupBy("condition", "campaign_id").agg(F.count(F.lit(1)).alias("n"), F.avg("gross_loss_per_lot").alias("m")).filter(F.col("n") >= least)
     return means.groupBy("condition").agg(F.count(F.lit(1)).alias("campaigns"), F.avg((F.col("m") > settings.hurdle).cast("double")).alias("share_clearing"), F.percentile("m", F.lit(0.5)).alias("median_mean"))
 

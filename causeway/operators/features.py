@@ -18,6 +18,7 @@ from ..config import DEFAULT, Settings
 from ..functions.exprs import seconds, stop_distance, sure
 from .asof import running_medians
 from .positions import ACCOUNT, ORDER
+from .ranks import quantiles_of
 
 
 def decay_rows(alpha: float) -> int:
@@ -157,7 +158,8 @@ def features(df: DataFrame, names: Sequence[str] | None = None, settings: Settin
 
 def clip_of(entry_gaps: DataFrame, share: float = 0.99) -> float | None:
     """The fitted clip of entry_gap_sec."""
-    return entry_gaps.agg(F.percentile("entry_gap_sec", F.lit(share))).first()[0]
+    found = quantiles_of(entry_gaps, "entry_gap_sec", [share])
+    return found[0] if found else None
 
 
 def overlap_histogram(df: DataFrame) -> DataFrame:

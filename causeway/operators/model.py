@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..storage import written
 from .features import CLOSE_FIELDS, STOP_FIELDS
+from .ranks import at_ranks, quantiles
 
 ALPHAS = tuple(float(a) for a in np.logspace(-3, 3, 13))
 THRESHOLDS = (-100.0, 500.0, 601)
@@ -55,8 +56,8 @@ def fit_design(train: DataFrame, numeric: Sequence[str], categorical: Sequence[s
     if many := [c for c, v in levels.items() if len(v) > MOST_LEVELS]:
         raise ValueError(f"more than {MOST_LEVELS} levels: {many}")
     d = Design(list(numeric), levels)
-    med = train.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in numeric]).first()
-    d.median = {c: float(med[c]) if med[c] is not None else 0.0 for c in numeric}
+    med = {r["column_"]: r["quantiles"][0] for r in quantiles(train, list(numeric), [0.5]).collect()} if numeric else {}
+    d.median = {c: float(med.get(c, 0.0)) for c in numeric}
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(d.median[c])) for c in numeric}
     got = train.agg(*[x for c in numeric for x in (F.avg(filled[c]).alias(f"m_{c}"), F.stddev_pop(filled[c]).alias(f"s_{c}"))]).first()
     d.mean = {c: float(got[f"m_{c}"] or 0.0) for c in numeric}
@@ -260,16 +261,16 @@ def frontier(df: DataFrame, score: str, shares: Sequence[float], actual: str = "
     schema = "share double, cutoff double, n long, mean double" + (", deff double, mde double, mde_floored double" if cluster is not None else "")
     if not n:
         return df.sparkSession.createDataFrame([], schema)
-    at = lambda k: F.expr(f"percentile_disc({max(0.0, min(1.0, (k - 0.5) / n))}D) WITHIN GROUP (ORDER BY {score} DESC)")
-    got = known.agg(F.stddev_samp(actual).alias("sd"), *[x for i, k in enumerate(ks) for x in (at(k).alias(f"a{i}"), at(min(k + 1, n)).alias(f"b{i}"))]).first()
-    cut = [got[f"a{i}"] - 1e-12 if ks[i] >= n else (got[f"a{i}"] + got[f"b{i}"]) / 2 for i in range(len(ks))]
+    least = at_ranks(known, score, [n - min(k, n) for k in ks] + [n - min(k + 1, n) for k in ks])
+    sd = known.agg(F.stddev_samp(actual)).first()[0] or 0.0
+    cut = [a - 1e-12 if k >= n else (a + b) / 2 for k, a, b in zip(ks, least, least[len(ks) :], strict=False)]
     one = known.agg(*[x for i, c in enumerate(cut) for x in (F.count_if(F.col(score) > c).alias(f"n{i}"), F.avg(F.when(F.col(score) > c, F.col(actual))).alias(f"m{i}"))]).first()
     out = []
     for i, s in enumerate(shares):
         row = [float(s), float(cut[i]), one[f"n{i}"], one[f"m{i}"]]
         if cluster is not None:
             deff = icc(known.filter(F.col(score) > cut[i]), actual, cluster).first()["deff"] if row[2] else None
-            row += [deff, *[least_effect(got["sd"] or 0.0, row[2], d) if d is not None else None for d in (deff and max(deff, 0.0), deff and max(deff, 1.0))]]
+            row += [deff, *[least_effect(sd, row[2], d) if d is not None else None for d in (deff and max(deff, 0.0), deff and max(deff, 1.0))]]
         out.append(tuple(row))
     return df.sparkSession.createDataFrame(out, schema)
 

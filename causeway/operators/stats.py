@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .ranks import centred_ranks
+from .ranks import centred_ranks, quantiles, quantiles_of
 
 #: Sum of the normal quantiles for a two-sided 5 % test with 80 % power.
 Z_SUM = NormalDist().inv_cdf(0.975) + NormalDist().inv_cdf(0.8)
@@ -19,15 +19,17 @@ Z_SUM = NormalDist().inv_cdf(0.975) + NormalDist().inv_cdf(0.8)
 
 def describe(df: DataFrame, column: str, shares: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """One row: n, mean, std (n - 1), min, exact percentiles p10 ..., max."""
-    v = F.col(column)
-    return df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *[F.percentile(v, F.lit(s)).alias(f"p{round(s * 100)}") for s in shares], F.max(v).alias("max"))
+    own = written(df.select(F.col(column).alias("v")), "described")
+    found = quantiles(own, ["v"], shares)  # one row, or none
+    one = own.agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")).join(F.broadcast(found), how="left")
+    return one.select("n", "mean", "std", "min", *[F.col("quantiles")[i].alias(f"p{round(s * 100)}") for i, s in enumerate(shares)], "max")
 
 
 def spearman(df: DataFrame, columns: Sequence[str], against: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(*by, a, b, rho, n) for every pair of columns, or of columns with `against`, in each group of by; rows with both values, average ranks for ties.
 
     A column is ranked once for all its pairs, if neither it nor a partner lacks values; a pair that lacks some ranks its
-    own rows. Ranks come from counts per value and are joined back by value. No rows give no groups, and without by one row
+    own rows. Ranks come from counts per value and are joined back by column and value, all columns at once. No rows give no groups, and without by one row
     per pair with no rho.
     """
     pairs = [(a, b) for a in columns for b in against if a != b] if against else list(combinations(columns, 2))
@@ -49,11 +51,12 @@ def spearman(df: DataFrame, columns: Sequence[str], against: Sequence[str] | Non
             sides.append((side((a,), x), side((b,), y)))
         else:
             sides.append((side((a, b, 0), F.when(y.isNotNull(), x)), side((a, b, 1), F.when(x.isNotNull(), y))))
-    wide = df.select(*by, *[v.alias(n) for n, v in values.items()])
+    wide = written(df.select(*by, *[v.alias(n) for n, v in values.items()], F.monotonically_increasing_id().alias("row_")), "ranked")
+    long = wide.select(*by, "row_", F.explode(F.array(*[F.struct(F.lit(n).alias("column_"), F.col(n).alias("value_")) for n in values])).alias("c_")).select(*by, "row_", "c_.*").filter("value_ IS NOT NULL")
     ranks = written(centred_ranks(wide, list(values), by), "ranks")
-    for n in values:
-        own = ranks.filter(F.col("column_") == n).select(*by, F.col("value_").alias(n), F.col("rank_").alias(f"r{n}"))
-        wide = wide.join(own, [*by, n], "left")
+    # one join gives all columns their ranks; a value that very many rows share is one row of the smaller side
+    long = long.join(ranks, [*by, "column_", "value_"])
+    wide = long.groupBy(*by, "row_").agg(*[F.max(F.when(F.col("column_") == n, F.col("rank_"))).alias(f"r{n}") for n in values])
     sums = [s for i, (x, y) in enumerate(sides) for s in (F.count(f"r{x}").alias(f"n{i}"), F.sum(F.col(f"r{x}") * F.col(f"r{y}")).alias(f"s{i}"))]
     spread = [F.sum(F.col(f"r{n}") * F.col(f"r{n}")).alias(f"q{n}") for n in values]
     one = wide.groupBy(*by).agg(*sums, *spread)
@@ -86,7 +89,7 @@ def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def winsorised(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99, train: DataFrame | None = None) -> DataFrame:
     """df with the column clipped at quantiles of train (df itself by default), as <column>_w."""
-    a, b = (train if train is not None else df).agg(F.percentile(column, F.array(F.lit(low), F.lit(high)))).first()[0]
+    a, b = quantiles_of(train if train is not None else df, column, (low, high)) or (None, None)
     return df.withColumn(f"{column}_w", F.when(F.col(column).isNotNull(), F.greatest(F.lit(a), F.least(F.lit(b), F.col(column)))))
 
 
