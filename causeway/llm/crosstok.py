@@ -9,9 +9,9 @@ Neither tokenizer's tokens cross from a non-blank character into a space, so a t
 and every chunk's end is an end on both sides. A task encodes and aligns each distinct chunk once (`ChunkTable`) and a
 text is a sum over its chunks. `Pair.check` refuses vocabularies for which that doesn't hold.
 
-Two passes over the texts: the first counts, per pair, the documents that hold it (summed within a task before the
-shuffle); the second adds the counts up. Pairs above a count that leaves at most `most` of them are broadcast; the others
-leave the second pass as rows and are joined to the counted table by a shuffle. No text or id list leaves its task.
+One pass over the texts writes each row's figures and its distinct pairs with their links. Counting reads the pairs
+(summed within a task before the shuffle), and a last pass adds the counts up. Pairs above a count that leaves at most
+`most` of them are broadcast; the others leave the last pass as rows and are joined to the counted table by a shuffle.
 """
 
 from __future__ import annotations
@@ -19,10 +19,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +33,11 @@ from .common import fresh_name, slices, table, written
 
 #: Counted pairs that are broadcast at most (20 bytes each).
 HEAD_PAIRS = 2_000_000
-#: Chunks and tokens that a task's table holds before it starts anew, and pairs that a task counts before it passes them on.
-OWN_CHUNKS, OWN_TOKENS, OWN_PAIRS = 300_000, 6_000_000, 4_000_000
+#: Chunks and tokens that a task's table holds before it lets go of all but the KEPT_CHUNKS used most, and pairs that a task counts before it passes them on.
+OWN_CHUNKS, OWN_TOKENS, KEPT_CHUNKS, OWN_PAIRS = 400_000, 8_000_000, 200_000, 4_000_000
 CHUNKS_AT_ONCE = 4_096
+#: A group of more links than this is expanded by its distinct ids.
+BIG = 4_096
 
 _UNEVEN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -119,10 +120,11 @@ class Aligned:
 
     def __init__(self, of: Pair, chunks: list[str]):
         a, b = of.encode(chunks)
-        self.odd = np.array([b"".join(map(of.a_bytes.__getitem__, x)) != (t := (" " + c).encode()) or b"".join(map(of.b_bytes.__getitem__, y)) != t for c, x, y in zip(chunks, a, b, strict=True)], dtype=bool)
-        a, b = ([[] if odd else x for x, odd in zip(side, self.odd, strict=True)] for side in (a, b))
+        self.odd = self._odd(of, chunks, a, b)
+        if self.odd.any():
+            a, b = ([[] if odd else x for x, odd in zip(side, self.odd, strict=True)] for side in (a, b))
         self.na, self.nb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        ids_a, ids_b = (np.fromiter((i for x in side for i in x), np.int64, int(n.sum())) for side, n in ((a, self.na), (b, self.nb)))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((a, self.na), (b, self.nb)))
         # all chunks as one run of bytes: their own ends are ends of both sides
         ends_a, ends_b = (list(accumulate(long[ids].tolist())) for long, ids in ((of.a_longs, ids_a), (of.b_longs, ids_b)))
         upto_a, upto_b = (np.array(x, dtype=np.int64) for x in cuts(ends_a, ends_b))
@@ -135,9 +137,23 @@ class Aligned:
         self._pairs(ids_a, ids_b, upto_a - in_a, in_a, upto_b - in_b, in_b, of_group, len(chunks))
         self.text = self._written(of, ids_a, ids_b, upto_a - in_a, in_a, upto_b - in_b, in_b, at)
 
+    @staticmethod
+    def _odd(of: Pair, chunks: list[str], *sides: list[list[int]]) -> np.ndarray:
+        """Which chunks a side doesn't give back, byte for byte. They are rare, so all chunks are compared at once first."""
+        spaced = [f" {c}".encode() for c in chunks]
+        whole, long = b"".join(spaced), np.fromiter(map(len, spaced), np.int64, len(spaced))
+        odd = np.zeros(len(chunks), dtype=bool)
+        for side, table, longs in zip(sides, (of.a_bytes, of.b_bytes), (of.a_longs, of.b_longs), strict=True):
+            ids = list(chain.from_iterable(side))
+            n = np.fromiter(map(len, side), np.int64, len(side))
+            ends = np.concatenate([[0], np.cumsum(longs[np.array(ids, dtype=np.int64)])])[np.cumsum(n)]
+            if not np.array_equal(ends, np.cumsum(long)) or b"".join(map(table.__getitem__, ids)) != whole:
+                odd |= np.array([b"".join(map(table.__getitem__, x)) != t for x, t in zip(side, spaced, strict=True)])
+        return odd
+
     def _pairs(self, ids_a, ids_b, from_a, in_a, from_b, in_b, of_group, n: int) -> None:
         """Distinct pairs of each chunk with their number of links. A group of very many tokens is expanded by its distinct ids, not its occurrences."""
-        big = in_a * in_b > 4_096
+        big = in_a * in_b > BIG
         some = np.flatnonzero(~big)
         a_at = _spread(from_a[some], in_a[some])
         fan = np.repeat(in_b[some], in_a[some])
@@ -174,103 +190,130 @@ class Aligned:
 
 
 class ChunkTable(dict):
-    """chunk -> row, kept from text to text; a chunk that isn't there gets a row, whose values come with the next fill().
-
-    counts: pairs (sorted), their counts, and whether each is its A id's best; without them only pairs are kept.
-    """
+    """chunk -> row, kept from text to text; a chunk that isn't there gets a row, whose values come before `rows` returns."""
 
-    def __init__(self, of: Pair, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+    def __init__(self, of: Pair):
         super().__init__()
-        self.of, self.counts = of, counts
-        self.restart()
-
-    def restart(self) -> None:
-        self.clear()
-        self.pending: list[str] = []
-        self.tokens = 0
+        self.of, self.pending = of, []
         self.text: list[bytes] = []
-        self.values = np.zeros((0, 7), np.int64)  # na, nb, groups, links, odd, best, sum
-        self.p0, self.pn, self.pairs, self.times, self.tail = (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool))
+        self.values = np.zeros((0, 5), np.int64)  # na, nb, groups, links, odd
+        self.p0, self.pn, self.pairs, self.times, self.used = (np.zeros(0, np.int64) for _ in range(5))
 
     def __missing__(self, chunk: str) -> int:
         row = self[chunk] = len(self)
         self.pending.append(chunk)
         return row
 
+    def shrink(self) -> None:
+        """Lets go of all but the chunks used most; of those the counts are halved."""
+        kept = np.sort(np.argsort(-self.used, kind="stable")[:KEPT_CHUNKS])
+        names = list(self)
+        self.clear()
+        self.update((names[i], row) for row, i in enumerate(kept.tolist()))
+        self.text = [self.text[i] for i in kept.tolist()]
+        at = _spread(self.p0[kept], self.pn[kept])
+        self.pairs, self.times, self.values, self.pn, self.used = self.pairs[at], self.times[at], self.values[kept], self.pn[kept], self.used[kept] // 2
+        self.p0 = np.cumsum(self.pn) - self.pn
+
     def rows(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self) > OWN_CHUNKS or self.tokens > OWN_TOKENS:
-            self.restart()
+        if len(self) > OWN_CHUNKS or int(self.values[:, :2].sum()) > OWN_TOKENS:
+            self.shrink()
         found = [np.fromiter(map(self.__getitem__, c), np.int64, len(c)) for c in map(chunks_of, texts)]
         parts = [Aligned(self.of, self.pending[i : i + CHUNKS_AT_ONCE]) for i in range(0, len(self.pending), CHUNKS_AT_ONCE)]
         self.pending = []
         if parts:
-            pairs, times = np.concatenate([p.pairs for p in parts]), np.concatenate([p.times for p in parts])
             pn = np.concatenate([p.pn for p in parts])
-            plain = np.stack([np.concatenate([getattr(p, f) for p in parts]) for f in ("na", "nb", "groups", "links", "odd")], axis=1)
-            best, total, tail = self._weighed(pairs, times, pn)
-            self.values = np.concatenate([self.values, np.column_stack([plain, best, total])])
             self.p0 = np.concatenate([self.p0, len(self.pairs) + np.cumsum(pn) - pn])
-            self.pn, self.pairs, self.times, self.tail = np.concatenate([self.pn, pn]), np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times]), np.concatenate([self.tail, tail])
+            self.pn, self.used = np.concatenate([self.pn, pn]), np.concatenate([self.used, np.zeros(len(pn), np.int64)])
+            self.pairs, self.times = np.concatenate([self.pairs, *(p.pairs for p in parts)]), np.concatenate([self.times, *(p.times for p in parts)])
+            self.values = np.concatenate([self.values, np.stack([np.concatenate([getattr(p, f) for p in parts]) for f in ("na", "nb", "groups", "links", "odd")], axis=1)])
             self.text += [t for p in parts for t in p.text]
-            self.tokens += int(plain[:, :2].sum())
         return found
 
-    def _weighed(self, pairs: np.ndarray, times: np.ndarray, pn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per chunk its best links and the sum of counts, by the broadcast pairs; and which pairs are not among those."""
-        if self.counts is None or not len(self.counts[0]):
-            return np.zeros(len(pn), np.int64), np.zeros(len(pn), np.int64), np.ones(len(pairs), bool)
-        keys, n, is_best = self.counts
-        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-        known = keys[at] == pairs
-        of_chunk = np.repeat(np.arange(len(pn)), pn)
-        best, total = np.zeros(len(pn), np.int64), np.zeros(len(pn), np.int64)
-        np.add.at(best, of_chunk, np.where(known & is_best[at], times, 0))
-        np.add.at(total, of_chunk, np.where(known, times * n[at], 0))
-        return best, total, ~known
-
-    def pairs_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of these chunks (repeats stay) and where they stand."""
-        at = _spread(self.p0[rows], self.pn[rows])
-        return self.pairs[at], at
+    def told(self, rows: np.ndarray) -> tuple[list[int], str, np.ndarray, np.ndarray] | None:
+        """Of a text's chunks: (na, nb, groups, links), the digest of its groups, its distinct pairs and the links of each. None if a chunk is odd."""
+        each, n = np.unique(rows, return_counts=True)
+        self.used[each] += n
+        sums = n @ self.values[each]
+        if sums[4]:
+            return None
+        digest = hashlib.sha256(b";".join(map(self.text.__getitem__, rows.tolist()))).hexdigest()
+        at = _spread(self.p0[each], self.pn[each])
+        pairs, times = self.pairs[at], self.times[at] * np.repeat(n, self.pn[each])
+        order = np.argsort(pairs, kind="stable")
+        pairs = pairs[order]
+        firsts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        return sums[:4].tolist(), digest, pairs[firsts], np.add.reduceat(times[order], firsts)
 
 
 _tables: dict[str, ChunkTable] = {}
 
 
-def _chunk_table(key: str, a_path: str, b_path: str, counts=None) -> ChunkTable:
-    """One per Python worker and pass; key names the pass."""
+def _chunk_table(a_path: str, b_path: str) -> ChunkTable:
+    """One per Python worker and pair of tokenizers."""
+    key = f"{a_path}\n{b_path}"
     if key not in _tables:
         _tables.clear()
-        _tables[key] = ChunkTable(_pair(a_path, b_path), counts.value if counts is not None else None)
+        _tables[key] = ChunkTable(_pair(a_path, b_path))
     return _tables[key]
 
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
-    """pair (A id << 32 | B id), n: the number of rows whose text holds the pair linked. Texts without tokens hold none."""
-    key = uuid.uuid4().hex
+PLAIN = ("n_a", "n_b", "n_groups", "n_links")
+PAIRS = "a array<int>, b array<int>, times array<long>"
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(kind.to_pandas_dtype()), kind))
+
+
+def aligned(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """rows (row, text) -> row, PLAIN, groups_sha256, and the distinct pairs of each text as PAIRS (A ids, B ids, links)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = _chunk_table(a_path, b_path)
+        for batch in slices(batches, "text"):
+            plain, digests, pairs, times = [], [], [], []
+            for t, r in zip(texts := batch.column("text").to_pylist(), chunks.rows([t or "" for t in texts]), strict=True):
+                sums, digest, p, n = (chunks.told(r) if t else None) or ([0] * 4, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+                plain.append(sums)
+                digests.append(digest)
+                pairs.append(p)
+                times.append(n)
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in pairs])])
+            flat, n = np.concatenate(pairs), np.concatenate(times)
+            made = [pa.array(c, pa.int64()) for c in zip(*plain, strict=True)]
+            lists = [_lists(x, offsets, k) for x, k in ((flat >> 32, pa.int32()), (flat & 0xFFFFFFFF, pa.int32()), (n, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *made, pa.array(digests, pa.string()), *lists], ["row", *PLAIN, "groups_sha256", "a", "b", "times"])
+
+    ddl = f"{', '.join(f'{n} long' for n in PLAIN)}, groups_sha256 string, {PAIRS}"
+    return rows.mapInArrow(run, StructType(rows.select("row").schema.fields + StructType.fromDDL(ddl).fields))
+
+
+def _flat(batch: pa.RecordBatch) -> np.ndarray:
+    """All pairs of a batch, one after another."""
+    a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
+    return a << 32 | b
+
+
+def pair_counts(told: DataFrame) -> DataFrame:
+    """pair (A id << 32 | B id), n: the number of rows that hold the pair linked."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _chunk_table(key, a_path, b_path)
         held: list[np.ndarray] = []
-        size = 0
 
         def out() -> pa.RecordBatch:
             pairs, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["pair", "n"])
 
-        for batch in slices(batches, "text"):
-            for rows in chunks.rows([t for t in batch.column("text").to_pylist() if t]):
-                rows = np.unique(rows)
-                if not chunks.values[rows, 4].any():
-                    held.append(np.unique(chunks.pairs_of(rows)[0]))
-                    size += len(held[-1])
-            if size > OWN_PAIRS:
+        for batch in batches:
+            held.append(_flat(batch))
+            if sum(map(len, held)) > OWN_PAIRS:
                 yield out()
-                held, size = [], 0
+                held = []
         if held:
             yield out()
 
-    return docs.select(F.col(f"`{text}`").alias("text")).filter("text <> ''").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return told.select("a", "b").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def best_pairs(counted: DataFrame) -> DataFrame:
@@ -297,7 +340,29 @@ def _head(counted: DataFrame, most: int) -> tuple[int, tuple[np.ndarray, np.ndar
     return 1 << least, (pairs[order], n[order], best[order].astype(bool))
 
 
-FIELDS = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "n_best": pa.int64(), "count_sum": pa.int64(), "groups_sha256": pa.string()}
+def weighed(told: DataFrame, head) -> DataFrame:
+    """told (from aligned) with n_best and count_sum as far as the broadcast pairs give them, and the pairs that aren't among those, with their links, as `pairs` and `more`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n, is_best = head.value
+        for batch in batches:
+            pairs, times = _flat(batch), batch.column("times").flatten().to_numpy(zero_copy_only=False)
+            offsets = batch.column("a").offsets.to_numpy().astype(np.int64)
+            offsets = offsets - offsets[0]
+            at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
+            known = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
+            best, total = (np.where(known, x, 0) for x in ((times * is_best[at], times * n[at]) if len(keys) else (0, 0)))
+            best, total, far = (np.concatenate([[0], np.cumsum(x)]) for x in (best, total, ~known))
+            sums = [pa.array(x[offsets[1:]] - x[offsets[:-1]], pa.int64()) for x in (best, total)]
+            lists = [_lists(x[~known], far[offsets], pa.int64()) for x in (pairs, times)]
+            keep = ["row", *PLAIN, "groups_sha256"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *sums, *lists], [*keep, "n_best", "count_sum", "pairs", "more"])
+
+    schema = told.drop("a", "b", "times").schema
+    return told.mapInArrow(run, StructType(schema.fields + StructType.fromDDL("n_best long, count_sum long, pairs array<long>, more array<long>").fields))
+
+
+FIELDS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", most: int = HEAD_PAIRS) -> DataFrame:
@@ -307,43 +372,22 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", most: i
     empty groups_sha256, and counts for no pair. Repeated rows count each and get equal values. An empty table stays empty.
     """
     spark = docs.sparkSession
-    counted = written(best_pairs(written(pair_counts(docs, a_path, b_path, text), "pairs")), "best-pairs")
-    least, head = _head(counted, most)
-    counts, key = spark.sparkContext.broadcast(head), uuid.uuid4().hex
     keep = [c for c in docs.columns if c not in FIELDS and c != text]
     # the row goes through the tasks as one struct, so that none of its names can meet ours
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(None).alias(fresh_name("none"))]).alias("row"), F.col(f"`{text}`").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _chunk_table(key, a_path, b_path, counts)
-        for batch in slices(batches, "text"):
-            out: list[tuple] = []
-            tails: list[tuple[list[int], list[int]]] = []
-            for t, r in zip(texts := batch.column("text").to_pylist(), chunks.rows([t or "" for t in texts]), strict=True):
-                sums = chunks.values[r].sum(axis=0).tolist() if t else [0] * 7
-                if not t or sums[4]:
-                    out.append((0, 0, 0, 0, 0, 0, ""))
-                    tails.append(([], []))
-                    continue
-                digest = hashlib.sha256(b";".join(map(chunks.text.__getitem__, r.tolist()))).hexdigest()
-                out.append((*sums[:4], *sums[5:], digest))
-                pairs, at = chunks.pairs_of(r)
-                far = chunks.tail[at]
-                tails.append((pairs[far].tolist(), chunks.times[at][far].tolist()) if far.any() else ([], []))
-            made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), FIELDS.values(), strict=True)]
-            pairs, times = (pa.array([x[i] for x in tails], pa.list_(pa.int64())) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *made, pairs, times], ["row", *FIELDS, "pairs", "times"])
-
-    ddl = ", ".join(f"{name} {'string' if kind == pa.string() else 'long'}" for name, kind in FIELDS.items())
-    done = rows.mapInArrow(run, StructType(rows.select("row").schema.fields + StructType.fromDDL(f"{ddl}, pairs array<long>, times array<long>").fields))
-    if not counted.filter(F.col("n") < least).isEmpty():
-        done = _with_tail(written(done.withColumn("id", F.monotonically_increasing_id()), "aligned"), counted.filter(F.col("n") < least))
+    told = written(aligned(rows, a_path, b_path), "aligned")
+    counted = written(best_pairs(written(pair_counts(told), "pairs")), "best-pairs")
+    least, head = _head(counted, most)
+    done = weighed(told, spark.sparkContext.broadcast(head))
+    tail = counted.filter(F.col("n") < least)
+    if not tail.isEmpty():
+        done = _with_tail(written(done.withColumn("id", F.monotonically_increasing_id()), "weighed"), tail)
     return done.select(*[F.col(f"row.`{c}`") for c in keep], *FIELDS)
 
 
 def _with_tail(done: DataFrame, tail: DataFrame) -> DataFrame:
     """Adds what the pairs that were not broadcast give. None of them is in more documents than the broadcast's bound, so no key of this join is hot."""
-    asked = done.select("id", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("id", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
+    asked = done.select("id", F.explode(F.arrays_zip("pairs", "more")).alias("p")).select("id", F.col("p.pairs").alias("pair"), F.col("p.more").alias("times"))
     more = asked.join(tail, "pair").groupBy("id").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more_sum"))
     return done.join(more, "id", "left").withColumns({"n_best": F.col("n_best") + F.coalesce("more_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("more_sum", F.lit(0))})
 
