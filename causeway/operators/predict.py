@@ -1,11 +1,14 @@
 """Decisions on raw trades in one call: names put right, features from each account's state as it was, a decision, then the update.
 
-A row's features are taken before its own outcome enters the account's state, and an outcome that isn't known yet (no
-close, or no profit to tell) never does: such a row is decided on, but later rows don't see it.
+A row's features are taken before its own outcome enters the account's state. Rows enter in opening order, each right
+after its own decision, and only if the batch tells an outcome (a close and a profit): a position without one is decided
+on, but later rows don't see it. A batch of finished positions is read as if each had closed before the next one opened.
+With known_at_open an outcome waits until it has happened: it enters before the first row that opens after its close.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import deque
 from collections.abc import Iterator
@@ -61,17 +64,19 @@ STATE = (
 
 
 class State:
-    """An account as far as its outcomes are known."""
+    """An account as far as its outcomes are known. Missing amounts count as rows, but neither as sizes nor for their spread."""
 
     def __init__(self, context: tuple):
         self.context = context
-        self.n = self.losses = self.wins = 0
+        self.n = self.losses = self.wins = self.sized = 0
         self.ewm = self.total = self.peak = self.mean = self.squares = 0.0
+        self.least, self.most = math.inf, -math.inf
         self.before_run = self.first = self.close = self.net = self.side = self.amount = None
         self.last5: deque = deque(maxlen=5)
+        self.closing: list = []  # outcomes that haven't happened yet: (close, order, row)
 
     def features(self, r) -> tuple:
-        spread = math.sqrt(self.squares / self.n) if self.n >= 3 and self.squares > 0 else 0.0
+        spread = math.sqrt(self.squares / self.sized) if self.sized >= 3 and self.least < self.most else 0.0
         rate = lambda k: sum(x[k] for x in self.last5) / len(self.last5) if self.n >= 3 else None
         gap = max((r.open_time - self.close).total_seconds(), 0.0) if self.n else None
         hours = max((r.open_time - self.first).total_seconds() / 3600, 1 / 60) if self.n else 1 / 60
@@ -83,23 +88,33 @@ class State:
     def update(self, r, alpha: float) -> None:
         x = r.net_profit
         if x < 0 and not self.losses:
-            self.before_run = self.mean if self.n else None
+            self.before_run = self.mean if self.sized else None
         self.losses, self.wins = (self.losses + 1, 0) if x < 0 else (0, self.wins + 1) if x > 0 else (0, 0)
         self.ewm, self.total = alpha * x + (1 - alpha) * self.ewm, self.total + x
         self.peak = max(self.peak, self.total)
         self.n += 1
-        delta = r.amount - self.mean
-        self.mean += delta / self.n
-        self.squares += delta * (r.amount - self.mean)
-        self.first = r.open_time if self.first is None else self.first
+        if not pd.isna(r.amount):
+            self.sized += 1
+            delta = r.amount - self.mean
+            self.mean += delta / self.sized
+            self.squares += delta * (r.amount - self.mean)
+            self.least, self.most = min(self.least, r.amount), max(self.most, r.amount)
+        self.first = r.open_time if self.first is None else min(self.first, r.open_time)
         self.last5.append((not pd.isna(r.sl_price), r.exit_type == "manual"))
-        self.close, self.net, self.side, self.amount = r.close_time, x, r.side, r.amount
+        self.close, self.net, self.side, self.amount = r.close_time, x, r.side, None if pd.isna(r.amount) else r.amount
 
+    def closed_before(self, now, alpha: float) -> None:
+        while self.closing and self.closing[0][0] < now:
+            self.update(heapq.heappop(self.closing)[2], alpha)
 
-def live_features(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    def waits(self, r) -> None:
+        heapq.heappush(self.closing, (r.close_time, r.input_order, r))
+
+
+def live_features(rows: DataFrame, settings: Settings = DEFAULT, known_at_open: bool = False) -> DataFrame:
     """rows (from trades, with prior_campaigns) -> keys, STATE and what follows from it, one row per row.
 
-    Rows are taken by account and opening time (ties by position, then input). Context is that of the account's first
+    Where every row has a close and a profit, these are the batch features of the same names. Rows are taken by account and opening time (ties by position, then input). Context is that of the account's first
     row. A row without an account is an account of its own. State is carried from batch to batch.
     """
     keep = ["input_order", "position_key", "campaign_id", "account_id", "position_id", "amount", "side", "prior_campaigns"]
@@ -117,10 +132,15 @@ def live_features(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
                 own = (r.campaign_id, None if pd.isna(r.account_id) else r.account_id, None if pd.isna(r.lone) else r.lone)
                 if own != key:
                     key, state = own, State(tuple(getattr(r, c) for c in CONTEXT))
+                if known_at_open:
+                    state.closed_before(r.open_time, settings.ewm_alpha)
                 context.append(state.context)
                 made.append(state.features(r))
                 if not pd.isna(r.close_time) and not pd.isna(r.net_profit):
-                    state.update(r, settings.ewm_alpha)
+                    if known_at_open:
+                        state.waits(r)
+                    else:
+                        state.update(r, settings.ewm_alpha)
             yield pd.concat([batch[keep], pd.DataFrame(context, columns=list(CONTEXT), index=batch.index), pd.DataFrame(made, columns=names, index=batch.index)], axis=1)
 
     out = dealt.mapInPandas(fold, schema)
@@ -130,7 +150,7 @@ def live_features(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     })
 
 
-def predict(df: DataFrame, artifact: dict, settings: Settings = DEFAULT, every_level: bool = True) -> DataFrame:
+def predict(df: DataFrame, artifact: dict, settings: Settings = DEFAULT, every_level: bool = True, known_at_open: bool = False) -> DataFrame:
     """A decision per row of df, in its order: input_order, position_key, decision, score, expected_absolute, confidence, triggering_features.
 
     df has raw trades under the names of the exports or the library's. Categories that the artifact doesn't know raise,
@@ -138,6 +158,6 @@ def predict(df: DataFrame, artifact: dict, settings: Settings = DEFAULT, every_l
     """
     model.check_columns([*artifact["numeric"], *artifact["levels"]])
     rows = written(trades(df), "trades")  # the order is fixed from here on
-    features = written(live_features(prior_campaigns(rows), settings), "live_features")
+    features = written(live_features(prior_campaigns(rows), settings, known_at_open), "live_features")
     model.unseen_levels(features, model.design_of(artifact), every_level and bool(features.take(1)))
     return model.decide(features, artifact).select("input_order", "position_key", "decision", "score", "expected_absolute", "confidence", "triggering_features").orderBy("input_order")

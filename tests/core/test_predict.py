@@ -76,3 +76,28 @@ def test_live_features_are_the_batch_features(spark, sf):
     r = both.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(~F.coalesce(same(n), F.lit(False))).alias(n) for n in names]).first()
     assert r["n"] == p.count() and {n: r[n] for n in names if r[n]} == {}
     assert predict.predict(p, FIXED).count() == p.count()
+
+
+LIVE = ["loss_streak", "win_streak", "pnl_ewm", "lot_zscore", "size_after_loss_delta", "sl_usage_rate_5", "manual_exit_rate_5", "cum_pnl_usd", "dd_from_peak_usd", "trade_index", "log_dt_close", "entry_gap_sec", "trades_per_hour", "same_direction_reentry", "size_delta_ratio"]
+
+
+def test_live_features_equal_batch_features(spark, sf):
+    """Also with missing amounts, sides, stops and exits: a missing amount leaves the rows after it their z-score."""
+    h = F.abs(F.xxhash64("position_id"))
+    p = a.positions(spark, sf).withColumns({"amount": F.when(h % 5 != 0, F.col("amount")), "side": F.when(h % 7 != 0, F.col("side")), "sl_price": F.when(h % 3 != 0, F.col("sl_price")), "account_id": F.col("account_id") % 6})
+    own = p.withColumnsRenamed({"campaign_id": "campaignId", "account_id": "accountId", "position_id": "positionId", "open_time": "openDateTime", "close_time": "closeDateTime", "net_profit": "netProfit", "sl_price": "slPrice", "tp_price": "tpPrice", "exit_type": "exitType"})
+    got = {r["position_id"]: r for r in predict.live_features(predict.prior_campaigns(predict.trades(own))).collect()}
+    want = {r["position_id"]: r for r in f.features(p, LIVE).collect()}
+    assert sum(r["lot_zscore"] is not None for r in want.values()) > 300 and any(r["amount"] is None for r in p.collect())
+    for i, r in want.items():
+        for n in LIVE:
+            assert (got[i][n] is None) == (r[n] is None) and (r[n] is None or abs(got[i][n] - r[n]) < 1e-6 * max(1, abs(r[n]))), (i, n, got[i][n], r[n])
+
+
+def test_outcomes_wait_for_their_close(spark):
+    """Rows that open a minute apart and close at night see each other's losses in opening order, or with known_at_open only after they have happened."""
+    night = BASE.replace(hour=23)
+    rows = [(53, "a", i, BASE + timedelta(minutes=i), night, None, "11", 1.0, "BUY", -2.0, 99.0, 101.0) for i in range(3)] + [(53, "a", 3, night + timedelta(minutes=1), night + timedelta(minutes=2), None, "11", 1.0, "BUY", -2.0, 99.0, 101.0)]
+    own = predict.prior_campaigns(predict.trades(spark.createDataFrame(rows, SCHEMA)))
+    streaks = lambda known: [r["loss_streak"] for r in predict.live_features(own, known_at_open=known).orderBy("position_id").collect()]
+    assert streaks(False) == [0, 1, 2, 3] and streaks(True) == [0, 0, 0, 3]
