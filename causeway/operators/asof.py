@@ -187,22 +187,42 @@ def strict_features(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return rows.mapInPandas(fold, schema)
 
 
-def running_medians(df: DataFrame, value: str, name: str) -> DataFrame:
-    """df with name: the median of the value over the account's earlier positions, null before the first. Two heaps, one pass over sorted rows."""
-    rows = df.repartition(*[F.col(c) for c in ACCOUNT]).sortWithinPartitions(*ACCOUNT, *ORDER)
+def dealt(df: DataFrame) -> DataFrame:
+    """df with an account's positions in one partition, in opening order. Windows over accounts need no other shuffle or sort, and leave it so."""
+    return df.repartition(*[F.col(c) for c in ACCOUNT]).sortWithinPartitions(*ACCOUNT, *ORDER)
+
+
+def folded(rows: DataFrame, medians: dict[str, str], averages: dict[str, tuple[str, float, float]]) -> DataFrame:
+    """rows (from dealt, through windows and projections only) with running columns over the account's earlier positions, missing values passed over.
+
+    medians: name -> column; null before the first. averages: name -> (column, alpha, start): the exponential average
+    alpha * x + (1 - alpha) * before, from start on. One pass; two heaps a median and a number an average are carried from
+    batch to batch. Rows that aren't in order fail the job.
+    """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, low, high = None, [], []
+        key, heaps, means = None, [], []
         for batch in batches:
-            out = []
-            for *k, v in zip(*(batch.column(c).to_pylist() for c in (*ACCOUNT, value)), strict=True):
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ACCOUNT), strict=True))
+            mid, avg = ([batch.column(c).to_pylist() for c in cs] for cs in (medians.values(), [c for c, _, _ in averages.values()]))
+            out: list[list] = [[] for _ in (*medians, *averages)]
+            for i, k in enumerate(keys):
                 if k != key:
-                    key, low, high = k, [], []
-                out.append((-low[0] if len(low) > len(high) else (high[0] - low[0]) / 2) if low else None)
-                if v is not None:
-                    heapq.heappush(high, -heapq.heappushpop(low, -v))
-                    if len(high) > len(low):
-                        heapq.heappush(low, -heapq.heappop(high))
-            yield batch.append_column(name, pa.array(out, pa.float64()))
-
-    return rows.mapInArrow(fold, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
+                    if key is not None and (k[0] is not None, k[0] or 0) < (key[0] is not None, key[0] or 0):
+                        raise ValueError("positions aren't dealt by account and sorted")
+                    key, heaps, means = k, [([], []) for _ in medians], [start for _, _, start in averages.values()]
+                for j, (low, high) in enumerate(heaps):
+                    out[j].append((-low[0] if len(low) > len(high) else (high[0] - low[0]) / 2) if low else None)
+                    v = mid[j][i]
+                    if v is not None:
+                        heapq.heappush(high, -heapq.heappushpop(low, -v))
+                        if len(high) > len(low):
+                            heapq.heappush(low, -heapq.heappop(high))
+                for j, (_, alpha, _) in enumerate(averages.values()):
+                    out[len(medians) + j].append(means[j])
+                    v = avg[j][i]
+                    if v is not None:
+                        means[j] = alpha * v + (1 - alpha) * means[j]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in out)], [*batch.schema.names, *medians, *averages])
+
+    return rows.mapInArrow(fold, StructType([*rows.schema.fields, *(StructField(n, DoubleType()) for n in (*medians, *averages))]))
