@@ -83,22 +83,29 @@ class Gram:
     n: int
 
 
-def gram(train: DataFrame, x: Sequence[Column], y: Column, by: str | None = None) -> dict[object, Gram]:
-    """Gram sums per value of `by` (or one under None) in a single aggregation with map-side combining."""
-    k = len(x) + 1
+def grams(train: DataFrame, x: Sequence[Column], targets: dict[object, Column], by: str | Column | None = None) -> dict[object, dict[object, Gram]]:
+    """Gram sums per value of `by` (or under None) and target, in a single aggregation with map-side combining; targets share the sums of x. Rows without one of the targets are left out."""
+    k, keys = len(x) + 1, list(targets)
     cols = [F.lit(1.0), *x]
-    named = train.select(*([F.col(by).alias("by_")] if by else [F.lit(0).alias("by_")]), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(cols)], y.cast("double").alias("y")).filter("y IS NOT NULL")
-    sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(F.col(f"x{i}") * F.col("y")).alias(f"h{i}") for i in range(k)]
-    out = {}
-    for r in named.groupBy("by_").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), *sums).collect():
+    group = F.lit(0) if by is None else F.col(by) if isinstance(by, str) else by
+    named = train.select(group.alias("by_"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(cols)], *[targets[t].cast("double").alias(f"y{j}") for j, t in enumerate(keys)]).filter(" AND ".join(f"y{j} IS NOT NULL" for j in range(len(keys))))
+    sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
+    sums += [s for j in range(len(keys)) for s in (F.sum(F.col(f"y{j}") * F.col(f"y{j}")).alias(f"yy{j}"), *[F.sum(F.col(f"x{i}") * F.col(f"y{j}")).alias(f"h{i}_{j}") for i in range(k)])]
+    out: dict[object, dict[object, Gram]] = {}
+    for r in named.groupBy("by_").agg(F.count(F.lit(1)).alias("n"), *sums).collect():
         xx = np.zeros((k, k))
         for i in range(k):
             for j in range(i, k):
                 xx[i, j] = xx[j, i] = r[f"g{i}_{j}"]
-        out[r["by_"] if by else None] = Gram(xx, np.array([r[f"h{i}"] for i in range(k)]), r["yy"], r["n"])
+        out[r["by_"] if by is not None else None] = {t: Gram(xx, np.array([r[f"h{i}_{j}"] for i in range(k)]), r[f"yy{j}"], r["n"]) for j, t in enumerate(keys)}
     return out
 
 
+def gram(train: DataFrame, x: Sequence[Column], y: Column, by: str | Column | None = None) -> dict[object, Gram]:
+    """The same for one target: per value of `by` (or one under None)."""
+    return {k: g[0] for k, g in grams(train, x, {0: y}, by).items()}
+
+
 def summed(grams: Sequence[Gram]) -> Gram:
     return Gram(sum(g.xx for g in grams), sum(g.xy for g in grams), sum(g.yy for g in grams), sum(g.n for g in grams))
 

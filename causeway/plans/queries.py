@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.exprs import account_cluster, challenge, era, exit_type, ip_cluster, loss_per_lot, net_or_parts, normal_tails, number, reverse_per_lot, seconds, sure, trader_cluster
-from ..operators import asof, bootstrap, buckets, compare, folds, forensics, history, model, positions, predict, state, stats
+from ..operators import asof, bootstrap, buckets, compare, folds, forensics, history, model, nested, positions, predict, state, stats
 from ..operators import conditions as cond
 from ..operators import features as f
 from ..storage import written
@@ -502,6 +502,38 @@ def _artifact(spark, sf_dir, upto: int = 56):
     return model.fit_all(rows.filter(F.col("campaign_id") <= upto), NUMERIC, CATEGORICAL), rows
 
 
+INNER = f"""{OUTCOME}, t AS (SELECT trader_key, min(campaign_id) AS c0 FROM o WHERE trader_key IS NOT NULL GROUP BY 1), i AS (SELECT ip_cluster_id, min(campaign_id) AS c1 FROM o WHERE ip_cluster_id IS NOT NULL GROUP BY 1),
+    pairs(ip, c) AS (VALUES {', '.join(map(str, FLAGGED))}),
+    m AS (SELECT o.*, coalesce(c0 < campaign_id, FALSE) OR coalesce(c1 < campaign_id, FALSE) AND EXISTS (SELECT 1 FROM pairs WHERE ip = o.ip_cluster_id AND c = o.campaign_id) AS purged FROM o LEFT JOIN t USING (trader_key) LEFT JOIN i USING (ip_cluster_id)),
+    cs AS (SELECT campaign_id AS val, row_number() OVER (ORDER BY campaign_id) - 2 AS inner_fold FROM (SELECT DISTINCT campaign_id FROM m))"""
+
+
+@query((INNER, "CAST(inner_fold AS INTEGER) AS inner_fold, (SELECT count(*) FROM m WHERE campaign_id < val) AS train_rows, (SELECT count(*) FROM m WHERE campaign_id = val) AS raw_val_rows, (SELECT count(*) FROM m WHERE campaign_id = val AND NOT purged) AS val_rows FROM cs WHERE inner_fold > 0"))
+def inner_fold_sizes(spark, sf_dir):
+    """Rows of the purged inner folds."""
+    return nested.inner_sizes(nested.inner_purged(_outcomes(spark, sf_dir), "A", FLAGGED))
+
+
+@query((f"""{INNER}, f AS (SELECT inner_fold, val, regr_sxy(y, amount) / (regr_sxx(y, amount) + 10) AS weight, avg(y) - regr_sxy(y, amount) / (regr_sxx(y, amount) + 10) * avg(amount) AS intercept, count(*) AS train_rows
+        FROM cs JOIN m ON campaign_id < val AND NOT purged WHERE inner_fold > 0 AND y IS NOT NULL GROUP BY 1, 2)""",
+        f"CAST(inner_fold AS INTEGER) AS inner_fold, train_rows, (SELECT count(*) FROM m WHERE campaign_id = val AND NOT purged AND y IS NOT NULL) AS val_rows, {r('weight', 'intercept')}, round((SELECT avg((intercept + weight * amount - y) ** 2) FROM m WHERE campaign_id = val AND NOT purged), 3) + 0.0 AS mse FROM f"))
+def purged_inner_ridge(spark, sf_dir):
+    """A ridge per inner fold, purged rows taken off the sums of training and validation; no row is read again."""
+    rows = nested.inner_purged(_outcomes(spark, sf_dir), "A", FLAGGED)
+    fits = nested.inner_fits(rows, [F.col("amount")], "y", [10.0], purge_training=True)
+    return spark.createDataFrame([(i, n, m, w[0], b, None if e is None else round(e, 3)) for i, _, n, m, b, w, e in fits], "inner_fold int, train_rows long, val_rows long, weight double, intercept double, mse double")
+
+
+@query()
+def fold_artifacts(spark, sf_dir):
+    """The frozen artifact of every walk-forward fold, all folds from the same passes: fold, name, value."""
+    rows = written(nested.inner_purged(model_rows(spark, sf_dir).filter(F.col("campaign_id").between(DEFAULT.primary_from, DEFAULT.primary_to)), "A", FLAGGED), "model_rows")
+    campaigns = [x[0] for x in rows.select("campaign_id").distinct().collect()]
+    arts = nested.fit_folds(rows, [train for train, _ in folds.windows(campaigns, DEFAULT.fold_count, DEFAULT.least_train_campaigns)], NUMERIC, CATEGORICAL)
+    told = [(f, n, float(v)) for f, art in arts.items() for n, v in (*zip(art["columns"], art["weights"], strict=True), ("intercept", art["intercept"]), ("alpha", art["alpha"]), ("threshold", art["threshold"]), ("score_scale", art["score_scale"]))]
+    return spark.createDataFrame(told, "fold int, name string, value double")
+
+
 @query()
 def fitted_weights(spark, sf_dir):
     """The frozen artifact: a row per transformed column."""
