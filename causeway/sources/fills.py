@@ -12,6 +12,8 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ticks import Ticks, daily_bars
+
 #: The contract: names exactly as exported, in the order of the export.
 _TEXT = ("accountId", "instrument", "side", "currency", "userGroupId")
 _TIME = ("openDateTime", "closeDateTime")
@@ -157,27 +159,14 @@ def read_registrations(spark: SparkSession, folder: str, pattern: str = "*.csv")
     return out
 
 
-def read_ticks(spark: SparkSession, folder: str, scale: float, pattern: str = "*.bin*") -> DataFrame:
-    """Binary market data: records of seven little-endian 32-bit integers (minutes since 2000-01-01 UTC, then open, high, low, close times the scale, two unused), gzipped or not -> time, open, high, low, close."""
-    import gzip
-
-    import numpy as np
-    import pandas as pd
-
-    def parse(batches):
-        for batch in batches:
-            for content in batch["content"]:
-                data = gzip.decompress(content) if bytes(content[:2]) == b"\x1f\x8b" else bytes(content)
-                x = np.frombuffer(data[: len(data) // 28 * 28], dtype="<i4").reshape(-1, 7)
-                yield pd.DataFrame({"minutes": x[:, 0].astype("int64"), **{n: x[:, i + 1] / scale for i, n in enumerate(("open", "high", "low", "close"))}})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("content")
-    rows = files.mapInPandas(parse, "minutes long, open double, high double, low double, close double")
-    return rows.select(F.timestamp_add("MINUTE", F.col("minutes").cast("int"), F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")).alias("time"), "open", "high", "low", "close")
+def read_ticks(spark: SparkSession, folder: str, scale: float) -> DataFrame:
+    """time, open, high, low, close of binary market data (see `ticks`) under a scale that the caller knows."""
+    spark.dataSource.register(Ticks)
+    return spark.read.format(Ticks.name()).options(path=folder, scale=str(scale)).load().drop("date", "file")
 
 
 def daily_from_ticks(ticks: DataFrame) -> DataFrame:
-    return ticks.groupBy(F.to_date("time").alias("date")).agg(F.min_by("open", "time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "time").alias("close"))
+    return daily_bars(ticks.withColumn("date", F.to_date("time")))
 
 
 __all__ = ["FILL_COLUMNS", "check_contract", "colliding_ids", "completeness", "daily_from_ticks", "engine_columns", "files_under", "header_of", "read_fills", "read_registrations", "read_ticks"]
