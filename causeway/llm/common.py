@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import fresh_dir, shared_dir, written
+from ..storage import exists, fresh_dir, shared_dir, written
 
 __all__ = ["exists", "fresh_dir", "fresh_name", "held_out", "shared_dir", "slices", "small_batches", "table", "written"]
 
@@ -40,12 +40,6 @@ def fresh_name(what: str) -> str:
     return f"{what}_{uuid.uuid4().hex[:12]}"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Asks the path's own file system, which may be one that only Spark reaches."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def held_out(doc_id: Column | str) -> Column:
     """True for rows kept out of learning; a null id is learned from by nobody and counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(True))
