@@ -35,7 +35,7 @@ MISREAD = 97
 #: Words of one group that a task composes at once.
 MOST_WORDS = 8_192
 #: Words that a task counts before it passes them on.
-OWN_WORDS = 300_000
+OWN_WORDS = 100_000
 
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
 
