@@ -1,7 +1,9 @@
 """Cluster bootstrap. Spark reduces rows to (sum, n) per cluster and condition; clusters are drawn with multiplicities.
 
-Up to MOST_CELLS rows of clusters and conditions the driver draws them. Beyond, each cluster has a Poisson(1)
-multiplicity in every draw, made from a hash of its key, and only sums per condition and draw leave Spark.
+The rule, at any size: each cluster has a Poisson(1) multiplicity in every draw, made from a hash of its key, and only sums
+per condition and draw leave Spark. A cluster has one multiplicity a draw in all conditions, so differences of conditions
+are paired. MULTINOMIAL, if the caller asks for it, draws as many clusters as there are, in the driver, and refuses more
+than MOST_CELLS rows of them.
 """
 
 from __future__ import annotations
@@ -16,19 +18,22 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.exprs import sure
+from ..storage import written
 from .conditions import matched
 
 MOST_CELLS = 200_000
+POISSON, MULTINOMIAL = "poisson", "multinomial"
 #: Clusters that a task draws for at once.
 AT_ONCE = 512
 #: The Poisson(1) distribution function, to the precision of a draw of 53 bits.
 STEPS = np.cumsum([1 / np.e / factorial(i) for i in range(18)])
 
 
-def _cells(rows: DataFrame) -> list | None:
-    """None if there are too many."""
+def _cells(rows: DataFrame) -> list:
     got = rows.limit(MOST_CELLS + 1).collect()
-    return got if len(got) <= MOST_CELLS else None
+    if len(got) > MOST_CELLS:
+        raise ValueError(f"over {MOST_CELLS} rows of clusters: draw them by {POISSON}")
+    return got
 
 
 def _summary(means: np.ndarray, draws: int) -> tuple[float, float, float]:
@@ -85,15 +90,14 @@ def _poisson(cells: DataFrame, settings: Settings) -> dict[str, tuple[float, flo
     return {name: _summary(np.array(v), settings.draws) for name, v in means.items()}
 
 
-def bootstrap_conditions(df: DataFrame, cluster: Column, named: dict[str, Column], value: str = "gross_loss_per_lot", settings: Settings = DEFAULT) -> DataFrame:
-    """condition, n, mean, lo, hi, p, clears_hurdle_95. All clusters are drawn, in order of their keys, also those without rows of the condition; null clusters and values take no part."""
+def bootstrap_conditions(df: DataFrame, cluster: Column, named: dict[str, Column], value: str = "gross_loss_per_lot", settings: Settings = DEFAULT, method: str = POISSON) -> DataFrame:
+    """condition, n, mean, lo, hi, p, clears_hurdle_95. All clusters are drawn, also those without rows of the condition; null clusters and values take no part."""
     base = df.withColumn("cluster_", cluster).filter(F.col("cluster_").isNotNull())
     schema = "condition string, n long, mean double, lo double, hi double, p double, clears_hurdle_95 boolean"
-    found = _cells(base.select("cluster_").distinct())
     rows = matched(base.filter(F.col(value).isNotNull()), named).groupBy("condition", "cluster_").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    cells = None if found is None else _cells(rows)
     out = []
-    if cells is None:
+    if method == POISSON:
+        rows = written(rows, "cells")
         drawn = _poisson(rows.withColumnRenamed("cluster_", "k"), settings)
         totals = {r["condition"]: r for r in rows.groupBy("condition").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
         for name in named:
@@ -101,7 +105,7 @@ def bootstrap_conditions(df: DataFrame, cluster: Column, named: dict[str, Column
                 lo, hi, p = drawn[name]
                 out.append((name, int(totals[name]["n"]), float(totals[name]["s"] / totals[name]["n"]), lo, hi, p, lo > settings.hurdle))
         return df.sparkSession.createDataFrame(out, schema)
-    keys = sorted(r["cluster_"] for r in found)
+    cells, keys = _cells(rows), sorted(r["cluster_"] for r in _cells(base.select("cluster_").distinct()))
     at = {k: i for i, k in enumerate(keys)}
     for name in named:
         top, bottom = np.zeros(len(keys)), np.zeros(len(keys))
@@ -114,21 +118,18 @@ def bootstrap_conditions(df: DataFrame, cluster: Column, named: dict[str, Column
     return df.sparkSession.createDataFrame(out, schema)
 
 
-def selected_interval(df: DataFrame, selected: Column, cluster: Column, value: str, weight: str | None = None, all_clusters: bool = False, order: str = "position_id", settings: Settings = DEFAULT) -> tuple[float, float]:
+def selected_interval(df: DataFrame, selected: Column, cluster: Column, value: str, weight: str | None = None, all_clusters: bool = False, order: str = "position_id", settings: Settings = DEFAULT, method: str = POISSON) -> tuple[float, float]:
     """Interval of the mean of value (weighted: of sum(value * weight) / sum(weight)) over selected rows.
 
-    Clusters are drawn in order of their first row. all_clusters draws also clusters without selected rows. Nothing
-    selected gives (0, 0).
+    MULTINOMIAL draws clusters in order of their first row, with all_clusters also those without selected rows; these add
+    nothing to a Poisson draw. Nothing selected gives (0, 0).
     """
     w = F.col(weight) if weight else F.lit(1.0)
     on = sure(selected)
     rows = df.groupBy(cluster.alias("k")).agg(F.min(order).alias("o"), F.coalesce(F.sum(F.when(on, F.col(value) * w)), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.when(on, w)), F.lit(0.0)).alias("n"), F.count_if(on).alias("c"))
-    rows = rows if all_clusters else rows.filter("c > 0")
-    cells = _cells(rows)
-    if cells is None:
-        # clusters without selected rows add nothing to a sum, whatever their multiplicity
+    if method == POISSON:
         return _poisson(rows.filter("c > 0").withColumn("condition", F.lit("")), settings).get("", (0.0, 0.0, 1.0))[:2]
-    cells = sorted(cells, key=lambda r: r["o"])
+    cells = sorted(_cells(rows if all_clusters else rows.filter("c > 0")), key=lambda r: r["o"])
     if not any(r["c"] for r in cells):
         return 0.0, 0.0
     lo, hi, _ = _interval(np.array([r["s"] for r in cells]), np.array([r["n"] for r in cells]), settings)
@@ -140,3 +141,14 @@ def poisson_bootstrap(df: DataFrame, cluster: Column, value: str, draws: int = D
     cells = df.filter(F.col(value).isNotNull()).groupBy(cluster.alias("k")).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
     means = poisson_sums(cells.withColumn("condition", F.lit("")), draws, seed).select(F.try_divide("top", "bottom").alias("mean"))
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"))
+
+
+def paired_sums(rows: DataFrame, cluster: Column, sums: dict[str, tuple[Column, Column]], settings: Settings = DEFAULT) -> tuple[dict[str, tuple[float, float]], dict[str, np.ndarray]]:
+    """sums: name -> two columns. Their totals, and an array (draws, 2) of their totals in every draw; all names share the clusters' multiplicities. Null clusters take no part, null values count 0."""
+    told = rows.select(cluster.alias("k"), F.explode(F.array(*[F.struct(F.lit(n).alias("condition"), F.coalesce(a.cast("double"), F.lit(0.0)).alias("s"), F.coalesce(b.cast("double"), F.lit(0.0)).alias("n")) for n, (a, b) in sums.items()])).alias("c")).filter("k IS NOT NULL")
+    cells = written(told.select("k", "c.*").groupBy("k", "condition").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), "cells")
+    whole = {r["condition"]: (r["s"], r["n"]) for r in cells.groupBy("condition").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
+    drawn = {n: np.zeros((settings.draws, 2)) for n in sums}
+    for r in poisson_sums(cells, settings.draws, settings.seed).collect():  # draws times names
+        drawn[r["condition"]][r["d"]] = r["top"], r["bottom"]
+    return whole, drawn

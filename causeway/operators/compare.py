@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.exprs import sure
 from ..storage import written
-from . import model, stats
+from . import bootstrap, folds, model, nested, stats
 from .forensics import in_step
 
 
@@ -114,6 +115,73 @@ def compare_models(fold_rows: DataFrame, models: dict[str, Sequence[str]], targe
     return out.select("model", "fold", "n", "rho", "mae", "mean_selected")
 
 
+def walk_forward(rows: DataFrame, splits: Sequence[tuple[Sequence[int], Sequence[int]]], models: dict[str, tuple[Sequence[str], Sequence[str]]], target: str, track: str, pairs: Sequence[tuple[int, int]] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """Every validation row that track leaves, once per fold it stands in: fold, keep, target, and a score per model (numeric, categorical columns), from the artifact of the fold's training rows."""
+    own = written(nested.inner_purged(rows, track, pairs), "own")
+    val = folds.fold_rows(rows, track, pairs, splits=splits).filter("role = 'validate' AND NOT purged")
+    for name, (numeric, categorical) in models.items():
+        score = F.lit(None).cast("double")
+        for fold, art in nested.fit_folds(own, [train for train, _ in splits], numeric, categorical, target).items():
+            total = F.lit(float(art["intercept"]))
+            for c, w in zip(model.design_of(art).columns(), art["weights"], strict=True):
+                total = total + c * float(w)
+            score = F.when(F.col("fold") == fold, total).otherwise(score)
+        val = val.withColumn(name, score)
+    return val.select("fold", *keep, target, *models)
+
+
+#: The candidate's economics may fall to this share of the base's.
+RETAINED = 0.9
+
+
+def include_rule(rows: DataFrame, splits: Sequence[tuple[Sequence[int], Sequence[int]]], base: tuple[Sequence[str], Sequence[str]], candidate: tuple[Sequence[str], Sequence[str]], cluster: Column, target: str = "gross_loss_per_lot", pairs: Sequence[tuple[int, int]] = (), settings: Settings = DEFAULT) -> DataFrame:
+    """Whether the candidate's columns are worth including, judged on walk-forward validation: one row per track.
+
+    track, n, rho_base, rho_candidate, rho_difference with lo and hi, mean_base, mean_candidate (of the target over rows
+    whose score clears the hurdle), mean_difference with lo and hi, include. Included is what has the higher pooled rank
+    correlation in track B, which purges nothing, and keeps RETAINED of the base's mean in track A, if both have one.
+    Intervals are of differences under the same draws of clusters; ranks are those of the whole, not ranked again.
+    """
+    models = {"base_": base, "candidate_": candidate}
+    told = {}
+    for track in ("A", "B"):
+        scored = walk_forward(rows.withColumn("cluster_", cluster), splits, models, target, track, pairs, ["cluster_"]).filter(F.col(target).isNotNull())
+        scored = written(scored.select("cluster_", F.col(target).cast("double").alias("y_"), *models), "scored")
+        ranked = stats.with_ranks(scored, ["y_", *models], keep=["cluster_"])
+        kinds = {m: (F.col(f"r{m}") * F.col("ry_"), F.col(f"r{m}") * F.col(f"r{m}")) for m in models} | {"y_": (F.col("ry_") * F.col("ry_"), F.lit(1.0))}
+        whole, drawn = bootstrap.paired_sums(ranked, F.col("cluster_"), kinds, settings)
+        rho = {m: _rho(whole[m], whole["y_"]) if m in whole else None for m in models}
+        rhos = [_rho(drawn[m].T, drawn["y_"].T) for m in models]
+        chosen = {m: (F.when(F.col(m) > settings.hurdle, F.col("y_")), F.when(F.col(m) > settings.hurdle, 1.0)) for m in models}
+        total, sums = bootstrap.paired_sums(scored, F.col("cluster_"), chosen, settings)
+        mean = {m: total[m][0] / total[m][1] if m in total and total[m][1] else None for m in models}
+        with np.errstate(invalid="ignore", divide="ignore"):
+            means = [sums[m][:, 0] / sums[m][:, 1] for m in models]
+        told[track] = (scored.count(), rho, _difference(rho, rhos), mean, _difference(mean, means))
+    (a, b), (x, y) = (told["A"][3][m] for m in models), (told["B"][1][m] for m in models)
+    include = bool(x is not None and y is not None and y > x and (a is None or b is None or b >= RETAINED * a))
+    out = [(t, n, *r.values(), *dr, *m.values(), *dm, include) for t, (n, r, dr, m, dm) in told.items()]
+    columns = "rho_base double, rho_candidate double, rho_difference double, rho_lo double, rho_hi double, mean_base double, mean_candidate double, mean_difference double, mean_lo double, mean_hi double"
+    return rows.sparkSession.createDataFrame(out, f"track string, n long, {columns}, include boolean")
+
+
+def _rho(own, y):
+    """From sums of (product with y, own square) and (square of y, rows); missing where nothing varies."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = np.where((own[1] > 0) & (y[0] > 0), own[0] / np.sqrt(own[1] * y[0]), np.nan)
+    return r if r.ndim else None if np.isnan(r) else float(r)
+
+
+def _difference(whole: dict[str, float | None], drawn: list[np.ndarray]) -> tuple[float | None, float | None, float | None]:
+    """Second less first: of the whole, and the bounds of the middle 95 % of draws that have both."""
+    a, b = whole.values()
+    d = drawn[1] - drawn[0]
+    d = d[~np.isnan(d)]
+    if a is None or b is None or not len(d):
+        return None, None, None
+    return b - a, float(np.percentile(d, 2.5)), float(np.percentile(d, 97.5))
+
+
 def select_then_validate(fold_rows: DataFrame, bucket: Column, value: str, least: int = 30) -> DataFrame:
     """Per fold: the bucket with the best mean in training (of those with enough rows), and its n and mean in validation."""
     g = fold_rows.filter(F.col(value).isNotNull() & ~F.col("purged")).groupBy("fold", "role", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m")).filter("bucket IS NOT NULL")

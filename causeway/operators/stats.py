@@ -51,12 +51,7 @@ def spearman(df: DataFrame, columns: Sequence[str], against: Sequence[str] | Non
             sides.append((side((a,), x), side((b,), y)))
         else:
             sides.append((side((a, b, 0), F.when(y.isNotNull(), x)), side((a, b, 1), F.when(x.isNotNull(), y))))
-    wide = written(df.select(*by, *[v.alias(n) for n, v in values.items()], F.monotonically_increasing_id().alias("row_")), "ranked")
-    long = wide.select(*by, "row_", F.explode(F.array(*[F.struct(F.lit(n).alias("column_"), F.col(n).alias("value_")) for n in values])).alias("c_")).select(*by, "row_", "c_.*").filter("value_ IS NOT NULL")
-    ranks = written(centred_ranks(wide, list(values), by), "ranks")
-    # one join gives all columns their ranks; a value that very many rows share is one row of the smaller side
-    long = long.join(ranks, [*by, "column_", "value_"])
-    wide = long.groupBy(*by, "row_").agg(*[F.max(F.when(F.col("column_") == n, F.col("rank_"))).alias(f"r{n}") for n in values])
+    wide = with_ranks(df.select(*by, *[v.alias(n) for n, v in values.items()]), list(values), by)
     sums = [s for i, (x, y) in enumerate(sides) for s in (F.count(f"r{x}").alias(f"n{i}"), F.sum(F.col(f"r{x}") * F.col(f"r{y}")).alias(f"s{i}"))]
     spread = [F.sum(F.col(f"r{n}") * F.col(f"r{n}")).alias(f"q{n}") for n in values]
     one = wide.groupBy(*by).agg(*sums, *spread)
@@ -65,6 +60,15 @@ def spearman(df: DataFrame, columns: Sequence[str], against: Sequence[str] | Non
     return one.select(*by, F.explode(F.array(*rows)).alias("r_")).select(*by, "r_.*")
 
 
+def with_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """by, keep, and r<column> for every column: its average rank less the mean of all in its group, null where it is missing. Rows without any of the columns are gone."""
+    wide = written(df.select(*by, *keep, *columns, F.monotonically_increasing_id().alias("row_")), "ranked")
+    long = wide.select(*by, *keep, "row_", F.explode(F.array(*[F.struct(F.lit(n).alias("column_"), F.col(n).cast("double").alias("value_")) for n in columns])).alias("c_")).select(*by, *keep, "row_", "c_.*").filter("value_ IS NOT NULL")
+    # one join gives all columns their ranks; a value that very many rows share is one row of the smaller side
+    long = long.join(written(centred_ranks(wide, columns, by), "ranks"), [*by, "column_", "value_"])
+    return long.groupBy(*by, "row_").agg(*[F.first(k).alias(k) for k in keep], *[F.max(F.when(F.col("column_") == n, F.col("rank_"))).alias(f"r{n}") for n in columns]).drop("row_")
+
+
 def prune(pairs: Sequence[tuple[str, str, float]], coverage: dict[str, float], family: dict[str, int] | None = None, at: float = 0.9, gap: float = 0.02) -> list[tuple[str, str, float]]:
     """(dropped, kept, rho) in order of falling |rho|. Of two features over the bound goes the one with less coverage if they differ by more than gap, else that of the newer family, else the later name; pairs with a dropped one are passed over. On a small collected list: the rule is sequential."""
     gone: list[tuple[str, str, float]] = []

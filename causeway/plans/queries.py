@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.exprs import account_cluster, challenge, era, exit_type, ip_cluster, loss_per_lot, net_or_parts, normal_tails, number, reverse_per_lot, seconds, sure, trader_cluster
-from ..operators import asof, bootstrap, buckets, compare, folds, forensics, history, model, nested, positions, predict, state, stats
+from ..operators import asof, bootstrap, buckets, compare, folds, forensics, history, model, nested, positions, predict, rebuild, state, stats
 from ..operators import conditions as cond
 from ..operators import features as f
 from ..storage import written
@@ -656,6 +656,12 @@ def causal_rebuild(spark, sf_dir):
     return both.agg(F.count_if(~F.col("later")).alias("checked"), differ("flipped").alias("flipped_differ"), differ("prefix").alias("prefix_differ"), F.count_if(F.abs(F.col("whole_cum") - F.col("flipped_cum")) > 1e-6).alias("later_differ"))
 
 
+@query()
+def prefix_rebuild(spark, sf_dir):
+    """Sampled positions rebuilt from what they may know, by class of fields."""
+    return rebuild.prefix_rebuild(a.positions(spark, sf_dir))
+
+
 @query(("c AS (SELECT c_custkey, upper(' ' || c_name || '@example.invalid ') AS email, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE '192.0.2.' || (c_custkey % 200) END AS ip FROM customer), k AS (SELECT ip, count(DISTINCT c_custkey) > 1 AS shared, row_number() OVER (ORDER BY min(c_custkey), ip) - 1 AS n FROM c WHERE ip IS NOT NULL GROUP BY 1)",
         "c_custkey, substr(sha256(lower(trim(email))), 1, 12) AS trader_key, coalesce(shared, FALSE) AS shared, CAST(coalesce(n, -1) AS INTEGER) AS ip_cluster FROM c LEFT JOIN k USING (ip)"))
 def sanitised_registrations(spark, sf_dir):
@@ -728,6 +734,16 @@ def model_comparison(spark, sf_dir):
     return compare.compare_models(rows, {"size": ["amount", "trade_index"], "streaks": ["amount", "trade_index", "loss_streak", "pnl_ewm", "cum_pnl_usd"]}, "reverse_profit_per_lot")
 
 
+@query()
+def include_decision(spark, sf_dir):
+    """Whether streaks and running profit are worth including beside sizes, over walk-forward folds of both tracks, with paired intervals."""
+    rows = written(model_rows(spark, sf_dir).filter(F.col("campaign_id").between(DEFAULT.primary_from, DEFAULT.primary_to)), "model_rows")
+    splits = folds.windows([x[0] for x in rows.select("campaign_id").distinct().collect()], DEFAULT.fold_count, DEFAULT.least_train_campaigns)
+    sizes = ["amount", "trade_index", "size_delta_ratio"]
+    cluster = trader_cluster(F.col("trader_key"), F.col("campaign_id"), F.col("account_id"))
+    return compare.include_rule(rows, splits, (sizes, ["challenge_type"]), ([*sizes, "loss_streak", "pnl_ewm", "cum_pnl_usd"], ["challenge_type"]), cluster, pairs=FLAGGED)
+
+
 @query()
 def mean_contributions(spark, sf_dir):
     return compare.mean_contributions(_fixed(spark, sf_dir), FIXED, "decision")
