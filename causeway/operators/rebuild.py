@@ -42,7 +42,7 @@ def prefix_rebuild(df: DataFrame, build: Callable[[DataFrame], DataFrame] = feat
     both = again.join(whole, "position_id")
     told = F.explode(F.array(*[
         F.struct(
-            F.lit(n).alias("feature"), ~F.col(n).eqNullSafe(F.col(f"{n}_whole")).alias("differs"), (F.col(n).isNull() != F.col(f"{n}_whole").isNull()).alias("missing"),
+            F.lit(n).alias("feature"), (~F.col(n).eqNullSafe(F.col(f"{n}_whole"))).alias("differs"), (F.col(n).isNull() != F.col(f"{n}_whole").isNull()).alias("missing"),
             F.abs(F.col(n).try_cast("double") - F.col(f"{n}_whole").try_cast("double")).alias("size"),
         )
         for n in names

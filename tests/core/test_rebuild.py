@@ -21,7 +21,8 @@ def test_planted_leaks_are_reported_by_class(spark, sf):
     got = {(r["field_class"], r["feature"]): r for r in rebuild.prefix_rebuild(p, leaky, 40).collect()}
     assert all(r["checked"] == 40 for r in got.values()) and len(got) == 15
     wrong = {k for k, r in got.items() if r["mismatches"]}
-    assert wrong == {(rebuild.OWN_CLOSE, "peeks"), (rebuild.LATER_ROWS, "ahead"), (rebuild.OPEN_OUTCOMES, "ahead"), (rebuild.LATER_ROWS, "peeks")} - {(rebuild.LATER_ROWS, "peeks")} | {(rebuild.OPEN_OUTCOMES, "trusts")}
+    # the third class also leaves later rows away
+    assert wrong == {(rebuild.OWN_CLOSE, "peeks"), (rebuild.LATER_ROWS, "ahead"), (rebuild.OPEN_OUTCOMES, "ahead"), (rebuild.OPEN_OUTCOMES, "trusts")}
     assert got[rebuild.OWN_CLOSE, "peeks"]["missingness_mismatches"] == 40 and got[rebuild.LATER_ROWS, "ahead"]["missingness_mismatches"] > 30
 
 
