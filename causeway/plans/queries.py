@@ -388,13 +388,24 @@ def sigmas(spark, sf_dir):
     return stats.winsorised(_outcomes(spark, sf_dir), "y").agg(F.round(F.stddev_samp("y"), 4).alias("sigma_raw"), F.round(F.stddev_samp("y_w"), 4).alias("sigma_winsorised"))
 
 
-@query()
+#: ICC for several groups of rows at once: w has a column g_ beside y and k.
+GROUPED_ICC = """c AS (SELECT g_, k, count(*) AS n, avg(y) AS m FROM w GROUP BY 1, 2), g AS (SELECT g_, avg(y) AS g, count(*) AS nt FROM w GROUP BY 1),
+    t AS (SELECT g_, CAST(any_value(nt) AS BIGINT) AS n_rows, count(*) AS n_clusters, sum(n * (m - g) * (m - g)) AS ssb, sum(n * n) AS n2 FROM c JOIN g USING (g_) GROUP BY 1),
+    ww AS (SELECT g_, sum((y - m) * (y - m)) AS ssw FROM w JOIN c USING (g_, k) GROUP BY 1),
+    v AS (SELECT *, ssb / nullif(n_clusters - 1, 0) AS b, ssw / nullif(n_rows - n_clusters, 0) AS i, (n_rows - n2 / CAST(n_rows AS DOUBLE)) / nullif(n_clusters - 1, 0) AS m0 FROM t JOIN ww USING (g_)),
+    e AS (SELECT g_, n_rows, 1 + (n_rows / CAST(n_clusters AS DOUBLE) - 1) * coalesce((b - i) / nullif(b + (m0 - 1) * i, 0), 0) AS deff FROM v)"""
+
+
+@query((f"""{OUTCOME}, q AS (SELECT quantile_cont(y, [0.01, 0.99]) AS q FROM o), z AS (SELECT greatest(q[1], least(q[2], y)) AS z, y FROM o, q),
+    sd AS (SELECT 'sigma_raw' AS sigma, round(stddev_samp(y), 4) AS s FROM z UNION ALL SELECT 'sigma_winsorised', round(stddev_samp(z), 4) FROM z),
+    w AS (SELECT 'trader' AS g_, y, coalesce(CAST(trader_key AS VARCHAR), campaign_id || '_' || account_id) AS k FROM o UNION ALL SELECT 'address', y, CASE WHEN ip_cluster_id <> -1 THEN 'ip_' || ip_cluster_id ELSE 'acct_' || campaign_id || '_' || account_id END FROM o), {GROUPED_ICC}""",
+        f"sigma, g_ AS scheme, delta, round(2 * {stats.Z_SUM}::DOUBLE ** 2 * s ** 2 / delta ** 2 * deff, 3) + 0.0 AS n_per_arm, {r(f'least_effect_of_1000 = {stats.Z_SUM}::DOUBLE * s * sqrt(deff / 1000)')} FROM sd, e, (VALUES (10.0::DOUBLE), (20.0::DOUBLE), (40.0::DOUBLE)) x(delta)"))
 def sample_sizes(spark, sf_dir):
     """Rows per arm for three effects, two spreads and two clusterings."""
     s, out = sigmas(spark, sf_dir).first(), []
     for scheme, q in (("trader", icc_by_trader), ("address", icc_by_address)):
         deff = q(spark, sf_dir).first()["deff"]
-        out += [(k, scheme, d, stats.per_arm(s[k], deff, d), stats.least_effect(s[k], 1000, deff)) for k in ("sigma_raw", "sigma_winsorised") for d in (10.0, 20.0, 40.0)]
+        out += [(k, scheme, d, round(stats.per_arm(s[k], deff, d), 3), stats.least_effect(s[k], 1000, deff)) for k in ("sigma_raw", "sigma_winsorised") for d in (10.0, 20.0, 40.0)]
     return spark.createDataFrame(out, "sigma string, scheme string, delta double, n_per_arm double, least_effect_of_1000 double")
 
 
@@ -616,7 +627,10 @@ def power_frontier(spark, sf_dir):
     return model.frontier(written(_fixed(spark, sf_dir), "decided"), "score", SHARES, "y")
 
 
-@query()
+@query((f"""{SCORE}, ordered AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS k, count(*) OVER () AS n FROM d), shares AS (SELECT unnest({list(SHARES)}::DOUBLE[]) AS share),
+    cuts AS (SELECT share, CASE WHEN t.k >= t.n THEN t.score - 1e-12::DOUBLE ELSE (t.score + u.score) / 2 END AS cutoff FROM shares JOIN ordered t ON t.k = greatest(1, CAST(round_even(share * t.n, 0) AS BIGINT)) LEFT JOIN ordered u ON u.k = t.k + 1),
+    w AS (SELECT share AS g_, y, account_id AS k FROM d JOIN cuts ON score > cutoff), {GROUPED_ICC}, sd AS (SELECT stddev_samp(y) AS s FROM d), a AS (SELECT g_, avg(y) AS m FROM w GROUP BY 1)""",
+        f"share, {r('cutoff')}, e.n_rows AS n, {r('mean = m', 'deff', f'mde = {stats.Z_SUM}::DOUBLE * s * sqrt(greatest(deff, 0) / e.n_rows)', f'mde_floored = {stats.Z_SUM}::DOUBLE * s * sqrt(greatest(deff, 1) / e.n_rows)')} FROM cuts JOIN e ON e.g_ = share JOIN a ON a.g_ = share, sd"))
 def frontier_effects(spark, sf_dir):
     """The frontier with design effects of accounts and the effects that its selections could show."""
     rows = written(_fixed(spark, sf_dir), "decided")
@@ -744,6 +758,6 @@ def include_decision(spark, sf_dir):
     return compare.include_rule(rows, splits, (sizes, ["challenge_type"]), ([*sizes, "loss_streak", "pnl_ewm", "cum_pnl_usd"], ["challenge_type"]), cluster, pairs=FLAGGED)
 
 
-@query()
+@query((SCORE, f"decision, name AS \"column\", {r('mean_abs = avg(v)')} FROM (SELECT CASE WHEN fade THEN 'FADE' ELSE 'ABSTAIN' END AS decision, unnest(['num__loss_streak', 'num__cum_pnl_usd', 'num__amount', 'cat__side=BUY', 'cat__side=SELL']) AS name, unnest([abs(c1), abs(c2), abs(c3), abs(c4), abs(c5)]) AS v FROM d) GROUP BY ALL"))
 def mean_contributions(spark, sf_dir):
     return compare.mean_contributions(_fixed(spark, sf_dir), FIXED, "decision")
