@@ -258,7 +258,7 @@ def frontier(df: DataFrame, score: str, shares: Sequence[float], actual: str = "
     """For each target share the cutoff midway between the last score taken and the next one: share, cutoff, n, mean.
 
     With cluster also deff, the design effect of the rows taken, mde, the least effect that so many of them show, and
-    mde_floored, the same with a design effect of one at least. One pass over the rows per share.
+    mde_floored, the same with a design effect of one at least. All shares' clusters are summed in one pass.
     """
     from .stats import icc, least_effect
 
@@ -272,11 +272,14 @@ def frontier(df: DataFrame, score: str, shares: Sequence[float], actual: str = "
     sd = known.agg(F.stddev_samp(actual)).first()[0] or 0.0
     cut = [a - 1e-12 if k >= n else (a + b) / 2 for k, a, b in zip(ks, least, least[len(ks) :], strict=False)]
     one = known.agg(*[x for i, c in enumerate(cut) for x in (F.count_if(F.col(score) > c).alias(f"n{i}"), F.avg(F.when(F.col(score) > c, F.col(actual))).alias(f"m{i}"))]).first()
-    out = []
+    out, deffs = [], {}
+    if cluster is not None:
+        taken = known.withColumn("share_", F.explode(F.array_compact(F.array(*[F.when(F.col(score) > c, F.lit(i)) for i, c in enumerate(cut)]))))
+        deffs = {r["share_"]: r["deff"] for r in icc(taken, actual, cluster, ["share_"]).collect()}  # a row per share
     for i, s in enumerate(shares):
         row = [float(s), float(cut[i]), one[f"n{i}"], one[f"m{i}"]]
         if cluster is not None:
-            deff = icc(known.filter(F.col(score) > cut[i]), actual, cluster).first()["deff"] if row[2] else None
+            deff = deffs.get(i) if row[2] else None
             row += [deff, *[least_effect(sd, row[2], d) if d is not None else None for d in (deff and max(deff, 0.0), deff and max(deff, 1.0))]]
         out.append(tuple(row))
     return df.sparkSession.createDataFrame(out, schema)

@@ -97,16 +97,17 @@ def winsorised(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99
     return df.withColumn(f"{column}_w", F.when(F.col(column).isNotNull(), F.greatest(F.lit(a), F.least(F.lit(b), F.col(column)))))
 
 
-def icc(df: DataFrame, value: str, cluster: Column) -> DataFrame:
-    """One-way random effects: n_rows, n_clusters, ms_between, ms_within, m0, icc, deff. From (n, sum, sum of squares) per cluster, centred by the grand mean against cancellation; degenerate data give icc 0 and deff 1."""
-    work = df.select(F.col(value).alias("y"), cluster.alias("k")).filter("y IS NOT NULL AND k IS NOT NULL")
-    mean = work.agg(F.avg("y").alias("g"))
-    g = work.crossJoin(F.broadcast(mean)).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") - F.col("g")).alias("s"), F.sum(F.pow(F.col("y") - F.col("g"), F.lit(2))).alias("q"))  # mean is one row
-    t = g.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_clusters"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ssb"), F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("ssw"), F.sum(F.col("n") * F.col("n")).alias("n2"))
+def icc(df: DataFrame, value: str, cluster: Column, by: Sequence[str] = ()) -> DataFrame:
+    """One-way random effects, of each group of by: n_rows, n_clusters, ms_between, ms_within, m0, icc, deff. From (n, sum, sum of squares) per cluster, centred by the grand mean against cancellation; degenerate data give icc 0 and deff 1."""
+    work = df.select(*by, F.col(value).alias("y"), cluster.alias("k")).filter("y IS NOT NULL AND k IS NOT NULL")
+    mean = work.groupBy(*by).agg(F.avg("y").alias("g"))
+    both = work.join(mean, list(by)) if by else work.crossJoin(F.broadcast(mean))  # without groups, mean is one row
+    g = both.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") - F.col("g")).alias("s"), F.sum(F.pow(F.col("y") - F.col("g"), F.lit(2))).alias("q"))
+    t = g.groupBy(*by).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_clusters"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ssb"), F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("ssw"), F.sum(F.col("n") * F.col("n")).alias("n2"))
     c = F.col
     t = t.withColumns({"ms_between": F.try_divide(c("ssb"), c("n_clusters") - 1), "ms_within": F.try_divide(c("ssw"), c("n_rows") - c("n_clusters")), "m0": F.try_divide(c("n_rows") - c("n2") / c("n_rows"), c("n_clusters") - 1)})
     raw = F.try_divide(c("ms_between") - c("ms_within"), c("ms_between") + (c("m0") - 1) * c("ms_within"))
-    return t.withColumn("icc", F.coalesce(raw, F.lit(0.0))).select("n_rows", "n_clusters", "ms_between", "ms_within", "m0", "icc", (1 + (c("n_rows") / c("n_clusters") - 1) * c("icc")).alias("deff"))
+    return t.withColumn("icc", F.coalesce(raw, F.lit(0.0))).select(*by, "n_rows", "n_clusters", "ms_between", "ms_within", "m0", "icc", (1 + (c("n_rows") / c("n_clusters") - 1) * c("icc")).alias("deff"))
 
 
 def per_arm(sigma: float, deff: float, delta: float) -> float:
