@@ -1,8 +1,8 @@
 """BPE encoding and decoding through a distinct-word table.
 
 A word is a run without white space; the tokenizer's own splitting never crosses white space, so the ids of a text are
-those of its words one after another. Words are counted over all texts (map-side first), every distinct word of the
-count is encoded once, and the ids go back to the texts by position.
+those of its words one after another. Words are counted over all texts (map-side first), a word is encoded once, and the
+ids go back to the texts by position.
 
 The join back is in two parts. Words above a count that leaves at most `head` of them are broadcast (bounded in rows
 and in length); every other word is encoded where it stands, once per task's table. A shuffled join at each position
@@ -124,9 +124,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def word_table(docs: DataFrame, text: str, path: str) -> DataFrame:
-    """Every distinct word of all texts: word, n, ids array<int>. Null and empty texts have none."""
-    counted = docs.select(F.col(text).alias("text")).filter("text IS NOT NULL").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """Every distinct word of all texts: word, n. Null and empty texts have none."""
+    return docs.select(F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def encoded_words(counted: DataFrame, path: str) -> DataFrame:
+    """word, n -> word, n, ids array<int>."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,9 +140,14 @@ def word_table(docs: DataFrame, text: str, path: str) -> DataFrame:
     return counted.mapInArrow(encode, "word string, n long, ids array<int>")
 
 
-def head_of(words: DataFrame, most: int = HEAD_WORDS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The words whose count is over a bound that leaves at most `most` of them: (words, number of ids of each, ids)."""
-    short = words.filter(F.length("word") <= HEAD_CHARS)
+def word_table(docs: DataFrame, text: str, path: str) -> DataFrame:
+    """Every distinct word of all texts, encoded: word, n, ids."""
+    return encoded_words(word_counts(docs, text), path)
+
+
+def head_of(counted: DataFrame, path: str, most: int = HEAD_WORDS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words whose count is over a bound that leaves at most `most` of them, encoded: (words, number of ids of each, ids)."""
+    short = counted.filter(F.length("word") <= HEAD_CHARS)
     # how many words have each power of two of a count: at most 64 rows, whatever the corpus
     steps = {r["e"]: r["k"] for r in short.groupBy(F.floor(F.log2("n")).alias("e")).agg(F.count(F.lit(1)).alias("k")).collect()}
     total, least = 0, None
@@ -147,7 +156,7 @@ def head_of(words: DataFrame, most: int = HEAD_WORDS) -> tuple[list[str], np.nda
         if total > most:
             break
         least = e
-    rows = short.filter(F.floor(F.log2("n")) >= least).select("word", "ids").collect() if least is not None else []
+    rows = encoded_words(short.filter(F.floor(F.log2("n")) >= least), path).select("word", "ids").collect() if least is not None else []
     longs = np.array([len(r["ids"]) for r in rows], dtype=np.int64)
     return [r["word"] for r in rows], longs, np.array([i for r in rows for i in r["ids"]], dtype=np.uint32)
 
@@ -156,7 +165,7 @@ def _mapped(docs: DataFrame, text: str, path: str, fields: dict[str, pa.DataType
     """docs with fields made of the texts' ids; columns of those names are replaced, all others pass (the text only with_text)."""
     spark = docs.sparkSession
     key = uuid.uuid4().hex
-    head = spark.sparkContext.broadcast(head_of(written(word_table(docs, text, path), "words"), most))
+    head = spark.sparkContext.broadcast(head_of(written(word_counts(docs, text), "words"), path, most))
     keep = [c for c in docs.columns if c not in fields and (c != text or with_text)]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(source := fresh_name("text")))
 
