@@ -147,7 +147,7 @@ def features(text: str, odds: Odds) -> list[float]:
     ]
 
 
-def add_features(docs: DataFrame, learned: list[dict[str, float]], text: str = "text", part: str | None = None, with_text: bool = False) -> DataFrame:
+def _featured(docs: DataFrame, learned: list[dict[str, float]], text: str = "text", part: str | None = None, with_text: bool = False) -> DataFrame:
     """Columns row (a struct of all of docs' columns, without its text unless with_text) and a double per feature. learned: terms with their odds; with a column part, those of row's part."""
     names = [f"f_{f}" for f in FEATURES]
     keep = [c for c in docs.columns if c != text or with_text]
@@ -170,6 +170,12 @@ def add_features(docs: DataFrame, learned: list[dict[str, float]], text: str = "
     return rows.mapInArrow(run, schema)
 
 
+def add_features(docs: DataFrame, learned: list[dict[str, float]], text: str = "text", part: str | None = None, with_text: bool = False) -> DataFrame:
+    """docs with a double column per feature (prefixed f_; columns of those names are replaced), without its text unless with_text."""
+    names = [f"f_{f}" for f in FEATURES]
+    return _featured(docs.drop(*names), learned, text, part, with_text).select("row.*", *names)
+
+
 def _assembled(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=[f"f_{f}" for f in FEATURES], outputCol="_x").transform(df).drop(*[f"f_{f}" for f in FEATURES])
 
@@ -241,7 +247,7 @@ class Toxicity:
             keep = [c for c in docs.columns if c != text or with_text]
             out = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.lit(float(self.prior)).alias("score"))
         else:
-            raw = self.trees.transform(_assembled(add_features(docs, [self.learned], text, with_text=with_text))).withColumn("_p", vector_to_array("_probability")[1])
+            raw = self.trees.transform(_assembled(_featured(docs, [self.learned], text, with_text=with_text))).withColumn("_p", vector_to_array("_probability")[1])
             # calibration makes steps; a trace of the trees' own probability keeps the order within one
             score = (1 - TRACE) * F.least(F.greatest("_score", F.lit(0.0)), F.lit(1.0)) + TRACE * F.col("_p")
             out = self.calibrated.transform(raw.select("row", "_p")).select("row", score.alias("score"))
@@ -264,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Toxicity
     """
     rows = written(training_rows(docs, labels, most).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("terms")), F.lit(PARTS))), "training")
     terms = learned_terms(rows)
-    own = written(_assembled(add_features(rows, terms, part="part")).select("_x", "row.label", (F.pmod(F.xxhash64("row.doc_id", F.lit("part")), F.lit(10)) < 3).alias("calibrate")), "features")
+    own = written(_assembled(_featured(rows, terms, part="part")).select("_x", "row.label", (F.pmod(F.xxhash64("row.doc_id", F.lit("part")), F.lit(10)) < 3).alias("calibrate")), "features")
     part = {(r["calibrate"], r["label"]): r["n"] for r in own.groupBy("calibrate", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(part.values())
     if min(part.get((False, y), 0) for y in (0.0, 1.0)) < 2 or not total:
