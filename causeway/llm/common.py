@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..storage import exists, fresh_dir, shared_dir, written
 
-__all__ = ["exists", "fresh_dir", "fresh_name", "held_out", "shared_dir", "slices", "small_batches", "table", "written"]
+__all__ = ["exists", "fresh_dir", "fresh_name", "give_back", "held_out", "shared_dir", "slices", "small_batches", "table", "written"]
 
 #: Of every three documents, the one whose checksum leaves this remainder is held out of all learning.
 FOLDS, HELD_OUT = 3, 1
@@ -45,8 +46,16 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(True))
 
 
+def give_back() -> None:
+    """Gives the system what this process has freed. Spark keeps Python workers from stage to stage, and their allocators would keep what the largest stage took."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # the C library isn't glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that a slice holds about most_chars bytes of the text column (one text at least): memory stays bounded for long texts."""
+    """Cuts batches so that a slice holds about most_chars bytes of the text column (one text at least): memory stays bounded for long texts. What earlier tasks of the worker have freed goes back first."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue

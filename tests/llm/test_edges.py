@@ -3,10 +3,11 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from causeway.llm import bpe, decontam, html_cut, knn_join, langid, secrets, sharding, simhash, toxicity, warc
+from causeway.llm import bpe, common, decontam, html_cut, knn_join, langid, secrets, sharding, simhash, toxicity, warc
 from causeway.llm.common import fresh_dir
 
 LONG = "word " * 60_000 + "end"
@@ -453,6 +454,40 @@ def test_html_cut_overrules_single_blocks():
     assert html_cut.main_text(page) == " ".join([STORY, STORY, "Part two", STORY, STORY])
 
 
+def test_bpe_leaves_nothing_in_the_workers(spark):
+    """Python workers are kept from stage to stage: the stages after bpe must not carry its vocabulary and tables."""
+
+    def held(batches):
+        import functools
+        import gc
+
+        for _ in batches:
+            found = [type(o).__name__ for o in gc.get_objects() if type(o).__module__ == bpe.__name__]
+            found += [f"cached by {o.__name__}" for o in gc.get_objects() if isinstance(o, functools._lru_cache_wrapper) and o.__module__ == bpe.__name__ and o.cache_info().currsize]
+            yield pa.RecordBatch.from_pydict({"held": pa.array(sorted(set(found)), pa.string())})
+
+    docs = spark.createDataFrame([(i, f"word{i} and some other words") for i in range(200)], "doc_id long, text string")
+    for out in (bpe.round_trips(docs, bpe.vocabulary()), bpe.decode(bpe.encode(docs, bpe.vocabulary()), bpe.vocabulary())):
+        assert {r["n_tokens"] > 0 for r in out.collect()} == {True}
+        for _ in range(3):
+            assert spark.range(0, 16, 1, 8).mapInArrow(held, "held string").collect() == []
+
+
+def test_workers_give_memory_back():
+    """A task starts without what the largest one before it took; a block that stays above must not hold it."""
+    from pathlib import Path
+
+    def mb():
+        return sum(int(x.split()[1]) for x in Path("/proc/self/smaps_rollup").read_text().splitlines() if x.startswith("Pss_Anon")) / 1024
+
+    took = [np.ones(12_500) for _ in range(2_000)]  # 200 MB in blocks that the heap holds
+    stays = took[1::50]
+    full = mb()
+    del took
+    next(common.slices(iter([pa.RecordBatch.from_pydict({"text": pa.array(["a"])})]), "text"))
+    assert len(stays) == 40 and mb() < full - 150
+
+
 CLASHES = ("_own", "_text", "_digest", "_found", "_html", "_part", "_p", "_x", "_raw", "_tree", "_score", "_score_", "score", "predicted", "f_capitals", "row", "part", "label", "digest", "node", "ids", "found", "first_id", "_id", "stays", "group")
 
 
