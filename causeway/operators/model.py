@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..functions.exprs import sure
 from ..storage import written
 from .features import CLOSE_FIELDS, STOP_FIELDS
 from .ranks import at_ranks, quantiles
@@ -161,20 +162,30 @@ def choose_alpha(rows: DataFrame, design: Design, target: str, inner: Sequence[t
     return (min(known, key=lambda x: (-round(x[1], 12), x[2], x[0]))[0] if known else 1.0), report
 
 
+def thresholds_below(score: Column, grid: tuple[float, float, int] = THRESHOLDS) -> Column:
+    """How many thresholds of an even grid lie strictly below the score. The place told by division may be one off, as the difference from the first threshold is rounded: the score itself is held against the thresholds beside it. NaN is above all."""
+    low, high, count = grid
+    step = (high - low) / (count - 1)
+    near = F.least(F.lit(count), F.greatest(F.lit(0), F.ceil((score - low) / step))).cast("int")
+    threshold = lambda i: F.lit(low) + i * F.lit(step)
+    near = near + (sure(score > threshold(near)) & (near < count)).cast("int")
+    near = near - ((near > 0) & ~sure(score > threshold(near - 1))).cast("int")
+    return F.when(F.isnan(score), F.lit(count)).otherwise(near)
+
+
 def threshold_sweep(df: DataFrame, score: str, actual: str, grid: tuple[float, float, int] = THRESHOLDS) -> DataFrame:
     """threshold, n, coverage, mean_actual of rows above each threshold of an even grid. Rows fall into the bin of the last threshold below them; suffix sums over bins give the sweep, so no row meets every threshold."""
     from pyspark.sql import Window
 
     low, high, count = grid
     step = (high - low) / (count - 1)
-    # the number of thresholds strictly below the score
-    at = F.least(F.lit(count), F.greatest(F.lit(0), F.ceil((F.col(score) - low) / step).cast("int")))
-    bins = df.filter(F.col(score).isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.sum(actual).alias("s"))
+    at = thresholds_below(F.col(score).cast("double"), grid)
+    bins = df.filter(F.col(score).isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.count(actual).alias("k"), F.sum(actual).alias("s"))
     total = df.agg(F.count(F.lit(1)).alias("rows"))
     every = df.sparkSession.range(1, count + 1).select(F.col("id").cast("int").alias("bin"), (F.lit(low) + (F.col("id") - 1) * step).alias("threshold"))
     after = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # over the bins of the grid only
-    out = every.join(bins, "bin", "left").withColumns({"n": F.coalesce(F.sum("c").over(after), F.lit(0)), "t": F.sum("s").over(after)}).crossJoin(F.broadcast(total))
-    return out.select("threshold", "n", (F.col("n") / F.col("rows")).alias("coverage"), F.try_divide(F.col("t"), F.col("n")).alias("mean_actual"))
+    out = every.join(bins, "bin", "left").withColumns({"n": F.coalesce(F.sum("c").over(after), F.lit(0)), "k": F.sum("k").over(after), "t": F.sum("s").over(after)}).crossJoin(F.broadcast(total))
+    return out.select("threshold", "n", (F.col("n") / F.col("rows")).alias("coverage"), F.try_divide(F.col("t"), F.col("k")).alias("mean_actual"))
 
 
 def choose_threshold(sweep: DataFrame, least: int = LEAST_SELECTED) -> tuple[float, int, float] | None:

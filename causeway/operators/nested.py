@@ -217,7 +217,7 @@ def _finished(rows: DataFrame, raw: Raw, finals: dict[int, tuple], lines: list[t
     step = (high - low) / (count - 1)
     weights = F.broadcast(rows.sparkSession.createDataFrame(lines, "fold_ int, campaign_id int, w_ array<double>"))  # folds times campaigns
     scored = rows.select("campaign_id", "y_", _vector(raw)).join(weights, "campaign_id").select("fold_", "y_", _dot(F.col("z_"), F.col("w_")).alias("score"))
-    at = F.least(F.lit(count), F.greatest(F.lit(0), F.ceil((F.col("score") - low) / step).cast("int")))
+    at = model.thresholds_below(F.col("score"))
     bins: dict[int, tuple[np.ndarray, np.ndarray]] = {f: (np.zeros(count + 1), np.zeros(count + 1)) for f in finals}
     spread: dict[int, tuple[float, float, float]] = {}
     for r in scored.groupBy("fold_", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("y_").alias("s"), F.avg("score").alias("m"), F.var_pop("score").alias("v")).collect():  # folds times bins

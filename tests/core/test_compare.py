@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +40,19 @@ def test_sweep_against_brute_force(spark):
     assert f == {0.1: 8, 0.5: 40, 1.0: 80}
 
 
+def test_sweep_at_the_thresholds_themselves(spark):
+    """Scores a bit or two beside a threshold, far off, infinite and NaN (above all), and rows without an outcome: all as SQL compares them."""
+    scores = [x for i in range(-100, 501, 7) for x in (float(i), math.nextafter(i, 1e9), math.nextafter(i, -1e9))] + [1e300, -1e300, 5e9, math.inf, -math.inf, math.nan]
+    rows = [(s, None if i % 5 == 0 else float(i)) for i, s in enumerate(scores)]
+    for grid in ((-100.0, 500.0, 601), (0.0, 0.7, 8)):
+        got = threshold_sweep(spark.createDataFrame(rows, "score double, y double"), "score", "y", grid).collect()
+        assert len(got) == grid[2]
+        for r in got:
+            on = [y for s, y in rows if math.isnan(s) or s > r["threshold"]]
+            known = [y for y in on if y is not None]
+            assert r["n"] == len(on) and r["mean_actual"] == pytest.approx(sum(known) / len(known))
+
+
 def test_false_discovery_is_monotone(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate([0.01, 0.04, 0.03, 0.5])], "test int, p double")
     got = {r["test"]: r["q"] for r in stats.benjamini_hochberg(df, "p").collect()}
