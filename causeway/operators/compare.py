@@ -12,7 +12,6 @@ from ..config import DEFAULT, Settings
 from ..functions.exprs import sure
 from ..storage import written
 from . import bootstrap, folds, model, nested, stats
-from .forensics import in_step
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "rows") -> DataFrame:
@@ -75,22 +74,80 @@ def mean_contributions(df: DataFrame, artifact: dict, by: str) -> DataFrame:
     return df.select(by, F.explode(parts).alias("p")).groupBy(by, F.col("p.column").alias("column")).agg(F.avg("p.v").alias("mean_abs"))
 
 
+#: Rows of accounts or of opens that a task holds against all draws.
+DEALT_ROWS = 100_000
+#: Standard deviations on either side of a cut's expected place in which it is looked for first.
+BAND = 6.0
+
+
 def random_in_step(df: DataFrame, group: str, draws: int = 100, clusters: int = 10, minutes: int = 5, seed: int = 7) -> DataFrame:
     """For the largest groups: their share of opens in step, beside the mean share of as many random accounts of the same campaigns.
 
     Only the `clusters` largest groups are compared, so the list that is broadcast is small by definition; each draw
-    ranks the accounts of a campaign by a hash.
+    takes the accounts of a campaign that a hash ranks first. Accounts aren't dealt out per draw: the hash of the last one
+    taken is looked up for every group, campaign and draw, and an account is drawn if its own hash isn't above it. What is
+    broadcast are these cuts (draws times clusters times campaigns), and what is shuffled are opens per account and window
+    once, and two counts and two accounts per window and draw.
     """
-    accounts = df.select("campaign_id", "account_id", group).distinct()
+    spark = df.sparkSession
+    # a row without a time makes its account count, but is no open
+    at = F.coalesce(F.col("open_time"), F.lit("1970-01-01").cast(df.schema["open_time"].dataType))
+    w = F.window(at, f"{minutes} minutes").getField("start")
+    opens = written(df.groupBy("campaign_id", "account_id", group, w.alias("w")).agg(F.count("open_time").alias("n")), "opens")
+    accounts = written(opens.select("campaign_id", "account_id", group).distinct(), "accounts")
     largest = accounts.filter(F.col(group).isNotNull() & (F.col(group) != -1)).groupBy(group).agg(F.count_distinct("account_id").alias("a")).orderBy(F.desc("a"), group).limit(clusters)
-    sizes = accounts.join(F.broadcast(largest.select(group)), group).groupBy(group, "campaign_id").agg(F.count_distinct("account_id").alias("size"))
-    pool = accounts.select("campaign_id", "account_id").distinct().join(F.broadcast(sizes), "campaign_id").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    order = Window.partitionBy(group, "campaign_id", "draw").orderBy(F.xxhash64("account_id", "draw", group, F.lit(seed)), "account_id")
-    drawn = pool.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("size")).select("campaign_id", "account_id", F.struct(group, "draw").alias("key"))
-    opens = df.select("campaign_id", "account_id", "open_time").join(drawn, ["campaign_id", "account_id"])
-    random = in_step(opens, "key", minutes).groupBy(F.col(f"key.{group}").alias(group)).agg((F.sum(F.col("share_in_step") * F.col("n_opens")) / F.sum("n_opens")).alias("random_share"))
-    own = in_step(df.join(F.broadcast(largest.select(group)), group), group, minutes).groupBy(group).agg((F.sum(F.col("share_in_step") * F.col("n_opens")) / F.sum("n_opens")).alias("share"), F.sum("n_opens").alias("n_opens"))
-    return own.join(random, group, "left")
+    largest = written(largest.select(group), "largest")
+    sizes = accounts.join(F.broadcast(largest), group).groupBy(group, "campaign_id").agg(F.count_distinct("account_id").alias("size"))
+    tasks = lambda rows: max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // DEALT_ROWS)
+    pool = accounts.select("campaign_id", "account_id").repartition(tasks(accounts), "campaign_id", "account_id").distinct()
+    drawn = F.broadcast(_cuts(pool, sizes, group, draws, seed))
+    known = opens.filter("n > 0 AND account_id IS NOT NULL").select("campaign_id", "w", "account_id", "n")
+    # by ranges, so that a window of any size spans tasks; an account's rows of a window are few and only its first and last name count
+    each = known.repartitionByRange(tasks(opens), "campaign_id", "w", "account_id").join(drawn, "campaign_id").select("campaign_id", "w", "account_id", "n", group, F.posexplode("cuts").alias("i", "cut"))
+    h = _hash(F.col("i") + 1, group, seed)
+    each = each.filter((h < F.col("cut.h")) | ((h == F.col("cut.h")) & sure(F.col("account_id") <= F.col("cut.a"))))
+    per = each.groupBy("campaign_id", "w", group, "i").agg(F.sum("n").alias("n"), F.min("account_id").alias("x"), F.max("account_id").alias("y"))
+    share = lambda both: F.sum(F.when(both, F.col("n")).otherwise(0)) / F.sum("n")
+    random = per.groupBy(group).agg(share(F.col("x") != F.col("y")).alias("random_share"))
+    own = opens.filter("n > 0").join(F.broadcast(largest), group).groupBy(group, "campaign_id", "w").agg(F.sum("n").alias("n"), F.count("account_id").alias("a"))
+    return own.groupBy(group).agg(share(F.col("a") >= 2).alias("share"), F.sum("n").alias("n_opens")).join(random, group, "left")
+
+
+def _hash(draw: Column, group: str, seed: int) -> Column:
+    """What a draw ranks accounts by."""
+    return F.xxhash64("account_id", draw, group, F.lit(seed))
+
+
+def _cuts(pool: DataFrame, sizes: DataFrame, group: str, draws: int, seed: int) -> DataFrame:
+    """(campaign_id, group, cuts): for every draw in order the (hash, account) of the last of `size` accounts of the pool, taken by hash and account.
+
+    Hashes lie evenly, so a cut has an expected place. Accounts below the band around it are counted, those in it are
+    ranked (in number about the square root of size), those above go at once. A cut that isn't in its band, which
+    the counts tell, is looked for again among all accounts.
+    """
+    spark = pool.sparkSession
+    counts = written(sizes.filter("campaign_id IS NOT NULL AND size > 0").join(pool.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("all")), "campaign_id"), "sizes")
+    place = F.col("size") / F.col("all")
+    off = BAND * F.sqrt(place * (1 - place) / F.col("all")) + BAND / F.col("all")
+    asked = counts.withColumns({"draws": F.sequence(F.lit(1), F.lit(draws)), "low": place - off, "high": place + off})
+    found = []
+    while True:
+        ranked = pool.join(F.broadcast(asked), "campaign_id").select("campaign_id", group, "account_id", "low", "high", F.explode("draws").alias("draw"))
+        ranked = ranked.withColumn("h", _hash(F.col("draw"), group, seed)).withColumn("u", F.col("h").cast("double") / 2.0**64 + 0.5).filter("u <= high")
+        inside = F.when(F.col("u") >= F.col("low"), F.struct("h", F.col("account_id").alias("a")))
+        told = ranked.groupBy("campaign_id", group, "draw", inside.alias("cut")).agg(F.count(F.lit(1)).alias("n"))
+        upto = Window.partitionBy("campaign_id", group, "draw").orderBy("cut").rowsBetween(Window.unboundedPreceding, 0)  # what lies below comes first
+        told = told.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(counts), ["campaign_id", group])
+        found.append(written(told.filter("upto >= size AND upto - n < size AND cut IS NOT NULL").select("campaign_id", group, "draw", "cut"), "cuts"))
+        cuts = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        cuts = cuts.groupBy("campaign_id", group).agg(F.sort_array(F.collect_list(F.struct("draw", "cut"))).alias("c"))  # draws times groups times campaigns
+        if len(found) == 2:
+            break
+        missing = counts.join(cuts, ["campaign_id", group], "left").withColumn("draws", F.array_except(F.sequence(F.lit(1), F.lit(draws)), F.coalesce("c.draw", F.array().cast("array<int>")))).filter("size(draws) > 0")
+        asked = written(missing.select("campaign_id", group, "size", "all", "draws", F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), "missing")
+        if not asked.count():
+            break
+    return cuts.select("campaign_id", group, F.col("c.cut").alias("cuts"))
 
 
 def compare_models(fold_rows: DataFrame, models: dict[str, Sequence[str]], target: str, alpha: float = 100.0, hurdle: float = 0.0) -> DataFrame:

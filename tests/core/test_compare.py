@@ -1,10 +1,14 @@
+import datetime
 import math
+import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from causeway.operators import compare, stats
 from causeway.operators.buckets import histogram, tail_share
+from causeway.operators.forensics import in_step
 from causeway.operators.model import choose_threshold, compacted, frontier, threshold_sweep
 
 
@@ -53,6 +57,53 @@ def test_sweep_at_the_thresholds_themselves(spark):
             assert r["n"] == len(on) and r["mean_actual"] == pytest.approx(sum(known) / len(known))
 
 
+def _ranked_table(df, group, draws, clusters, minutes=5, seed=7):
+    """random_in_step as it reads: every account of a campaign is ranked anew for each draw."""
+    accounts = df.select("campaign_id", "account_id", group).distinct()
+    largest = accounts.filter(F.col(group).isNotNull() & (F.col(group) != -1)).groupBy(group).agg(F.count_distinct("account_id").alias("a")).orderBy(F.desc("a"), group).limit(clusters)
+    sizes = accounts.join(largest.select(group), group).groupBy(group, "campaign_id").agg(F.count_distinct("account_id").alias("size"))
+    pool = accounts.select("campaign_id", "account_id").distinct().join(sizes, "campaign_id").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    order = Window.partitionBy(group, "campaign_id", "draw").orderBy(F.xxhash64("account_id", "draw", group, F.lit(seed)), "account_id")
+    drawn = pool.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("size")).select("campaign_id", "account_id", F.struct(group, "draw").alias("key"))
+    total = lambda rows, key: rows.select(key.alias(group), "n_opens", (F.col("share_in_step") * F.col("n_opens")).alias("s")).groupBy(group).agg((F.sum("s") / F.sum("n_opens")).alias("share"), F.sum("n_opens").alias("n"))
+    random = total(in_step(df.select("campaign_id", "account_id", "open_time").join(drawn, ["campaign_id", "account_id"]), "key", minutes), F.col(f"key.{group}"))
+    own = total(in_step(df.join(largest.select(group), group), group, minutes), F.col(group))
+    return {r[group]: (r["share"], r["n"], r["random"]) for r in own.join(random.select(group, F.col("share").alias("random")), group, "left").collect()}
+
+
+def test_random_draws_are_those_of_ranked_tables(spark, monkeypatch):
+    """Also where accounts, times, groups and campaigns are missing, an account has two groups, or opens repeat; by bands, and by the search that follows if cuts aren't in theirs."""
+    rng = random.Random(3)
+    at = lambda: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=rng.randrange(20_000))
+    rows = [(c, a, None if rng.random() < 0.05 else at(), None if a % 13 == 0 else -1 if a % 11 == 0 else (a + (rng.random() < 0.1)) % 6) for c in (1, 2, None) for a in range(150) for _ in range(rng.randrange(1, 5)) if c != 2 or a % 3]
+    rows += [(1, None, at(), 2), (2, None, at(), 4), (2, None, None, 9), (1, 7, rows[0][2], 1), (3, 500, at(), 5), *rows[:20]]
+    df = spark.createDataFrame(rows, "campaign_id int, account_id long, open_time timestamp, g int")
+    for t in ("timestamp", "timestamp_ntz"):
+        own = df.withColumn("open_time", F.col("open_time").cast(t))
+        want = _ranked_table(own, "g", 12, 4)
+        for band in (compare.BAND, 0.0):
+            monkeypatch.setattr(compare, "BAND", band)
+            got = {r["g"]: (r["share"], r["n_opens"], r["random_share"]) for r in compare.random_in_step(own, "g", 12, 4).collect()}
+            assert got.keys() == want.keys() and len(got) == 4 and all(got[k] == pytest.approx(want[k]) for k in want)
+        monkeypatch.undo()
+
+
+def test_draws_are_not_dealt_out(spark):
+    """What is shuffled is far less than a row per account, group and draw."""
+    n, draws, clusters = 6_000, 100, 3
+    df = spark.range(n).select(F.lit(1).alias("campaign_id"), F.col("id").alias("account_id"), F.timestamp_seconds(F.col("id") % 1500).alias("open_time"), (F.col("id") % clusters).cast("int").alias("g"))
+    store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    assert compare.random_in_step(df, "g", draws, clusters).count() == clusters
+    assert n < shuffled() - before < n * draws * clusters / 4
+
+
 def test_false_discovery_is_monotone(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate([0.01, 0.04, 0.03, 0.5])], "test int, p double")
     got = {r["test"]: r["q"] for r in stats.benjamini_hochberg(df, "p").collect()}
