@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions.exprs import sure
 from ..storage import written
-from . import bootstrap, folds, model, nested, stats
+from . import bootstrap, folds, model, nested, stats, tracks
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "rows") -> DataFrame:
@@ -201,9 +201,14 @@ def include_rule(rows: DataFrame, splits: Sequence[tuple[Sequence[int], Sequence
     """
     models = {"base_": base, "candidate_": candidate}
     told = {}
+    # both tracks train on the same rows; they differ in what is purged from validation, inner and outer
+    own = nested.inner_purged(rows, "A", pairs).withColumn("kept", F.lit(False))
+    fits = tracks.fit_models(own, [train for train, _ in splits], models, target, ["purged", "kept"])
+    val = folds.fold_rows(rows.withColumn("cluster_", cluster), "A", pairs, splits=splits).filter((F.col("role") == "validate") & F.col(target).isNotNull())
+    scores = {f"{m}{track}": _score(fits[purge, m]) for track, purge in (("A", "purged"), ("B", "kept")) for m in models}
+    both = written(val.select("cluster_", F.col(target).cast("double").alias("y_"), "purged", *[s.alias(n) for n, s in scores.items()]), "scored")
     for track in ("A", "B"):
-        scored = walk_forward(rows.withColumn("cluster_", cluster), splits, models, target, track, pairs, ["cluster_"]).filter(F.col(target).isNotNull())
-        scored = written(scored.select("cluster_", F.col(target).cast("double").alias("y_"), *models), "scored")
+        scored = both.filter("NOT purged" if track == "A" else "true").select("cluster_", "y_", *[F.col(f"{m}{track}").alias(m) for m in models])
         ranked = stats.with_ranks(scored, ["y_", *models], keep=["cluster_"])
         kinds = {m: (F.col(f"r{m}") * F.col("ry_"), F.col(f"r{m}") * F.col(f"r{m}")) for m in models} | {"y_": (F.col("ry_") * F.col("ry_"), F.lit(1.0))}
         whole, drawn = bootstrap.paired_sums(ranked, F.col("cluster_"), kinds, settings)
@@ -222,6 +227,17 @@ def include_rule(rows: DataFrame, splits: Sequence[tuple[Sequence[int], Sequence
     return rows.sparkSession.createDataFrame(out, f"track string, n long, {columns}, include boolean")
 
 
+def _score(fits: dict[int, tracks.Fit]) -> Column:
+    """Of a row of a fold, by the fold's fit."""
+    score = F.lit(None).cast("double")
+    for fold, fit in fits.items():
+        total = F.lit(float(fit.intercept))
+        for c, w in zip(fit.design.columns(), fit.weights, strict=True):
+            total = total + c * float(w)
+        score = F.when(F.col("fold") == fold, total).otherwise(score)
+    return score
+
+
 def _rho(own, y):
     """From sums of (product with y, own square) and (square of y, rows); missing where nothing varies."""
     with np.errstate(invalid="ignore", divide="ignore"):
