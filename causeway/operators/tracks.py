@@ -253,34 +253,51 @@ def _summed(ranked: DataFrame, columns: int, purges: int, vectors: list[Vector],
         bounds[i] = np.unique(np.quantile(_predicted(laid[c], vectors[i]), np.arange(1, n) / n)) if n > 1 and c in laid else np.zeros(0)
         first[i] = at
         at += len(bounds[i]) + 1
-    names = ["part", "v", *(f"c{t}" for t in range(purges))]
+    wide = np.dtype(np.int32 if 2 * max(sizes.values()) < 2**31 else np.int64)  # of a rank
+    absent = np.iinfo(wide).min
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, z, _, told, own in _parts(batch, columns, purges, wanted, clips, ends):
                 there = np.flatnonzero(np.any([r != ABSENT for r in told], axis=0))
                 if len(there):
-                    z, told = [x[there] for x in z], [pa.array(r[there]) for r in told]
+                    z, told = [x[there] for x in z], [np.where(r == ABSENT, absent, r)[there].astype(wide) for r in told]
+                    parts, blocks = [], []
                     for i in own:
                         p = _predicted(z, vectors[i])
-                        part = first[i] + np.searchsorted(bounds[i], p, side="right")
-                        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(p), *told], names)
+                        of = np.searchsorted(bounds[i], p, side="right")
+                        order = np.argsort(of, kind="stable") if len(bounds[i]) else np.arange(len(p))
+                        ends_ = np.cumsum(np.bincount(of, minlength=len(bounds[i]) + 1))
+                        for r, on in enumerate(np.split(order, ends_[:-1])):
+                            if len(on):
+                                parts.append(first[i] + r)
+                                blocks.append(b"".join((p[on].tobytes(), *(x[on].tobytes() for x in told))))
+                    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
+        fresh: dict[int, list[list[np.ndarray]]] = {}
         waiting: dict[int, int] = {}
         squares: dict[int, np.ndarray] = {}
+
+        def settled(k: int) -> None:
+            v, *told = (np.concatenate(x) for x in zip(*fresh.pop(k), strict=True))
+            there = [r != absent for r in told]
+            own = [np.where(h, r, 0).astype(np.int64) for h, r in zip(there, told, strict=True)]
+            squares[k] = squares.get(k, 0.0) + np.array([np.sum(np.square(r.astype(np.float64))) for r in own])
+            held[k], waiting[k] = [_compacted([*held.get(k, []), (v, *(h.astype(np.int64) for h in there), *own)])], 0
+
         for batch in batches:
-            part, v, told = batch.column("part").to_numpy(), batch.column("v").to_numpy(), [batch.column(f"c{t}").to_numpy() for t in range(purges)]
-            for k in np.unique(part).tolist():
-                on = np.flatnonzero(part == k)
-                there = [r[on] != ABSENT for r in told]
-                own = [np.where(h, r[on], 0) for h, r in zip(there, told, strict=True)]
-                squares[k] = squares.get(k, 0.0) + np.array([np.sum(np.square(r.astype(np.float64))) for r in own])
-                held.setdefault(k, []).append((v[on], *(h.astype(np.int64) for h in there), *own))
-                waiting[k] = waiting.get(k, 0) + len(on)
+            for k, block in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
+                data = block.as_buffer()
+                n = data.size // (8 + purges * wide.itemsize)
+                # copies, as the batch goes
+                fresh.setdefault(k, []).append([np.frombuffer(data, np.float64, n).copy(), *(np.frombuffer(data, wide, n, 8 * n + t * n * wide.itemsize).copy() for t in range(purges))])
+                waiting[k] = waiting.get(k, 0) + n
                 if waiting[k] > TASK_ROWS:
-                    held[k], waiting[k] = [_compacted(held[k])], 0
+                    settled(k)
+        for k in list(fresh):
+            settled(k)
         for k, parts in held.items():
             own, out = _compacted(parts), []
             for t in range(purges):
@@ -292,7 +309,7 @@ def _summed(ranked: DataFrame, columns: int, purges: int, vectors: list[Vector],
     spark = ranked.sparkSession
     of = {first[i] + r: (i, r) for i in ids for r in range(len(bounds[i]) + 1)}
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(sizes[vectors[i].campaign] for i in ids) // TASK_ROWS)
-    dealt = ranked.filter(F.col("campaign_id").isin(list(wanted))).mapInArrow(predict, "part int, v double, " + ", ".join(f"c{t} long" for t in range(purges))).repartition(tasks, "part")
+    dealt = ranked.filter(F.col("campaign_id").isin(list(wanted))).mapInArrow(predict, "part int, block binary").repartition(tasks, "part")
     out: dict[int, dict[int, list]] = {}
     for row in dealt.mapInArrow(add, "part int, sums array<double>").collect():  # a row per vector and range
         i, r = of[row["part"]]
